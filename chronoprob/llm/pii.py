@@ -267,5 +267,6 @@ def digest(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     marked = find(docs.select("doc_id", "text"), how=how)
     base = F.filter("pii_spans", lambda s: s["kind"].isin(*KINDS))
     line = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("pii_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    number = lambda kind: F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [number(kind) for kind in KINDS]
     return marked.select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("pii_spans")).alias("spans"))
