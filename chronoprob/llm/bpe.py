@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import hashlib
 import os
 import re
 from collections.abc import Iterator
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces remembered by a Python worker; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: New pieces that go to the library as one text.
 AT_ONCE = 16_384
 #: Characters of text that are cut into pieces at a time.
-CHARS_AT_ONCE = 4_000_000
+CHARS_AT_ONCE = 1_000_000
 
 _SPACE_BEFORE_SPACE = re.compile(r"\s ")
 _codecs: dict[tuple[str, str], "Codec"] = {}
@@ -119,13 +120,16 @@ class Codec:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out, start, held = [], 0, 0
+        return list(self.encoded(texts))
+
+    def encoded(self, texts: list[str]) -> Iterator[bytes]:
+        """As ``encode_batch``, a few texts at a time."""
+        start, held = 0, 0
         for i, text in enumerate(texts, 1):
             held += len(text)
             if held >= CHARS_AT_ONCE or i == len(texts):
-                out += self._encode_some(texts[start:i])
+                yield from self._encode_some(texts[start:i])
                 start, held = i, 0
-        return out
 
     def _encode_some(self, texts: list[str]) -> list[bytes]:
         """The pattern always cuts before a space that follows no white space, so the parts between such
@@ -228,8 +232,17 @@ def token_offsets(docs: DataFrame, text: str = "text", to: str = "offsets", rank
     return docs.withColumn(to, spans(F.col(text)))
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
-    encoded = encode(docs.select("doc_id", "text"))
-    both = decode(encoded)
-    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digest(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document: ids and decoded bytes are hashed
+    where they are made, so that they need not leave the task."""
+    own_path, own_pattern = default_paths()
+    path, split = ranks_path or own_path, pattern or own_pattern
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tool = codec(path, split)
+        for batch in batches:
+            rows = [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(tool.decode(ids)).hexdigest()) for ids in tool.encoded(batch.fillna("").tolist())]
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", hashed("text").alias("h")).select("doc_id", "h.*")
