@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoprob.functions import probability as P
@@ -31,3 +31,206 @@ def debiased(df: DataFrame, keys: Sequence[str], window: tuple[float, float]) ->
     every = log_means(base, []).withColumnRenamed("bias", "_every")
     joined = df.join(own, list(keys), "left").join(F.broadcast(every))  # one row
     return joined.withColumn("p", P.debiased(F.col("p"), F.coalesce("bias", "_every"))).drop("bias", "_every")
+
+
+def _keyed_means(df: DataFrame, keys: Sequence[str], q: Column, to: str) -> DataFrame:
+    """(keys, to): mean of the array ``q`` over the rows of each key, position by position."""
+    long = df.select(*keys, F.posexplode(q).alias("k", "v")).groupBy(*keys, "k").agg(F.avg("v").alias("v"))
+    return long.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias(to))
+
+
+def _with_keyed(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.join(table, list(keys)) if keys else df.join(F.broadcast(table))  # one row without keys
+
+
+def prior_shift(df: DataFrame, source_prior: Sequence[float], keys: Sequence[str] = (), iterations: int = 10, smoothing: float = 0.0, damping: float = 1.0) -> DataFrame:
+    """(keys, prior): target prior of each block by EM on the posteriors: one aggregation an iteration, whose
+    result is one array for each block; every few rounds it is cut."""
+    from chronoprob.sources.observations import cut
+
+    src = F.array(*[F.lit(float(x)) for x in source_prior])
+    n = len(source_prior)
+    blocks = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    prior = blocks.withColumn("prior", src)
+    for i in range(iterations):
+        rows = _with_keyed(df.select(*keys, "p"), prior, keys)
+        mean = _keyed_means(rows, keys, P.reweighted(F.col("p"), F.col("prior"), src), "mean")
+        smooth = F.transform("mean", lambda x: (x + smoothing) / (1 + smoothing * n))
+        both = mean.join(prior, list(keys)) if keys else mean.join(F.broadcast(prior))  # one row
+        new = F.zip_with(smooth, F.col("prior"), lambda a, b: damping * a + (1 - damping) * b)
+        prior = both.select(*keys, P.normalized(new).alias("prior"))
+        if i % 5 == 4:
+            prior = cut(prior, "prior")
+    return prior
+
+
+def shifted(df: DataFrame, prior: DataFrame, source_prior: Sequence[float], keys: Sequence[str] = (), strength: float = 1.0) -> DataFrame:
+    """Rows reweighted to the prior of their block, raised to ``strength``."""
+    src = F.array(*[F.lit(float(x)) for x in source_prior])
+    moved = F.transform("prior", lambda x: x) if strength == 1.0 else F.zip_with("prior", src, lambda t, s: s * F.pow(t / s, F.lit(strength)))
+    return _with_keyed(df, prior, keys).withColumn("p", P.reweighted(F.col("p"), moved, src)).drop("prior")
+
+
+def black_box_shift(source_rows: DataFrame, target_rows: DataFrame, label: str, ridge: float = 1e-3) -> list[float]:
+    """Target prior from the source's soft confusion: solve (C'C + ridge I) w = C'm for the target's mean
+    posterior m; a table of classes by classes is all that reaches the driver."""
+    import numpy as np
+
+    c = _keyed_means(source_rows, [label], F.col("p"), "mean").orderBy(label).collect()
+    confusion = np.array([r["mean"] for r in c]).T
+    m = np.array(_keyed_means(target_rows, [], F.col("p"), "mean").first()["mean"])
+    w = np.linalg.solve(confusion.T @ confusion + ridge * np.eye(confusion.shape[1]), confusion.T @ m)
+    w = np.maximum(w, 0.0)
+    return (w / w.sum()).tolist()
+
+
+def to_proportions(df: DataFrame, proportions: Sequence[float], keys: Sequence[str] = (), iterations: int = 10, damping: float = 1.0) -> DataFrame:
+    """Rows whose class weights are turned until the mean posterior of each block is the given one."""
+    target = F.array(*[F.lit(float(x)) for x in proportions])
+    one = F.array(*[F.lit(1.0)] * len(proportions))
+    blocks = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    w = blocks.withColumn("w", one)
+    turned = P.normalized(F.zip_with("p", "w", lambda x, y: x * y))
+    for _ in range(iterations):
+        mean = _keyed_means(_with_keyed(df.select(*keys, "p"), w, keys), keys, turned, "mean")
+        both = mean.join(w, list(keys)) if keys else mean.join(F.broadcast(w))  # one row
+        step = F.zip_with(target, "mean", lambda t, m: F.pow(t / F.greatest(m, F.lit(1e-12)), F.lit(damping)))
+        w = both.select(*keys, F.zip_with("w", step, lambda a, b: a * b).alias("w"))
+    return _with_keyed(df, w, keys).withColumn("p", turned).drop("w")
+
+
+def temperature_losses(df: DataFrame, label: str, grid: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, temperature, log_loss) over a grid, in one job."""
+    rows = df.select(*keys, label, "p").withColumn("temperature", F.explode(F.array(*[F.lit(float(t)) for t in grid])))
+    loss = P.log_loss(P.tempered(F.col("p"), F.col("temperature")), F.col(label))
+    return rows.groupBy(*keys, "temperature").agg(F.avg(loss).alias("log_loss"))
+
+
+def best_temperature(df: DataFrame, label: str, grid: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    return temperature_losses(df, label, grid, keys).groupBy(*keys).agg(F.min(F.struct("log_loss", "temperature")).alias("b")).select(*keys, "b.temperature", "b.log_loss")
+
+
+def calibrated(df: DataFrame, fit: DataFrame, label: str, mode: str, grid: Sequence[float] = (0.5, 0.75, 1.0, 1.5, 2.0)) -> DataFrame:
+    """Rows under a calibrator fitted on ``fit``: none, temperature, class_bias or both in turn. The class
+    bias moves the mean posterior of the fitted rows to their label shares."""
+    out, known = df, fit
+    if "temperature" in mode:
+        t = best_temperature(known, label, grid).select("temperature")
+        apply = lambda d: d.join(F.broadcast(t)).withColumn("p", P.tempered(F.col("p"), F.col("temperature"))).drop("temperature")  # noqa: E731  one row
+        out, known = apply(out), apply(known)
+    if "class_bias" in mode:
+        hot = F.transform("p", lambda x, i: F.when(i == F.col(label), 1.0).otherwise(0.0))
+        share = _keyed_means(known, [], hot, "share").join(F.broadcast(_keyed_means(known, [], F.col("p"), "mean")))  # one row
+        bias = share.select(F.zip_with("share", "mean", lambda a, b: F.greatest(a, F.lit(1e-6)) / b).alias("_b"))
+        out = out.join(F.broadcast(bias)).withColumn("p", P.normalized(F.zip_with("p", "_b", lambda x, y: x * y))).drop("_b")  # one row
+    return out
+
+
+def confident(df: DataFrame, row: str, min_confidence: float = 0.0, min_margin: float = 0.0, max_entropy: float | None = None, per_class: int | None = None) -> DataFrame:
+    """``df`` with ``keep``: rows within all limits, and the best ``per_class`` of each predicted class."""
+    p = F.col("p")
+    ok = (P.confidence(p) >= min_confidence) & (P.margin(p) >= min_margin)
+    if max_entropy is not None:
+        ok = ok & (P.entropy(p, True) <= max_entropy)
+    out = df.withColumn("keep", ok)
+    if per_class is not None:
+        w = Window.partitionBy(P.predicted_index(p), "keep").orderBy(P.confidence(p).desc(), row)
+        out = out.withColumn("keep", F.col("keep") & (F.row_number().over(w) <= per_class))
+    return out
+
+
+def ensemble(cube: DataFrame, mode: str = "log", weights: Sequence[float] | None = None, temperatures: Sequence[float] | None = None) -> DataFrame:
+    """One ``p`` from the aligned ``cube`` (array of (name, p) in order of name): weighted means of log
+    scores, of probabilities, of probabilities weighted by confidence, or of ranks."""
+    def member(i: int, p: Column) -> Column:
+        return P.tempered(p, temperatures[i]) if temperatures else p
+
+    n = len(weights) if weights else len(temperatures) if temperatures else None
+    size = n or cube.select(F.size("cube").alias("n")).first()["n"]
+    w = weights or [1.0] * size
+    ps = [member(i, F.col("cube")[i]["p"]) for i in range(size)]
+    if mode == "log":
+        parts = [F.transform(p, lambda x: F.log(F.greatest(x, F.lit(P.EPS)))) for p in ps]
+    elif mode == "probability":
+        parts = ps
+    elif mode == "confidence_probability":
+        parts = [F.transform(p, lambda x: x * P.confidence(p)) for p in ps]
+    elif mode == "rank":
+        parts = [F.transform(p, lambda x: F.size(F.filter(p, lambda y: y <= x)).cast("double")) for p in ps]
+    else:
+        raise ValueError(f"no such ensemble: {mode}")
+    out = None
+    for part, x in zip(parts, w, strict=True):
+        scaled = _scaled(part, x / sum(w))
+        out = scaled if out is None else F.zip_with(out, scaled, lambda a, b: a + b)
+    return cube.withColumn("p", P.softmax(out) if mode == "log" else P.normalized(out))
+
+
+def _scaled(a: Column, w: float) -> Column:
+    return F.transform(a, lambda x: x * F.lit(w))
+
+
+def stacking_weights(cube: DataFrame, label: str, n: int, steps: int = 20, rate: float = 0.5) -> list[float]:
+    """Simplex weights of a linear pool by exponentiated gradient on the log loss: one aggregation a step,
+    of as many numbers as candidates."""
+    from chronoprob.sources.observations import cut
+
+    rows = cut(cube.select(F.array(*[P.true_probability(F.col("cube")[i]["p"], F.col(label)) for i in range(n)]).alias("q")), "stacking")
+    w = [1.0 / n] * n
+    for _ in range(steps):
+        pooled = sum((F.get("q", F.lit(i)) * w[i] for i in range(1, n)), F.get("q", F.lit(0)) * w[0])
+        g = rows.agg(*[F.avg(F.get("q", F.lit(i)) / F.greatest(pooled, F.lit(P.EPS))).alias(f"g{i}") for i in range(n)]).first()
+        raw = [w[i] * 2.718281828459045 ** (rate * g[i]) for i in range(n)]
+        w = [x / sum(raw) for x in raw]
+    return w
+
+
+def response_windows(df: DataFrame, sequence: Sequence[str], times: Sequence[float]) -> DataFrame:
+    """One row for each sequence: the mean ``p`` of the rows nearest to the requested times."""
+    rows = df.withColumn("wanted", F.explode(F.array(*[F.lit(float(t)) for t in times])))
+    near = rows.groupBy(*sequence, "wanted").agg(F.min_by("p", F.struct(F.abs(F.col("time") - F.col("wanted")), F.col("time"))).alias("p"))
+    return _keyed_means(near, sequence, F.col("p"), "p")
+
+
+def consensus(df: DataFrame, variant: str, row: str) -> DataFrame:
+    """(row, p): mean over variants, weighted by a variant's mean confidence times the evenness of its mean
+    posterior."""
+    shape = df.groupBy(variant).agg(F.avg(P.confidence(F.col("p"))).alias("c")).join(_keyed_means(df, [variant], F.col("p"), "m"), variant)
+    weights = shape.select(variant, (F.col("c") * P.entropy(F.col("m"), True)).alias("w"))
+    long = df.join(F.broadcast(weights), variant).select(row, "w", F.posexplode("p").alias("k", "v"))  # one row for each variant
+    means = long.groupBy(row, "k").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
+    return means.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("p"))
+
+
+def prior_corrected(df: DataFrame, strength: float = 0.5, smoothing: float = 0.1, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows divided by their batch's mean posterior, smoothed to even shares, raised to ``strength``."""
+    mean = _keyed_means(df, keys, F.col("p"), "_m")
+    even = F.transform("_m", lambda x: (1 - smoothing) * x + smoothing / F.size("_m"))
+    return _with_keyed(df, mean, keys).withColumn("p", P.normalized(F.zip_with("p", even, lambda x, m: x / F.pow(m, F.lit(strength))))).drop("_m")
+
+
+def bundle_mean(df: DataFrame, keys: Sequence[str], seed: str, n: int) -> DataFrame:
+    """(keys, p, complete): mean over model seeds; complete where each of ``n`` distinct seeds has one row."""
+    counts = df.groupBy(*keys).agg(((F.count("*") == n) & (F.countDistinct(seed) == n)).alias("complete"))
+    return _keyed_means(df, keys, F.col("p"), "p").join(counts, list(keys))
+
+
+def best_candidates(scores: DataFrame, candidate: str, score: str, k: int) -> DataFrame:
+    w = Window.orderBy(F.col(score).desc(), candidate)
+    return scores.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def graph_smoothed(df: DataFrame, edges: DataFrame, row: str, alpha: float = 0.5, iterations: int = 3) -> DataFrame:
+    """p <- (1 - alpha) p0 + alpha * weighted mean of the neighbours' p; ``edges`` has src, dst and weight."""
+    from chronoprob.sources.observations import cut
+
+    start = df.select(F.col(row).alias("dst"), F.col("p").alias("p0"))
+    now = start.withColumnRenamed("p0", "p")
+    for _ in range(iterations):
+        long = edges.join(now, "dst").select("src", "weight", F.posexplode("p").alias("k", "v"))
+        mean = long.groupBy("src", "k").agg((F.sum(F.col("weight") * F.col("v")) / F.sum("weight")).alias("v"))
+        near = mean.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("m"))
+        step = start.join(near.withColumnRenamed("src", "dst"), "dst", "left")
+        mixed = F.when(F.col("m").isNull(), F.col("p0")).otherwise(F.zip_with("p0", "m", lambda a, b: (1 - alpha) * a + alpha * b))
+        now = cut(step.select("dst", mixed.alias("p")), "smoothing")
+    return df.drop("p").join(now.withColumnRenamed("dst", row), row)
