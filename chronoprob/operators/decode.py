@@ -160,9 +160,9 @@ def leave_one_domain_out(df: DataFrame, domain: str = "domain") -> DataFrame:
     the totals of all domains less its own, so no row is copied."""
     own = T.positions(df).groupBy(domain, "label", "pos").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
     domains = own.select(domain).distinct()
-    totals = own.groupBy("label", "pos").agg(F.sum("s").alias("S"), F.sum("n").alias("N"))
+    totals = own.groupBy("label", "pos").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
     grid = totals.join(F.broadcast(domains))  # sums of classes by each domain
-    rest = grid.join(own, [domain, "label", "pos"], "left").select(domain, "label", "pos", (F.col("S") - F.coalesce("s", F.lit(0.0))).alias("s"), (F.col("N") - F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
+    rest = grid.join(own, [domain, "label", "pos"], "left").select(domain, "label", "pos", (F.col("all_s") - F.coalesce("s", F.lit(0.0))).alias("s"), (F.col("all_n") - F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
     means = T.arrays(rest.withColumn("mean", F.col("s") / F.col("n")), ["mean"], [domain, "label"])
     both = df.join(F.broadcast(_models(means, [domain])), domain)
     return decided(both.withColumn("p", P.softmax(F.transform("means", lambda m: -squared_distance(F.col("x"), m)))), [domain, "label"]).drop("p")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,8 +175,6 @@ def association(df: DataFrame, metric: str, reaction: str, participant: str, at_
 def student_p(t: Column, df: Column) -> Column:
     """Two-sided p of Student's t as the regularized incomplete beta, by a continued fraction in a small
     Arrow function: for tables of statistics, one row for each test."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def tail(ts: pd.Series, dfs: pd.Series) -> pd.Series:
         return pd.Series([_student_two_sided(a, b) for a, b in zip(ts, dfs, strict=True)])

@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 #: Modules that register queries.
-MODULES: tuple[str, ...] = ("tables", "metrics", "joins", "runs", "features", "adaptation")
+MODULES: tuple[str, ...] = ("tables", "metrics", "joins", "runs", "features", "adaptation", "decoding", "inference", "streams")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
