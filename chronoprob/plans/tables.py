@@ -399,3 +399,12 @@ def h11(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy("user_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n"))))).alias("support"))
 
 
+
+
+@query("f4_top_domains", f"WITH {FEAT_SQL}, m AS (SELECT domain, {', '.join(f'avg(x{i}) AS m{i}' for i in range(8))} FROM feat GROUP BY 1), s AS (SELECT a.domain, -sqrt({' + '.join(f'power(a.m{i} - t.m{i}, 2)' for i in range(8))}) AS score FROM m a, m t WHERE t.domain = 0 AND a.domain <> 0) SELECT domain, round(score, 9) AS score, CAST(row_number() OVER (ORDER BY score DESC, domain) AS INTEGER) AS place FROM s ORDER BY score DESC, domain LIMIT 2")
+def f4(spark: SparkSession, sf: str) -> DataFrame:
+    from chronoprob.operators.adapt import best_candidates
+    from chronoprob.operators.augment import domain_similarity
+
+    best = best_candidates(domain_similarity(feat(spark, sf)), "domain", "score", 2)
+    return best.select("domain", F.round("score", 9).alias("score"), "place")
