@@ -28,11 +28,16 @@ from pyspark.sql import functions as F
 from .common import cut, words
 
 
+#: Stands at the end of both dictionaries and before every window: one cheap match that keeps a window from
+#: being stored as it is, where a difference would not show.
+LEAD = bytes(range(33, 97))
+
+
 @dataclass(frozen=True)
 class Distance:
     window: int = 12
     level: int = 9
-    #: Bytes of the ordinary dictionary, and of the toxic addition.
+    #: Bytes of the ordinary dictionary, and of the toxic addition; words by themselves where they are few.
     ordinary_bytes: int = 4096
     toxic_bytes: int = 512
     #: A word is toxic text's own if in so many documents, and so many times the ordinary rate.
@@ -77,10 +82,13 @@ def _common_part(usual: list[tuple[str, int]], how: Distance) -> bytes:
 
     samples = [_padded(w) for w, n in usual for _ in range(n)]
     random.Random(5).shuffle(samples)
+    words_alone = b"".join(_padded(w) for w, _ in reversed(usual))[-how.ordinary_bytes :]
     try:
-        return zstandard.train_dictionary(how.ordinary_bytes, samples, k=16, d=6, steps=1).as_bytes()[-how.ordinary_bytes :]
-    except zstandard.ZstdError:  # too few words to train on: the words themselves
-        return b"".join(_padded(w) for w, _ in reversed(usual))[-how.ordinary_bytes :]
+        trained = zstandard.train_dictionary(how.ordinary_bytes, samples, k=16, d=6, steps=1).as_bytes()[-how.ordinary_bytes :]
+    except zstandard.ZstdError:
+        trained = b""
+    # with too few words to train on, the words themselves
+    return (trained if len(trained) >= min(how.ordinary_bytes, len(words_alone)) // 2 else words_alone) + LEAD
 
 
 class Gauge:
@@ -94,7 +102,7 @@ class Gauge:
 
     def differences(self, text: str) -> list[int]:
         w, n = text.split(), self.window
-        parts = [" ".join(w[i : i + n]).encode("utf-8", "surrogatepass") for i in range(0, len(w), n)]
+        parts = [LEAD + _padded(" ".join(w[i : i + n])) for i in range(0, len(w), n)]
         return [len(self.ordinary(p)) - len(self.toxic(p)) for p in parts]
 
 
