@@ -251,17 +251,22 @@ def prototype_distances(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def trial_covariances(trials: DataFrame, key: Sequence[str], shrinkage: float = 0.1, log: bool = True) -> DataFrame:
-    """Vector of the (log-Euclidean) channel covariance of each trial. ``trials`` has channel and samples."""
-    types = dict(trials.dtypes)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf.sort_values("channel")["samples"].to_list())
-        x = x - x.mean(axis=1, keepdims=True)
-        c = x @ x.T / max(1, x.shape[1] - 1)
-        c = (1 - shrinkage) * c + shrinkage * np.trace(c) / len(c) * np.eye(len(c))
-        return pd.DataFrame([(*pdf.iloc[0][list(key)].tolist(), vech(logm(c) if log else c).tolist())], columns=[*key, "x"])
-
-    return trials.groupBy(*key).applyInPandas(one, ", ".join(f"{k} {types[k]}" for k in key) + ", x array<double>")
+    """Vector of the (log-Euclidean) channel covariance of each trial. ``trials`` has channel and samples;
+    a trial's channels come together as one row, and rows go through numpy in Arrow batches."""
+    @F.pandas_udf("array<double>")
+    def covariance(flat: pd.Series, channels: pd.Series) -> pd.Series:
+        out = []
+        for values, n in zip(flat, channels):
+            x = np.asarray(values, dtype=np.float64).reshape(int(n), -1)
+            x = x - x.mean(axis=1, keepdims=True)
+            c = x @ x.T / max(1, x.shape[1] - 1)
+            c = (1 - shrinkage) * c + shrinkage * np.trace(c) / len(c) * np.eye(len(c))
+            out.append(vech(logm(c) if log else c).tolist())
+        return pd.Series(out, dtype=object)
+
+    rows = trials.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("channel", "samples"))).alias("_c"))
+    flat = F.flatten(F.transform("_c", lambda c: c["samples"]))
+    return rows.select(*key, covariance(flat, F.size("_c")).alias("x"))
 
 
 def recentred(df: DataFrame, domain: str = "domain") -> DataFrame:

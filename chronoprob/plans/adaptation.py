@@ -10,7 +10,7 @@ from chronoprob.operators import adapt as D
 from chronoprob.operators import joins as J
 from chronoprob.operators import states as H
 
-from .fixtures import BOTH_SQL, FEAT_SQL, OBS_SQL, both, feat, obs
+from .fixtures import BOTH_SQL, FEAT_SQL, N_FEATURES, OBS_SQL, both, feat, obs
 from .metrics import NLL, rounded
 from .registry import query
 from .tables import PS
@@ -134,7 +134,7 @@ def l11(spark: SparkSession, sf: str) -> DataFrame:
     return entries(D.response_windows(obs(spark, sf), ["stream_id"], [500000.0, 1500000.0]), "stream_id")
 
 
-@query("l12_domain_ensemble", f"WITH {FEAT_SQL}, cm AS (SELECT domain, label, {', '.join(f'avg(x{i}) AS m{i}' for i in range(8))} FROM feat WHERE role = 'source' GROUP BY 1, 2), s AS (SELECT t.row_id, cm.domain, cm.label, exp(-({' + '.join(f'(t.x{i} - m{i}) * (t.x{i} - m{i})' for i in range(8))})) AS e FROM feat t, cm WHERE t.role = 'target'), p AS (SELECT row_id, domain, label, e / sum(e) OVER (PARTITION BY row_id, domain) AS p FROM s), a AS (SELECT row_id, label, avg(p) AS p FROM p GROUP BY 1, 2) SELECT row_id, round(max(CASE WHEN label = 0 THEN p END), 9) AS q0, round(max(CASE WHEN label = 4 THEN p END), 9) AS q4 FROM a GROUP BY 1")
+@query("l12_domain_ensemble", f"WITH {FEAT_SQL}, cm AS (SELECT domain, label, {', '.join(f'avg(x{i}) AS m{i}' for i in range(N_FEATURES))} FROM feat WHERE role = 'source' GROUP BY 1, 2), s AS (SELECT t.row_id, cm.domain, cm.label, exp(-({' + '.join(f'(t.x{i} - m{i}) * (t.x{i} - m{i})' for i in range(N_FEATURES))})) AS e FROM feat t, cm WHERE t.role = 'target'), p AS (SELECT row_id, domain, label, e / sum(e) OVER (PARTITION BY row_id, domain) AS p FROM s), a AS (SELECT row_id, label, avg(p) AS p FROM p GROUP BY 1, 2) SELECT row_id, round(max(CASE WHEN label = 0 THEN p END), 9) AS q0, round(max(CASE WHEN label = 4 THEN p END), 9) AS q4 FROM a GROUP BY 1")
 def l12(spark: SparkSession, sf: str) -> DataFrame:
     """One centroid model for each source domain, averaged over the domains."""
     from chronoprob.functions.vectors import squared_distance

@@ -9,17 +9,17 @@ from chronoprob.functions import probability as P
 from chronoprob.operators import decode as C
 from chronoprob.operators import features as T
 
-from .fixtures import FEAT_SQL, OBS_SQL, feat, obs, table
+from .fixtures import FEAT_SQL, N_FEATURES, OBS_SQL, feat, obs, table
 from .metrics import NLL, rounded
 from .registry import query
 
-D8 = range(8)
+D8 = range(N_FEATURES)
 
 
-def long_feat(spark: SparkSession, sf: str, n: int = 32) -> DataFrame:
-    """Feature rows with more entries, for windows."""
+def long_feat(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature rows whose windows are taken."""
     e = table(spark, sf, "embeddings")
-    return e.select(F.col("vec_id").alias("row_id"), F.transform(F.slice("embedding", 1, n), lambda v: v.cast("double")).alias("x"), F.col("label").cast("int").alias("label"), (F.col("vec_id") % 4).cast("int").alias("domain"))
+    return e.select(F.col("vec_id").alias("row_id"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.col("label").cast("int").alias("label"), (F.col("vec_id") % 4).cast("int").alias("domain"))
 
 
 def halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 CLASSES = ("click", "error", "purchase", "signup", "view")
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01
+#: Components of the feature rows: whole embedding vectors.
+N_FEATURES = 64
 #: Seconds: baseline is before, effect after.
 BASELINE = (0.0, 864_000.0)
 EFFECT = (864_000.0, 10_000_000.0)
@@ -43,7 +45,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature rows: domain 0 is the held-out target."""
     e = table(spark, sf_dir, "embeddings")
-    x = F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double"))
+    x = F.transform("embedding", lambda v: v.cast("double"))
     return e.select(F.col("vec_id").alias("row_id"), x.alias("x"), F.col("label").cast("int").alias("label"), (F.col("vec_id") % 4).cast("int").alias("domain"), F.when(F.col("vec_id") % 4 == 0, "target").otherwise("source").alias("role"))
 
 
@@ -66,5 +68,5 @@ OBS_SQL = f"{EV_SQL},\n{_obs_sql('obs', 3, 'a')}"
 BOTH_SQL = f"{OBS_SQL},\n{_obs_sql('obs_b', 5, 'b')},\nboth_obs AS (SELECT * FROM obs UNION ALL SELECT * FROM obs_b)"
 #: Long rows (row_id, pos, v, label, domain, role) of the feature table.
 FEAT_SQL = """feat AS (SELECT vec_id AS row_id, CAST(label AS INTEGER) AS label, CAST(vec_id % 4 AS INTEGER) AS domain, CASE WHEN vec_id % 4 = 0 THEN 'target' ELSE 'source' END AS role,
-  """ + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(8)) + """ FROM embeddings),
-longf AS (""" + " UNION ALL ".join(f"SELECT row_id, label, domain, role, {i} AS pos, x{i} AS v FROM feat" for i in range(8)) + ")"
+  """ + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(N_FEATURES)) + """ FROM embeddings),
+longf AS (""" + " UNION ALL ".join(f"SELECT row_id, label, domain, role, {i} AS pos, x{i} AS v FROM feat" for i in range(N_FEATURES)) + ")"

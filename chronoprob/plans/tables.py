@@ -11,7 +11,7 @@ from chronoprob.operators import labels as L
 from chronoprob.operators import schema as S
 from chronoprob.sources import observations as O
 
-from .fixtures import BOTH_SQL, CLASSES, EV_SQL, FEAT_SQL, OBS_SQL, both, feat, obs, table
+from .fixtures import BOTH_SQL, CLASSES, EV_SQL, FEAT_SQL, N_FEATURES, OBS_SQL, both, feat, obs, table
 from .registry import query
 
 PS = [f"p{k}" for k in range(5)]
@@ -159,12 +159,12 @@ def a17(spark: SparkSession, sf: str) -> DataFrame:
     return aligned_features(f.select((F.col("row_id") * 2).alias("row_id")), f.select("row_id", "x"), "row_id").select("row_id", "found", F.round(F.get("x", F.lit(0)), 6).alias("x0"))
 
 
-GRID_SQL = """t AS (SELECT o_orderkey AS trial_id, 0.0 AS t0, 2.0 + (o_orderkey % 7) * 0.25 AS t1 FROM orders WHERE o_orderkey % 10 = 1),
+GRID_SQL = """t AS (SELECT o_orderkey AS trial_id, 0.0 AS t0, 2.0 + (o_orderkey % 7) * 0.25 AS t1 FROM orders),
 g AS (SELECT trial_id, CAST(i AS INTEGER) AS window_index, i * 0.25 AS window_start, i * 0.25 + 0.5 AS window_stop FROM t, unnest(range(0, CAST(floor((t1 - t0 - 0.5) / 0.25 + 1e-9) AS BIGINT) + 1)) u(i))"""
 
 
 def _grid(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "orders").where("o_orderkey % 10 = 1").select(F.col("o_orderkey").alias("trial_id"), F.lit(0.0).alias("t0"), (2.0 + (F.col("o_orderkey") % 7) * 0.25).alias("t1"))
+    t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("trial_id"), F.lit(0.0).alias("t0"), (2.0 + (F.col("o_orderkey") % 7) * 0.25).alias("t1"))
     return O.window_grid(t, "t0", "t1", 0.5, 0.25)
 
 
@@ -316,12 +316,12 @@ def g3(spark: SparkSession, sf: str) -> DataFrame:
     return S.duplicate_keys(table(spark, sf, "events"), ["user_id", "event_type"])
 
 
-X = [f"x{i}" for i in range(8)]
+X = [f"x{i}" for i in range(N_FEATURES)]
 ABS = ", ".join(f"abs({x})" for x in X)
 SUMX = "(" + " + ".join(X) + ")"
 
 
-@query("h1_row_norms", f"WITH {FEAT_SQL} SELECT row_id, round(x0 / greatest({' + '.join(f'abs({x})' for x in X)}, 1e-12), 9) AS l1, round(x0 / greatest(sqrt({' + '.join(f'{x} * {x}' for x in X)}), 1e-12), 9) AS l2, round(x0 / greatest(greatest({ABS}), 1e-12), 9) AS linf, round((x0 - {SUMX} / 8) / greatest(sqrt({' + '.join(f'({x} - {SUMX} / 8) * ({x} - {SUMX} / 8)' for x in X)}), 1e-12), 9) AS centered FROM feat")
+@query("h1_row_norms", f"WITH {FEAT_SQL} SELECT row_id, round(x0 / greatest({' + '.join(f'abs({x})' for x in X)}, 1e-12), 9) AS l1, round(x0 / greatest(sqrt({' + '.join(f'{x} * {x}' for x in X)}), 1e-12), 9) AS l2, round(x0 / greatest(greatest({ABS}), 1e-12), 9) AS linf, round((x0 - {SUMX} / {N_FEATURES}) / greatest(sqrt({' + '.join(f'({x} - {SUMX} / {N_FEATURES}) * ({x} - {SUMX} / {N_FEATURES})' for x in X)}), 1e-12), 9) AS centered FROM feat")
 def h1(spark: SparkSession, sf: str) -> DataFrame:
     x = F.col("x")
     first = lambda a: F.round(F.get(a, F.lit(0)), 9)
@@ -335,7 +335,7 @@ def h2(spark: SparkSession, sf: str) -> DataFrame:
     return feat(spark, sf).select("row_id", at(V.signed_log(x, 0.5)).alias("signed_log"), at(V.signed_power(x, 0.5)).alias("signed_sqrt"), at(F.transform(x, lambda v: F.abs(v))).alias("absolute"))
 
 
-@query("h3_polynomial", f"WITH {FEAT_SQL} SELECT row_id, 21 AS n, round(1 + {SUMX} + {' + '.join(f'{x} * {x}' for x in X)} + x0 * (x1 + x2 + x3 + x4), 9) AS total FROM feat")
+@query("h3_polynomial", f"WITH {FEAT_SQL} SELECT row_id, {5 + 2 * N_FEATURES} AS n, round(1 + {SUMX} + {' + '.join(f'{x} * {x}' for x in X)} + x0 * (x1 + x2 + x3 + x4), 9) AS total FROM feat")
 def h3(spark: SparkSession, sf: str) -> DataFrame:
     p = V.polynomial(F.col("x"), bias=True)
     return feat(spark, sf).select("row_id", F.size(p).alias("n"), F.round(P.total(p), 9).alias("total"))
@@ -373,7 +373,7 @@ def h7(spark: SparkSession, sf: str) -> DataFrame:
     return obs(spark, sf).select("event_id", F.round(F.get(q, F.lit(0)), 9).alias("q0"), F.round(F.get(q, F.lit(2)), 9).alias("q2"))
 
 
-@query("h8_roll_mask", f"WITH {FEAT_SQL} SELECT row_id, round(x6, 9) AS wrapped0, round(x7, 9) AS wrapped1, 0.0 AS filled1, round(x0, 9) AS filled2, round(x0 + x2 + x4 + x6, 9) AS masked FROM feat")
+@query("h8_roll_mask", f"WITH {FEAT_SQL} SELECT row_id, round(x{N_FEATURES - 2}, 9) AS wrapped0, round(x{N_FEATURES - 1}, 9) AS wrapped1, 0.0 AS filled1, round(x0, 9) AS filled2, round({' + '.join(X[::2])}, 9) AS masked FROM feat")
 def h8(spark: SparkSession, sf: str) -> DataFrame:
     x = F.col("x")
     at = lambda a, i: F.round(F.get(a, F.lit(i)), 9)
@@ -401,7 +401,7 @@ def h11(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
-@query("f4_top_domains", f"WITH {FEAT_SQL}, m AS (SELECT domain, {', '.join(f'avg(x{i}) AS m{i}' for i in range(8))} FROM feat GROUP BY 1), s AS (SELECT a.domain, -sqrt({' + '.join(f'power(a.m{i} - t.m{i}, 2)' for i in range(8))}) AS score FROM m a, m t WHERE t.domain = 0 AND a.domain <> 0) SELECT domain, round(score, 9) AS score, CAST(row_number() OVER (ORDER BY score DESC, domain) AS INTEGER) AS place FROM s ORDER BY score DESC, domain LIMIT 2")
+@query("f4_top_domains", f"WITH {FEAT_SQL}, m AS (SELECT domain, {', '.join(f'avg(x{i}) AS m{i}' for i in range(N_FEATURES))} FROM feat GROUP BY 1), s AS (SELECT a.domain, -sqrt({' + '.join(f'power(a.m{i} - t.m{i}, 2)' for i in range(N_FEATURES))}) AS score FROM m a, m t WHERE t.domain = 0 AND a.domain <> 0) SELECT domain, round(score, 9) AS score, CAST(row_number() OVER (ORDER BY score DESC, domain) AS INTEGER) AS place FROM s ORDER BY score DESC, domain LIMIT 2")
 def f4(spark: SparkSession, sf: str) -> DataFrame:
     from chronoprob.operators.adapt import best_candidates
     from chronoprob.operators.augment import domain_similarity
