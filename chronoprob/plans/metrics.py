@@ -232,7 +232,7 @@ def d29(spark: SparkSession, sf: str) -> DataFrame:
 RT_SQL = "rt AS (SELECT CAST(o_custkey AS VARCHAR) AS participant, o_totalprice / 1000 AS y, CAST(o_orderkey % 97 AS DOUBLE) AS x FROM orders)"
 
 
-@query("d30_reaction_association", f"WITH {RT_SQL}, c AS (SELECT 'pooled' AS participant, y - avg(y) OVER (PARTITION BY participant) AS y, x - avg(x) OVER (PARTITION BY participant) AS x FROM rt), u AS (SELECT * FROM rt UNION ALL SELECT * FROM c), s AS (SELECT participant, count(*) AS n, covar_pop(x, y) AS c, stddev_pop(x) AS sx, stddev_pop(y) AS sy, var_pop(x) AS vx, avg(x) AS mx, avg(y) AS my FROM u GROUP BY 1) SELECT participant, n, round(CASE WHEN n >= 3 AND sx > 0 AND sy > 0 THEN c / (sx * sy) END, 5) AS r, round(CASE WHEN n >= 3 AND sx > 0 AND sy > 0 THEN c / vx END, 4) AS slope, round(CASE WHEN n >= 3 AND sx > 0 AND sy > 0 THEN my - c / vx * mx END, 3) AS intercept FROM s")
+@query("d30_reaction_association", f"WITH {RT_SQL}, c AS (SELECT 'pooled' AS participant, y - avg(y) OVER (PARTITION BY participant) AS y, x - avg(x) OVER (PARTITION BY participant) AS x FROM rt), u AS (SELECT * FROM rt UNION ALL SELECT * FROM c), s AS (SELECT participant, count(*) AS n, covar_pop(x, y) AS c, stddev_pop(x) AS sx, stddev_pop(y) AS sy, var_pop(x) AS vx, avg(x) AS mx, avg(y) AS my FROM u GROUP BY 1) SELECT participant, n, round(CASE WHEN n >= 3 AND sx > 0 AND sy > 0 THEN c / (sx * sy) END, 5) AS r, round(CASE WHEN n >= 3 AND sx > 0 AND sy > 0 THEN c / vx END, 4) AS slope, round(CASE WHEN n >= 3 AND sx > 0 AND sy > 0 THEN my - c / vx * mx END, 3) + 0.0 AS intercept FROM s")
 def d30(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("participant"), (F.col("o_totalprice") / 1000).alias("y"), (F.col("o_orderkey") % 97).cast("double").alias("x"))
     a = rounded(M.association(o, "y", "x", "participant"), 5, slope=4, intercept=3)
