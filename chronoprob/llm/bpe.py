@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces remembered by a Python worker; beyond it the memory starts anew.
-REMEMBERED = 400_000
+#: Pieces remembered within a task; beyond it the memory starts anew.
+REMEMBERED = 200_000
 #: New pieces that go to the library as one text.
 AT_ONCE = 16_384
 #: Characters of text that are cut into pieces at a time.
@@ -199,6 +199,7 @@ def encode(docs: DataFrame, text: str = "text", to: str = "ids", ranks_path: str
         tool = codec(path, split)
         for batch in batches:
             yield pd.Series(tool.encode_batch(batch.fillna("").tolist()), dtype=object)
+        tool.inner.clear()
 
     return docs.withColumn(to, ids_of(F.col(text)))
 
@@ -244,5 +245,6 @@ def digest(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
         for batch in batches:
             rows = [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(tool.decode(ids)).hexdigest()) for ids in tool.encoded(batch.fillna("").tolist())]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        tool.inner.clear()
 
     return docs.select("doc_id", hashed("text").alias("h")).select("doc_id", "h.*")

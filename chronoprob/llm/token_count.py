@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
-#: Words remembered by a Python worker; beyond it the memory starts anew.
-REMEMBERED = 500_000
+#: Words remembered within a task; beyond it the memory starts anew.
+REMEMBERED = 200_000
 
 _counters: dict[str, "Counter"] = {}
 
@@ -141,5 +141,6 @@ def count_tokens(docs: DataFrame, text: str = "text", to: str = "n_tokens", voca
         tool = counter(path)
         for batch in batches:
             yield pd.Series([tool.text(x or "") for x in batch], dtype="int64")
+        tool.known.clear()
 
     return docs.withColumn(to, tokens(F.col(text)))
