@@ -10,7 +10,7 @@ and length of its payload, but not the payload.
 
 Tasks write bundles into a shared folder under names of their own attempt, and Spark commits the index
 with the names of the bundles that count; files of lost or repeated attempts are in no index and are not
-read. Reading back goes through Spark's binary file source.
+read. Reading back opens the bundles that the index names, in tasks, by ranges of bytes.
 
 Defined cases: a null html is an empty payload; a null url is left out; line breaks in a url are escaped;
 a null page id takes no part in choosing the response but its record is written and, if its payload has a
@@ -118,29 +118,25 @@ class Bundle:
         return self.out.getvalue() + struct.pack("<II", SKIPPABLE, len(table)) + table
 
 
-def frames_of(bundle: bytes) -> list[tuple[int, int, int]]:
-    """(offset, packed size, size) of each frame, from the seek table."""
-    count, _, magic = struct.unpack("<IBI", bundle[-9:])
-    if magic != SEEKABLE:
-        raise ValueError("no seek table")
+def frame_places(table: bytes) -> list[tuple[int, int, int]]:
+    """(offset, packed size, size) of each frame, from the entries of the seek table."""
     at, out = 0, []
-    for packed, size in struct.iter_unpack("<II", bundle[-9 - 8 * count : -9]):
+    for packed, size in struct.iter_unpack("<II", table):
         out.append((at, packed, size))
         at += packed
     return out
 
 
-def read_frame(bundle: bytes, offset: int, packed: int, size: int) -> bytes:
-    import zstandard
+def _system(folder: str):
+    """Arrow's file system for a folder of any kind of store, and the folder's path in it."""
+    from pyarrow import fs
 
-    return zstandard.ZstdDecompressor().decompress(bundle[offset : offset + packed], max_output_size=size)
+    return fs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
 
 
 def _store(folder: str, name: str, data: bytes) -> str:
     """Write a file under a name that only this attempt has, whole or not at all."""
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    system, path = _system(folder)
     system.create_dir(path, recursive=True)
     with system.open_output_stream(f"{path}/{name}.part", compression=None) as f:
         f.write(data)
@@ -148,12 +144,35 @@ def _store(folder: str, name: str, data: bytes) -> str:
     return name
 
 
+class Opened:
+    """A bundle in the store, read piece by piece: the seek table first, then single frames."""
+
+    def __init__(self, folder: str, name: str):
+        system, path = _system(folder)
+        self.file = system.open_input_file(f"{path}/{name}")
+        size = self.file.size()
+        count, _, magic = struct.unpack("<IBI", self.file.read_at(9, size - 9))
+        if magic != SEEKABLE:
+            raise ValueError(f"no seek table in {name}")
+        self.frames = frame_places(self.file.read_at(8 * count, size - 9 - 8 * count))
+
+    def frame(self, number: int) -> bytes:
+        import zstandard
+
+        offset, packed, size = self.frames[number]
+        return zstandard.ZstdDecompressor().decompress(self.file.read_at(packed, offset), max_output_size=size)
+
+    def close(self) -> None:
+        self.file.close()
+
+
 def write_archives(pages: DataFrame, folder: str | None = None, layout: Layout = Layout()) -> tuple[str, DataFrame]:
     """Write a record for each row; returns the folder and the committed index (see ``INDEX``)."""
     folder = folder or scratch(pages.sparkSession, "warc")
     kinds = record_types(pages, layout).withColumnRenamed("page_id", "_page_id")
     rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("_digest"))
-    joined = rows.join(kinds, F.col("page_id").eqNullSafe(F.col("_page_id")) & (F.col("_digest") == F.col("digest")))
+    # neither side has a size bound: one plan for every size, with pages dealt by id
+    joined = rows.hint("merge").join(kinds, F.col("page_id").eqNullSafe(F.col("_page_id")) & (F.col("_digest") == F.col("digest")))
 
     def bundles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bundle, written = Bundle(layout), 0
@@ -181,20 +200,16 @@ def write_archives(pages: DataFrame, folder: str | None = None, layout: Layout =
 
 def read_archives(folder: str, index: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url, intact: read from the bundles
-    that ``index`` names; a response is intact if its payload has the digest and length of its head."""
-    spark = index.sparkSession
-    names = index.select("bundle").distinct()
-    if names.isEmpty():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, intact boolean")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content")
-    frames = files.join(names, "bundle", "left_semi").select("content")
+    that ``index`` names, a frame at a time; a response is intact if its payload has the digest and length
+    of its head. Only names of bundles are shuffled; a task opens the bundles that it is dealt."""
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = lambda urn: None if urn is None or urn == _urn(None) else urn[len("<urn:page:") : -1]
         for pdf in batches:
-            for content in pdf["content"]:
-                for frame in frames_of(content):
-                    data, at, found = read_frame(content, *frame), 0, []
+            for name in pdf["bundle"]:
+                bundle = Opened(folder, name)
+                for i in range(len(bundle.frames)):
+                    data, at, found = bundle.frame(i), 0, []
                     while at < len(data):
                         head, payload, at = read_record(data, at)
                         digest = base64.b32decode(head["WARC-Payload-Digest"][5:]).hex()
@@ -204,28 +219,27 @@ def read_archives(folder: str, index: DataFrame) -> DataFrame:
                         url = url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
                         found.append((number(head["WARC-Record-ID"]), size, digest, kind, number(head.get("WARC-Refers-To")), url, intact))
                     yield pd.DataFrame(found, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact"])
+                bundle.close()
 
-    read = frames.mapInPandas(records, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, intact boolean")
+    names = index.groupBy("bundle").agg(F.count("*").alias("n"))
+    read = names.select("bundle").mapInPandas(records, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, intact boolean")
     return read.withColumn("page_id", F.col("page_id").cast("long")).withColumn("refers_to", F.col("refers_to").cast("long"))
 
 
 def fetch(folder: str, index: DataFrame, record_ids: DataFrame) -> DataFrame:
     """(record_id, record): single records by id, each from its own frame."""
     wanted = index.join(record_ids.select("record_id").distinct(), "record_id", "left_semi")
-    places = wanted.groupBy("bundle").agg(F.collect_list(F.struct("frame", "record_offset", "record_bytes", "record_id")).alias("places"))
-    files = index.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content")
+    places = wanted.groupBy("bundle", "frame").agg(F.collect_list(F.struct("record_offset", "record_bytes", "record_id")).alias("places"))  # a frame's records
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for content, places in zip(pdf["content"], pdf["places"], strict=True):
-                frames, opened, found = frames_of(content), {}, []
-                for p in places:
-                    f = p["frame"]
-                    data = opened.setdefault(f, read_frame(content, *frames[f]) if f not in opened else b"")
-                    found.append((p["record_id"], data[p["record_offset"] : p["record_offset"] + p["record_bytes"]]))
-                yield pd.DataFrame(found, columns=["record_id", "record"])
-
-    return files.join(places, "bundle").select("content", "places").mapInPandas(pick, "record_id string, record binary")
+            for name, frame, members in zip(pdf["bundle"], pdf["frame"], pdf["places"], strict=True):
+                bundle = Opened(folder, name)
+                data = bundle.frame(int(frame))
+                bundle.close()
+                yield pd.DataFrame([(m["record_id"], data[m["record_offset"] : m["record_offset"] + m["record_bytes"]]) for m in members], columns=["record_id", "record"])
+
+    return places.mapInPandas(pick, "record_id string, record binary")
 
 
 def round_trip(pages: DataFrame, layout: Layout = Layout()) -> DataFrame:
