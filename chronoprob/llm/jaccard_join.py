@@ -8,7 +8,7 @@ place, named after its token there, so that only sets that share the token meet
 are dropped, small ones are compared by brute force, larger ones are split further; a bucket that keeps
 most of its parent's sets, or has reached the last depth, is compared as it is, in blocks, so nothing is
 capped. Runs repeat, from other places, until the target recall: a pair at similarity s parts from all
-children of a node with probability (1 - s)^places.
+children of a node with probability (1 - s)^places: 0.2^6 at the roots of both runs for s = 0.8.
 
 Pairs whose embeddings are far apart are left out (at 64 hashes and the margin used, a pair at the
 threshold is left out once in some 10^5 cases); the others are verified exactly on their whole shingle
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut
 
-#: Words remembered by a Python worker; beyond it the memory starts anew.
-REMEMBERED = 500_000
+#: Words remembered within a task; beyond it the memory starts anew.
+REMEMBERED = 200_000
 _SEEDS = np.random.default_rng(20_240_229)
 _PLACES = _SEEDS.integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = _SEEDS.integers(0, 2**63, 256, dtype=np.uint64)
@@ -59,6 +59,8 @@ class Join:
     verify_from: float = 0.56
     runs: int = 2
     places: int = 3
+    #: Places drawn at nodes below the roots.
+    places_below: int = 2
     #: Buckets up to this size are compared by brute force.
     small: int = 64
     #: A child with more than this share of its parent's sets is not split further.
@@ -118,6 +120,7 @@ def fingerprints(docs: DataFrame, how: Join = Join()) -> DataFrame:
                 h = shingles(text or "", how.words)
                 rows.append((len(h), xxhash.xxh3_128_digest(h.tobytes()), sketch(h, how.hashes)) if len(h) else (0, None, None))
             yield pd.DataFrame(rows, columns=["n", "sid", "sk"])
+        _word_hashes.clear()
 
     return docs.select("doc_id", F.xxhash64("text").alias("mark"), printed("text").alias("p")).select("doc_id", "mark", "p.*")
 
@@ -140,7 +143,7 @@ def _buckets(sets: DataFrame, how: Join) -> DataFrame:
         rows = rows.where(~stop)
         if depth == how.depth or rows.isEmpty():
             break
-        places = [F.pmod(F.xxhash64("bucket", F.lit(j)), F.lit(how.hashes)) for j in range(how.places)]
+        places = [F.pmod(F.xxhash64("bucket", F.lit(j)), F.lit(how.hashes)) for j in range(how.places_below)]
         children = F.array_distinct(F.array(*[F.xxhash64("bucket", p, _token(p)) for p in places]))
         rows = rows.join(sets.select("sid", "sk"), "sid").select("sid", F.explode(children).alias("bucket"), F.col("size").alias("parent_size"))
     return done
@@ -192,7 +195,7 @@ def _near_pairs(g: dict[str, np.ndarray], how: Join) -> Iterator[tuple[int, int]
 def candidates(sets: DataFrame, how: Join = Join()) -> DataFrame:
     """(bucket, low, high, sid, n, partners): sets with the partners that are to be verified in a task."""
     members = _buckets(sets, how)
-    lists = members.groupBy("sid").agg(F.collect_list("bucket").alias("buckets"))  # at most runs * places ** depth
+    lists = members.groupBy("sid").agg(F.collect_list("bucket").alias("buckets"))  # at most runs * places * places_below ** (depth - 1)
     parts = F.ceil(F.col("size") / how.block).cast("int")
     rows = members.join(lists, "sid").join(sets.select("sid", "n", "sk"), "sid")
     rows = rows.withColumn("parts", F.when(F.col("size") <= how.block, 1).otherwise(parts)).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
@@ -281,7 +284,10 @@ def _elements(docs: DataFrame, ids: DataFrame, how: Join) -> DataFrame:
         for batch in batches:
             found = [shingles(x or "", how.words) for x in batch]
             yield pd.DataFrame({"sid": [xxhash.xxh3_128_digest(h.tobytes()) for h in found], "elements": [h.astype("<u8").tobytes() for h in found]})
+        _word_hashes.clear()
 
+    # else the optimizer would move the check that sid is not null, and with it this function, below the join
+    again = again.asNondeterministic()
     ids = ids.select(F.col("first_id").alias("_first"), F.col("first_mark").alias("_mark")).distinct()
     some = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.xxhash64("text") == F.col("_mark")), "left_semi")
     return some.select(again("text").alias("e")).select("e.*").dropDuplicates(["sid"])
