@@ -43,8 +43,8 @@ class Distance:
     #: A word is toxic text's own if in so many documents, and so many times the ordinary rate.
     support: int = 5
     ratio: float = 8.0
-    #: Labelled documents that are read for words, and for calibration, at most (about).
-    fit_rows: int = 40_000
+    #: Labelled documents that are read for words, and as many for calibration, at most (about).
+    fit_rows: int = 20_000
     #: Ordinary words that train the common dictionary, and the most that one of them counts.
     ordinary_words: int = 20_000
     weight: int = 50
@@ -147,12 +147,14 @@ def classify(docs: DataFrame, labels: DataFrame, how: Distance = Distance(), thr
     n_known = known.count()
     # a bounded share of the labelled documents, half of it for words and half for calibration
     share = F.pmod(F.xxhash64(F.lit("toxicity"), "_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 2 * how.fit_rows / max(1, n_known)))
-    learn = docs.where(~F.col("held_out")).join(known.where(share), F.col("doc_id") == F.col("_id")).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "_id"), F.lit(2)))
+    # two times fit_rows ids and marks, about a megabyte: texts need not be shuffled to find them
+    chosen = F.broadcast(known.where(share))
+    learn = docs.where(~F.col("held_out")).join(chosen, F.col("doc_id") == F.col("_id")).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "_id"), F.lit(2)))
     dictionaries = train_dictionaries(learn.where("half = 0").select("text", "toxic"), how)
     if dictionaries is None:
         return docs.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     measured = cut(gauge(docs, dictionaries, how).select("doc_id", "held_out", "gauge"), "toxicity-gauges")
-    judged = measured.where(~F.col("held_out")).join(known.where(share), F.col("doc_id") == F.col("_id")).where(F.pmod(F.xxhash64(F.lit("half"), "_id"), F.lit(2)) == 1)
+    judged = measured.where(~F.col("held_out")).join(chosen, F.col("doc_id") == F.col("_id")).where(F.pmod(F.xxhash64(F.lit("half"), "_id"), F.lit(2)) == 1)
     weights = calibrate(judged.select("gauge", "toxic")) or [0.0] * len(_features()) + [-50.0]
     line = F.lit(weights[-1])
     for w, f in zip(weights, _features()):
