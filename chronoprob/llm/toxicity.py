@@ -1,9 +1,9 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled documents. The ordinary one is trained on ordinary
-text. The toxic one is the same preceded by the words that toxic documents are rich in, most frequent
-last; the ordinary one has padding in their place, so that both hold the common part at equal distance and
-a window's two compressed lengths differ only by what toxic text adds. A document is cut into windows of
+Two zstandard dictionaries are trained on labelled documents, of which near copies count once. The ordinary
+one is trained on ordinary text. The toxic one is the same preceded by all words that toxic documents are
+rich in, the surest last; the ordinary one has padding in their place, so that both hold the common part at
+equal distance and a window's two compressed lengths differ only by what toxic text adds. A document is cut into windows of
 words; the differences of its windows (largest, two largest, mean) and the number of windows are turned
 into a probability by a logistic curve, which other labelled documents calibrate.
 
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, words
+from .jaccard_join import shingles, sketch
 
 
 #: Stands at the end of both dictionaries and before every window: one cheap match that keeps a window from
@@ -37,12 +38,15 @@ LEAD = bytes(range(33, 97))
 class Distance:
     window: int = 12
     level: int = 9
-    #: Bytes of the ordinary dictionary, and of the toxic addition; words by themselves where they are few.
+    #: Bytes of the ordinary dictionary; words by themselves where they are few.
     ordinary_bytes: int = 4096
-    toxic_bytes: int = 512
-    #: A word is toxic text's own if in so many documents, and so many times the ordinary rate.
+    #: A word is toxic text's own if in so many documents, and so many times the ordinary rate, and if its
+    #: log-odds less so many standard errors are above 0.
     support: int = 5
     ratio: float = 8.0
+    errors: float = 2.0
+    #: Texts that share this part of their minimum hashes are near copies.
+    alike: float = 0.7
     #: Labelled documents that are read for words, and as many for calibration, at most (about).
     fit_rows: int = 20_000
     #: Ordinary words that train the common dictionary, and the most that one of them counts.
@@ -58,18 +62,61 @@ def _padded(word: str) -> bytes:
     return f" {word} ".encode("utf-8", "surrogatepass")
 
 
+def one_per_class(learn: DataFrame, how: Distance = Distance()) -> DataFrame:
+    """(text, toxic): the first text of each class of near copies, toxic if any text of its class is.
+
+    The minimum hashes come to the driver: 256 bytes for each of at most about ``fit_rows`` texts."""
+    import numpy as np
+
+    @F.pandas_udf("binary")
+    def sketched(texts: pd.Series) -> pd.Series:
+        return pd.Series([sketch(h, 64) if len(h := shingles(t or "")) else b"" for t in texts], dtype=object)
+
+    texts = cut(learn.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("mark", F.xxhash64("text")), "toxicity-texts")
+    rows = texts.select("mark", "toxic", sketched("text").alias("sk")).orderBy("mark").collect()
+    hashes = [np.frombuffer(r.sk, dtype="<u4") for r in rows]
+    parent = list(range(len(rows)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    firsts: dict[tuple, int] = {}
+    for i, h in enumerate(hashes):
+        for at in range(0, len(h), 4):
+            j = firsts.setdefault((at, h[at : at + 4].tobytes()), i)
+            if top(i) != top(j) and (h == hashes[j]).mean() >= how.alike:
+                x, y = sorted((top(i), top(j)))
+                parent[y] = x
+    toxic: dict[int, int] = {}
+    for i, r in enumerate(rows):
+        toxic[top(i)] = max(toxic.get(top(i), 0), r.toxic)
+    kept = learn.sparkSession.createDataFrame([(rows[i].mark, t) for i, t in toxic.items()], "mark long, toxic int")
+    return texts.drop("toxic").join(F.broadcast(kept), "mark").select("text", "toxic")
+
+
+def rich_words(counts: DataFrame, n_toxic: int, n_ordinary: int, how: Distance = Distance()) -> list[str]:
+    """All words that are toxic text's own, by the lower bound of their log-odds."""
+    t, o = F.col("t") + 0.5, F.col("o") + 0.5
+    no_t, no_o = F.lit(n_toxic + 0.5) - F.col("t"), F.lit(n_ordinary + 0.5) - F.col("o")
+    rate = (t / (n_toxic + 1)) / (o / (n_ordinary + 1))
+    bound = F.log(t / no_t) - F.log(o / no_o) - how.errors * F.sqrt(1 / t + 1 / no_t + 1 / o + 1 / no_o)
+    own = counts.where((F.col("t") >= min(how.support, max(1, n_toxic // 4))) & (rate >= how.ratio)).withColumn("bound", bound)
+    return [r.word for r in own.where("bound > 0").orderBy(F.col("bound").desc(), "word").collect()]
+
+
 def train_dictionaries(learn: DataFrame, how: Distance = Distance()) -> tuple[bytes, bytes] | None:
     """(ordinary, toxic) dictionary contents from (text, toxic) rows; None where one kind is missing."""
+    learn = cut(one_per_class(learn, how), "toxicity-learn")
     sizes = {r.toxic: r.n for r in learn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_ordinary = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_ordinary:
         return None
     held = learn.select("toxic", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
     counts = cut(held.groupBy("word").agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("t"), F.count(F.when(F.col("toxic") == 0, 1)).alias("o")), "toxicity-words")
-    rate = ((F.col("t") + 0.5) / (n_toxic + 1)) / ((F.col("o") + 0.5) / (n_ordinary + 1))
-    own = counts.where((F.col("t") >= min(how.support, max(1, n_toxic // 4))) & (rate >= how.ratio))
-    rich = [r.word for r in own.orderBy(F.col("t").desc(), "word").limit(how.toxic_bytes).collect()]
-    toxic = b"".join(_padded(w) for w in reversed(rich))[-how.toxic_bytes :]
+    toxic = b"".join(_padded(w) for w in reversed(rich_words(counts, n_toxic, n_ordinary, how)))
     usual = counts.where("o > 0").orderBy(F.col("o").desc(), "word").limit(how.ordinary_words).collect()
     common = _common_part([(r.word, min(r.o, how.weight)) for r in usual], how)
     return b"\0" * len(toxic) + common, toxic + common

@@ -415,6 +415,22 @@ def test_toxicity_on_held_out_rows(spark, empty):
     assert {r["score"] for r in none} == {0.0}
 
 
+def test_copies_of_a_toxic_text_push_no_words_out(spark):
+    rng = random.Random(5)
+    slurs = [f"slur{k}" for k in range(10)]
+    toxic = [f"{sentences(rng, 30)} {rng.choice(slurs)} {rng.choice(slurs)} {sentences(rng, 30)}" for _ in range(150)]
+    copied = [f"plain{k}" for k in range(200)]
+    copies = [" ".join(copied)] * 150 + [" ".join([*copied[:k], "edit", *copied[k + 1 :]]) for k in range(150)]
+    texts = [(t, 1) for t in toxic + copies] + [(sentences(rng, 60), 0) for _ in range(600)]
+    # a window of each slur is shorter under the toxic dictionary, a window of the copied text is not
+    gauge = toxicity.Gauge(*toxicity.train_dictionaries(spark.createDataFrame(texts, "text string, toxic int")), toxicity.Distance())
+    lead = " ".join(sentences(rng, 5).split())
+    assert all(max(gauge.differences(f"{lead} {s} {lead}")) > 0 for s in slurs)
+    assert sum(d > 0 for d in gauge.differences(" ".join(copied))) <= 2
+    many = spark.createDataFrame([(f"own{k:05}", 50, 0) for k in range(300)], "word string, t long, o long")
+    assert len(toxicity.rich_words(many, 100, 1000)) == 300
+
+
 # pipeline
 
 
