@@ -3,13 +3,15 @@ r"""Information-theoretic sanitisation of personal data.
 Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. The corpus then
 says how strongly other words reveal them. A word ``t`` near an entity ``e`` reveals the part
 PMI(t; e) / IC(e) of e's information, where IC(e) = -log2 p(e) and PMI = log2 p(t, e) / (p(t) p(e)).
-p(t) counts documents; p(e) and p(t, e) count distinct contexts (the words around a mention), so that
-copies of one document are no evidence. A word that occurs in enough contexts of an entity is removed
-where it reveals ``remove`` of it or more, and generalised to the entity's kind from ``generalise`` on,
-wherever in the corpus it stands.
+p(t), p(e) and p(t, e) all count distinct texts, so that copies of one text are one piece of evidence. Where
+a word occurs in ``support`` distinct contexts (the words around a mention) of the entity, p(t, e) / p(t) is
+taken as counted; in fewer, as with values mentioned once or twice, its lower bound (Wilson's, ``errors``
+standard errors, the contexts as draws) stands for it. A word is removed where it reveals ``remove`` of an
+entity or more, and generalised to the entity's kind from ``generalise`` on, wherever in the corpus it stands.
 
 Work on texts is row by row in Arrow batches; counts are Spark aggregations. The words at risk are
-counted first; they go to the tasks in blocks of a fixed size, one pass over the corpus each.
+counted first; they and the hashes of texts that have copies go to the tasks in blocks of a fixed size, one
+pass over the corpus each.
 
 Base patterns, leftmost and non-overlapping for each kind, matches that fail their check dropped without
 another try: e-mail ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+``, ip
@@ -26,12 +28,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -56,11 +59,13 @@ Span = tuple[int, int, str]
 class Disclosure:
     #: Words on either side of a mention that make its context.
     window: int = 8
-    #: Distinct contexts of an entity in which a word must occur.
+    #: Distinct contexts of an entity from which a word's share is taken as counted; standard errors of the
+    #: bound that is taken with fewer.
     support: int = 3
+    errors: float = 2.58
     generalise: float = 0.75
     remove: float = 0.9
-    #: Words that one pass over the corpus looks for.
+    #: Words that one pass over the corpus looks for, and texts with copies that it knows.
     block: int = 200_000
 
 
@@ -118,39 +123,46 @@ def terms(text: str) -> Iterator[re.Match]:
 def _contexts(text: str, window: int) -> Iterator[tuple[str, str, list[str]]]:
     """(entity, digest of the context, its distinct words) of each mention."""
     spans = base_spans(text)
-    reach = 64 * window
+    every = list(terms(text)) if spans else []
+    starts, ends = [m.start() for m in every], [m.end() for m in every]
     for start, end, kind in spans:
-        before = [m[0].lower() for m in terms(text[max(0, start - reach) : start])][-window:]
-        after = [m[0].lower() for m in terms(text[end : end + reach])][:window]
+        last, first = bisect_right(ends, start), bisect_left(starts, end)
+        before = [m[0].lower() for m in every[max(0, last - window) : last]]
+        after = [m[0].lower() for m in every[first : first + window]]
         digest = hashlib.sha256("\0".join([*before, "\1", *after]).encode("utf-8", "surrogatepass")).hexdigest()[:32]
         yield _entity(kind, text[start:end]), digest, sorted({*before, *after})
 
 
 def contexts(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
-    """(entity, context, words): the distinct contexts of the entities."""
+    """(entity, context, mark, words): the distinct contexts of the entities in distinct texts."""
     window = how.window
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [c for text in pdf["text"] if isinstance(text, str) for c in _contexts(text, window)]
-            yield pd.DataFrame(found, columns=["entity", "context", "words"])
+            found = [(e, c, k, w) for text, k in zip(pdf["text"], pdf["mark"]) if isinstance(text, str) for e, c, w in _contexts(text, window)]
+            yield pd.DataFrame(found, columns=["entity", "context", "mark", "words"])
 
-    return docs.select("text").mapInPandas(rows, "entity string, context string, words array<string>").dropDuplicates(["entity", "context"])
+    marked = docs.select("text", F.xxhash64("text").alias("mark"))
+    return marked.mapInPandas(rows, "entity string, context string, mark long, words array<string>").dropDuplicates(["entity", "context", "mark"])
 
 
-def _document_counts(docs: DataFrame, wanted: frozenset[str]) -> DataFrame:
-    """(term, n): the documents that hold each wanted word, counted in each batch and then added up."""
-    held = docs.sparkSession.sparkContext.broadcast(wanted)
+def _text_counts(docs: DataFrame, wanted: frozenset[str], copies: dict[int, int] | None) -> DataFrame:
+    """(term, n): the texts that hold each wanted word, counted in each batch and then added up. With
+    ``copies`` (how many documents have a text, by its hash), what must be taken off so that those texts count once."""
+    held = docs.sparkSession.sparkContext.broadcast((wanted, copies))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, copies = held.value
         for pdf in batches:
             counts: Counter = Counter()
-            for text in pdf["text"]:
-                if isinstance(text, str):
-                    counts.update(held.value.intersection(_TERM.findall(text.lower())))
+            for text, k in zip(pdf["text"], pdf["mark"]):
+                if isinstance(text, str) and (copies is None or k in copies):
+                    off = 1.0 if copies is None else 1.0 / copies[k] - 1.0
+                    for w in words.intersection(_TERM.findall(text.lower())):
+                        counts[w] += off
             yield pd.DataFrame(list(counts.items()), columns=["term", "n"])
 
-    return docs.select("text").mapInPandas(rows, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select("text", F.xxhash64("text").alias("mark")).mapInPandas(rows, "term string, n double").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def _blocks(table: DataFrame, n: int, size: int, columns: list[str]) -> Iterator[list]:
@@ -163,22 +175,41 @@ def _blocks(table: DataFrame, n: int, size: int, columns: list[str]) -> Iterator
 def disclosing_terms(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     """(term, kind, action, share): words that reveal an entity, with the strongest reading of each."""
     found = cut(contexts(docs, how), "pii-contexts")
-    entities = found.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= how.support)
-    pairs = found.select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= how.support)
+    entities = found.groupBy("entity").agg(F.count_distinct("mark").alias("n_entity"))
+    evidence = found.select("entity", "context", "mark", F.explode("words").alias("term"))
+    pairs = evidence.groupBy("entity", "term").agg(F.count_distinct("mark").alias("n_both"), F.count_distinct("context").alias("n_contexts"))
     pairs = cut(pairs.join(entities, "entity"), "pii-pairs")
-    risky = pairs.select("term").distinct()
+    # each distinct text counts once: all documents, less the copies
+    marks = cut(docs.where("text is not null").groupBy(F.xxhash64("text").alias("mark")).agg(F.count("*").alias("copies")), "pii-marks")
+    n_docs = float(max(2, marks.count()))
+    pairs = pairs.withColumn("information", F.log2(F.lit(n_docs) / F.col("n_entity")))
+
+    def share(n) -> Column:
+        p = F.least(F.lit(1.0), F.col("n_both") / n)
+        draws, z2 = F.col("n_contexts") / p, how.errors**2
+        bound = (p + z2 / (2 * draws) - how.errors * F.sqrt(p * (1 - p) / draws + z2 / (4 * draws * draws))) / (1 + z2 / draws)
+        sure = F.when(F.col("n_contexts") >= how.support, p).otherwise(bound)
+        revealed = F.greatest(F.lit(0.0), F.col("information") + F.log2(sure)) / F.greatest(F.col("information"), F.lit(1e-9))
+        return F.least(F.lit(1.0), revealed)
+
+    # a word's share is largest if it stands nowhere else; others need not be counted
+    pairs = pairs.where(share(F.col("n_both")) >= how.generalise)
+    risky = cut(pairs.select("term").distinct(), "pii-risky")
     n_risky = risky.count()
+    copied = marks.where("copies > 1")
+    n_copied = copied.count() if n_risky else 0
     counts = None
     for block in _blocks(risky, n_risky, how.block, ["term"]) if n_risky else ():
-        part = _document_counts(docs, frozenset(r.term for r in block))
-        counts = part if counts is None else counts.unionByName(part)
+        wanted = frozenset(r.term for r in block)
+        parts = [_text_counts(docs, wanted, None)]
+        for some in _blocks(copied, n_copied, how.block, ["mark", "copies"]) if n_copied else ():
+            parts.append(_text_counts(docs, wanted, {r.mark: r.copies for r in some}))
+        for part in parts:
+            counts = part if counts is None else counts.unionByName(part)
     if counts is None:
         return pairs.limit(0).select("term", F.lit("").alias("kind"), F.lit("").alias("action"), F.lit(0.0).alias("share"))
-    n_docs = F.lit(float(max(2, docs.count())))
-    log2 = lambda c: F.log2(c.cast("double"))
-    information = log2(n_docs / F.col("n_entity"))
-    revealed = F.greatest(F.lit(0.0), information + log2(F.least(F.lit(1.0), F.col("n_both") / F.col("n")))) / F.greatest(information, F.lit(1e-9))
-    scored = pairs.join(counts, "term").withColumn("share", F.least(F.lit(1.0), revealed)).where(F.col("share") >= how.generalise)
+    counts = counts.groupBy("term").agg(F.round(F.sum("n")).alias("n"))
+    scored = pairs.join(counts, "term").withColumn("share", share(F.col("n"))).where(F.col("share") >= how.generalise)
     best = scored.groupBy("term").agg(F.max(F.struct("share", F.split("entity", ":")[0].alias("kind"))).alias("b"))
     return cut(best.select("term", F.col("b.kind").alias("kind"), F.when(F.col("b.share") >= how.remove, "remove").otherwise("generalise").alias("action"), F.col("b.share").alias("share")), "pii-terms")
 

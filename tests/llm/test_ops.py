@@ -242,6 +242,21 @@ def test_words_near_an_entity_are_disclosed(spark, empty):
     assert pii.digest(empty).count() == 0
 
 
+def test_words_near_rare_and_copied_entities_are_disclosed(spark):
+    rng = random.Random(6)
+    plain = [sentences(rng, 30) for _ in range(3000)]
+    near = lambda word, mail: f"{sentences(rng, 9)} {word} {mail} {sentences(rng, 9)}"
+    twice = [near("wilbrix", "w@example.com") for _ in range(2)]
+    copied = [near("zorblat", "z@example.com") for _ in range(3)]
+    far = [near("farvolk", "." * 2000 + " f@example.com") for _ in range(2)]
+    docs = docs_of(spark, plain + twice + copied + copied[:1] * 300 + far)
+    risky = {r["term"]: r for r in pii.disclosing_terms(docs).collect()}
+    assert {"wilbrix", "zorblat", "farvolk"} <= set(risky)  # two mentions; copies; words beyond 512 characters
+    assert risky["zorblat"]["action"] == "remove" and risky["zorblat"]["share"] == 1.0
+    assert not set(risky) & set(" ".join(plain).split())
+    assert {r["term"] for r in pii.disclosing_terms(docs, pii.Disclosure(block=1)).collect()} == set(risky)
+
+
 # token counts
 
 
