@@ -7,8 +7,10 @@ at a node of a run, a few places are drawn from the node's name, and a set goes
 place, named after its token there, so that only sets that share the token meet again. Buckets of one set
 are dropped, small ones are compared by brute force, larger ones are split further; a bucket that keeps
 most of its parent's sets, or has reached the last depth, is compared as it is, in blocks, so nothing is
-capped. Runs repeat, from other places, until the target recall: a pair at similarity s parts from all
-children of a node with probability (1 - s)^places: 0.2^6 at the roots of both runs for s = 0.8.
+capped. Runs repeat, from other places, until the target recall: a pair at similarity s that meets at a node
+whose children it shares with probability s each, and is then found below with probability f, is found there
+with probability 1 - (1 - s f)^places; ``missed`` follows this from the deepest level to the roots of all runs,
+and the number of runs is the least with which at most 1 - ``recall`` of the pairs at the threshold are missed.
 
 Pairs whose embeddings are far apart are left out (at 64 hashes and the margin used, a pair at the
 threshold is left out once in some 10^5 cases); the others are verified exactly on their whole shingle
@@ -57,10 +59,10 @@ class Join:
     hashes: int = 64
     #: Share of equal hashes from which a pair is verified.
     verify_from: float = 0.56
-    runs: int = 2
-    places: int = 3
-    #: Places drawn at nodes below the roots.
-    places_below: int = 2
+    #: Share of the pairs at the threshold that the splitting finds at least, in buckets split to the last depth.
+    recall: float = 0.9999
+    #: Places drawn at each node, the roots included.
+    places: int = 2
     #: Buckets up to this size are compared by brute force.
     small: int = 64
     #: A child with more than this share of its parent's sets is not split further.
@@ -69,6 +71,19 @@ class Join:
     #: Sets of a larger bucket that meet in one task: two blocks of about this size.
     block: int = 256
 
+    @property
+    def runs(self) -> int:
+        one = missed(self, self.similarity, 1)
+        return next(r for r in range(1, self.hashes // self.places + 1) if one**r <= 1 - self.recall)
+
+
+def missed(how: Join, similarity: float, runs: int | None = None) -> float:
+    """The part of pairs at ``similarity`` that meet in no compared bucket, all buckets split to the last depth."""
+    found = 1.0
+    for _ in range(how.depth):
+        found = 1 - (1 - similarity * found) ** how.places
+    return (1 - found) ** (how.runs if runs is None else runs)
+
 
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -143,7 +158,9 @@ def _buckets(sets: DataFrame, how: Join) -> DataFrame:
         rows = rows.where(~stop)
         if depth == how.depth or rows.isEmpty():
             break
-        places = [F.pmod(F.xxhash64("bucket", F.lit(j)), F.lit(how.hashes)) for j in range(how.places_below)]
+        # an odd step, so that the places of a node differ
+        first, step = F.xxhash64("bucket", F.lit(0)), F.pmod(F.xxhash64("bucket", F.lit(1)), F.lit(how.hashes // 2)) * 2 + 1
+        places = [F.pmod(F.pmod(first, F.lit(how.hashes)) + step * j, F.lit(how.hashes)) for j in range(how.places)]
         children = F.array_distinct(F.array(*[F.xxhash64("bucket", p, _token(p)) for p in places]))
         rows = rows.join(sets.select("sid", "sk"), "sid").select("sid", F.explode(children).alias("bucket"), F.col("size").alias("parent_size"))
     return done
@@ -195,7 +212,7 @@ def _near_pairs(g: dict[str, np.ndarray], how: Join) -> Iterator[tuple[int, int]
 def candidates(sets: DataFrame, how: Join = Join()) -> DataFrame:
     """(bucket, low, high, sid, n, partners): sets with the partners that are to be verified in a task."""
     members = _buckets(sets, how)
-    lists = members.groupBy("sid").agg(F.collect_list("bucket").alias("buckets"))  # at most runs * places * places_below ** (depth - 1)
+    lists = members.groupBy("sid").agg(F.collect_list("bucket").alias("buckets"))  # at most runs * places ** depth
     parts = F.ceil(F.col("size") / how.block).cast("int")
     rows = members.join(lists, "sid").join(sets.select("sid", "n", "sk"), "sid")
     rows = rows.withColumn("parts", F.when(F.col("size") <= how.block, 1).otherwise(parts)).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))

@@ -391,6 +391,19 @@ def test_join_equals_brute_force(spark, how):
     assert kept == {r["doc_id"] for r in got.values() if r["class_id"] == r["doc_id"]}
 
 
+def test_join_recall_in_large_groups(spark):
+    # pairs that share 70 of 100 hashes, in groups of thousands that are split to the last depth
+    rng = np.random.default_rng(8)
+    n = 4000
+    one = rng.integers(0, 4, (n, 64), dtype=np.uint32)
+    two = np.where(rng.random((n, 64)) < 0.7, one, (one + rng.integers(1, 4, (n, 64), dtype=np.uint32)) % 4).astype("<u4")
+    rows = [(f"{side}{i:05}".encode(), s[i].astype("<u4").tobytes()) for side, s in (("a", one), ("b", two)) for i in range(n)]
+    held = jaccard_join._buckets(spark.createDataFrame(rows, "sid binary, sk binary"), jaccard_join.Join()).select(F.substring(F.col("sid").cast("string"), 2, 5).alias("pair"), "sid", "bucket")
+    met = held.groupBy("pair", "bucket").agg(F.count_distinct("sid").alias("n")).where("n = 2").select("pair").distinct().count()
+    assert n - met <= 10
+    assert jaccard_join.missed(jaccard_join.Join(), 0.8) <= 1e-4
+
+
 def test_join_hard_cases(spark, hard, empty):
     assert jaccard_join.link_counts(hard).count() == hard.count()
     assert jaccard_join.link_counts(empty).count() == 0
