@@ -100,12 +100,21 @@ def nearest_neighbours(train: DataFrame, test: DataFrame, k: int, block: int = 4
             for r in pdf.itertuples(index=False):
                 a = np.asarray(r.test_xs).reshape(len(r.test_ids), -1)
                 b = np.asarray(r.train_xs).reshape(len(r.train_ids), -1)
-                d = np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(-1), 0)) if len(a) * b.size < 5e7 else np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
-                ids = np.asarray(r.train_ids)
-                order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(a)), order.shape[1])
-                at = order.ravel()
-                yield pd.DataFrame({"row_id": np.asarray(r.test_ids)[rows], "train_id": ids[at], "distance": d[rows, at], "label": np.asarray(r.train_labels)[at]})
+                ids, labels = np.asarray(r.train_ids), np.asarray(r.train_labels)
+                xx, yy = (a * a).sum(1), (b * b).sum(1)
+                rough = xx[:, None] + yy - 2 * a @ b.T
+                # wider than twice the product's rounding error; what it lets through is measured exactly
+                margin = 16 * (a.shape[1] + 4) * np.finfo(float).eps * (xx + yy.max())
+                best = []
+                for i in range(len(a)):
+                    reach = np.partition(rough[i], k - 1)[k - 1] + margin[i] if k < len(b) else np.inf
+                    near = np.flatnonzero(~(rough[i] > reach))
+                    d = np.sqrt(((a[i] - b[near]) ** 2).sum(-1))
+                    order = np.lexsort((ids[near], d))[:k]
+                    best.append((near[order], d[order]))
+                at = np.concatenate([x for x, _ in best])
+                rows = np.repeat(np.asarray(r.test_ids), [len(x) for x, _ in best])
+                yield pd.DataFrame({"row_id": rows, "train_id": ids[at], "distance": np.concatenate([d for _, d in best]), "label": labels[at]})
 
     found = t.join(s, "b").drop("b").mapInPandas(search, "row_id long, train_id long, distance double, label int")
     w = Window.partitionBy("row_id").orderBy("distance", "train_id")

@@ -168,6 +168,17 @@ def test_neighbours_across_blocks(feat):
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, C.nearest_neighbours(s, t, 3).select("row_id", "place", "train_id").collect()))
 
 
+def test_neighbours_among_copies_in_full_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(50, 1, (1300, 64))
+    train = [(10_000 + i, i % 3, x[i % 20].tolist()) for i in range(700)]  # 35 copies of each of 20 rows
+    test = [(i, 0, x[i].tolist()) for i in range(1300)]
+    fields = "row_id long, label int, x array<double>"
+    found = C.nearest_neighbours(spark.createDataFrame(train, fields).coalesce(1), spark.createDataFrame(test, fields).coalesce(1), 5)
+    got = found.where("row_id < 20").orderBy("row_id", "place").select("row_id", "train_id", "distance").collect()
+    assert [tuple(r) for r in got] == [(i, 10_000 + i + 20 * c, 0.0) for i in range(20) for c in range(5)]
+
+
 def test_smaller_calibration_splits_are_part_of_larger_ones(spark):
     from chronoprob.operators.labels import calibration_split
 
