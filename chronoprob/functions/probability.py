@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPS = 1e-15
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once for the row: inside a lambda, an outer expression would
+    be computed again for each entry."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -15,7 +23,7 @@ def total(a: Column) -> Column:
 def normalized(p: Column, floor: float = 0.0) -> Column:
     """Rows that sum to one, after raising entries to ``floor``."""
     raised = F.transform(p, lambda x: F.greatest(x, F.lit(floor))) if floor else p
-    return F.transform(raised, lambda x: x / total(raised))
+    return bound(raised, lambda a: bound(total(a), lambda t: F.transform(a, lambda x: x / t)))
 
 
 def is_distribution(p: Column, tolerance: float = 1e-3) -> Column:
@@ -60,9 +68,8 @@ def brier(p: Column, label: Column) -> Column:
 
 def rank_of(p: Column, label: Column) -> Column:
     """Rank of the true class from 1; of equal entries the lower class comes first."""
-    own = true_probability(p, label)
-    ahead = F.filter(p, lambda x, i: (x > own) | ((x == own) & (i < label)))
-    return F.size(ahead) + 1
+    ahead = lambda own: F.filter(p, lambda x, i: (x > own) | ((x == own) & (i < label)))
+    return bound(true_probability(p, label), lambda own: F.size(ahead(own)) + 1)
 
 
 def ranking(p: Column) -> Column:
@@ -72,8 +79,7 @@ def ranking(p: Column) -> Column:
 
 
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    return normalized(F.transform(scores, lambda x: F.exp(x - top)))
+    return normalized(bound(scores, lambda a: bound(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top)))))
 
 
 def tempered(p: Column, temperature: Column | float, eps: float = EPS) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .probability import bound
+
 
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -23,8 +25,9 @@ def norm(x: Column, kind: str) -> Column:
 
 def row_normalized(x: Column, kind: str, eps: float = 1e-12, center: bool = False) -> Column:
     """x over max(norm, eps), after subtracting the row's mean where ``center``."""
-    base = F.transform(x, lambda v: v - _sum(x) / F.size(x)) if center else x
-    return F.transform(base, lambda v: v / F.greatest(norm(base, kind), F.lit(eps)))
+    mean = lambda a: _sum(a) / F.size(a)
+    base = bound(x, lambda a: bound(mean(a), lambda m: F.transform(a, lambda v: v - m))) if center else x
+    return bound(base, lambda a: bound(F.greatest(norm(a, kind), F.lit(eps)), lambda n: F.transform(a, lambda v: v / n)))
 
 
 def signed_log(x: Column, scale: float = 1.0) -> Column:

@@ -154,9 +154,9 @@ def ensemble(cube: DataFrame, mode: str = "log", weights: Sequence[float] | None
     elif mode == "probability":
         parts = ps
     elif mode == "confidence_probability":
-        parts = [F.transform(p, lambda x: x * P.confidence(p)) for p in ps]
+        parts = [P.bound(p, lambda a: P.bound(P.confidence(a), lambda c: F.transform(a, lambda x: x * c))) for p in ps]
     elif mode == "rank":
-        parts = [F.transform(p, lambda x: F.size(F.filter(p, lambda y: y <= x)).cast("double")) for p in ps]
+        parts = [P.bound(p, lambda a: F.transform(a, lambda x: F.size(F.filter(a, lambda y: y <= x)).cast("double"))) for p in ps]
     else:
         raise ValueError(f"no such ensemble: {mode}")
     out = None

@@ -108,7 +108,9 @@ def bags(df: DataFrame, n: int, row: str, seed: int = 0) -> DataFrame:
 
 
 def mean_one(df: DataFrame, weight: Column) -> DataFrame:
-    return df.withColumn("_w", weight).withColumn("weight", F.col("_w") / F.avg("_w").over(Window.partitionBy())).drop("_w")
+    """``weight`` over its mean, a partial aggregate that goes to the rows as one row."""
+    weighed = df.withColumn("_w", weight)
+    return weighed.join(F.broadcast(weighed.agg(F.avg("_w").alias("_mean")))).withColumn("weight", F.col("_w") / F.col("_mean")).drop("_w", "_mean")
 
 
 def scaled_distances(df: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -42,7 +42,7 @@ def centroid(train: DataFrame, test: DataFrame, keys: Sequence[str] = (), temper
     models = models.select(*keys, "labels", "scale", shrunk.alias("means"))
     both = test.join(F.broadcast(models), list(keys)) if keys else test.join(F.broadcast(models))  # a row for each model
     over = lambda a: F.zip_with(a, "scale", lambda v, s: v / s)
-    scores = F.transform("means", lambda m: -squared_distance(over(F.col("x")), over(m)) / temperature)
+    scores = P.bound(over(F.col("x")), lambda x: F.transform("means", lambda m: -squared_distance(x, over(m)) / temperature))
     return decided(both.withColumn("p", P.softmax(scores)), [*keys, "label"])
 
 

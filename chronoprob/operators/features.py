@@ -348,8 +348,3 @@ def correlation_filtered(df: DataFrame, limit: float) -> list[int]:
 
 def selected(df: DataFrame, columns: Sequence[int]) -> DataFrame:
     return df.withColumn("x", F.array(*[F.get("x", F.lit(int(i))) for i in columns]))
-
-
-def weighted_rows(df: DataFrame, weight: Column) -> DataFrame:
-    """Weights with mean one."""
-    return df.withColumn("_w", weight).withColumn("weight", F.col("_w") / F.avg("_w").over(Window.partitionBy())).drop("_w")

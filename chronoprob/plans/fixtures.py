@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoprob.functions.probability import normalized
+
 CLASSES = ("click", "error", "purchase", "signup", "view")
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01
 #: Components of the feature rows: whole embedding vectors.
@@ -30,7 +32,7 @@ def obs(spark: SparkSession, sf_dir: str, factor: int = 3, decoder: str = "a") -
     )
     w = [1 + (F.col("event_id") * (k + factor)) % 17 + F.when(F.col("true_label") == k, 6).otherwise(0) for k in range(len(CLASSES))]
     weights = base.select("*", F.array(*[x.cast("double") for x in w]).alias("w"))
-    p = F.transform("w", lambda x: x / F.aggregate("w", F.lit(0.0), lambda s, y: s + y))
+    p = normalized(F.col("w"))
     return weights.select(*base.columns, F.lit(decoder).alias("decoder"), F.lit("calibrated").alias("emission_mode"), p.alias("p"), F.array(*map(F.lit, CLASSES)).alias("classes"))
 
 

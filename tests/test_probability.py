@@ -83,3 +83,16 @@ def test_student_tail():
     assert M._student_two_sided(2.262157, 9) == pytest.approx(0.05, abs=1e-6)
     assert M._student_two_sided(0.0, 5) == pytest.approx(1.0)
     assert M._student_two_sided(12.7062, 1) == pytest.approx(0.05, abs=1e-5)
+
+
+def test_bound_values_are_computed_once_a_row(spark):
+    """A softmax over the distances to many class means stays linear in the classes."""
+    from chronoprob.functions.vectors import row_normalized, squared_distance
+
+    rows = spark.range(2000).select(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (i * F.col("id") % 7).cast("double")).alias("x"))
+    means = F.transform(F.sequence(F.lit(1), F.lit(200)), lambda k: F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (k * i % 5).cast("double")))
+    scores = F.transform(means, lambda m: -squared_distance(F.col("x"), m) / 64)
+    began = time.perf_counter()
+    got = rows.select(P.total(P.softmax(scores)).alias("s"), P.total(F.transform(row_normalized(F.col("x"), "l2", center=True), lambda v: v * v)).alias("n")).agg(F.min("s"), F.max("s"), F.max("n")).first()
+    assert time.perf_counter() - began < 30  # nested recomputation takes hours
+    assert np.allclose(got, 1)
