@@ -1,7 +1,9 @@
 """Closed-form checks of probability functions, metrics and validation."""
 
 import math
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
