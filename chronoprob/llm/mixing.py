@@ -1,14 +1,16 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
-Every source's documents stand in a shuffled line that is cut into blocks of equally many words. The
-schedule is a row of slots: golden-ratio points, mapped through the sources' cumulative shares, name the
-source of each slot; the slots of a source are ranked, and slot ``r`` takes the source's block
-``r mod blocks``, so that a source is read through again only when it has been read once. The last slot
-of a source takes only the words that its target leaves.
+Every source's documents stand in a shuffled line that is cut into blocks of equally many words, the same
+number for all sources (a line's last block may be shorter). The schedule is a row of slots: golden-ratio
+points, mapped through the sources' cumulative shares, name the source of each slot; the slots of a source
+are ranked, and slot ``r`` takes the source's block ``r mod blocks``, so that a source is read through again
+only when it has been read once. The last slot of a source takes only the words that its target leaves.
+Reading pieces in order of ``slot`` gives the mix: every stretch of slots holds the sources near their shares.
 
 All of it is DataFrame operations. Ranks and running sums come in two steps (sums of chunks, then places
-within a chunk), so that a source with a third of all rows is no single task; shuffled columns are ids
-and counts, never texts.
+within a chunk), so that a source with a third of all rows is no single task. The plan shuffles ids and
+counts; ``mix`` joins it with the texts, which cross one shuffle. Tables of sources (``targets``) are one
+task: they have a row for each source.
 
 Defined cases: a null text has no words; a null source is a source of its own, last in order; documents
 without words take part with 0 words; rows that agree in id, source, size (and text, where texts are
@@ -29,8 +31,10 @@ from .common import cut, free_name, word_count, words
 #: Fraction of the golden ratio in units of 2^-31; odd, so that each of 2^31 points occurs once.
 GOLDEN = 1_327_217_885
 POINTS = 2**31
-#: Slots in a chunk of the schedule, and cells of the table that maps points to sources.
-CHUNK = 65_536
+#: Slots in a chunk of the schedule and documents on a shelf, at least; chunks at most; and cells of the table
+#: that maps points to sources.
+CHUNK = 4_096
+CHUNKS = 65_536
 CELLS = 4_096
 
 
@@ -40,7 +44,6 @@ class Mix:
     share: float = 1.5
     cap: float = 2.0
     block_words: int = 256
-    blocks_at_least: int = 128
     seed: int = 17
 
 
@@ -69,13 +72,12 @@ def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
 
 
 def _plan_of_sources(stats: DataFrame, mix: Mix) -> DataFrame:
-    """Block length, blocks, words to take and slots of each source, and its place in the shares."""
-    block = F.greatest(F.lit(1), F.least(F.lit(mix.block_words), F.floor(F.col("source_size") / mix.blocks_at_least))).cast("long")
+    """Blocks, words to take and slots of each source, and its place in the shares."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.col("source_size"))).otherwise(0)
     up_to = Window.orderBy("source_rank")
     return (
         stats.withColumn("goal", F.least(F.round("target"), F.col("source_size") * F.lit(mix.cap)).cast("long"))
-        .withColumn("block", block)
+        .withColumn("block", F.lit(mix.block_words).cast("long"))
         .withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
         .withColumn("slots", (whole * F.col("blocks") + F.ceil((F.col("goal") - whole * F.col("source_size")) / F.col("block"))).cast("long"))
         .withColumn("high", F.sum("slots").over(up_to))
@@ -90,10 +92,11 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     number of slots but for a few; a source's surplus is left out, and what it misses comes at the end.
     """
     spark = sources.sparkSession
+    chunk = max(CHUNK, -(-slots // CHUNKS))
     width = max(1.0, slots / CELLS)
     cells = sources.where("slots > 0").select("source_rank", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width + 1))).alias("cell"))
     points = spark.range(slots).select(F.col("id").alias("slot"), F.floor(((F.col("id") % POINTS) * GOLDEN % POINTS) / POINTS * slots).alias("point"))
-    points = points.withColumn("cell", F.floor(F.col("point") / width)).withColumn("chunk", F.floor(F.col("slot") / CHUNK))
+    points = points.withColumn("cell", F.floor(F.col("point") / width)).withColumn("chunk", F.floor(F.col("slot") / chunk))
     owned = points.join(cells, "cell").where("point >= low and point < high").select("slot", "chunk", "source_rank")
     counts = owned.groupBy("source_rank", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source_rank").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -103,13 +106,14 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     kept = ranked.join(sources.select("source_rank", F.col("slots").alias("wanted")), "source_rank").where("turn < wanted").drop("wanted")
     had = counts.groupBy("source_rank").agg(F.sum("n").alias("had"))
     missed = sources.join(had, "source_rank", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("had < slots")
-    late = missed.select(F.lit(slots).cast("long").alias("slot"), "source_rank", F.explode(F.sequence("had", F.col("slots") - 1)).alias("turn"))
+    late = missed.select("source_rank", F.explode(F.sequence("had", F.col("slots") - 1)).alias("turn"))
+    late = late.select((F.lit(slots) + F.col("turn")).alias("slot"), "source_rank", "turn")
     return kept.unionByName(late)
 
 
 def _line(items: DataFrame, sources: DataFrame, n_items: int, mix: Mix) -> DataFrame:
     """Each document's place in its source's shuffled line: ``start`` and ``size``, in words."""
-    shelves = 2 ** max(0, math.ceil(math.log2(max(1, n_items) / CHUNK * 16)))
+    shelves = 2 ** max(0, math.ceil(math.log2(max(1, n_items) / CHUNK)))
     keys = [c for c in items.columns if c not in ("size", "copies")]
     copies = items.where("size > 0").join(sources.select(F.col("source").alias("_source"), "source_rank"), F.col("source").eqNullSafe(F.col("_source"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     mark = F.xxhash64(F.lit(mix.seed), *keys, "size", "copy")
@@ -124,7 +128,7 @@ def _line(items: DataFrame, sources: DataFrame, n_items: int, mix: Mix) -> DataF
 
 def plan(docs: DataFrame, mix: Mix = Mix(), more_keys: tuple[Column, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Items (one row for each kind of document, with ``copies``), sources, and what slots take of items:
-    (keys.., source_rank, size, copy, pass, words)."""
+    (keys.., source_rank, size, copy, pass, words, slot), where ``slot`` is the first of a pass."""
     rows = docs.select("doc_id", "source", *more_keys, word_count(F.col("text")).alias("size"))
     keys = rows.columns
     items = cut(rows.groupBy(*keys).agg(F.count("*").alias("copies")), "mix-items")
@@ -137,35 +141,40 @@ def plan(docs: DataFrame, mix: Mix = Mix(), more_keys: tuple[Column, ...] = ())
     pieces = line.join(facts, "source_rank").withColumn("at", F.explode(ends)).withColumn("from", F.greatest("start", F.col("at") * F.col("block")))
     pieces = pieces.withColumn("piece", F.least(F.col("start") + F.col("size"), (F.col("at") + 1) * F.col("block")) - F.col("from"))
     turns = schedule(sources, n_slots).join(sources.select("source_rank", "blocks"), "source_rank")
-    turns = turns.select("source_rank", (F.col("turn") % F.col("blocks")).alias("at"), F.floor(F.col("turn") / F.col("blocks")).alias("pass"))
+    turns = turns.select("source_rank", "slot", (F.col("turn") % F.col("blocks")).alias("at"), F.floor(F.col("turn") / F.col("blocks")).alias("pass"))
     left = F.col("goal") - F.col("pass") * F.col("source_size") - F.col("from")
     taken = pieces.join(turns, ["source_rank", "at"]).withColumn("words", F.least("piece", F.greatest(left, F.lit(0))))
-    takes = taken.groupBy(*keys, "source_rank", "copy", "pass").agg(F.sum("words").alias("words"))
+    takes = taken.groupBy(*keys, "source_rank", "copy", "pass").agg(F.sum("words").alias("words"), F.min(F.when(F.col("words") > 0, F.col("slot"))).alias("slot"))
     return items, sources, takes
 
 
 def taken_words(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row for each document."""
+    """doc_id, size, source_size, target, taken, first_slot (where the mix first reads it): one row for each
+    document."""
     items, sources, takes = plan(docs, mix)
-    per = takes.groupBy("doc_id", "source", "size", "copy").agg(F.sum("words").alias("taken"))
+    per = takes.groupBy("doc_id", "source", "size", "copy").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     every = items.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).alias("i")
     same = F.col("i.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("i.source").eqNullSafe(F.col("t.source")) & (F.col("i.size") == F.col("t.size")) & (F.col("i.copy") == F.col("t.copy"))
     facts = sources.select(F.col("source").alias("_source"), "source_size", "target")
     out = every.join(per.alias("t"), same, "left").join(facts, F.col("i.source").eqNullSafe(F.col("_source")))
-    return out.select(F.col("i.doc_id").alias("doc_id"), F.col("i.size").alias("size"), F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select(F.col("i.doc_id").alias("doc_id"), F.col("i.size").alias("size"), F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"), F.col("t.first_slot").alias("first_slot"))
 
 
-def mix(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
+def mix(docs: DataFrame, how: Mix = Mix(), slot: str | None = None) -> DataFrame:
     """The documents that the mix takes, one row for each time; a partly taken document keeps its first
-    words, joined by spaces. ``n_chars``, where there is one, is counted anew."""
-    stamp, copy = free_name(docs, "text_mark"), free_name(docs, "copy_no")
-    _, _, takes = plan(docs, how, (F.xxhash64("text").alias(stamp),))
-    marked = docs.withColumn(stamp, F.xxhash64("text"))
-    of_kind = Window.partitionBy("doc_id", "source", stamp).orderBy("text")
-    marked = marked.withColumn(copy, F.row_number().over(of_kind)).alias("d")
-    takes = takes.where("words > 0").alias("t")
-    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col(f"d.{stamp}") == F.col(f"t.{stamp}")) & (F.col(f"d.{copy}") == F.col("t.copy"))
-    both = marked.join(takes, same)
-    text = F.when(F.col("t.words") >= F.col("t.size"), F.col("d.text")).otherwise(F.array_join(F.slice(words(F.col("d.text")), F.lit(1), F.col("t.words").cast("int")), " "))
+    words, joined by spaces. ``n_chars``, where there is one, is counted anew. With ``slot``, a column of that
+    name says where in the schedule a row is read: sorted by it, the rows are the interleaved mix."""
+    # two hashes name a document's id, source and text; documents that agree in them are numbered
+    keys = [free_name(docs, f"mix_key{i}") for i in (1, 2)]
+    number, taken, copy = free_name(docs, "mix_number"), free_name(docs, "mix_taken"), free_name(docs, "mix_copy")
+    mark = [F.xxhash64(F.lit(i), F.col("doc_id").isNull(), F.col("doc_id"), F.col("source").isNull(), F.col("source"), F.lit(i), F.col("text")) for i in (1, 2)]
+    marked = docs.withColumns(dict(zip(keys, mark, strict=True)))
+    _, _, takes = plan(marked, how, tuple(F.col(k) for k in keys))
+    per = takes.where("words > 0").groupBy(*keys).agg(F.collect_list(F.struct("copy", "words", "size", "slot")).alias(taken))  # as many as copies and passes
+    of_kind = Window.partitionBy(*keys).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
+    both = marked.join(per, keys).withColumn(number, F.row_number().over(of_kind))
+    rows = both.withColumn(copy, F.explode(F.filter(taken, lambda t: t["copy"] == F.col(number)))).alias("d")
+    take = F.col(copy)
+    text = F.when(take["words"] >= take["size"], F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), F.lit(1), take["words"].cast("int")), " "))
     columns = [text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"d.{c}") for c in docs.columns]
-    return both.select(*columns)
+    return rows.select(*columns, *([take["slot"].alias(slot)] if slot else []))
