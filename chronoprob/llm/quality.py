@@ -2,11 +2,13 @@
 
 Every document gets a few ratios (symbols, capitals, repeated windows and so on). A rule rejects the
 documents whose ratio is at least its cutoff. Labelled documents choose the cutoffs: half of them
-propose, the other half certify. In each stratum (language) and for each rule, candidate cutoffs are
-tested from the strictest on; the test is the exact binomial one, whether at most ``risk`` of the good
-holdout documents would be rejected, at level ``alpha`` shared by Bonferroni among all strata and rules.
-Testing stops at the first cutoff that fails (fixed-sequence testing), so with probability 1 - alpha
-every cutoff in use rejects at most ``risk`` of its stratum's good documents.
+propose, the other half certify. In each stratum (language) the first half proposes at most one cutoff for
+each rule and puts the rules in order of worth. The second half tests the rules as they add up: the exact
+binomial test asks whether the first rule, then the first two together, and so on, reject at most ``risk``
+of the good holdout documents, at level ``alpha`` shared by Bonferroni among the strata. Testing stops at the
+first union that fails (fixed-sequence testing), and the rules before it are used. So with probability
+1 - alpha, in every stratum the verdict of all rules together rejects at most ``risk`` of the good documents
+that pass the base rule.
 
 All work is DataFrame operations; the tables of counts have a row for each stratum, rule and candidate.
 
@@ -18,9 +20,10 @@ table gives an empty result. Windows of words are compared by 64-bit hashes with
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, cut, free_name, words
@@ -38,7 +41,7 @@ class Risk:
     alpha: float = 0.05
     #: A cutoff is proposed only where so large a share of what it rejects is labelled bad.
     purity: float = 0.9
-    #: Of the certified cutoffs the one with the largest (bad - price * good) rejected is used, the strictest of equals.
+    #: Of such cutoffs the one with the largest (bad - price * good) rejected is proposed, the strictest of equals.
     price: float = 4.0
     stratum: str = "lang"
 
@@ -79,52 +82,77 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
+def _log_factorial(n: Column) -> Column:
+    """log n!, as a sum up to 20 and by Stirling's series, there exact to the last digits, beyond."""
+    x = F.greatest(n, F.lit(21)).cast("double")
+    series = x * F.log(x) - x + F.log(x * (2 * math.pi)) / 2 + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3.0))) + 1 / (1260 * F.pow(x, F.lit(5.0)))
+    small = F.array(*[F.lit(math.log(math.factorial(i))) for i in range(21)])
+    return F.when(n <= 20, F.get(small, F.least(n, F.lit(20)).cast("int"))).otherwise(series)
+
+
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(at most ``k`` of ``n``) for success probability ``p``, summed in logarithms."""
-    first = n * F.log(F.lit(1 - p))
-    odds = F.log(F.lit(p / (1 - p)))
+    """P(at most ``k`` of ``n``) for success probability ``p``.
+
+    From the term of ``k`` downward each is a smaller part of the one before it. More than a few standard
+    deviations further down terms no longer count, so their number grows with the square root of n p. A
+    ``k`` of n p or more, where the tail is a half or more, gets 1."""
+    last = F.exp(_log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) + k * math.log(p) + (n - k) * math.log(1 - p))
+    n_terms = F.least(k, F.ceil(F.sqrt(n * p) * 12) + 40).cast("long")
 
     def step(acc: Column, i: Column) -> Column:
-        term = acc["term"] + F.log((n - i + 1).cast("double") / i) + odds
-        top = F.greatest(acc["sum"], term)
-        return F.struct(term.alias("term"), (top + F.log(F.exp(acc["sum"] - top) + F.exp(term - top))).alias("sum"))
+        term = acc["term"] * ((k - i + 1) * (1 - p)) / ((n - k + i) * p)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
 
-    start = F.struct(first.alias("term"), first.alias("sum"))
-    terms = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(terms, start, step, lambda acc: F.exp(acc["sum"]))
+    terms = F.when(n_terms > 0, F.sequence(F.lit(1).cast("long"), n_terms)).otherwise(F.array().cast("array<bigint>"))
+    summed = F.aggregate(terms, F.struct(last.alias("term"), last.alias("sum")), step, lambda acc: acc["sum"])
+    return F.when(k >= n * p, 1.0).otherwise(F.least(F.lit(1.0), summed))
 
 
-def certified_cutoffs(measured: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
-    """(stratum, rule, cutoff, n_good, n_rejected, p_value) of the cutoffs in use.
+def proposed_cutoffs(known: DataFrame, risk: Risk = Risk()) -> DataFrame:
+    """(stratum, rule, cutoff, place): for each rule the best cutoff of those pure enough, in order of worth.
 
-    ``measured`` has doc_id, the stratum column and the ratios.
-    """
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("good"))
-    passed = measured.where(~base_failed())
-    joined = passed.join(known, F.col("doc_id") == F.col("_id"))
-    half = F.pmod(F.xxhash64(F.lit("holdout"), F.col("doc_id")), F.lit(2))
+    ``known`` has stratum, good and the ratios."""
     ratios = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("ratio")) for r in RULES]))
-    long = joined.select(F.col(risk.stratum).alias("stratum"), "good", half.alias("half"), ratios.alias("r")).select("stratum", "good", "half", "r.*")
+    long = known.select("stratum", "good", ratios.alias("r")).select("stratum", "good", "r.*")
     # a ratio counts for every candidate at or below it: counts by the first such candidate, then a running sum
     step = F.ceil((1.0 - F.col("ratio")) / 0.02 - 1e-9).cast("int")
-    counts = long.groupBy("stratum", "rule", step.alias("step")).agg(
-        F.count(F.when((F.col("half") == 0) & (F.col("good") == 1), 1)).alias("fit_good"),
-        F.count(F.when((F.col("half") == 0) & (F.col("good") == 0), 1)).alias("fit_bad"),
-        F.count(F.when((F.col("half") == 1) & (F.col("good") == 1), 1)).alias("test_good"),
-    )
-    lists = counts.groupBy("stratum", "rule").agg(F.collect_list(F.struct("step", "fit_good", "fit_bad", "test_good")).alias("c"))  # 51 steps at most
+    counts = long.groupBy("stratum", "rule", step.alias("step")).agg(F.count(F.when(F.col("good") == 1, 1)).alias("good"), F.count(F.when(F.col("good") == 0, 1)).alias("bad"))
+    lists = counts.groupBy("stratum", "rule").agg(F.collect_list(F.struct("step", "good", "bad")).alias("c"))  # 51 steps at most
     total = lambda upto, f: F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + F.when(x["step"] <= upto, x[f]).otherwise(0))
     grid = lists.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(len(CANDIDATES) - 1))))
-    grid = grid.select("stratum", "rule", "step", *[total(F.col("step"), f).alias(f) for f in ("fit_good", "fit_bad", "test_good")], total(F.lit(10**6), "test_good").alias("n_good"))
-    tests = lists.agg(F.count("*").alias("tests"))
-    grid = grid.withColumn("p_value", F.when(F.col("n_good") > 0, binomial_tail(F.col("test_good"), F.col("n_good"), risk.risk)).otherwise(1.0))
-    both = grid.join(F.broadcast(tests))  # one row
-    ordered = both.groupBy("stratum", "rule").agg(F.sort_array(F.collect_list(F.struct("step", ((F.col("p_value") <= F.lit(risk.alpha) / F.col("tests"))).alias("ok"), "fit_good", "fit_bad", "n_good", "test_good", "p_value"))).alias("g"))
-    first_bad = F.coalesce(F.try_element_at(F.filter("g", lambda x: ~x["ok"]), F.lit(1))["step"], F.lit(len(CANDIDATES)))
-    good = ordered.withColumn("stop", first_bad).withColumn("use", F.filter("g", lambda x: (x["step"] < F.col("stop")) & (x["fit_bad"] > 0) & (x["fit_bad"] >= F.lit(risk.purity) * (x["fit_bad"] + x["fit_good"]))))
-    worth = lambda x: x["fit_bad"] - F.lit(risk.price) * x["fit_good"]
-    best = F.array_max(F.transform("use", lambda x: F.struct(worth(x).alias("worth"), (-x["step"]).alias("first"), x["step"].alias("step"), x["n_good"].alias("n_good"), x["test_good"].alias("test_good"), x["p_value"].alias("p_value"))))
-    return good.where(F.size("use") > 0).select("stratum", "rule", (1.0 - 0.02 * best["step"]).alias("cutoff"), best["n_good"].alias("n_good"), best["test_good"].alias("n_rejected"), best["p_value"].alias("p_value"))
+    grid = grid.select("stratum", "rule", "step", total(F.col("step"), "good").alias("good"), total(F.col("step"), "bad").alias("bad"))
+    pure = grid.where((F.col("bad") > 0) & (F.col("bad") >= F.lit(risk.purity) * (F.col("bad") + F.col("good"))))
+    worth = F.col("bad") - F.lit(risk.price) * F.col("good")
+    best = pure.groupBy("stratum", "rule").agg(F.max(F.struct(worth.alias("worth"), (-F.col("step")).alias("first"))).alias("b"))
+    cutoffs = best.select("stratum", "rule", (1.0 + 0.02 * F.col("b.first")).alias("cutoff"), F.col("b.worth").alias("worth"))
+    order = Window.partitionBy("stratum").orderBy(F.col("worth").desc(), "rule")  # a row for each rule
+    return cutoffs.withColumn("place", F.row_number().over(order)).drop("worth")
+
+
+def certified_cutoffs(measured: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
+    """(stratum, rule, cutoff, place, n_good, n_rejected, p_value) of the cutoffs in use; the last three are
+    of the union of all rules up to ``place``.
+
+    ``measured`` has doc_id, the stratum column and the ratios.
+    """
+    named = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("good"))
+    passed = measured.where(~base_failed()).select("doc_id", F.col(risk.stratum).alias("stratum"), *RULES)
+    known = passed.join(named, F.col("doc_id") == F.col("_id")).withColumn("half", F.pmod(F.xxhash64(F.lit("holdout"), "doc_id"), F.lit(2)))
+    proposed = cut(proposed_cutoffs(known.where("half = 0"), risk), "quality-proposed")
+    packed = proposed.groupBy(F.col("stratum").alias("_stratum")).agg(F.collect_list(F.struct("rule", "cutoff", "place")).alias("cutoffs"))  # six rules at most
+    ratio = lambda c: F.coalesce(*[F.when(c["rule"] == r, F.col(r)) for r in RULES])
+    first = F.array_min(F.transform(F.filter("cutoffs", lambda c: ratio(c) >= c["cutoff"] - 1e-9), lambda c: c["place"]))
+    tested = known.where("half = 1 and good = 1").join(packed, F.col("stratum").eqNullSafe(F.col("_stratum")))
+    counts = tested.groupBy("_stratum", first.alias("first")).agg(F.count("*").alias("n"))
+    per = counts.groupBy("_stratum").agg(F.collect_list(F.struct("first", "n")).alias("c"))  # seven at most
+    upto = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + F.when(x["first"] <= F.col("place"), x["n"]).otherwise(0))
+    every = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    rows = proposed.join(per, F.col("stratum").eqNullSafe(F.col("_stratum"))).withColumns({"n_good": every, "n_rejected": upto})
+    rows = rows.withColumn("p_value", binomial_tail(F.col("n_rejected"), F.col("n_good"), risk.risk))
+    strata = proposed.agg(F.greatest(F.lit(1), F.count_distinct("stratum") + F.max(F.col("stratum").isNull().cast("int"))).alias("strata"))
+    rows = rows.join(F.broadcast(strata)).withColumn("failed", F.col("p_value") > F.lit(risk.alpha) / F.col("strata"))  # one row
+    before = Window.partitionBy("stratum").orderBy("place")
+    return rows.withColumn("stopped", F.max("failed").over(before)).where(~F.col("stopped")).select("stratum", "rule", "cutoff", "place", "n_good", "n_rejected", "p_value")
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -147,9 +175,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFr
 
     Documents with equal id, stratum and text are judged alike, so the join goes by these.
     """
-    mark = free_name(docs, "text_mark")
+    mark, d, s, m = (free_name(docs, f"quality_{x}") for x in ("mark", "id", "stratum", "text"))
     marked = docs.withColumn(mark, F.xxhash64("text"))
     measured = cut(measures(marked, ["doc_id", risk.stratum, mark]), "quality-measures")
-    bad = _judged(measured, labels, risk).where(~F.col("kept")).select(F.col("doc_id").alias("_d"), F.col(risk.stratum).alias("_s"), F.col(mark).alias("_m")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col(risk.stratum).eqNullSafe(F.col("_s")) & (F.col(mark) == F.col("_m"))
+    bad = _judged(measured, labels, risk).where(~F.col("kept")).select(F.col("doc_id").alias(d), F.col(risk.stratum).alias(s), F.col(mark).alias(m)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & F.col(risk.stratum).eqNullSafe(F.col(s)) & (F.col(mark) == F.col(m))
     return marked.join(bad, same, "left_anti").select(*docs.columns)

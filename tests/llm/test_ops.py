@@ -147,6 +147,33 @@ def test_schedule_is_spread_out(spark):
         assert sorted(r["turn"] for r in rows if r["source_rank"] == s) == list(range(n))
 
 
+def test_every_stretch_of_the_mix_meets_the_shares(spark):
+    """Sorted by slot, each beginning of the mixed output holds the sources near their shares."""
+    rng = random.Random(12)
+    texts = [sentences(rng, rng.randint(20, 400)) for _ in range(900)]
+    sources = [rng.choice(["a", "a", "b", "c"]) for _ in texts]
+    docs = docs_of(spark, texts, sources)
+    rows = mixing.mix(docs, mixing.Mix(block_words=64), slot="slot").orderBy("slot").collect()
+    sizes = [(r["source"], len(WORDS.findall(r["text"]))) for r in rows]
+    total = sum(n for _, n in sizes)
+    for s in "abc":
+        share = sum(n for x, n in sizes if x == s) / total
+        run, mine = 0, 0
+        for x, n in sizes:
+            run, mine = run + n, mine + n * (x == s)
+            if run > total / 4:
+                assert abs(mine / run - share) < 0.08
+    assert all((r["first_slot"] is not None) == (r["taken"] > 0) for r in mixing.taken_words(docs).collect())
+
+
+def test_mix_keeps_columns_of_clashing_names(spark):
+    docs = docs_of(spark, ["a b c", None, "d e", "d e"]).withColumn("doc_id", F.greatest(F.col("doc_id"), F.lit(1)))
+    for c in ("size", "copy", "words", "slot", "mix_key1", "mix_taken", "source_rank", "target"):
+        docs = docs.withColumn(c, F.lit(c))
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns and all(r["mix_key1"] == "mix_key1" and r["slot"] == "slot" for r in out.collect())
+
+
 # quality
 
 
@@ -179,7 +206,59 @@ def test_binomial_tail(spark):
     df = spark.createDataFrame([(k, n) for k, n in ((0, 10), (3, 40), (7, 300), (0, 5000), (60, 1000))], "k long, n long")
     for r in df.select("k", "n", quality.binomial_tail(F.col("k"), F.col("n"), 0.05).alias("p")).collect():
         exact = sum(math.comb(r["n"], i) * 0.05**i * 0.95 ** (r["n"] - i) for i in range(r["k"] + 1))
-        assert r["p"] == pytest.approx(exact, rel=1e-9)
+        assert r["p"] == pytest.approx(exact, rel=1e-9) if r["k"] < r["n"] * 0.05 else r["p"] == 1.0
+    large = spark.createDataFrame([(49_000_000, 1_000_000_000)], "k long, n long")
+    assert large.select(quality.binomial_tail(F.col("k"), F.col("n"), 0.05).alias("p")).first()["p"] < 1e-40
+
+
+def test_the_verdict_of_all_rules_holds_the_risk(spark):
+    """Labelled tables whose rules each reject 1.6 % of good documents: one by one all would pass at 5 %, but
+    their union would reject twice as many. Of 30 tables at most a few verdicts may be above the risk."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for table in range(30):
+        for i in range(3000):
+            good = i % 3 > 0
+            hit = rng.random(len(quality.RULES)) < (0.016 if good else 0.35)
+            rows.append((table * 10_000 + i, f"t{table:02d}", 100, 0, *[1.0 if h else 0.0 for h in hit], int(good)))
+    names = ["doc_id", "lang", "n_words", "n_repeat_words", *quality.RULES, "quality"]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, n_repeat_words long, " + ", ".join(f"{r} double" for r in quality.RULES) + ", quality int")
+    assert df.columns == names
+    used = quality.certified_cutoffs(df.drop("quality"), df.select("doc_id", "quality")).toPandas()
+    assert len(used) and (used["p_value"] <= 0.05 / 30).all()
+    for _, mine in used.groupby("stratum"):
+        true_rate = 1 - (1 - 0.016) ** len(mine)  # known from how the table was made
+        assert true_rate <= 0.05
+
+
+def test_proposals_and_certificates_equal_brute_force(spark):
+    import math
+
+    rng = random.Random(15)
+    rows = [(i, rng.choice(["a", "b", None]), 100, 0, *[round(rng.random() * (0.2 if i % 4 else 1.0), 2) for _ in quality.RULES], int(i % 4 > 0)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, n_repeat_words long, " + ", ".join(f"{r} double" for r in quality.RULES) + ", quality int")
+    half = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.pmod(F.xxhash64(F.lit("holdout"), "doc_id"), F.lit(2)).alias("h")).collect()}
+    expected = []
+    for stratum in ("a", "b", None):
+        mine = [r for r in rows if r[1] == stratum]
+        fit, test = [r for r in mine if half[r[0]] == 0], [r for r in mine if half[r[0]] == 1 and r[-1] == 1]
+        proposals = []
+        for k, rule in enumerate(quality.RULES):
+            best = None
+            for c in quality.CANDIDATES:
+                bad, good = (sum(r[4 + k] >= c - 1e-9 and r[-1] == label for r in fit) for label in (0, 1))
+                if bad and bad >= 0.9 * (bad + good) and (best is None or bad - 4 * good > best[0]):
+                    best = (bad - 4 * good, rule, c, k)
+            proposals += [best] if best else []
+        proposals.sort(key=lambda x: (-x[0], x[1]))
+        for j in range(1, len(proposals) + 1):
+            rejected = sum(any(r[4 + k] >= c - 1e-9 for _, _, c, k in proposals[:j]) for r in test)
+            p = sum(math.comb(len(test), i) * 0.05**i * 0.95 ** (len(test) - i) for i in range(rejected + 1))
+            if p > 0.05 / 3:
+                break
+            expected.append((str(stratum), proposals[j - 1][1], proposals[j - 1][2], j, len(test), rejected))
+    got = quality.certified_cutoffs(df.drop("quality"), df.select("doc_id", "quality")).collect()
+    assert sorted((str(r["stratum"]), r["rule"], round(r["cutoff"], 2), r["place"], r["n_good"], r["n_rejected"]) for r in got) == sorted(expected)
 
 
 def test_certified_rules_reject_junk_and_keep_the_rest(spark, empty):
