@@ -7,11 +7,14 @@ whose sum so far plus the most that the remaining dimensions can add (product of
 Cauchy and Schwarz) reaches the k-th best certain score. Sums are 64-bit integers, so scores are exact;
 bounds are widened by more than their rounding error, so no candidate is lost.
 
-Queries travel in blocks of bounded size to all chunks, by an equi-join on a block's number and a salt.
-A task returns at most k rows for each of its queries, and the k best of all chunks are chosen at the end.
+Candidates are dealt once, by a salt; blocks of queries of bounded size, few rows beside them, travel to
+every salt by an equi-join. A task returns at most k rows for each of its queries, and the k best of all
+chunks are chosen at the end.
 
 Defined cases: vectors that are null or empty, or hold null or non-finite components, and rows without an
-id take no part; shorter vectors count as 0 in the dimensions that they lack; equal scores go to the
+id take no part; shorter vectors count as 0 in the dimensions that they lack; components beyond 64 bits
+count as the largest such number, and scores beyond 64 bits as the largest or smallest, in ties where
+several are; equal scores go to the
 smaller id; a query's own row is every row with its id; of rows that share a query's id the vector that
 sorts first is the query, while as candidates for other queries repeated rows each count; fewer than k
 candidates give fewer rows; an empty table gives an empty result; other columns are ignored.
@@ -31,6 +34,8 @@ CHUNK = 8_192
 QUERIES = 512
 STEP = 8
 SCALE = 1024
+#: Products of lengths up to here cannot leave 64 bits.
+SAFE = 2.0**62
 
 
 def integer_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -65,17 +70,29 @@ def _rest(m: np.ndarray) -> np.ndarray:
     return np.sqrt(np.vstack([np.cumsum(mass[::-1], axis=0)[::-1], np.zeros((1, m.shape[1]))]))
 
 
+def _saturated(q: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+    """Exact products of very large vectors, in numbers of any size, then held within 64 bits."""
+    sums = q.astype(object) @ chunk.astype(object)
+    return np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in sums], dtype=np.int64)
+
+
 def search_chunk(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, chunk: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, ids, scores) of the k best candidates of a chunk for each query."""
     dims = max(queries.shape[0], chunk.shape[0])
     queries = np.pad(queries, ((0, dims - queries.shape[0]), (0, 0)))
     chunk = np.pad(chunk, ((0, dims - chunk.shape[0]), (0, 0)))
     rest_q, rest_c = _rest(queries), _rest(chunk)
+    longest = rest_c[0].max()
     for j, own in enumerate(query_ids.tolist()):
         q = queries[:, j]
         alive = np.flatnonzero(ids != own)
         if not len(alive):
             continue
+        if rest_q[0, j] * longest >= SAFE:
+            sums = _saturated(q, chunk[:, alive])
+            order = np.lexsort((ids[alive], ~sums))[:k]  # not the negative, which the least number lacks
+            yield own, ids[alive[order]], sums[order]
+            continue
         sums = np.zeros(len(alive), dtype=np.int64)
         floor = -np.inf
         for b, at in enumerate(range(0, dims, STEP)):
@@ -115,10 +132,10 @@ def top_k(table: DataFrame, is_query, k: int = 10, key: str = "vec_id", vector:
     n_queries = wanted.count()
     blocks = max(1, -(-n_queries // QUERIES))
     # whole blocks of queries: dealt by a hash to as many groups, so that groups stay near the block size
-    groups = wanted.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("v").alias("vs"))
-    spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    candidates = vectors.mapInPandas(chunks, packed).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    tasks = candidates.join(spread.select("block", "salt", F.col("ids").alias("query_ids"), F.col("vs").alias("query_vectors")), ["block", "salt"])
+    groups = wanted.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list("vec_id").alias("query_ids"), F.collect_list("v").alias("query_vectors"))
+    spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).drop("block")
+    candidates = vectors.mapInPandas(chunks, packed).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
+    tasks = candidates.join(spread, "salt")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
