@@ -198,10 +198,17 @@ def write_archives(pages: DataFrame, folder: str | None = None, layout: Layout =
     return folder, cut(texts.mapInPandas(bundles, INDEX), "warc-index")
 
 
+def dealt_bundles(index: DataFrame) -> DataFrame:
+    """(bundle): the bundles of ``index`` in as many partitions as there are bundles: a number given, which
+    adaptive execution does not put together."""
+    names = index.select("bundle").distinct()
+    return names.repartition(max(1, names.count()), "bundle")
+
+
 def read_archives(folder: str, index: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url, intact: read from the bundles
     that ``index`` names, a frame at a time; a response is intact if its payload has the digest and length
-    of its head. Only names of bundles are shuffled; a task opens the bundles that it is dealt."""
+    of its head. Only names of bundles are shuffled; a task opens the few bundles that it is dealt."""
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = lambda urn: None if urn is None or urn == _urn(None) else urn[len("<urn:page:") : -1]
@@ -221,8 +228,7 @@ def read_archives(folder: str, index: DataFrame) -> DataFrame:
                     yield pd.DataFrame(found, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact"])
                 bundle.close()
 
-    names = index.groupBy("bundle").agg(F.count("*").alias("n"))
-    read = names.select("bundle").mapInPandas(records, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, intact boolean")
+    read = dealt_bundles(index).mapInPandas(records, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, intact boolean")
     return read.withColumn("page_id", F.col("page_id").cast("long")).withColumn("refers_to", F.col("refers_to").cast("long"))
 
 
