@@ -402,6 +402,17 @@ def test_search_equals_brute_force(spark):
     assert topk.every_hundredth(table.where("vec_id in (0, 1, 2)")).count() == 2
 
 
+def test_search_with_numbers_beyond_64_bits(spark):
+    rows = [(0, [1e15, 1.0]), (100, [1e15, 1.0]), (1, [-1e15, 2.0]), (2, [1e300, 0.0]), (3, [0.5, 0.25])]
+    got = {}
+    for r in topk.every_hundredth(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    top, low = 2**63 - 1, -(2**63)
+    small = 1024 * 10**15 * 512 + 1024 * 256
+    assert sorted(got[0]) == [(1, 2, top), (2, 100, top), (3, 3, min(top, small)), (4, 1, low)]
+    assert sorted(got[100]) == [(1, 0, top), (2, 2, top), (3, 3, min(top, small)), (4, 1, low)]
+
+
 # WARC
 
 
@@ -418,6 +429,8 @@ def test_warc_round_trip(spark):
         payload = (html or "").encode()
         expect = ("revisit", 5) if html == big and page != 5 else ("response", None)
         assert all((r["record_type"], r["refers_to"]) == expect and r["payload_bytes"] == len(payload) and r["payload_digest"] == hashlib.sha1(payload).hexdigest() and r["url"] == url for r in mine)
+    n_bundles = index.select("bundle").distinct().count()
+    assert n_bundles > 1 and warc.dealt_bundles(index).select(F.spark_partition_id()).rdd.getNumPartitions() == n_bundles
     one = warc.fetch(folder, index, spark.createDataFrame([("<urn:page:7>",)], "record_id string")).collect()
     assert len(one) == 1 and warc.read_record(bytes(one[0]["record"]))[1] == b"\r\n\r\nWARC/1.1\r\n"
     assert warc.round_trip(pages.limit(0)).count() == 0
@@ -442,7 +455,7 @@ def near_corpus(rng):
     return texts + texts[:5] + [None, "", "  ", "short one", "short one", "short two"]
 
 
-@pytest.mark.parametrize("how", [jaccard_join.Join(), jaccard_join.Join(small=2, block=3, depth=3)])
+@pytest.mark.parametrize("how", [jaccard_join.Join(), jaccard_join.Join(small=2, block=3), jaccard_join.Join(small=2, dense=0.9, block_bytes=2000)])
 def test_join_equals_brute_force(spark, how):
     texts = near_corpus(random.Random(7))
     sets = [plain_sets(t) for t in texts]
@@ -471,16 +484,46 @@ def test_join_equals_brute_force(spark, how):
 
 
 def test_join_recall_in_large_groups(spark):
-    # pairs that share 70 of 100 hashes, in groups of thousands that are split to the last depth
+    # pairs that share 70 of 100 hashes, in groups of thousands that are split again and again
     rng = np.random.default_rng(8)
     n = 4000
     one = rng.integers(0, 4, (n, 64), dtype=np.uint32)
     two = np.where(rng.random((n, 64)) < 0.7, one, (one + rng.integers(1, 4, (n, 64), dtype=np.uint32)) % 4).astype("<u4")
-    rows = [(f"{side}{i:05}".encode(), s[i].astype("<u4").tobytes()) for side, s in (("a", one), ("b", two)) for i in range(n)]
-    held = jaccard_join._buckets(spark.createDataFrame(rows, "sid binary, sk binary"), jaccard_join.Join()).select(F.substring(F.col("sid").cast("string"), 2, 5).alias("pair"), "sid", "bucket")
+    rows = [(f"{side}{i:05}".encode(), 9, s[i].astype("<u4").tobytes()) for side, s in (("a", one), ("b", two)) for i in range(n)]
+    held = jaccard_join._buckets(spark.createDataFrame(rows, "sid binary, n int, sk binary"), jaccard_join.Join()).select(F.substring(F.col("sid").cast("string"), 2, 5).alias("pair"), "sid", "bucket")
     met = held.groupBy("pair", "bucket").agg(F.count_distinct("sid").alias("n")).where("n = 2").select("pair").distinct().count()
     assert n - met <= 10
-    assert jaccard_join.missed(jaccard_join.Join(), 0.8) <= 1e-4
+    assert jaccard_join.missed(jaccard_join.Join(), 0.8) <= 1e-5
+
+
+def test_join_recall_at_the_threshold_in_one_crowd(spark):
+    """A crowd of 700 texts, nearly all pairs of it between 0.7 and 0.9: links are found, none is invented."""
+    rng = random.Random(21)
+    base, texts = sentences(rng, 400).split(), []
+    for k in range(700):
+        words = list(base)
+        for at in rng.sample(range(400), rng.randint(3, 6)):
+            words[at] = f"v{k}x{at}"
+        texts.append(" ".join(words))
+    sets = [jaccard_join.shingles(t) for t in texts]
+    owner = np.repeat(np.arange(700), [len(x) for x in sets])
+    every = np.arange(700)
+    both = jaccard_join._shared(owner, np.concatenate(sets), 700, every, every)
+    size = np.array([len(x) for x in sets])
+    share = both / (size[:, None] + size - both)
+    near = (share >= 0.8) & ~np.eye(700, dtype=bool)
+    assert ((share > 0.8) & (share < 0.85)).sum() > 50_000
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.link_counts(docs_of(spark, texts), jaccard_join.Join(block=256)).collect()}
+    found = np.array([got[i] for i in range(700)])
+    assert (found <= near.sum(1)).all() and found.sum() >= 0.9995 * near.sum()
+
+
+def test_join_keeps_columns_of_clashing_names(spark):
+    docs = docs_of(spark, ["a b c d e f", "a b c d e f", None])
+    for c in ("text_mark", "class_first", "class_mark", "bucket", "sid"):
+        docs = docs.withColumn(c, F.lit(c))
+    out = jaccard_join.keep_first(docs)
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [0, 2]
 
 
 def test_join_hard_cases(spark, hard, empty):
