@@ -3,15 +3,17 @@ r"""Information-theoretic sanitisation of personal data.
 Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. The corpus then
 says how strongly other words reveal them. A word ``t`` near an entity ``e`` reveals the part
 PMI(t; e) / IC(e) of e's information, where IC(e) = -log2 p(e) and PMI = log2 p(t, e) / (p(t) p(e)).
-p(t), p(e) and p(t, e) all count distinct texts, so that copies of one text are one piece of evidence. Where
-a word occurs in ``support`` distinct contexts (the words around a mention) of the entity, p(t, e) / p(t) is
-taken as counted; in fewer, as with values mentioned once or twice, its lower bound (Wilson's, ``errors``
-standard errors, the contexts as draws) stands for it. A word is removed where it reveals ``remove`` of an
-entity or more, and generalised to the entity's kind from ``generalise`` on, wherever in the corpus it stands.
-
-Work on texts is row by row in Arrow batches; counts are Spark aggregations. The words at risk are
-counted first; they and the hashes of texts that have copies go to the tasks in blocks of a fixed size, one
-pass over the corpus each.
+p(t), p(e) and p(t, e) all count distinct texts, so that copies of one text are one piece of evidence. Words
+are runs of letters in lower case that touch no base span: other addresses and numbers are no words. Where
+a word occurs in ``support`` distinct contexts (the words around a mention) and texts of the entity,
+p(t, e) / p(t) is taken as counted; in fewer, as with values mentioned once or twice, its lower bound
+(Wilson's, ``errors`` standard errors, the contexts or texts as draws) stands for it. A word is removed where
+it reveals ``remove`` of an entity or more, and generalised to the entity's kind from ``generalise`` on,
+wherever in the corpus it stands outside base spans.
+
+Work on texts is row by row in Arrow batches; counts are Spark aggregations. The corpus is passed a fixed
+number of times: once for contexts, once for the words at risk, once to mark. Up to ``block`` words go to the
+tasks by broadcast; beyond that words and texts meet in joins, with equal results.
 
 Base patterns, leftmost and non-overlapping for each kind, matches that fail their check dropped without
 another try: e-mail ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+``, ip
@@ -37,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 #: Fixed order of the kinds.
 KINDS = ("email", "ip", "card", "phone")
@@ -65,7 +67,7 @@ class Disclosure:
     errors: float = 2.58
     generalise: float = 0.75
     remove: float = 0.9
-    #: Words that one pass over the corpus looks for, and texts with copies that it knows.
+    #: Most words, and most texts with copies, that are broadcast; more of them are joined.
     block: int = 200_000
 
 
@@ -116,14 +118,30 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower()}" if kind in ("email", "ip") else f"{kind}:{''.join(c for c in value if c in '0123456789')}"
 
 
-def terms(text: str) -> Iterator[re.Match]:
-    return _TERM.finditer(text)
+def terms(text: str, spans: list[Span]) -> Iterator[re.Match]:
+    """The words of ``text`` that touch none of its base spans."""
+    at = iter([*spans, (len(text) + 1, 0, "")])
+    start, stop, _ = next(at)
+    ends = 0
+    for m in _TERM.finditer(text):
+        while start < m.end():
+            ends = max(ends, stop)
+            start, stop, _ = next(at)
+        if m.start() >= ends:
+            yield m
+
+
+def _words(text: str) -> set[str]:
+    """The distinct words of ``text`` in lower case, those of base spans left out."""
+    spans = base_spans(text)
+    found = [m[0] for m in terms(text, spans)] if spans else _TERM.findall(text)
+    return {w.lower() for w in set(found)}
 
 
 def _contexts(text: str, window: int) -> Iterator[tuple[str, str, list[str]]]:
     """(entity, digest of the context, its distinct words) of each mention."""
     spans = base_spans(text)
-    every = list(terms(text)) if spans else []
+    every = list(terms(text, spans)) if spans else []
     starts, ends = [m.start() for m in every], [m.end() for m in every]
     for start, end, kind in spans:
         last, first = bisect_right(ends, start), bisect_left(starts, end)
@@ -146,30 +164,43 @@ def contexts(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     return marked.mapInPandas(rows, "entity string, context string, mark long, words array<string>").dropDuplicates(["entity", "context", "mark"])
 
 
-def _text_counts(docs: DataFrame, wanted: frozenset[str], copies: dict[int, int] | None) -> DataFrame:
-    """(term, n): the texts that hold each wanted word, counted in each batch and then added up. With
-    ``copies`` (how many documents have a text, by its hash), what must be taken off so that those texts count once."""
-    held = docs.sparkSession.sparkContext.broadcast((wanted, copies))
+def _few(table: DataFrame, most: int) -> list | None:
+    """The rows of ``table`` where there are at most ``most``."""
+    rows = table.limit(most + 1).collect()
+    return rows if len(rows) <= most else None
+
+
+def _text_counts(docs: DataFrame, risky: DataFrame, copied: DataFrame, most: int) -> DataFrame:
+    """(term, n): the distinct texts that hold each word of ``risky``, in one pass over the corpus.
+
+    Tasks count words by batch. Texts that may have copies (their hashes in ``copied``; all, where those are
+    too many to send) are listed by word and hash instead, and each counts once."""
+    few_words, few_texts = _few(risky, most), _few(copied, most)
+    wanted = None if few_words is None else frozenset(r.term for r in few_words)
+    listed = None if few_texts is None else frozenset(r.mark for r in few_texts)
+    held = docs.sparkSession.sparkContext.broadcast((wanted, listed))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, copies = held.value
+        wanted, listed = held.value
         for pdf in batches:
             counts: Counter = Counter()
+            seen: dict[int, set[str]] = {}
             for text, k in zip(pdf["text"], pdf["mark"]):
-                if isinstance(text, str) and (copies is None or k in copies):
-                    off = 1.0 if copies is None else 1.0 / copies[k] - 1.0
-                    for w in words.intersection(_TERM.findall(text.lower())):
-                        counts[w] += off
-            yield pd.DataFrame(list(counts.items()), columns=["term", "n"])
-
-    return docs.select("text", F.xxhash64("text").alias("mark")).mapInPandas(rows, "term string, n double").groupBy("term").agg(F.sum("n").alias("n"))
-
-
-def _blocks(table: DataFrame, n: int, size: int, columns: list[str]) -> Iterator[list]:
-    """The rows of ``table`` in blocks of about ``size``, by a hash of the first column."""
-    parts = max(1, -(-n // size))
-    for i in range(parts):
-        yield table.where(F.pmod(F.xxhash64(F.col(columns[0])), F.lit(parts)) == i).select(*columns).collect()
+                if isinstance(text, str) and k not in seen:
+                    found = _words(text) if wanted is None else wanted & _words(text)
+                    if listed is None or k in listed:
+                        seen[k] = found
+                    else:
+                        counts.update(found)
+            pairs = [(w, k, 0) for k, found in seen.items() for w in found]  # a number of 0 marks the listed ones
+            yield pd.DataFrame([*((w, 0, n) for w, n in counts.items()), *pairs], columns=["term", "mark", "n"])
+
+    found = docs.select("text", F.xxhash64("text").alias("mark")).mapInPandas(rows, "term string, mark long, n long")
+    if wanted is None:
+        found = found.join(risky, "term", "left_semi")
+    alone = found.where("n > 0").groupBy("term").agg(F.sum("n").alias("n"))
+    shared = found.where("n = 0").select("term", "mark").distinct().groupBy("term").agg(F.count("*").alias("n"))
+    return alone.unionByName(shared).groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def disclosing_terms(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
@@ -186,29 +217,17 @@ def disclosing_terms(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFra
 
     def share(n) -> Column:
         p = F.least(F.lit(1.0), F.col("n_both") / n)
-        draws, z2 = F.col("n_contexts") / p, how.errors**2
+        evidence = F.least("n_contexts", "n_both")
+        draws, z2 = evidence / p, how.errors**2
         bound = (p + z2 / (2 * draws) - how.errors * F.sqrt(p * (1 - p) / draws + z2 / (4 * draws * draws))) / (1 + z2 / draws)
-        sure = F.when(F.col("n_contexts") >= how.support, p).otherwise(bound)
+        sure = F.when(evidence >= how.support, p).otherwise(bound)
         revealed = F.greatest(F.lit(0.0), F.col("information") + F.log2(sure)) / F.greatest(F.col("information"), F.lit(1e-9))
         return F.least(F.lit(1.0), revealed)
 
     # a word's share is largest if it stands nowhere else; others need not be counted
     pairs = pairs.where(share(F.col("n_both")) >= how.generalise)
     risky = cut(pairs.select("term").distinct(), "pii-risky")
-    n_risky = risky.count()
-    copied = marks.where("copies > 1")
-    n_copied = copied.count() if n_risky else 0
-    counts = None
-    for block in _blocks(risky, n_risky, how.block, ["term"]) if n_risky else ():
-        wanted = frozenset(r.term for r in block)
-        parts = [_text_counts(docs, wanted, None)]
-        for some in _blocks(copied, n_copied, how.block, ["mark", "copies"]) if n_copied else ():
-            parts.append(_text_counts(docs, wanted, {r.mark: r.copies for r in some}))
-        for part in parts:
-            counts = part if counts is None else counts.unionByName(part)
-    if counts is None:
-        return pairs.limit(0).select("term", F.lit("").alias("kind"), F.lit("").alias("action"), F.lit(0.0).alias("share"))
-    counts = counts.groupBy("term").agg(F.round(F.sum("n")).alias("n"))
+    counts = cut(_text_counts(docs, risky, marks.where("copies > 1"), how.block), "pii-counts")
     scored = pairs.join(counts, "term").withColumn("share", share(F.col("n"))).where(F.col("share") >= how.generalise)
     best = scored.groupBy("term").agg(F.max(F.struct("share", F.split("entity", ":")[0].alias("kind"))).alias("b"))
     return cut(best.select("term", F.col("b.kind").alias("kind"), F.when(F.col("b.share") >= how.remove, "remove").otherwise("generalise").alias("action"), F.col("b.share").alias("share")), "pii-terms")
@@ -219,24 +238,15 @@ def _marked(text: str, risky: dict[str, str]) -> list[Span]:
     spans = base_spans(text)
     if not risky:
         return spans
-    more: list[Span] = []
-    ends = 0
-    at = iter([*spans, (len(text) + 1, 0, "")])
-    start, stop, _ = next(at)
-    for m in terms(text):
-        kind = risky.get(m[0].lower())
-        if kind is None:
-            continue
-        while start < m.end():
-            ends = max(ends, stop)
-            start, stop, _ = next(at)
-        if m.start() >= ends:
-            more.append((m.start(), m.end(), kind))
+    more = [(m.start(), m.end(), kind) for m in terms(text, spans) if (kind := risky.get(m[0].lower()))]
     return sorted([*spans, *more], key=lambda s: (s[0], KINDS.index(s[2]) if s[2] in KINDS else len(KINDS), s[1]))
 
 
+SPANS = "array<struct<start:int,end:int,kind:string>>"
+
+
 def _span_finder(risky):
-    @F.pandas_udf("array<struct<start:int,end:int,kind:string>>")
+    @F.pandas_udf(SPANS)
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([[{"start": a, "end": b, "kind": k} for a, b, k in _marked(x or "", risky.value)] for x in batch], dtype=object)
@@ -244,21 +254,36 @@ def _span_finder(risky):
     return spans
 
 
-def find(docs: DataFrame, text: str = "text", how: Disclosure = Disclosure()) -> DataFrame:
-    """``docs`` with column ``pii_spans``: array of (start, end, kind); added words have the kind
+def _joined_spans(texts: DataFrame, terms_at_risk: DataFrame) -> DataFrame:
+    """(mark, added): the spans of words at risk in distinct texts, where the words are too many to broadcast."""
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for text, k in zip(pdf["text"], pdf["mark"]):
+                if isinstance(text, str):
+                    yield pd.DataFrame([(k, m[0].lower(), m.start(), m.end()) for m in terms(text, base_spans(text))], columns=["mark", "term", "start", "end"])
+
+    found = texts.mapInPandas(places, "mark long, term string, start int, end int").distinct()
+    named = terms_at_risk.select("term", F.concat_ws("-", "action", "kind").alias("kind"))
+    return found.join(named, "term").groupBy("mark").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("added"))  # those of one text
+
+
+def find(docs: DataFrame, text: str = "text", how: Disclosure = Disclosure(), to: str = "pii_spans") -> DataFrame:
+    """``docs`` with column ``to``: array of (start, end, kind); added words have the kind
     "generalise-<kind>" or "remove-<kind>" of the entity that they reveal."""
     risky = disclosing_terms(docs.select(F.col(text).alias("text")), how)
-    n = risky.count()
-    out = None
-    for block in _blocks(risky, n, how.block, ["term", "action", "kind"]):
-        spans = _span_finder(docs.sparkSession.sparkContext.broadcast({r.term: f"{r.action}-{r.kind}" for r in block}))
-        if out is None:
-            out = docs.withColumn("pii_spans", spans(F.col(text)))
-        else:  # each further block of words adds its own spans to the row
-            order = lambda s: F.struct(s["start"].alias("start"), F.coalesce(*[F.when(s["kind"] == k, F.lit(i)) for i, k in enumerate(KINDS)], F.lit(len(KINDS))).alias("o"), s["end"].alias("end"), s["kind"].alias("kind"))
-            both = F.sort_array(F.transform(F.array_union(F.col("pii_spans"), spans(F.col(text))), order))
-            out = out.withColumn("pii_spans", F.transform(both, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return out
+    few = _few(risky, how.block)
+    known = {r.term: f"{r.action}-{r.kind}" for r in few or ()}
+    spans = _span_finder(docs.sparkSession.sparkContext.broadcast(known))(F.col(text))
+    if few is not None:
+        return docs.withColumn(to, spans)
+    mark = free_name(docs, "pii_mark")
+    marked = docs.withColumn(mark, F.xxhash64(text))
+    added = _joined_spans(marked.select(F.col(text).alias("text"), F.col(mark).alias("mark")), risky).select(F.col("mark").alias(mark), F.col("added").alias(to))
+    both = marked.join(added, mark, "left").withColumn(to, F.concat(spans, F.coalesce(to, F.array().cast(SPANS))))
+    rank = lambda s: F.coalesce(*[F.when(s["kind"] == k, F.lit(i)) for i, k in enumerate(KINDS)], F.lit(len(KINDS)))
+    ordered = F.array_sort(F.transform(to, lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return both.withColumn(to, F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).select(*docs.columns, to)
 
 
 def redact(text: str | None, spans: list) -> str | None:
@@ -282,14 +307,15 @@ def redact(text: str | None, spans: list) -> str | None:
 
 def sanitise(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     """``docs`` with the spans in ``text`` replaced, and ``n_chars``, where there is one, counted anew."""
-    marked = find(docs, how=how)
+    to = free_name(docs, "pii_spans")
+    marked = find(docs, how=how, to=to)
 
     @F.pandas_udf("string")
     def replaced(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, spans in batches:
             yield pd.Series([redact(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    done = marked.withColumn("text", replaced("text", "pii_spans"))
+    done = marked.withColumn("text", replaced("text", to))
     return done.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
