@@ -3,20 +3,27 @@
 A text is the set of its word shingles (five words; a shorter text is one shingle of all its words).
 Equal sets are one set with copies. Each set is embedded as ``hashes`` minimum hashes, of which two sets
 share a part near their Jaccard similarity. The join splits all sets on sampled tokens of that embedding:
-at a node of a run, a few places are drawn from the node's name, and a set goes to one child for each
-place, named after its token there, so that only sets that share the token meet again. Buckets of one set
-are dropped, small ones are compared by brute force, larger ones are split further; a bucket that keeps
-most of its parent's sets, or has reached the last depth, is compared as it is, in blocks, so nothing is
-capped. Runs repeat, from other places, until the target recall: a pair at similarity s that meets at a node
-whose children it shares with probability s each, and is then found below with probability f, is found there
-with probability 1 - (1 - s f)^places; ``missed`` follows this from the deepest level to the roots of all runs,
-and the number of runs is the least with which at most 1 - ``recall`` of the pairs at the threshold are missed.
+at a node of a run, a few places are drawn from the node's name among those that its path has not used, and
+a set goes to one child for each place, named after its token there, so that only sets that share the token
+meet again. Buckets of one set are dropped, small ones are compared by brute force, larger ones are split
+further, as deep as it takes. Only a bucket of sets that are mostly alike, where one child would keep more than
+``dense`` of them, is compared as it is: its pairs are near ones, which the number of links counts, and no
+split parts them. Large buckets are compared in blocks of bounded size, each block with each; a block meets
+another as a whole, so that rows are blocks, not pairs. Nothing is capped.
+
+Runs repeat, from other places, until the target recall: a pair at similarity s that meets at a node whose
+children it shares with probability s each, and is then found below with probability f, is found there with
+probability 1 - (1 - s f)^places. Splitting deeper and deeper, f falls to a fixed point, at which ``missed``
+counts the pairs that no run finds; the number of runs is the least with which at most 1 - ``recall`` of the
+pairs at the threshold are missed.
 
 Pairs whose embeddings are far apart are left out (at 64 hashes and the margin used, a pair at the
 threshold is left out once in some 10^5 cases); the others are verified exactly on their whole shingle
-sets. A pair is verified in one bucket only, the first by name that both sets are in. Rows hold sets, not
-pairs: tasks count links and join what is linked within a bucket to its first member; connected components
-then come from alternating large-star and small-star steps.
+sets. A pair is verified in one bucket only, the first by name that both sets are in. What leaves a task is
+sets, never pairs: which sets have partners, then their numbers of links and the first set that each is
+linked to within the task; connected components come from alternating large-star and small-star steps.
+Joins on sets and buckets leave hot keys (a text copied very often, a very large class) to Spark's adaptive
+skew join; sums by the same keys are added up before the shuffle.
 
 Shingles are compared by 64-bit hashes of their words; sets are identified by 128-bit hashes.
 
@@ -39,7 +46,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import SPACE_CLASS, WORD, cut, free_name
 
 #: Words remembered within a task; beyond it the memory starts anew.
 REMEMBERED = 200_000
@@ -59,17 +66,17 @@ class Join:
     hashes: int = 64
     #: Share of equal hashes from which a pair is verified.
     verify_from: float = 0.56
-    #: Share of the pairs at the threshold that the splitting finds at least, in buckets split to the last depth.
-    recall: float = 0.9999
+    #: Share of the pairs at the threshold that the splitting finds at least, however deep it goes.
+    recall: float = 0.99999
     #: Places drawn at each node, the roots included.
     places: int = 2
     #: Buckets up to this size are compared by brute force.
     small: int = 64
-    #: A child with more than this share of its parent's sets is not split further.
-    dense: float = 0.5
-    depth: int = 4
-    #: Sets of a larger bucket that meet in one task: two blocks of about this size.
-    block: int = 256
+    #: A bucket is not split if a child would keep more than this share of its sets.
+    dense: float = 0.7
+    #: Sets and bytes of shingles of a larger bucket that meet in one task: two blocks of about this size.
+    block: int = 1024
+    block_bytes: int = 32 << 20
 
     @property
     def runs(self) -> int:
@@ -78,10 +85,10 @@ class Join:
 
 
 def missed(how: Join, similarity: float, runs: int | None = None) -> float:
-    """The part of pairs at ``similarity`` that meet in no compared bucket, all buckets split to the last depth."""
-    found = 1.0
-    for _ in range(how.depth):
-        found = 1 - (1 - similarity * found) ** how.places
+    """The part of pairs at ``similarity`` that meet in no compared bucket, however deep buckets are split."""
+    found, before = 1.0, 2.0
+    while before - found > 1e-12:
+        found, before = 1 - (1 - similarity * found) ** how.places, found
     return (1 - found) ** (how.runs if runs is None else runs)
 
 
@@ -144,26 +151,38 @@ def _token(place: Column) -> Column:
     return F.substring(F.col("sk"), (place * 4 + 1).cast("int"), F.lit(4))
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """``rows`` of buckets of two sets or more, with their numbers of sets and of shingles."""
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
+    return cut(rows.join(sizes, "bucket"), "join-buckets")
+
+
 def _buckets(sets: DataFrame, how: Join) -> DataFrame:
-    """(sid, bucket, size): the buckets that are compared, of two sets or more."""
-    roots = F.array(*[F.xxhash64(F.lit(r), F.lit(r * how.places + j), _token(F.lit(r * how.places + j))) for r in range(how.runs) for j in range(how.places)])
-    rows = sets.select("sid", F.explode(F.array_distinct(roots)).alias("bucket"), F.lit(None).cast("long").alias("parent_size"))
+    """(sid, n, bucket, size, shingles): the buckets that are compared, of two sets or more."""
+    root = lambda r, q: F.struct(F.xxhash64(F.lit(r), F.lit(q), _token(F.lit(q))).alias("bucket"), F.lit(1 << q).cast("long").alias("used"))
+    roots = F.array(*[root(r, r * how.places + j) for r in range(how.runs) for j in range(how.places)])
+    rows = _sized(sets.select("sid", "n", F.explode(roots).alias("r")).select("sid", "n", "r.*"))
+    # places in an order of the node's own (an odd step visits all), without those that its path has used
+    first, step = F.xxhash64("bucket", F.lit(0)), F.pmod(F.xxhash64("bucket", F.lit(1)), F.lit(how.hashes // 2)) * 2 + 1
+    order = F.transform(F.sequence(F.lit(0), F.lit(how.hashes - 1)), lambda k: F.pmod(F.pmod(first, F.lit(how.hashes)) + step * k, F.lit(how.hashes)))
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p.cast("int"))
+    drawn = F.slice(F.filter(order, lambda p: bit(p).bitwiseAND(F.col("used")) == 0), 1, how.places)
+    child = lambda p: F.struct(F.xxhash64("bucket", p, _token(p)).alias("bucket"), F.col("used").bitwiseOR(bit(p)).alias("used"))
     done: DataFrame | None = None
-    for depth in range(1, how.depth + 1):
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-        rows = cut(rows.join(sizes, "bucket"), f"join-depth{depth}")
-        stop = (F.col("size") <= how.small) | F.lit(depth == how.depth) | (F.coalesce(F.col("size") / F.col("parent_size"), F.lit(0.0)) > how.dense)
-        ended = rows.where(stop).select("sid", "bucket", "size")
+    while True:
+        stop = (F.col("size") <= how.small) | (F.bit_count("used") > how.hashes - how.places)
+        ended, rest = rows.where(stop), rows.where(~stop)
+        more = not rest.isEmpty()
+        if more:
+            parent = rest.join(sets.select("sid", "sk"), "sid").select("sid", "n", F.col("bucket").alias("parent"), F.col("size").alias("parent_size"), F.explode(F.transform(drawn, child)).alias("c"))
+            children = _sized(parent.select("sid", "n", "parent", "parent_size", "c.*"))
+            alike = cut(children.where(F.col("size") > how.dense * F.col("parent_size")).select("parent").distinct(), "join-alike")
+            ended = ended.unionByName(rest.join(alike, F.col("bucket") == F.col("parent"), "left_semi"))
+            rows = children.join(alike, "parent", "left_anti").drop("parent", "parent_size")
+        ended = ended.select("sid", "n", "bucket", "size", "shingles")
         done = ended if done is None else done.unionByName(ended)
-        rows = rows.where(~stop)
-        if depth == how.depth or rows.isEmpty():
-            break
-        # an odd step, so that the places of a node differ
-        first, step = F.xxhash64("bucket", F.lit(0)), F.pmod(F.xxhash64("bucket", F.lit(1)), F.lit(how.hashes // 2)) * 2 + 1
-        places = [F.pmod(F.pmod(first, F.lit(how.hashes)) + step * j, F.lit(how.hashes)) for j in range(how.places)]
-        children = F.array_distinct(F.array(*[F.xxhash64("bucket", p, _token(p)) for p in places]))
-        rows = rows.join(sets.select("sid", "sk"), "sid").select("sid", F.explode(children).alias("bucket"), F.col("size").alias("parent_size"))
-    return done
+        if not more:
+            return done
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -187,108 +206,130 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[s
 TASK = ["bucket", "low", "high"]
 
 
-def _near_pairs(g: dict[str, np.ndarray], how: Join) -> Iterator[tuple[int, int]]:
-    """Pairs of a task whose embeddings are near and that have no bucket in common before this one."""
+def _halves(g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the sets of a task's two blocks; twice the same where a block meets itself."""
+    every = np.arange(len(g["sid"]))
+    if g["low"][0] == g["high"][0]:
+        return every, every
+    return every[g["own"] == g["low"][0]], every[g["own"] == g["high"][0]]
+
+
+def _shared(owner: np.ndarray, values: np.ndarray, m: int, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """How many values each set of ``left`` has in common with each of ``right``; ``owner`` has each value's set."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)  # exact up to 2^24
+    _, at, counts = np.unique(values, return_inverse=True, return_counts=True)
+    several = counts[at] > 1
+    owner, at = owner[several], at[several]
+    if not len(at):
+        return out
+    _, at = np.unique(at, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    for start in range(0, int(at[-1]) + 1, width):
+        a, b = np.searchsorted(at, [start, start + width])
+        dense = np.zeros((m, min(width, int(at[-1]) + 1 - start)), dtype=np.float32)
+        dense[owner[a:b], at[a:b] - start] = 1
+        out += dense[left] @ dense[right].T
+    return out
+
+
+def _near_pairs(g: dict[str, np.ndarray], how: Join) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, place, places in the right half) of sets whose embeddings are near and that have no bucket in
+    common before this one."""
     m = len(g["sid"])
     s = np.frombuffer(b"".join(g["sk"]), dtype="<u4").reshape(m, -1)
-    n, blocks = g["n"].astype(np.int64), g["own"]
-    inside = g["low"][0] == g["high"][0]
-    lists: list = [None] * m
-    bucket = int(g["bucket"][0])
-    for i in range(m - 1):
-        rest = slice(i + 1, m)
-        near = (s[rest] == s[i]).sum(axis=1) >= how.verify_from * how.hashes
-        near &= np.minimum(n[rest], n[i]) >= (how.similarity - 1e-9) * np.maximum(n[rest], n[i])
-        if not inside:
-            near &= blocks[rest] != blocks[i]
-        for j in (np.flatnonzero(near) + i + 1).tolist():
-            for x in (i, j):
-                if lists[x] is None:
-                    lists[x] = set(g["buckets"][x].tolist())
-            if min(lists[i] & lists[j]) == bucket:
-                yield i, j
+    n = g["n"].astype(np.int64)
+    left, right = _halves(g)
+    inside = left is right
+    s_right, n_right = s[right], n[right]
+    met = None
+    for row, i in enumerate(left.tolist()):
+        start = row + 1 if inside else 0
+        others = n_right[start:]
+        near = np.minimum(others, n[i]) >= (how.similarity - 1e-9) * np.maximum(others, n[i])
+        near &= (s_right[start:] == s[i]).sum(axis=1) >= how.verify_from * how.hashes
+        at = np.flatnonzero(near) + start
+        if not len(at):
+            continue
+        if met is None:
+            names, owner = np.concatenate(g["buckets"]), np.repeat(np.arange(m), [len(b) for b in g["buckets"]])
+            before = names < g["bucket"][0]
+            met = _shared(owner[before], names[before], m, left, right) > 0
+        at = at[~met[row, at]]
+        if len(at):
+            yield row, i, at
 
 
 def candidates(sets: DataFrame, how: Join = Join()) -> DataFrame:
-    """(bucket, low, high, sid, n, partners): sets with the partners that are to be verified in a task."""
+    """(bucket, low, high, own, sid, n, sk, buckets): the sets that have partners to be verified in a task."""
     members = _buckets(sets, how)
-    lists = members.groupBy("sid").agg(F.collect_list("bucket").alias("buckets"))  # at most runs * places ** depth
-    parts = F.ceil(F.col("size") / how.block).cast("int")
-    rows = members.join(lists, "sid").join(sets.select("sid", "n", "sk"), "sid")
-    rows = rows.withColumn("parts", F.when(F.col("size") <= how.block, 1).otherwise(parts)).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).select(*TASK, "own", "sid", "n", "sk", "buckets")
-
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, TASK):
-            partners: dict[int, list[bytes]] = {}
-            for i, j in _near_pairs(g, how):
-                partners.setdefault(i, []).append(g["sid"][j])
-                partners.setdefault(j, [])
-            if partners:
-                at = list(partners)
-                yield pd.DataFrame({**{k: g[k][at] for k in TASK}, "sid": g["sid"][at], "n": g["n"][at], "partners": [partners[i] for i in at]})
+    lists = members.groupBy("sid").agg(F.collect_list("bucket").alias("buckets"))  # the leaves of a set's paths
+    parts = F.greatest(F.ceil(F.col("size") / how.block), F.ceil(F.col("shingles") * 8 / how.block_bytes)).cast("int")
+    rows = members.join(lists, "sid").join(sets.select("sid", "sk"), "sid").withColumn("parts", parts)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    held = ("sid", "n", "sk", "buckets")
+    blocks = rows.groupBy("bucket", "own", "parts").agg(*[F.collect_list(c).alias(c) for c in held])  # a block is bounded
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = blocks.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).select(*TASK, "own", *held)
+
+    def partnered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for packed in _groups(batches, TASK):
+            sizes = [len(x) for x in packed["sid"]]
+            g = {k: np.repeat(packed[k], sizes) for k in (*TASK, "own")}
+            for k in held:
+                g[k] = np.concatenate(packed[k]) if k == "n" else np.array([None, *(x for part in packed[k] for x in part)], dtype=object)[1:]
+            right = _halves(g)[1]
+            at: set[int] = set()
+            for _, i, others in _near_pairs(g, how):
+                at.add(i)
+                at.update(right[others].tolist())
+            if at:
+                keep = sorted(at)
+                yield pd.DataFrame({k: v[keep] for k, v in g.items()})
 
-    dealt = rows.repartition(*TASK).sortWithinPartitions(*TASK)
-    return dealt.mapInPandas(pairs, "bucket long, low int, high int, sid binary, n int, partners array<binary>")
+    dealt = blocks.repartition(*TASK).sortWithinPartitions(*TASK)
+    return dealt.mapInPandas(partnered, "bucket long, low int, high int, own int, sid binary, n int, sk binary, buckets array<long>")
 
 
-def _common_sizes(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, from the hashes that two sets or more hold."""
+def _links(g: dict[str, np.ndarray], how: Join) -> tuple[np.ndarray, np.ndarray]:
+    """The number of links of each set of a task, and the place of the first set that each is linked to, at
+    once or through others."""
+    limit = Fraction(how.similarity).limit_denominator(10_000)
+    sets = [np.frombuffer(x, dtype="<u8") for x in g["elements"]]
     m = len(sets)
-    every = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), [len(x) for x in sets])
-    _, at, counts = np.unique(every, return_inverse=True, return_counts=True)
-    shared = counts[at] > 1
-    owner, at = owner[shared], at[shared]
-    _, at = np.unique(at, return_inverse=True)
-    out = np.zeros((m, m), dtype=np.float64)
-    order = np.argsort(at, kind="stable")
-    owner, at = owner[order], at[order]
-    width = 4096
-    for start in range(0, int(at[-1]) + 1 if len(at) else 0, width):
-        a, b = np.searchsorted(at, [start, start + width])
-        dense = np.zeros((m, width), dtype=np.float32)
-        dense[owner[a:b], at[a:b] - start] = 1
-        out += dense @ dense.T
-    return out
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    left, right = _halves(g)
+    pairs = list(_near_pairs(g, how))
+    common = None
+    if sum(len(at) for _, _, at in pairs) > 2 * m:
+        common = _shared(np.repeat(np.arange(m), size), np.concatenate(sets), m, left, right)
+    rank = np.argsort(np.argsort(np.array([None, *g["sid"]], dtype=object)[1:], kind="stable"))
+    count, label = np.zeros(m, dtype=np.int64), rank.copy()
+    for row, i, at in pairs:
+        js = right[at]
+        both = common[row, at].astype(np.int64) if common is not None else np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in js])
+        js = js[both * limit.denominator >= limit.numerator * (size[i] + size[js] - both)]
+        if len(js):
+            count[i] += len(js)
+            count[js] += 1
+            merged = np.unique(label[[i, *js]])
+            if len(merged) > 1:
+                label[np.isin(label, merged)] = merged[0]
+    return count, np.argsort(rank)[label]
 
 
 def verify(wanted: DataFrame, elements: DataFrame, how: Join = Join()) -> DataFrame:
     """(sid, n_links, root): links found in each task, and the first of the sets that they connect."""
-    limit = Fraction(how.similarity).limit_denominator(10_000)
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in _groups(batches, TASK):
-            place = {s: i for i, s in enumerate(g["sid"])}
-            sets = [np.frombuffer(x, dtype="<u8") for x in g["elements"]]
-            m = len(sets)
-            n_pairs = sum(map(len, g["partners"]))
-            common = _common_sizes(sets) if n_pairs > 2 * m else None
-            count, parent = [0] * m, list(range(m))
-
-            def top(x: int, parent=parent) -> int:
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            for i, partners in enumerate(g["partners"]):
-                for s in partners:
-                    j = place[s]
-                    both = int(common[i, j]) if common is not None else len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if both * limit.denominator >= limit.numerator * (len(sets[i]) + len(sets[j]) - both):
-                        count[i] += 1
-                        count[j] += 1
-                        a, b = top(i), top(j)
-                        if a != b:
-                            parent[max(a, b, key=lambda x: g["sid"][x])] = min(a, b, key=lambda x: g["sid"][x])
-            at = [i for i in range(m) if count[i]]
-            if at:
-                yield pd.DataFrame({"sid": [g["sid"][i] for i in at], "n_links": [count[i] for i in at], "root": [g["sid"][top(i)] for i in at]})
+            count, first = _links(g, how)
+            at = np.flatnonzero(count)
+            if len(at):
+                yield pd.DataFrame({"sid": g["sid"][at], "n_links": count[at], "root": g["sid"][first[at]]})
 
     rows = wanted.join(elements, "sid").repartition(*TASK).sortWithinPartitions(*TASK)
-    return rows.select(*TASK, "sid", "partners", "elements").mapInPandas(links, "sid binary, n_links long, root binary")
+    return rows.mapInPandas(links, "sid binary, n_links long, root binary")
 
 
 def _elements(docs: DataFrame, ids: DataFrame, how: Join) -> DataFrame:
@@ -305,17 +346,17 @@ def _elements(docs: DataFrame, ids: DataFrame, how: Join) -> DataFrame:
 
     # else the optimizer would move the check that sid is not null, and with it this function, below the join
     again = again.asNondeterministic()
-    ids = ids.select(F.col("first_id").alias("_first"), F.col("first_mark").alias("_mark")).distinct()
-    some = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.xxhash64("text") == F.col("_mark")), "left_semi")
+    ids = ids.select("first_id", "first_mark").distinct()
+    some = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.xxhash64("text") == F.col("first_mark")), "left_semi")
     return some.select(again("text").alias("e")).select("e.*").dropDuplicates(["sid"])
 
 
-def components(edges: DataFrame, a: str = "sid", b: str = "root", most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, a: str = "sid", b: str = "root") -> DataFrame:
     """(node, first): the least node of each node's connected component, by alternating star steps.
 
     Each round is cut, and rounds go on until every node but the first points at the first."""
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "components")
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -325,8 +366,6 @@ def components(edges: DataFrame, a: str = "sid", b: str = "root", most_rounds: i
         inner = e.select(F.col("v").alias("u")).distinct().join(e.select("u").distinct(), "u", "left_semi")
         if inner.isEmpty() and e.groupBy("u").count().where("count > 1").isEmpty():
             break
-    else:
-        raise RuntimeError("components have not settled")
     firsts = e.select(F.col("v").alias("node"), F.col("v").alias("first")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("first")).unionByName(firsts)
 
@@ -362,11 +401,11 @@ def link_counts(docs: DataFrame, how: Join = Join()) -> DataFrame:
 
 def keep_first(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """One document of each class, the first; texts without words are in no class and all stay."""
+    first, mark, own = free_name(docs, "class_first"), free_name(docs, "class_mark"), free_name(docs, "text_mark")
     found = classes(docs, how)
-    firsts = found.where("sid is not null").select(F.col("class_first.doc_id").alias("_first"), F.col("class_first.mark").alias("_mark")).distinct()
-    mark = F.xxhash64("text")
-    some = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    none = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    same = F.col("doc_id").eqNullSafe(F.col("_first")) & (mark == F.col("_mark"))
-    kept = some.join(firsts, same, "left_semi").withColumn("_text_mark", mark).dropDuplicates(["doc_id", "_text_mark"]).select(*docs.columns)
-    return kept.unionByName(none)
+    firsts = found.where("sid is not null").select(F.col("class_first.doc_id").alias(first), F.col("class_first.mark").alias(mark)).distinct()
+    worded = F.coalesce(F.col("text").rlike(rf"[^{SPACE_CLASS}]"), F.lit(False))
+    some = docs.where(worded).withColumn(own, F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(first)) & (F.col(own) == F.col(mark))
+    kept = some.join(firsts, same, "left_semi").dropDuplicates(["doc_id", own]).select(*docs.columns)
+    return kept.unionByName(docs.where(~worded))
