@@ -336,6 +336,73 @@ def test_words_near_rare_and_copied_entities_are_disclosed(spark):
     assert {r["term"] for r in pii.disclosing_terms(docs, pii.Disclosure(block=1)).collect()} == set(risky)
 
 
+def plain_disclosure(texts, how):
+    """Terms by their strongest reading, counted over distinct texts without Spark."""
+    import math
+
+    term = re.compile(r"[^\W\d_]{2,}")
+    distinct = sorted({t for t in texts if t is not None})
+    held, contexts = {}, {}
+    for t in distinct:
+        spans = plain_base(t)
+        every = [m for m in term.finditer(t) if not any(a < m.end() and m.start() < b for a, b, _ in spans)]
+        for w in {m[0].lower() for m in every}:
+            held.setdefault(w, set()).add(t)
+        for a, b, kind in spans:
+            before = [m[0].lower() for m in every if m.end() <= a][-how.window :]
+            after = [m[0].lower() for m in every if m.start() >= b][: how.window]
+            value = t[a:b].lower() if kind in ("email", "ip") else "".join(c for c in t[a:b] if c in "0123456789")
+            contexts.setdefault((kind, value), set()).add((t, tuple(before), tuple(after)))
+    found = {}
+    n_docs = max(2, len(distinct))
+    for (kind, _), seen in contexts.items():
+        information = math.log2(n_docs / len({t for t, _, _ in seen}))
+        for w in {w for _, x, y in seen for w in x + y}:
+            mine = [(t, x, y) for t, x, y in seen if w in x + y]
+            both = len({t for t, _, _ in mine})
+            evidence = min(both, len({(x, y) for _, x, y in mine}))
+            p, z2 = min(1.0, both / len(held[w])), how.errors**2
+            draws = evidence / p
+            sure = p if evidence >= how.support else (p + z2 / (2 * draws) - how.errors * math.sqrt(p * (1 - p) / draws + z2 / (4 * draws * draws))) / (1 + z2 / draws)
+            share = min(1.0, max(0.0, information + math.log2(sure)) / max(information, 1e-9))
+            if share >= how.generalise:
+                found[w] = max(found.get(w, (0, "")), (round(share, 9), kind))
+    return {w: ("remove" if share >= how.remove else "generalise", kind, share) for w, (share, kind) in found.items()}
+
+
+@pytest.mark.parametrize("how", [pii.Disclosure(), pii.Disclosure(window=3, block=2), pii.Disclosure(generalise=0.5, block=40)])
+def test_disclosure_equals_brute_force(spark, how):
+    rng = random.Random(31)
+    mails = [f"{n}@example.com" for n in ("qq", "anna", "Bo.B")]
+    texts = [sentences(rng, 25) for _ in range(300)]
+    texts += [f"{sentences(rng, 6)} Bärlin {rng.choice(mails)} {sentences(rng, 6)} +1 415 555 0100" for _ in range(30)]
+    texts += [f"{sentences(rng, 3)} İstanbul qq@example.com {sentences(rng, 4)} qq@example.com mentioned qq@example.com" for _ in range(5)]
+    texts += [f"one {sentences(rng, 4)} once@example.org {sentences(rng, 2)} onlyhere once@example.org"] + texts[300:303] * 20 + [f"{'x' * 600} 10.0.0.1 {'y' * 600}"] * 6 + [None, ""]
+    docs = docs_of(spark, texts)
+    expected = plain_disclosure(texts, how)
+    got = {r["term"]: (r["action"], r["kind"], round(r["share"], 9)) for r in pii.disclosing_terms(docs, how).collect()}
+    assert {w: x[:2] for w, x in got.items()} == {w: x[:2] for w, x in expected.items()}
+    assert all(got[w][2] == pytest.approx(expected[w][2], abs=1e-6) for w in got)
+    assert "i̇stanbul" in got and not {"com", "example", "qq", "org"} & set(got)
+    term = re.compile(r"[^\W\d_]{2,}")
+    rows = {r["doc_id"]: r for r in pii.digest(docs, how).collect()}
+    for i, t in enumerate(texts):
+        base = plain_base(t or "")
+        more = [(m.start(), m.end(), "-".join(got[m[0].lower()][:2])) for m in term.finditer(t or "") if m[0].lower() in got and not any(a < m.end() and m.start() < b for a, b, _ in base)]
+        every = sorted(base + more, key=lambda s: (s[0], pii.KINDS.index(s[2]) if s[2] in pii.KINDS else 9, s[1]))
+        assert rows[i]["spans"] == ",".join(f"{k}:{a}:{b}" for a, b, k in every)
+        assert rows[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in base).encode()).hexdigest()
+
+
+def test_sanitised_documents_keep_columns_of_clashing_names(spark):
+    docs = docs_of(spark, [PRIVATE, None])
+    for c in ("pii_spans", "pii_mark", "mark", "term", "added"):
+        docs = docs.withColumn(c, F.lit(c))
+    for how in (pii.Disclosure(), pii.Disclosure(block=0)):
+        out = pii.sanitise(docs, how)
+        assert out.columns == docs.columns and all(r["pii_spans"] == "pii_spans" for r in out.collect())
+
+
 # token counts
 
 
@@ -408,9 +475,9 @@ def test_search_with_numbers_beyond_64_bits(spark):
     for r in topk.every_hundredth(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     top, low = 2**63 - 1, -(2**63)
-    small = 1024 * 10**15 * 512 + 1024 * 256
-    assert sorted(got[0]) == [(1, 2, top), (2, 100, top), (3, 3, min(top, small)), (4, 1, low)]
-    assert sorted(got[100]) == [(1, 0, top), (2, 2, top), (3, 3, min(top, small)), (4, 1, low)]
+    # also 0.5 * 1e15 in units of 2^-20 is beyond, so all but one tie
+    assert sorted(got[0]) == [(1, 2, top), (2, 3, top), (3, 100, top), (4, 1, low)]
+    assert sorted(got[100]) == [(1, 0, top), (2, 2, top), (3, 3, top), (4, 1, low)]
 
 
 # WARC
