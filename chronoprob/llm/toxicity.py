@@ -1,23 +1,30 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled documents, of which near copies count once. The ordinary
-one is trained on ordinary text. The toxic one is the same preceded by all words that toxic documents are
-rich in, the surest last; the ordinary one has padding in their place, so that both hold the common part at
-equal distance and a window's two compressed lengths differ only by what toxic text adds. A document is cut into windows of
-words; the differences of its windows (largest, two largest, mean) and the number of windows are turned
-into a probability by a logistic curve, which other labelled documents calibrate.
-
-Labels are read only where the caller marks rows as learnable. Words are counted over a bounded number of
-labelled documents (``fit_rows``); every whole text is scored.
+Two zstandard dictionaries are trained on labelled documents, of which near copies count once: one on windows
+of ordinary text, one on stretches of toxic text. A stretch is as long a piece of a toxic text as all of its
+short character sequences are richer in toxic documents than in ordinary ones, by the lower bound of their
+log-odds; it may be part of a word, a word, or a phrase of words that are ordinary one by one, in scripts with
+and without spaces. (Trained on whole windows of toxic texts, a dictionary learns what both kinds share; see the
+README for figures.) What the ordinary dictionary holds follows the toxic part in the toxic dictionary, and
+padding stands for that part in the ordinary one, so that both hold the common part at equal distance and a
+window's two compressed lengths differ only by what toxic text adds.
+
+A document is cut into windows of words (of characters, where words are very long); the differences of its
+windows (largest, two largest, mean) and the number of windows are turned into a probability by a logistic
+curve, which other labelled documents calibrate.
+
+Labels are read only where the caller marks rows as learnable. The dictionaries are trained on a bounded
+number of labelled documents (``fit_rows``); every whole text is scored.
 
 Defined cases: a null or empty text has no windows and differences of 0, and gets the calibrated score of
-such; repeated rows get equal scores; without learnable labels of both kinds every score is 0; of
+such; very long texts and words are scored whole; repeated rows get equal scores; without learnable labels of both kinds every score is 0; of
 contradicting labels of one document the toxic one counts; an empty table gives an empty result; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, words
+from .common import cut
 from .jaccard_join import shingles, sketch
 
 
@@ -37,29 +44,45 @@ LEAD = bytes(range(33, 97))
 @dataclass(frozen=True)
 class Distance:
     window: int = 12
+    #: Characters of a window at most; a longer one is cut into several.
+    window_chars: int = 1024
     level: int = 9
-    #: Bytes of the ordinary dictionary; words by themselves where they are few.
-    ordinary_bytes: int = 4096
-    #: A word is toxic text's own if in so many documents, and so many times the ordinary rate, and if its
+    #: Bytes of the ordinary dictionary, and windows of text that train it, at most.
+    ordinary_bytes: int = 16_384
+    ordinary_windows: int = 40_000
+    #: Length of character sequences, and bytes of the toxic dictionary for each that is toxic text's own.
+    gram: int = 6
+    bytes_for_gram: int = 3
+    #: A sequence is toxic text's own if in so many documents, and so many times the ordinary rate, and if its
     #: log-odds less so many standard errors are above 0.
     support: int = 5
     ratio: float = 8.0
     errors: float = 2.0
+    #: Different stretches that train the toxic dictionary, at most, and the most that one of them counts.
+    stretches: int = 40_000
+    weight: int = 50
     #: Texts that share this part of their minimum hashes are near copies.
     alike: float = 0.7
-    #: Labelled documents that are read for words, and as many for calibration, at most (about).
+    #: Labelled documents that are read for the dictionaries, and as many for calibration, at most (about).
     fit_rows: int = 20_000
-    #: Ordinary words that train the common dictionary, and the most that one of them counts.
-    ordinary_words: int = 20_000
-    weight: int = 50
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def _padded(word: str) -> bytes:
-    return f" {word} ".encode("utf-8", "surrogatepass")
+def _spaced(text: str | None) -> str:
+    """The words with one space before, between and after them."""
+    return f" {' '.join((text or '').split())} "
+
+
+def windows(text: str | None, how: Distance = Distance()) -> list[bytes]:
+    """The windows of a text, each with a space before and after."""
+    w = (text or "").split()
+    parts = [f" {' '.join(w[i : i + how.window])} " for i in range(0, len(w), how.window)]
+    if any(len(p) > how.window_chars for p in parts):
+        parts = [p[at : at + how.window_chars] for p in parts for at in range(0, len(p), how.window_chars)]
+    return [p.encode("utf-8", "surrogatepass") for p in parts]
 
 
 def one_per_class(learn: DataFrame, how: Distance = Distance()) -> DataFrame:
@@ -97,14 +120,46 @@ def one_per_class(learn: DataFrame, how: Distance = Distance()) -> DataFrame:
     return texts.drop("toxic").join(F.broadcast(kept), "mark").select("text", "toxic")
 
 
-def rich_words(counts: DataFrame, n_toxic: int, n_ordinary: int, how: Distance = Distance()) -> list[str]:
-    """All words that are toxic text's own, by the lower bound of their log-odds."""
+def _grams(text: str, n: int) -> set[str]:
+    return {text[i : i + n] for i in range(len(text) - n + 1)}
+
+
+def gram_counts(learn: DataFrame, how: Distance = Distance()) -> DataFrame:
+    """(gram, t, o): toxic and ordinary documents that hold each character sequence, added up by batch first."""
+    n = how.gram
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            counts = (Counter(), Counter())
+            for text, toxic in zip(pdf["text"], pdf["toxic"]):
+                counts[int(toxic)].update(_grams(_spaced(text), n))
+            every = list(counts[0].keys() | counts[1].keys())
+            yield pd.DataFrame({"gram": every, "t": [counts[1][g] for g in every], "o": [counts[0][g] for g in every]})
+
+    return learn.select("text", "toxic").mapInPandas(counted, "gram string, t long, o long").groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+
+
+def rich_grams(counts: DataFrame, n_toxic: int, n_ordinary: int, how: Distance = Distance()) -> list[str]:
+    """The sequences that are toxic text's own, by the lower bound of their log-odds."""
     t, o = F.col("t") + 0.5, F.col("o") + 0.5
     no_t, no_o = F.lit(n_toxic + 0.5) - F.col("t"), F.lit(n_ordinary + 0.5) - F.col("o")
     rate = (t / (n_toxic + 1)) / (o / (n_ordinary + 1))
     bound = F.log(t / no_t) - F.log(o / no_o) - how.errors * F.sqrt(1 / t + 1 / no_t + 1 / o + 1 / no_o)
-    own = counts.where((F.col("t") >= min(how.support, max(1, n_toxic // 4))) & (rate >= how.ratio)).withColumn("bound", bound)
-    return [r.word for r in own.where("bound > 0").orderBy(F.col("bound").desc(), "word").collect()]
+    own = counts.where((F.col("t") >= min(how.support, max(1, n_toxic // 4))) & (rate >= how.ratio) & (bound > 0))
+    return [r.gram for r in own.select("gram").orderBy("gram").collect()]
+
+
+def stretches_of(text: str, rich: frozenset[str], n: int) -> list[str]:
+    """The longest pieces of ``text`` all of whose sequences of ``n`` characters are rich."""
+    out, start, end = [], 0, -1
+    for i in range(len(text) - n + 1):
+        if text[i : i + n] in rich:
+            if i > end:  # a new one
+                if end >= 0:
+                    out.append(text[start:end])
+                start = i
+            end = i + n
+    return [*out, text[start:end]] if end >= 0 else out
 
 
 def train_dictionaries(learn: DataFrame, how: Distance = Distance()) -> tuple[bytes, bytes] | None:
@@ -114,28 +169,43 @@ def train_dictionaries(learn: DataFrame, how: Distance = Distance()) -> tuple[by
     n_toxic, n_ordinary = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_ordinary:
         return None
-    held = learn.select("toxic", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
-    counts = cut(held.groupBy("word").agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("t"), F.count(F.when(F.col("toxic") == 0, 1)).alias("o")), "toxicity-words")
-    toxic = b"".join(_padded(w) for w in reversed(rich_words(counts, n_toxic, n_ordinary, how)))
-    usual = counts.where("o > 0").orderBy(F.col("o").desc(), "word").limit(how.ordinary_words).collect()
-    common = _common_part([(r.word, min(r.o, how.weight)) for r in usual], how)
-    return b"\0" * len(toxic) + common, toxic + common
+    rich = rich_grams(gram_counts(learn, how), n_toxic, n_ordinary, how)
+    held, n = learn.sparkSession.sparkContext.broadcast(frozenset(rich)), how.gram
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"piece": [x.encode("utf-8", "surrogatepass") for text in pdf["text"] for x in stretches_of(_spaced(text), held.value, n)]})
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"piece": [x for text in pdf["text"] for x in windows(text, how)]})
+
+    pieces = learn.where("toxic = 1").select("text").mapInPandas(found, "piece binary").groupBy("piece").count()
+    toxic = [(bytes(r["piece"]), min(r["count"], how.weight)) for r in pieces.orderBy(F.col("count").desc(), "piece").limit(how.stretches).collect()]
+    usual = learn.where("toxic = 0").select("text").mapInPandas(cut_up, "piece binary").select("piece", F.xxhash64("piece").alias("h"))
+    common = [(bytes(r["piece"]), 1) for r in usual.orderBy("h", "piece").limit(how.ordinary_windows).collect()]  # some of all, by hash
+    own = _trained(toxic, max(256, how.bytes_for_gram * len(rich)), 32)
+    shared = _trained(common, how.ordinary_bytes, 64) + LEAD
+    return b"\0" * len(own) + shared, own + shared
 
 
-def _common_part(usual: list[tuple[str, int]], how: Distance) -> bytes:
+def _trained(samples: list[tuple[bytes, int]], size: int, segment: int) -> bytes:
+    """The content of a dictionary that zstandard trains; with too few samples to train on, the samples."""
     import random
 
     import zstandard
 
-    samples = [_padded(w) for w, n in usual for _ in range(n)]
-    random.Random(5).shuffle(samples)
-    words_alone = b"".join(_padded(w) for w, _ in reversed(usual))[-how.ordinary_bytes :]
+    alone = b"".join(x for x, _ in reversed(samples))[-size:]
+    # the trainer wants many samples: a few are told to it several times over
+    times = max(1, 20_000 // max(1, sum(n for _, n in samples)))
+    told = [x for x, n in samples for _ in range(n * times)]
+    random.Random(5).shuffle(told)
     try:
-        trained = zstandard.train_dictionary(how.ordinary_bytes, samples, k=16, d=6, steps=1).as_bytes()[-how.ordinary_bytes :]
+        # the content stands behind a head of tables, for which there is room besides
+        trained = zstandard.train_dictionary(size + 1024, told, k=segment, d=6, steps=1).as_bytes()[-size:]
     except zstandard.ZstdError:
         trained = b""
-    # with too few words to train on, the words themselves
-    return (trained if len(trained) >= min(how.ordinary_bytes, len(words_alone)) // 2 else words_alone) + LEAD
+    return trained if len(trained) >= min(size, len(alone)) // 2 else alone
 
 
 class Gauge:
@@ -145,11 +215,11 @@ class Gauge:
         shape = zstandard.ZstdCompressionParameters.from_level(how.level, write_content_size=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
         raw = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (ordinary, toxic)]
         self.ordinary, self.toxic = [zstandard.ZstdCompressor(dict_data=d, compression_params=shape).compress for d in raw]
-        self.window = how.window
+        self.how = how
 
-    def differences(self, text: str) -> list[int]:
-        w, n = text.split(), self.window
-        parts = [LEAD + _padded(" ".join(w[i : i + n])) for i in range(0, len(w), n)]
+    def differences(self, text: str | None) -> list[int]:
+        """For each window, how many bytes shorter the toxic dictionary makes it than the ordinary one."""
+        parts = [LEAD + p for p in windows(text, self.how)]
         return [len(self.ordinary(p)) - len(self.toxic(p)) for p in parts]
 
 
@@ -163,7 +233,7 @@ def gauge(docs: DataFrame, dictionaries: tuple[bytes, bytes], how: Distance = Di
         for batch in batches:
             rows = []
             for text in batch:
-                d = sorted(tool.differences(text or ""))
+                d = sorted(tool.differences(text))
                 rows.append((float(d[-1]), float(sum(d[-2:])), sum(d) / len(d), float(len(d))) if d else (0.0, 0.0, 0.0, 0.0))
             yield pd.DataFrame(rows, columns=["largest", "two", "mean", "windows"])
 
@@ -192,7 +262,7 @@ def classify(docs: DataFrame, labels: DataFrame, how: Distance = Distance(), thr
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     n_known = known.count()
-    # a bounded share of the labelled documents, half of it for words and half for calibration
+    # a bounded share of the labelled documents, half of it for the dictionaries and half for calibration
     share = F.pmod(F.xxhash64(F.lit("toxicity"), "_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 2 * how.fit_rows / max(1, n_known)))
     # two times fit_rows ids and marks, about a megabyte: texts need not be shuffled to find them
     chosen = F.broadcast(known.where(share))
