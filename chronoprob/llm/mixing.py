@@ -31,9 +31,10 @@ from .common import cut, free_name, word_count, words
 #: Fraction of the golden ratio in units of 2^-31; odd, so that each of 2^31 points occurs once.
 GOLDEN = 1_327_217_885
 POINTS = 2**31
-#: Slots in a chunk of the schedule and documents on a shelf, at least; chunks at most; and cells of the table
-#: that maps points to sources.
+#: Slots in a chunk of the schedule and documents on a shelf, at least; the most chunks and shelves; and cells of
+#: the table that maps points to sources.
 CHUNK = 4_096
+SHELF = 512
 CHUNKS = 65_536
 CELLS = 4_096
 
@@ -113,7 +114,7 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
 
 def _line(items: DataFrame, sources: DataFrame, n_items: int, mix: Mix) -> DataFrame:
     """Each document's place in its source's shuffled line: ``start`` and ``size``, in words."""
-    shelves = 2 ** max(0, math.ceil(math.log2(max(1, n_items) / CHUNK)))
+    shelves = min(CHUNKS, 2 ** max(0, math.ceil(math.log2(max(1, n_items) / SHELF))))
     keys = [c for c in items.columns if c not in ("size", "copies")]
     copies = items.where("size > 0").join(sources.select(F.col("source").alias("_source"), "source_rank"), F.col("source").eqNullSafe(F.col("_source"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     mark = F.xxhash64(F.lit(mix.seed), *keys, "size", "copy")
