@@ -644,8 +644,76 @@ def test_copies_of_a_toxic_text_push_no_words_out(spark):
     lead = " ".join(sentences(rng, 5).split())
     assert all(max(gauge.differences(f"{lead} {s} {lead}")) > 0 for s in slurs)
     assert sum(d > 0 for d in gauge.differences(" ".join(copied))) <= 2
-    many = spark.createDataFrame([(f"own{k:05}", 50, 0) for k in range(300)], "word string, t long, o long")
-    assert len(toxicity.rich_words(many, 100, 1000)) == 300
+    many = spark.createDataFrame([(f"o{k:05}", 50, 0) for k in range(300)], "gram string, t long, o long")
+    assert len(toxicity.rich_grams(many, 100, 1000)) == 300
+
+
+def test_dictionaries_learn_phrases_of_ordinary_words(spark):
+    rng = random.Random(14)
+    parts = ["".join(x) for x in itertools.product("bdgk", "aeiou", "bdfgkmst")]
+    words = [rng.choice(parts) + rng.choice(parts) for _ in range(2000)]
+    said = lambda n: [rng.choice(words) for _ in range(n)]
+    # each word of the phrase is about as frequent in ordinary text
+    own = ["gabmut", "dekfas", "kobdit"]
+    texts = [(" ".join([*said(20), *own, *said(20)]), 1) for _ in range(120)]
+    texts += [(" ".join([*own[:1], *said(9), *own[1:2], *said(9), *own[2:], *said(20)]), 0) for _ in range(700)]
+    gauge = toxicity.Gauge(*toxicity.train_dictionaries(spark.createDataFrame(texts, "text string, toxic int")), toxicity.Distance())
+    phrase, apart = gauge.differences(f"{words[0]} gabmut dekfas kobdit {words[1]}")[0], gauge.differences(f"gabmut {words[0]} kobdit {words[1]} dekfas")[0]
+    assert phrase > 0 and phrase > apart
+
+
+def test_grams_and_stretches_equal_brute_force(spark):
+    rng = random.Random(23)
+    texts = [("".join(rng.choices("ab 🙂", k=rng.randint(0, 60))), rng.randint(0, 1)) for _ in range(80)] + [(None, 1), ("", 0)]
+    spaced = lambda t: " " + " ".join((t or "").split()) + " "
+    how = toxicity.Distance(gram=4)
+    got = {r["gram"]: (r["t"], r["o"]) for r in toxicity.gram_counts(spark.createDataFrame(texts, "text string, toxic int"), how).collect()}
+    every = {spaced(t)[i : i + 4] for t, _ in texts for i in range(len(spaced(t)) - 3)}
+    assert got == {g: tuple(sum(g in spaced(t) for t, x in texts if x == y) for y in (1, 0)) for g in every}
+    rich = frozenset(rng.sample(sorted(every), len(every) // 2))
+    for t, _ in texts:
+        covered = [False] * len(spaced(t))
+        starts = [i for i in range(len(spaced(t)) - 3) if spaced(t)[i : i + 4] in rich]
+        pieces = []
+        for i in starts:
+            if pieces and i <= pieces[-1][1]:
+                pieces[-1][1] = i + 4
+            else:
+                pieces.append([i, i + 4])
+        assert toxicity.stretches_of(spaced(t), rich, 4) == [spaced(t)[a:b] for a, b in pieces], covered
+
+
+def test_window_differences_equal_zstandard():
+    import zstandard
+
+    ordinary, toxic = b"\0" * 30 + b" the usual words of it " * 20, b" vile scumbag and moron insult" + b" the usual words of it " * 20
+    how = toxicity.Distance(window=3, window_chars=40)
+    gauge = toxicity.Gauge(ordinary, toxic, how)
+
+    def size(part, dictionary):
+        shape = zstandard.ZstdCompressionParameters.from_level(9, write_content_size=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=shape).compress(toxicity.LEAD + part))
+
+    for text in ("the usual scumbag words of a vile moron", "x" * 100 + " y", "日本語" * 30, "", None):
+        w = (text or "").split()
+        joined = [f" {' '.join(w[i : i + 3])} " for i in range(0, len(w), 3)]
+        parts = [p[i : i + 40].encode() for p in joined for i in range(0, len(p), 40)]
+        assert toxicity.windows(text, how) == parts
+        assert gauge.differences(text) == [size(p, ordinary) - size(p, toxic) for p in parts]
+    assert max(gauge.differences("vile scumbag moron")) > 0
+
+
+def test_toxicity_of_repeated_and_contradicting_rows(spark):
+    rng = random.Random(33)
+    texts = [" ".join([*sentences(rng, 20).split(), *(["scumbag moron"] if i % 4 == 0 else [])]) for i in range(400)] + ["w " * 20_000, "z" * 50_000]
+    docs = docs_of(spark, texts).withColumn("score", F.lit("clash")).withColumn("toxic", F.lit(1)).withColumn("gauge", F.lit(0))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(4, 0), (4, 1), (None, 1)], "doc_id long, toxic int")
+    rows = toxicity.classify(docs.unionByName(docs.where("doc_id < 3")), labels).collect()
+    assert len(rows) == 405
+    by_id = {}
+    for r in rows:
+        by_id.setdefault(r["doc_id"], set()).add(r["score"])
+    assert all(len(x) == 1 for x in by_id.values())
 
 
 # pipeline
