@@ -192,14 +192,25 @@ def response_windows(df: DataFrame, sequence: Sequence[str], times: Sequence[flo
     return _keyed_means(near, sequence, F.col("p"), "p")
 
 
-def consensus(df: DataFrame, variant: str, row: str) -> DataFrame:
-    """(row, p): mean over variants, weighted by a variant's mean confidence times the evenness of its mean
-    posterior."""
-    shape = df.groupBy(variant).agg(F.avg(P.confidence(F.col("p"))).alias("c")).join(_keyed_means(df, [variant], F.col("p"), "m"), variant)
-    weights = shape.select(variant, (F.col("c") * P.entropy(F.col("m"), True)).alias("w"))
-    long = df.join(F.broadcast(weights), variant).select(row, "w", F.posexplode("p").alias("k", "v"))  # one row for each variant
-    means = long.groupBy(row, "k").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
-    return means.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("p"))
+def consensus_weights(df: DataFrame, variant: str, confidence_weight: float = 1.0, balance_weight: float = 1.0, temperature: float = 1.0) -> DataFrame:
+    """(variant, w): softmax of a variant's certainty (1 less its rows' mean relative entropy) and of the
+    evenness of its mean posterior."""
+    shape = df.groupBy(variant).agg(F.avg(P.entropy(F.col("p"), True)).alias("h")).join(_keyed_means(df, [variant], F.col("p"), "m"), variant)
+    score = (confidence_weight * (1 - F.col("h")) + balance_weight * P.entropy(P.normalized(F.col("m")), True)) / temperature
+    every = Window.partitionBy()  # a row for each variant
+    return shape.select(variant, F.exp(score).alias("_e")).select(variant, (F.col("_e") / F.sum("_e").over(every)).alias("w"))
+
+
+def consensus(df: DataFrame, variant: str, row: str, mode: str = "logit_mean", **scores) -> DataFrame:
+    """(row, p): pool of the variants by ``consensus_weights``: of log probabilities (``logit_mean``) or of
+    probabilities (``arithmetic_mean``)."""
+    if mode not in ("logit_mean", "arithmetic_mean"):
+        raise ValueError(f"no such mode: {mode}")
+    weights = F.broadcast(consensus_weights(df, variant, **scores))  # one row for each variant
+    part = F.transform("p", lambda x: F.log(F.least(F.lit(1.0), F.greatest(x, F.lit(P.EPS)))) * F.col("w") if mode == "logit_mean" else x * F.col("w"))
+    parts = df.join(weights, variant).groupBy(row).agg(F.array_sort(F.collect_list(F.struct(variant, part.alias("a")))).alias("_v"))
+    pooled = F.aggregate(F.slice("_v", F.lit(2), F.size("_v")), F.get("_v", F.lit(0))["a"], lambda s, v: F.zip_with(s, v["a"], lambda x, y: x + y))
+    return parts.select(row, (P.softmax(pooled) if mode == "logit_mean" else P.normalized(pooled)).alias("p"))
 
 
 def prior_corrected(df: DataFrame, strength: float = 0.5, smoothing: float = 0.1, keys: Sequence[str] = ()) -> DataFrame:

@@ -218,19 +218,20 @@ def covariance_distance(df: DataFrame, domain: str = "domain") -> DataFrame:
 
 
 def transferability(df: DataFrame, domain: str = "domain", label: str = "label") -> DataFrame:
-    """(domain, score): 1-norm of a source domain's between-class scatter over that of its scatter against
-    the target's mean, from class means and counts."""
+    """(domain, score): 1-norm of a source domain's between-class scatter over that of the scatter of its and
+    the target's mean about the mean of both, from class means and counts."""
     src = df.where("role = 'source'")
     means = class_means(src.select(domain, label, "x"), [domain, label]).join(src.groupBy(domain, label).agg(F.count("*").alias("n")), [domain, label])
-    target = np.asarray(class_means(df.where("role = 'target'").select("x"), []).first()["mean"])
+    other = df.where("role = 'target'")
+    target, n_target = np.asarray(class_means(other.select("x"), []).first()["mean"]), other.count()
     types = dict(df.dtypes)
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         m, n = np.stack(pdf["mean"].to_list()), pdf["n"].to_numpy(dtype=float)
         own = n @ m / n.sum()
         between = ((m - own).T * n) @ (m - own)
-        away = n.sum() * np.outer(own - target, own - target)
+        away = n.sum() * n_target / (n.sum() + n_target) * np.outer(own - target, own - target)
         one = lambda a: np.abs(a).sum(axis=0).max()
-        return pd.DataFrame([(pdf[domain].iloc[0], one(between) / max(one(away), 1e-12))], columns=[domain, "score"])
+        return pd.DataFrame([(pdf[domain].iloc[0], one(between) / (one(away) + 1e-12))], columns=[domain, "score"])
 
     return means.groupBy(domain).applyInPandas(score, f"{domain} {types[domain]}, score double")

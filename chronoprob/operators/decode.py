@@ -63,18 +63,24 @@ def gaussian(train: DataFrame, test: DataFrame, tied: bool = True, uniform_prior
     return decided(out, ["label"])
 
 
-def mahalanobis(train: DataFrame, test: DataFrame, regularization: float = 1e-6) -> DataFrame:
-    """Tied full covariance: rows are whitened by the within-class covariance, then nearest centroids."""
-    m = T.moments(train, ["label"]).collect()
+def mahalanobis(train: DataFrame, test: DataFrame, regularization: float = 1e-3, prior: str = "empirical", temperature: float = 1.0) -> DataFrame:
+    """Tied full covariance: rows are whitened by the within-class covariance, then the squared distance to the
+    class means over the temperature counts against the log prior (``empirical`` or ``uniform``)."""
+    if prior not in ("empirical", "uniform"):
+        raise ValueError(f"no such prior: {prior}")
+    m = sorted(T.moments(train, ["label"]).collect(), key=lambda r: r["label"])  # a row for each class
     d = len(m[0]["s"])
     within = sum(np.array(r["xx"]).reshape(d, d) - np.outer(r["s"], r["s"]) / r["n"] for r in m) / max(1, sum(r["n"] for r in m) - len(m))
     w = T.power(within + regularization * np.eye(d), -0.5)
-    return _plain_centroid(T.linear(train, w), T.linear(test, w), 2.0)
+    shares = np.array([r["n"] for r in m], dtype=float) if prior == "empirical" else np.ones(len(m))
+    return _plain_centroid(T.linear(train, w), T.linear(test, w), temperature, np.log(shares / shares.sum()))
 
 
-def _plain_centroid(train: DataFrame, test: DataFrame, temperature: float = 1.0) -> DataFrame:
+def _plain_centroid(train: DataFrame, test: DataFrame, temperature: float = 1.0, log_prior: Sequence[float] | None = None) -> DataFrame:
     models = _models(T.class_means(train.select("label", "x"), ["label"]), [])
     scores = F.transform("means", lambda m: -squared_distance(F.col("x"), m) / temperature)
+    if log_prior is not None:
+        scores = F.zip_with(scores, F.array(*[F.lit(float(v)) for v in log_prior]), lambda a, b: a + b)
     return decided(test.join(F.broadcast(models)).withColumn("p", P.softmax(scores)), ["label"])  # one row
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sequences import Rows, map_sequences
+
 
 def reaction_times(df: DataFrame, participant: str, trial: str, reaction: str, scale: float = 1.0, trial_base: int = 0) -> DataFrame:
     """participant, trial (from 0) and scaled reaction time; values that are no finite numbers go."""
@@ -61,87 +64,128 @@ def interval_overlap(windows: DataFrame, intervals: DataFrame, keys: Sequence[st
     return w.join(i, on).where(first & (seconds > 0)).select(*[F.col(f"w.{c}") for c in windows.columns], *[F.col(f"i.{c}") for c in rest], seconds.alias("overlap"))
 
 
-def assign(events: list[float], notes: list[float], tolerance: float) -> list[int]:
+def assign(events: Sequence[float], notes: Sequence[float], tolerance: float) -> list[int]:
     """Place in ``notes`` for each event, or -1: as many pairs within the tolerance as can be, and of such
-    assignments one of least total latency. Both lists are sorted; some best assignment keeps the order of
-    both, so a table over prefixes finds it."""
-    n, m = len(events), len(notes)
-    best = [[(0, 0.0)] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            options = [best[i - 1][j], best[i][j - 1]]
-            gap = abs(events[i - 1] - notes[j - 1])
-            if gap <= tolerance:
-                k, c = best[i - 1][j - 1]
-                options.append((k - 1, c + gap))
-            best[i][j] = min(options)
-    out, i, j = [-1] * n, n, m
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            out[i - 1] = j - 1
-            i, j = i - 1, j - 1
+    assignments one of least total latency. Both lists are sorted, and some best assignment keeps the order of
+    both: the best chain of pairs, found pair by pair. Only pairs within the tolerance are looked at."""
+    m = len(notes)
+    nothing = ((0, 0.0), -1)
+    tree = [nothing] * (m + 1)  # a Fenwick tree of the best chain that ends at each note
+    chain: list[tuple[int, int, int]] = []  # event, note, the pair before
+
+    def best(n: int) -> tuple[tuple[int, float], int]:
+        found = nothing
+        while n:
+            found = min(found, tree[n])
+            n -= n & -n
+        return found
+
+    low = 0
+    for i, t in enumerate(events):
+        while low < m and t - notes[low] > tolerance:
+            low += 1
+        new, j = [], low
+        while j < m and notes[j] - t <= tolerance:
+            (count, cost), before = best(j)
+            new.append(((count - 1, cost + abs(t - notes[j])), j, before))
+            j += 1
+        for value, j, before in new:
+            chain.append((i, j, before))
+            at, entry = j + 1, (value, len(chain) - 1)
+            while at <= m:
+                tree[at] = min(tree[at], entry)
+                at += at & -at
+    out, last = [-1] * len(events), best(m)[1]
+    while last >= 0:
+        i, j, last = chain[last]
+        out[i] = j
     return out
 
 
+def islands(rows: DataFrame, by: Sequence[str], tolerance: float, buckets: float = 1024.0) -> DataFrame:
+    """``rows`` (with the keys, t, kind and id) with ``_island``: rows no further apart than the tolerance, in
+    order of time. Order is taken within buckets of time, and only a bucket's last time and its number of
+    islands go on to the next, so that no task sorts a whole stream."""
+    from pyspark.sql import Window
+
+    width = F.lit(max(tolerance, 1e-9) * buckets)
+    keys = [*by, "_bucket"]
+    dealt = rows.withColumn("_bucket", F.floor(F.col("t") / width))
+    up_to = Window.partitionBy(*by).orderBy("_bucket")
+    edges = dealt.groupBy(*keys).agg(F.max("t").alias("_last")).withColumn("_before", F.lag("_last").over(up_to)).drop("_last")
+    line = Window.partitionBy(*keys).orderBy("t", "kind", "id")
+    started = dealt.join(edges, keys).withColumn("_gap", F.coalesce((F.col("t") - F.coalesce(F.lag("t").over(line), F.col("_before")) > tolerance).cast("long"), F.lit(1)))
+    placed = started.withColumn("_inside", F.sum("_gap").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    counts = started.groupBy(*keys).agg(F.sum("_gap").alias("_n")).withColumn("_first", F.sum("_n").over(up_to) - F.col("_n")).drop("_n")
+    return placed.join(counts, keys).withColumn("_island", F.col("_first") + F.col("_inside")).drop("_bucket", "_before", "_gap", "_inside", "_first")
+
+
 def match_annotations(events: DataFrame, annotations: DataFrame, by: Sequence[str], tolerance: float, event: str = "event_id") -> DataFrame:
     """Events with matched_annotation_id and latency: most matches first, then least total latency.
 
-    Only annotations within the tolerance matter, so events and annotations that are near one another in
-    time form islands, found with window functions, and each island is solved by itself; streams of any
-    length are never one task.
+    Only annotations within the tolerance matter, so what is near in time forms islands, which are solved by
+    themselves, some at a time: a task holds a few islands, never a stream. Work in an island is in proportion
+    to its pairs within the tolerance.
     """
-    from pyspark.sql import Window
-
     e = events.select(*by, F.col("onset_time").alias("t"), F.col(event).cast("string").alias("id"), F.lit(0).alias("kind"))
     a = annotations.select(*by, F.col("onset_time").alias("t"), F.col("annotation_id").cast("string").alias("id"), F.lit(1).alias("kind"))
-    line = Window.partitionBy(*by).orderBy("t", "kind", "id")
-    gap = F.coalesce((F.col("t") - F.lag("t").over(line) > tolerance).cast("int"), F.lit(1))
-    islands = e.unionByName(a).withColumn("_gap", gap).withColumn("_island", F.sum("_gap").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    near = islands(e.unionByName(a), by, tolerance)
     types = dict(events.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in by) + ", _island long, id string, candidates int, matched string, latency double"
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([solve_island(g) for _, g in pdf.groupby("_island", sort=True)])
-
-    def solve_island(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "kind", "id"])
-        ev, an = pdf[pdf["kind"] == 0], pdf[pdf["kind"] == 1]
-        te, ta, ids = ev["t"].tolist(), an["t"].tolist(), an["id"].tolist()
-        got = assign(te, ta, tolerance)
-        near = [sum(abs(t - x) <= tolerance for x in ta) for t in te]
-        rows = [(*key, n, ids[j] if j >= 0 else None, t - ta[j] if j >= 0 else None) for key, n, t, j in zip(ev[[*by, "_island", "id"]].itertuples(index=False), near, te, got, strict=True)]
-        return pd.DataFrame(rows, columns=[*by, "_island", "id", "candidates", "matched", "latency"], dtype=object)
-
-    # some islands at a time: a group is a small multiple of the largest island
-    done = islands.groupBy(*by, F.floor(F.col("_island") / 64)).applyInPandas(solve, schema)
+    schema = ", ".join(f"{k} {types[k]}" for k in by) + ", id string, candidates int, matched string, latency double"
+
+    def solve(rows: Rows) -> dict[str, Sequence]:
+        is_event = rows["kind"] == 0
+        te, ta, names = rows["t"][is_event], rows["t"][~is_event], rows["id"][~is_event]
+        got = assign(te.tolist(), ta.tolist(), tolerance)
+        # a little wider than the tolerance by search, then exactly
+        low, high = np.searchsorted(ta, te - tolerance * (1 + 1e-9) - 1e-9), np.searchsorted(ta, te + tolerance * (1 + 1e-9) + 1e-9, side="right")
+        return {
+            **{k: rows[k][is_event].tolist() for k in (*by, "id")}, "candidates": [int((np.abs(x - ta[i:j]) <= tolerance).sum()) for x, i, j in zip(te, low, high, strict=True)],
+            "matched": [names[j] if j >= 0 else None for j in got], "latency": [float(x - ta[j]) if j >= 0 else None for x, j in zip(te, got, strict=True)],
+        }
+
+    dealt = near.withColumn("_islands", F.floor(F.col("_island") / 256))
+    done = map_sequences(dealt.drop("_island"), [*by, "_islands"], ["t", "kind", "id"], solve, schema)
     return done.select(*by, F.col("id").alias(event), F.col("matched").alias("matched_annotation_id"), F.when(~F.isnan("latency"), F.col("latency")).alias("latency"), F.col("matched").isNotNull().alias("is_true_positive"), (F.col("matched").isNull() & (F.col("candidates") > 0)).alias("is_duplicate_detection"))
 
 
-def align_triggers(presses: list[float], triggers: list[float], lag: float, tolerance: float, skip: float = 1.0) -> list[int]:
-    """Place of the trigger of each press, or -1: both in order, a pair costs its distance from the lag over
-    the tolerance, leaving out a press or a trigger costs ``skip``."""
-    n, m = len(presses), len(triggers)
-    cost = [[skip * (i + j) for j in range(m + 1)] for i in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            off = abs(triggers[j - 1] - presses[i - 1] - lag)
-            pair = cost[i - 1][j - 1] + off / tolerance if off <= tolerance else float("inf")
-            cost[i][j] = min(pair, cost[i - 1][j] + skip, cost[i][j - 1] + skip)
-    out, i, j = [-1] * n, n, m
-    while i and j:
-        off = abs(triggers[j - 1] - presses[i - 1] - lag)
-        if off <= tolerance and abs(cost[i][j] - (cost[i - 1][j - 1] + off / tolerance)) < 1e-12:
-            out[i - 1] = j - 1
-            i, j = i - 1, j - 1
-        elif abs(cost[i][j] - (cost[i - 1][j] + skip)) < 1e-12:
-            i -= 1
-        else:
-            j -= 1
-    return out
+def _blocks(expected: np.ndarray, triggers: np.ndarray, tolerance: float):
+    """Stretches of presses and triggers, as slices, between which no press reaches a trigger."""
+    times = np.concatenate([expected, triggers])
+    order = np.argsort(times, kind="stable")
+    ends = np.flatnonzero(np.diff(times[order]) > tolerance * (1 + 1e-9)) + 1
+    of_press = order < len(expected)
+    for start, stop in zip([0, *ends], [*ends, len(order)]):
+        a, c = int(of_press[:start].sum()), int((~of_press[:start]).sum())
+        n = int(of_press[start:stop].sum())
+        if n and n < stop - start:
+            yield slice(a, a + n), slice(c, c + stop - start - n)
+
+
+def align_triggers(presses: Sequence[float], triggers: Sequence[float], lag: float, tolerance: float) -> list[int]:
+    """Place of the trigger of each press, or -1; both are sorted and keep their order. A pair within the
+    tolerance costs its distance from the lag over the tolerance, a press without trigger costs 1, and leaving
+    out a trigger is free. Of equal costs a pair comes before a missing press, and that before a trigger left out."""
+    p, t = np.asarray(presses, dtype=float), np.asarray(triggers, dtype=float)
+    out = np.full(len(p), -1)
+    for mine, theirs in _blocks(p + lag, t, tolerance):
+        x, y = p[mine], t[theirs]
+        cost, choices = np.zeros(len(y) + 1), []
+        for own in x:
+            off = np.abs((y - own) - lag) / tolerance
+            paired = np.where(off <= 1, cost[:-1] + off, np.inf)
+            stay = cost + 1
+            pair = np.concatenate([[False], paired <= stay[1:]])
+            stay[1:] = np.minimum(stay[1:], paired)
+            cost = np.minimum.accumulate(stay)  # triggers left out to the left of a place
+            choices.append(np.where(cost < stay, 0, np.where(pair, 2, 1)).astype(np.int8))
+        i, j = len(x), len(y)
+        while i and j:
+            kind = choices[i - 1][j]
+            if kind == 2:
+                out[mine.start + i - 1] = theirs.start + j - 1
+            i, j = i - (kind > 0), j - (kind != 1)
+    return out.tolist()
 
 
 def match_triggers(presses: DataFrame, triggers: DataFrame, by: Sequence[str], lag: float, tolerance: float) -> DataFrame:
@@ -151,7 +195,7 @@ def match_triggers(presses: DataFrame, triggers: DataFrame, by: Sequence[str], l
     schema = ", ".join(f"{k} {types[k]}" for k in by) + ", press_time double, trigger_time double, recommended_time double"
 
     def solve(key: tuple, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        press, trigger = sorted(p["time"].tolist()), sorted(t["time"].tolist())
+        press, trigger = sorted(p["time"].dropna().tolist()), sorted(t["time"].dropna().tolist())
         got = align_triggers(press, trigger, lag, tolerance)
         lags = [trigger[j] - press[i] for i, j in enumerate(got) if j >= 0]
         usual = float(pd.Series(lags).median()) if lags else lag

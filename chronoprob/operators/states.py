@@ -141,63 +141,128 @@ def traces(df: DataFrame, stay: DataFrame, model: Sequence[str], sequence: Seque
     return rows.groupBy(*model, *sequence).applyInPandas(one, f"{row} {types[row]}, posterior array<double>, state int")
 
 
-def online_adapted(df: DataFrame, sequence: Sequence[str], row: str, source_prior: Sequence[float], rate: float = 0.1, momentum: float = 0.9) -> DataFrame:
-    """(row, p): each row under the bias learnt from the rows before it; the bias follows the ratio of the
-    source prior to a moving mean of posteriors."""
+def online_path(e: np.ndarray, prior: np.ndarray, rate: float = 0.05, entropy_weight: float = 1.0, marginal_weight: float = 0.1, momentum: float = 0.05, updates: int = 1, timing: str = "after_predict", temperature: float = 1.0, clip: float = 3.0) -> np.ndarray:
+    """Rows of log probabilities under a bias of the classes that learns from the rows themselves.
+
+    A step goes down the gradient of the row's entropy and of the running mean's distance from the prior. The
+    bias keeps mean zero and stays within ``clip`` (0: anywhere). ``timing`` says whether a row is given out
+    before (``after_predict``) or after (``before_predict``) the steps it causes."""
+    if timing not in ("after_predict", "before_predict"):
+        raise ValueError(f"no such timing: {timing}")
+    bias, mean, out = np.zeros(len(prior)), prior.copy(), np.empty_like(e)
+
+    def shown(row: np.ndarray) -> np.ndarray:
+        z = np.exp(np.maximum(row - row.max(), -50.0))
+        return z / z.sum()
+
+    for t, row in enumerate(e / temperature):
+        out[t] = shown(row + bias)
+        for _ in range(updates):
+            q = shown(row + bias)
+            mean = (1 - momentum) * mean + momentum * q
+            mean = mean / mean.sum()
+            log_q = np.log(np.maximum(q, EPS))
+            slope = -entropy_weight * q * (log_q - q @ log_q) + marginal_weight * (mean - prior)
+            bias = bias - rate * (slope - slope.mean())
+            bias = bias - bias.mean()
+            if clip > 0:
+                bias = np.clip(bias, -clip, clip)
+                bias = bias - bias.mean()
+        if timing == "before_predict":
+            out[t] = shown(row + bias)
+    return out
+
+
+def online_adapted(df: DataFrame, sequence: Sequence[str], row: str, source_prior: Sequence[float] | None = None, **settings) -> DataFrame:
+    """(row, p): each sequence's rows, in order of time, by ``online_path``; without a prior an even one."""
     types = dict(df.dtypes)
-    prior = np.asarray(source_prior, dtype=np.float64)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("time")
-        out, bias, mean = [], np.zeros(len(prior)), prior.copy()
-        for e in emissions(pdf["p"]):
-            z = np.exp(e + bias - (e + bias).max())
-            q = z / z.sum()
-            out.append(q)
-            mean = momentum * mean + (1 - momentum) * q
-            bias = bias + rate * (np.log(prior) - np.log(mean))
-        return pd.DataFrame({row: pdf[row].tolist(), "p": out})
+        e = emissions(pdf["p"])
+        prior = np.asarray(source_prior if source_prior is not None else np.ones(e.shape[1]), dtype=np.float64)
+        return pd.DataFrame({row: pdf[row].tolist(), "p": list(online_path(e, prior / prior.sum(), **settings))})
 
     return df.select(*sequence, row, "time", "p").groupBy(*sequence).applyInPandas(one, f"{row} {types[row]}, p array<double>")
 
 
-def template_path(e: np.ndarray, templates: Sequence[Sequence[int]], stay: float, weights: Sequence[float] | None = None) -> tuple[int, np.ndarray]:
-    """The best template and state path: the template's states in order, each lasting a row or more."""
+def press_scores(e: np.ndarray, order: Sequence[int], position: np.ndarray | None = None, overlap: np.ndarray | None = None, order_weight: float = 0.35, overlap_weight: float = 0.15, rest_bias: float = 0.0) -> np.ndarray:
+    """Log scores of the states rest, press, rest, ..., press, rest of one template. Class 0 is rest. ``position``
+    holds the probabilities of rest and of each place in the order, ``overlap`` that any press is going on."""
+    log = lambda p: np.log(np.clip(p, EPS, 1.0))
+    places = np.arange(2 * len(order) + 1)
+    press = places % 2 == 1
+    classes = np.zeros(len(places), dtype=int)
+    classes[press] = order
+    scores = e[:, classes] + np.where(press, 0.0, rest_bias)
+    if position is not None:
+        scores = scores + order_weight * log(position)[:, np.where(press, (places + 1) // 2, 0)]
+    if overlap is not None:
+        scores = scores + overlap_weight * np.where(press, log(overlap)[:, None], log(1 - overlap)[:, None])
+    return scores
+
+
+def press_path(scores: np.ndarray, stay: np.ndarray, complete: bool = True) -> tuple[float, np.ndarray]:
+    """The best path that starts in the first rest or press and stays or goes on by one state at each row;
+    ``complete`` paths end in the last press or rest. Of equal moves staying comes first."""
+    n_rows, n_states = scores.shape
+    hold, on = np.log(np.clip(stay, 1e-6, 1 - 1e-6)), np.log(np.clip(1 - stay, 1e-6, 1.0))
+    best = np.full(n_states, -np.inf)
+    best[:2] = scores[0, :2] + [0.0, on[0]]
+    came = np.zeros((n_rows, n_states), dtype=np.int8)  # states that the path comes on by
+    for t in range(1, n_rows):
+        moved = np.concatenate([[-np.inf], best[:-1] + on[:-1]])
+        came[t] = moved > best + hold
+        best = np.where(came[t], moved, best + hold) + scores[t]
+    first_end = n_states - 2 if complete else 0
+    state = first_end + int(np.argmax(best[first_end:]))
+    total, path = float(best[state]), np.empty(n_rows, dtype=int)
+    for t in range(n_rows - 1, -1, -1):
+        path[t] = state
+        state -= came[t, state]
+    return total, path
+
+
+def template_path(e: np.ndarray, templates: Sequence[Sequence[int]], stay: float | Sequence[float], prior: np.ndarray | None = None, template_weight: float = 0.15, complete: bool = True, **more) -> tuple[int, np.ndarray, np.ndarray]:
+    """(template, states, labels) of the best template; the first of equals. ``prior`` are the templates'
+    probabilities. Without a path (too few rows) the template is -1 and all is rest."""
+    share = np.ones(len(templates)) if prior is None else np.asarray(prior, dtype=np.float64)
+    share = np.log(np.clip(share / max(share.sum(), EPS), EPS, 1.0))
     best = (-np.inf, -1, np.zeros(len(e), dtype=int))
     for number, order in enumerate(templates):
-        m = len(order)
-        if m > len(e):
-            continue
-        score = np.full(m, -np.inf)
-        score[0] = e[0, order[0]] + (np.log(weights[number]) if weights else 0.0)
-        back = np.zeros((len(e), m), dtype=int)
-        for t in range(1, len(e)):
-            hold, move = score + np.log(stay), np.concatenate([[-np.inf], score[:-1] + np.log(1 - stay)])
-            back[t] = move > hold
-            score = np.maximum(hold, move) + e[t, list(order)]
-        if score[-1] > best[0]:
-            slot, slots = m - 1, np.zeros(len(e), dtype=int)
-            for t in range(len(e) - 1, -1, -1):
-                slots[t] = slot
-                slot -= back[t, slot]
-            best = (score[-1], number, np.asarray(order)[slots])
-    return best[1], best[2]
-
-
-def structured(df: DataFrame, sequence: Sequence[str], row: str, templates: Sequence[Sequence[int]], stay: float, causal: bool = False) -> DataFrame:
-    """(row, template, state): template-constrained decoding of each trial; ``causal`` decodes each prefix by
-    itself, so that later rows change nothing."""
+        total, path = press_path(press_scores(e, order, **more), np.broadcast_to(np.asarray(stay, dtype=np.float64), (2 * len(order) + 1,)), complete)
+        total += template_weight * share[number]
+        if total > best[0]:
+            best = (total, number, path)
+    _, number, states = best
+    fingers = np.zeros(len(e), dtype=int) if number < 0 else np.where(states % 2 == 1, np.asarray(templates[number])[np.maximum(states - 1, 0) // 2], 0)
+    return number, states, fingers
+
+
+def structured(df: DataFrame, sequence: Sequence[str], row: str, templates: Sequence[Sequence[int]], stay: float | Sequence[float] = 0.88, causal: bool = False, position: str | None = None, overlap: str | None = None, template: str | None = None, **weights) -> DataFrame:
+    """(row, template, state, label): each trial decoded as presses in a template's order with rests between.
+
+    ``position``, ``overlap`` and ``template`` name columns of more predictions: of the place in the order
+    (array, rest first), of a press going on (double), of the template (array, its mean over the trial counts).
+    ``causal`` decodes each prefix by itself, complete or not, so that later rows change nothing."""
     types = dict(df.dtypes)
+    given = [c for c in (position, overlap, template) if c]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("time")
-        e = emissions(pdf["p"])
+        e, stacked = emissions(pdf["p"]), lambda c: np.stack([np.asarray(x, dtype=np.float64) for x in pdf[c]])
+
+        def decoded(n: int, complete: bool) -> tuple[int, np.ndarray, np.ndarray]:
+            more = {"position": stacked(position)[:n]} if position else {}
+            more |= {"overlap": pdf[overlap].to_numpy(dtype=float)[:n]} if overlap else {}
+            return template_path(e[:n], templates, stay, stacked(template)[:n].mean(axis=0) if template else None, complete=complete, **more, **weights)
+
         if causal:
-            got = [template_path(e[: t + 1], [x[: t + 1] for x in templates], stay) for t in range(len(e))]
-            number, states = [g[0] for g in got], [int(g[1][-1]) for g in got]
+            got = [decoded(t + 1, False) for t in range(len(e))]
+            number, states, labels = ([g[0] for g in got], [int(g[1][-1]) for g in got], [int(g[2][-1]) for g in got])
         else:
-            n, path = template_path(e, templates, stay)
-            number, states = [n] * len(e), path.tolist()
-        return pd.DataFrame({row: pdf[row].tolist(), "template": number, "state": states})
+            n, states, labels = decoded(len(e), True)
+            number = [n] * len(e)
+        return pd.DataFrame({row: pdf[row].tolist(), "template": number, "state": states, "label": labels})
 
-    return df.select(*sequence, row, "time", "p").groupBy(*sequence).applyInPandas(one, f"{row} {types[row]}, template int, state int")
+    return df.select(*sequence, row, "time", "p", *given).groupBy(*sequence).applyInPandas(one, f"{row} {types[row]}, template int, state int, label int")

@@ -148,11 +148,22 @@ def l12(spark: SparkSession, sf: str) -> DataFrame:
     return entries(D._keyed_means(own, ["row_id"], F.col("p"), "p"), "row_id")
 
 
-@query("l13_consensus")
+_H = "(" + " + ".join("{0}%d * ln(greatest({0}%d, 1e-15))" % (i, i) for i in range(5)) + ") / ln(5)"
+CONSENSUS = f"""WITH {BOTH_SQL}, v AS (SELECT decoder, 1 + avg({_H.format("p")}) AS c, {', '.join(f'avg(p{i}) AS m{i}' for i in range(5))} FROM both_obs GROUP BY 1),
+e AS (SELECT decoder, exp(c - {_H.format("m")}) AS e FROM v), w AS (SELECT decoder, e / sum(e) OVER () AS w FROM e)"""
+LOG_POOL = f"{CONSENSUS}, l AS (SELECT event_id, {', '.join(f'exp(sum(w * ln(greatest(p{i}, 1e-15)))) AS l{i}' for i in range(5))} FROM both_obs JOIN w USING (decoder) GROUP BY 1) SELECT event_id, round(l0 / (l0 + l1 + l2 + l3 + l4), 9) AS q0, round(l4 / (l0 + l1 + l2 + l3 + l4), 9) AS q4 FROM l"
+
+
+@query("l13_consensus", LOG_POOL)
 def l13(spark: SparkSession, sf: str) -> DataFrame:
     return entries(D.consensus(both(spark, sf), "decoder", "event_id"), "event_id")
 
 
+@query("l13_arithmetic_consensus", f"{CONSENSUS} SELECT event_id, round(sum(w * p0), 9) AS q0, round(sum(w * p4), 9) AS q4 FROM both_obs JOIN w USING (decoder) GROUP BY 1")
+def l13_arithmetic(spark: SparkSession, sf: str) -> DataFrame:
+    return entries(D.consensus(both(spark, sf), "decoder", "event_id", "arithmetic_mean"), "event_id")
+
+
 CORR = [f"p{i} / sqrt(0.9 * m{i} + 0.02)" for i in range(5)]
 
 
@@ -203,14 +214,41 @@ def e21(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("event_id", F.round(F.get("posterior", F.lit(0)), 6).alias("posterior0"))
 
 
-@query("e22_online_adaptation")
+SEQUENCE_SQL = f"{OBS_SQL}, sq AS (SELECT stream_id, event_id, row_number() OVER (PARTITION BY stream_id ORDER BY time) AS n, [{', '.join(f'ln(greatest(p{i}, 1e-12))' for i in range(5))}] AS e FROM obs)"
+ONLINE_SQL = f"""WITH RECURSIVE {SEQUENCE_SQL},
+r AS (SELECT DISTINCT stream_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST([0, 0, 0, 0, 0] AS DOUBLE[]) AS b, CAST([0.2, 0.2, 0.2, 0.2, 0.2] AS DOUBLE[]) AS m, CAST([] AS DOUBLE[]) AS q FROM obs
+  UNION ALL SELECT stream_id, n, event_id, [x - list_avg(b3) for x in b3], m2, q FROM (
+    SELECT *, [greatest(-0.2, least(0.2, x - list_avg(b1))) for x in b1] AS b3 FROM (
+    SELECT *, [b[i] - 0.5 * (g[i] - list_avg(g)) for i in [1, 2, 3, 4, 5]] AS b1 FROM (
+    SELECT *, [-2 * q[i] * (ln(q[i]) - h) + 0.3 * (m2[i] - 0.2) for i in [1, 2, 3, 4, 5]] AS g FROM (
+    SELECT *, list_sum([x * ln(x) for x in q]) AS h, [0.9 * m[i] + 0.1 * q[i] for i in [1, 2, 3, 4, 5]] AS m2 FROM (
+    SELECT *, [x / list_sum(z) for x in z] AS q FROM (
+    SELECT sq.stream_id, sq.n, sq.event_id, r.b, r.m, [exp(sq.e[i] / 1.5 + r.b[i]) for i in [1, 2, 3, 4, 5]] AS z FROM r JOIN sq ON sq.stream_id = r.stream_id AND sq.n = r.n + 1))))))),
+shown AS (SELECT event_id, q FROM r WHERE n > 0) SELECT event_id, round(q[1], 6) AS q0, round(q[5], 6) AS q4 FROM shown"""
+
+
+@query("e22_online_adaptation", ONLINE_SQL)
 def e22(spark: SparkSession, sf: str) -> DataFrame:
-    return entries(H.online_adapted(obs(spark, sf), ["stream_id"], "event_id", EVEN), "event_id", digits=6)
+    return entries(H.online_adapted(obs(spark, sf), ["stream_id"], "event_id", EVEN, rate=0.5, entropy_weight=2.0, marginal_weight=0.3, momentum=0.1, temperature=1.5, clip=0.2), "event_id", digits=6)
+
+
+#: Orders of three presses; class 0 is rest.
+TEMPLATES = [(1, 2, 3), (4, 2, 1), (3, 4, 2)]
+_NONE = "CAST('-inf' AS DOUBLE)"
+PRESSES_SQL = f"""WITH RECURSIVE {SEQUENCE_SQL}, tm(k, o) AS (VALUES {', '.join(f'({k}, {list(o)})' for k, o in enumerate(TEMPLATES))}),
+em AS (SELECT stream_id, event_id, n, k, o, [e[CASE WHEN s % 2 = 0 THEN o[s // 2] + 1 ELSE 1 END] for s in [1, 2, 3, 4, 5, 6, 7]] AS e FROM sq, tm),
+v AS (SELECT stream_id, k, n, [e[1], e[2] + ln(0.12), {', '.join([_NONE] * 5)}] AS sc, ['0', '1', '', '', '', '', ''] AS path FROM em WHERE n = 1
+  UNION ALL SELECT stream_id, k, n, [greatest(st[s], mv[s]) + e[s] for s in [1, 2, 3, 4, 5, 6, 7]], [CASE WHEN mv[s] > st[s] THEN path[s - 1] ELSE path[s] END || CAST(s - 1 AS VARCHAR) for s in [1, 2, 3, 4, 5, 6, 7]] FROM (
+    SELECT em.stream_id, em.k, em.n, em.e, v.path, [x + ln(0.88) for x in v.sc] AS st, [CASE WHEN s = 1 THEN {_NONE} ELSE v.sc[s - 1] + ln(0.12) END for s in [1, 2, 3, 4, 5, 6, 7]] AS mv FROM v JOIN em ON em.stream_id = v.stream_id AND em.k = v.k AND em.n = v.n + 1)),
+f AS (SELECT stream_id, k, greatest(sc[6], sc[7]) AS total, CASE WHEN sc[7] > sc[6] THEN path[7] ELSE path[6] END AS path FROM v JOIN (SELECT stream_id, max(n) AS n FROM sq GROUP BY 1) USING (stream_id, n)),
+b AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY total DESC, k) AS place FROM f),
+g AS (SELECT sq.event_id, CASE WHEN total > {_NONE} THEN k ELSE -1 END AS k, CASE WHEN total > {_NONE} THEN CAST(substr(path, CAST(sq.n AS INTEGER), 1) AS INTEGER) ELSE 0 END AS state FROM sq JOIN b USING (stream_id) WHERE place = 1)
+SELECT event_id, CAST(g.k AS INTEGER) AS template, state, CAST(CASE WHEN state % 2 = 1 THEN o[(state + 1) // 2] ELSE 0 END AS INTEGER) AS label FROM g LEFT JOIN tm ON tm.k = g.k"""
 
 
-@query("e25_structured_decode")
+@query("e25_structured_decode", PRESSES_SQL)
 def e25(spark: SparkSession, sf: str) -> DataFrame:
-    """Templates of three states over each stream's days."""
-    return H.structured(obs(spark, sf), ["stream_id"], "event_id", [(0, 1, 2), (4, 2, 0), (3, 2, 1)], 0.9)
+    """Three presses in one of three orders over each stream's days, with rests between them."""
+    return H.structured(obs(spark, sf), ["stream_id"], "event_id", TEMPLATES)
 
 

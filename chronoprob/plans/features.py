@@ -281,7 +281,16 @@ def k12_covariance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(A.covariance_distance(feat(spark, sf)), 6)
 
 
-@query("k13_transferability")
+TRANSFER = f"""WITH {FEAT_SQL}, c AS (SELECT domain, label, pos, avg(v) AS m, count(*) AS n FROM longf WHERE role = 'source' GROUP BY 1, 2, 3),
+o AS (SELECT domain, pos, avg(v) AS m, count(*) AS n FROM longf WHERE role = 'source' GROUP BY 1, 2), t AS (SELECT pos, avg(v) AS m, count(*) AS n FROM longf WHERE role = 'target' GROUP BY 1),
+d AS (SELECT domain, label, pos, c.m - o.m AS x, c.n FROM c JOIN o USING (domain, pos)),
+b AS (SELECT a.domain, a.pos AS i, b.pos AS j, abs(sum(a.n * a.x * b.x)) AS s FROM d a JOIN d b ON a.domain = b.domain AND a.label = b.label GROUP BY 1, 2, 3),
+num AS (SELECT domain, max(s) AS num FROM (SELECT domain, j, sum(s) AS s FROM b GROUP BY 1, 2) GROUP BY 1),
+den AS (SELECT domain, max(o.n * t.n / CAST(o.n + t.n AS DOUBLE)) * max(abs(o.m - t.m)) * sum(abs(o.m - t.m)) AS den FROM o JOIN t USING (pos) GROUP BY 1)
+SELECT domain, round(num / (den + 1e-12), 6) AS score FROM num JOIN den USING (domain)"""
+
+
+@query("k13_transferability", TRANSFER)
 def k13(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(A.transferability(feat(spark, sf)), 6)
 

@@ -108,6 +108,45 @@ def test_non_max_suppression(spark):
 def test_triggers():
     assert J.align_triggers([0.0, 1.0, 5.0], [0.1, 1.1, 3.0, 5.1], 0.1, 0.5) == [0, 1, 3]
     assert J.align_triggers([], [1.0], 0.1, 0.5) == []
+    assert J.align_triggers([0.0, 0.9], [0.9, 1.8], 0.0, 1.0) == [-1, 0]  # triggers left out are free
+    assert J.align_triggers([1.0, 2.0, 3.0, 4.0, 5.0], [0.4, 1.03, 2.03, 3.03, 5.03, 5.8], 0.03, 0.08) == [1, 2, 3, -1, 4]
+
+
+def test_triggers_cost_least():
+    rng = random.Random(11)
+
+    def plain(presses, triggers, start=0):
+        if not presses:
+            return 0.0
+        rest = [1 + plain(presses[1:], triggers, start)]
+        for j in range(start, len(triggers)):
+            off = abs(triggers[j] - presses[0] - 0.5) / 1.5
+            if off <= 1:
+                rest.append(off + plain(presses[1:], triggers, j + 1))
+        return min(rest)
+
+    for _ in range(200):
+        presses, triggers = sorted(rng.uniform(0, 12) for _ in range(rng.randint(0, 6))), sorted(rng.uniform(0, 12) for _ in range(rng.randint(0, 7)))
+        got = J.align_triggers(presses, triggers, 0.5, 1.5)
+        used = [j for j in got if j >= 0]
+        assert used == sorted(set(used))
+        cost = sum(1 if j < 0 else abs(triggers[j] - x - 0.5) / 1.5 for x, j in zip(presses, got))
+        assert cost == pytest.approx(plain(presses, triggers))
+
+
+def test_islands_go_on_across_buckets_of_time(spark):
+    rng = random.Random(13)
+    rows = [(k, rng.choice([rng.uniform(0, 40), rng.uniform(0, 400)]), f"r{i}", i % 2) for k in range(3) for i in range(120)]
+    df = spark.createDataFrame(rows, "stream_id int, t double, id string, kind int")
+    for buckets in (1.0, 7.0, 1e6):
+        got = {r["id"] + str(r["stream_id"]): r["_island"] for r in J.islands(df, ["stream_id"], 2.0, buckets).collect()}
+        for k in range(3):
+            line = sorted((t, kind, name) for s, t, name, kind in rows if s == k)
+            island, last = 0, None
+            for t, _, name in line:
+                island += last is None or t - last > 2.0
+                last = t
+                assert got[name + str(k)] == island
 
 
 def test_interval_join_equals_the_plain_one(spark):
@@ -119,3 +158,22 @@ def test_interval_join_equals_the_plain_one(spark):
     got = {(r["wid"], r["pid"]): r["overlap"] for r in J.interval_overlap(windows, presses, ["k"], 1.0).collect()}
     plain = {(a[0], b[0]): min(a[3], b[3]) - max(a[2], b[2]) for a in w for b in p if min(a[3], b[3]) - max(a[2], b[2]) > 0}
     assert got == pytest.approx(plain)
+
+
+def test_sequences_go_on_across_batches(spark):
+    from chronoprob.operators.sequences import map_sequences, runs
+
+    rng = random.Random(19)
+    rows = [(rng.choice([None, "a", "b"]), rng.choice([None, 1, 2]), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, j int, t int")
+    solve = lambda r: {"k": r["k"].tolist()[:1], "n": [len(r["t"])], "first": [int(r["t"][0])], "sorted": [bool((r["t"][1:] > r["t"][:-1]).all())]}
+    got = map_sequences(df, ["k", "j"], ["t"], solve, "k string, n int, first int, sorted boolean").collect()
+    expected = {}
+    for k, j, t in rows:
+        expected.setdefault((k, j), []).append(t)
+    assert sorted((str(r["k"]), r["n"], r["first"]) for r in got) == sorted((str(k), len(v), v[0]) for (k, _), v in expected.items())
+    assert all(r["sorted"] for r in got)
+    import pandas as pd
+
+    split = [pd.DataFrame({"k": ["a", "a"]}), pd.DataFrame({"k": []}), pd.DataFrame({"k": ["a", "b"]}), pd.DataFrame({"k": ["c"]})]
+    assert [r["k"].tolist() for r in runs(iter(split), ["k"])] == [["a"] * 3, ["b"], ["c"]]

@@ -43,15 +43,57 @@ def test_causal_posterior_ignores_later_rows():
     assert H.forward_backward(e, 0.6, causal=True)[:4] == pytest.approx(H.forward_backward(e[:4], 0.6, causal=True))
 
 
-def test_template_path_is_the_best_one():
-    e = H.emissions(dirichlet(5, 3, 3))
-    best = -np.inf
-    for a, b in itertools.combinations(range(1, 5), 2):
-        states = [0] * a + [1] * (b - a) + [2] * (5 - b)
-        s = sum(e[t, k] for t, k in enumerate(states)) + 2 * np.log(0.3) + 2 * np.log(0.7)
-        if s > best:
-            best, path = s, states
-    assert H.template_path(e, [(0, 1, 2)], 0.7)[1].tolist() == path
+@pytest.mark.parametrize("complete", [True, False])
+def test_press_path_is_the_best_one(complete):
+    rng = np.random.default_rng(3)
+    e, position, overlap = H.emissions(dirichlet(6, 4, 3)), np.stack(dirichlet(6, 4, 5)), rng.random(6)
+    stay = rng.uniform(0.3, 0.9, 7)
+    templates, prior = [(1, 2, 3), (3, 1, 2)], [0.2, 0.8]
+    best = (-np.inf, None, None)
+    for number, order in enumerate(templates):
+        for steps in itertools.product((0, 1), repeat=6):
+            states = np.cumsum(steps)
+            if states[-1] > 6 or (complete and states[-1] < 5):
+                continue
+            s = 0.15 * np.log(prior[number]) + (np.log(1 - stay[0]) if states[0] else 0.0)
+            for t, k in enumerate(states):
+                s += e[t, order[k // 2] if k % 2 else 0] + 0.35 * np.log(position[t, (k + 1) // 2 if k % 2 else 0]) + 0.15 * np.log(overlap[t] if k % 2 else 1 - overlap[t])
+                if t:
+                    s += np.log(stay[k] if k == states[t - 1] else 1 - stay[k - 1])
+            if s > best[0]:
+                best = (s, number, states.tolist())
+    number, states, labels = H.template_path(e, templates, stay, np.array(prior), complete=complete, position=position, overlap=overlap)
+    assert (number, states.tolist()) == best[1:]
+    assert labels.tolist() == [templates[number][k // 2] if k % 2 else 0 for k in states]
+    assert H.template_path(e[:3], templates, 0.88)[0] == -1  # too few rows for three presses with rests
+
+
+def test_online_steps_before_and_after_the_row():
+    e = H.emissions(dirichlet(30, 3, 4))
+    prior = np.full(3, 1 / 3)
+    after, before = H.online_path(e, prior, rate=0.4), H.online_path(e, prior, rate=0.4, timing="before_predict")
+    assert after[0] == pytest.approx(np.exp(e[0])) and before[0].max() > after[0].max()
+    assert H.online_path(e, prior, rate=0.0, temperature=2.0) == pytest.approx(np.exp(e / 2) / np.exp(e / 2).sum(1, keepdims=True))
+    held = H.online_path(e, prior, rate=50.0, updates=3, clip=0.1)
+    assert np.abs(np.log(held / np.exp(e))).max() < 0.5  # the bias stays within its bounds
+    with pytest.raises(ValueError):
+        H.online_path(e, prior, timing="never")
+
+
+def test_mahalanobis_equals_the_formula(spark):
+    rng = np.random.default_rng(17)
+    mix = rng.normal(size=(4, 4))
+    x, y = rng.normal(size=(300, 4)) @ mix, np.repeat([0, 1, 2], [150, 100, 50])
+    x += y[:, None] * 0.4
+    rows = spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(300)], "row_id long, x array<double>, label int")
+    means = np.stack([x[y == k].mean(0) for k in range(3)])
+    cov = sum((x[y == k] - means[k]).T @ (x[y == k] - means[k]) for k in range(3)) / 297 + 1e-3 * np.eye(4)
+    d = np.einsum("nki,ij,nkj->nk", x[:, None] - means, np.linalg.inv(cov), x[:, None] - means)
+    for prior, t in (("empirical", 1.0), ("uniform", 2.5)):
+        z = -d / t + (np.log([0.5, 1 / 3, 1 / 6]) if prior == "empirical" else 0.0)
+        p = np.exp(z - z.max(1, keepdims=True))
+        got = {r["row_id"]: r["p"] for r in C.mahalanobis(rows, rows, prior=prior, temperature=t).collect()}
+        assert np.stack([got[i] for i in range(300)]) == pytest.approx(p / p.sum(1, keepdims=True), abs=1e-8)
 
 
 def test_fit_prefers_the_true_persistence(spark):
