@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from chronoprob.functions import probability as P
 
+from .ranks import placed
+
 
 def covered(df: DataFrame, conf: str, row: str, coverage: float) -> DataFrame:
     """The ceil(n * coverage) most confident rows, first rows first among equals."""
-    place = F.row_number().over(Window.orderBy(F.col(conf).desc(), row))
-    return df.withColumn("_p", place).withColumn("_n", F.count("*").over(Window.partitionBy())).where(F.col("_p") <= F.ceil(F.col("_n") * coverage)).drop("_p", "_n")
+    ranked = placed(df, 1 - F.col(conf), [F.col(conf).desc(), row])
+    return ranked.where(F.col("_place") <= F.ceil(F.col("_total") * coverage)).drop("_place", "_total")
 
 
 def log_means(df: DataFrame, keys: Sequence[str], eps: float = 1e-15) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from chronoprob.functions.vectors import dot, md5_unit, norm, squared_distance
 
 from .features import arrays, class_means, column_scales, mean_and_covariance, positions, with_stats
+from .ranks import placed, quantiles
 
 
 def partners(df: DataFrame, by: Sequence[str], row: str, copies: int, seed: int) -> DataFrame:
@@ -84,9 +85,9 @@ def gaussian_rows(df: DataFrame, per_class: int, label: str = "label", shrinkage
 
 def rebalanced(df: DataFrame, label: str, row: str, target: str = "min", seed: int = 0) -> DataFrame:
     """Classes cut to, or repeated up to, the least or largest class's size, in seeded order."""
-    n = F.count("*").over(Window.partitionBy(label))
     counts = df.groupBy(label).agg(F.count("*").alias("c")).agg((F.min("c") if target == "min" else F.max("c")).alias("_goal"))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(md5_unit(F.lit(seed), F.col(row)), row))).withColumn("_n", n).join(F.broadcast(counts))  # one row
+    drawn = placed(df.withColumn("_u", md5_unit(F.lit(seed), F.col(row))), F.col("_u"), ["_u", row], [label], "_r", "_n")
+    ranked = drawn.drop("_u").join(F.broadcast(counts))  # one row
     if target == "min":
         return ranked.where(F.col("_r") <= F.col("_goal")).drop("_r", "_n", "_goal")
     times = F.floor((F.col("_goal") - F.col("_r")) / F.col("_n")) + 1
@@ -125,10 +126,9 @@ def scaled_distances(df: DataFrame, group: Sequence[str]) -> DataFrame:
 def outlier_weights(df: DataFrame, label: str = "label", multiplier: float = 3.0, soft: bool = False) -> DataFrame:
     """Weight 1 within median + multiplier * MAD of the class's distances, else 0 (or cut / distance)."""
     d = scaled_distances(df, [label])
-    mid = d.groupBy(label).agg(F.percentile("distance", 0.5).alias("_m"))
-    d = d.join(mid, label)
-    mad = d.groupBy(label).agg((1.4826 * F.percentile(F.abs(F.col("distance") - F.col("_m")), 0.5)).alias("_mad"))
-    d = d.join(mad, label)
+    middle = lambda v, to: quantiles(d.select(F.col(label).alias("pos"), v.alias("v")), [0.5]).select(F.col("pos").alias(label), F.get("q", F.lit(0)).alias(to))
+    d = d.join(middle(F.col("distance"), "_m"), label)
+    d = d.join(middle(F.abs(F.col("distance") - F.col("_m")), "_mad"), label).withColumn("_mad", 1.4826 * F.col("_mad"))
     cut = F.col("_m") + multiplier * F.col("_mad")
     return d.withColumn("weight", F.when(F.col("distance") <= cut, 1.0).otherwise(cut / F.col("distance") if soft else 0.0)).drop("_m", "_mad")
 

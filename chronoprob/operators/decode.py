@@ -18,6 +18,7 @@ from chronoprob.functions import probability as P
 from chronoprob.functions.vectors import md5_unit, squared_distance
 
 from . import features as T
+from .ranks import placed
 
 
 def _models(means: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -39,8 +40,12 @@ def centroid(train: DataFrame, test: DataFrame, keys: Sequence[str] = (), temper
     models = _models(T.class_means(train.select(*keys, "label", "x"), [*keys, "label"]), keys)
     models = models.join(scale, list(keys)) if keys else models.join(F.broadcast(scale))  # one row
     shrunk = F.transform("means", lambda m: F.zip_with(m, "grand", lambda a, g: (1 - shrink) * a + shrink * g))
-    models = models.select(*keys, "labels", "scale", shrunk.alias("means"))
-    both = test.join(F.broadcast(models), list(keys)) if keys else test.join(F.broadcast(models))  # a row for each model
+    return _nearest(test, models.select(*keys, "labels", "scale", shrunk.alias("means")), keys, temperature)
+
+
+def _nearest(test: DataFrame, models: DataFrame, keys: Sequence[str], temperature: float) -> DataFrame:
+    """Rows against the labels, means and scale of their key's model; one model of all is one row."""
+    both = test.join(models, list(keys)) if keys else test.join(F.broadcast(models))
     over = lambda a: F.zip_with(a, "scale", lambda v, s: v / s)
     scores = P.bound(over(F.col("x")), lambda x: F.transform("means", lambda m: -squared_distance(x, over(m)) / temperature))
     return decided(both.withColumn("p", P.softmax(scores)), [*keys, "label"])
@@ -85,9 +90,9 @@ def _plain_centroid(train: DataFrame, test: DataFrame, temperature: float = 1.0,
 
 
 def nearest_neighbours(train: DataFrame, test: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """(row_id, place, train_id, distance, label): exact k nearest rows. Training rows are packed in blocks;
-    each Arrow batch of a block meets blocks of test rows by an equi-join on block numbers, a task returns k
-    rows for each test row, and the k best of all are kept."""
+    """(row_id, place, train_id, distance, label): exact k nearest rows. Training rows are packed
+    in blocks that are dealt once, by a salt, and blocks of test rows, the smaller side, go to every salt by an
+    equi-join; a task returns k rows for each test row of a pair of blocks, and the k best of all are kept."""
     def packed(df: DataFrame, name: str) -> DataFrame:
         def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -98,8 +103,9 @@ def nearest_neighbours(train: DataFrame, test: DataFrame, k: int, block: int = 4
         return df.select("row_id", "label", "x").mapInPandas(pack, "ids array<long>, labels array<int>, xs array<double>").select(*[F.col(c).alias(f"{name}_{c}") for c in ("ids", "labels", "xs")])
 
     n_blocks = max(1, -(-test.count() // block))
-    t = packed(test.repartition(n_blocks, "row_id"), "test").withColumn("b", F.pmod(F.xxhash64("test_ids"), F.lit(n_blocks)))
-    s = packed(train, "train").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    salts = max(1, 2 * train.sparkSession.sparkContext.defaultParallelism)
+    t = packed(test.repartition(n_blocks, "row_id"), "test").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    s = packed(train, "train").withColumn("b", F.pmod(F.xxhash64("train_ids"), F.lit(salts)))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -179,7 +185,7 @@ def leave_one_domain_out(df: DataFrame, domain: str = "domain") -> DataFrame:
     grid = totals.join(F.broadcast(domains))  # sums of classes by each domain
     rest = grid.join(own, [domain, "label", "pos"], "left").select(domain, "label", "pos", (F.col("all_s") - F.coalesce("s", F.lit(0.0))).alias("s"), (F.col("all_n") - F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
     means = T.arrays(rest.withColumn("mean", F.col("s") / F.col("n")), ["mean"], [domain, "label"])
-    both = df.join(F.broadcast(_models(means, [domain])), domain)
+    both = df.join(_models(means, [domain]), domain)
     return decided(both.withColumn("p", P.softmax(F.transform("means", lambda m: -squared_distance(F.col("x"), m)))), [domain, "label"]).drop("p")
 
 
@@ -190,12 +196,20 @@ def windows_of(df: DataFrame, width: int) -> DataFrame:
 
 
 def time_resolved(df: DataFrame, width: int, fold: str = "domain") -> DataFrame:
-    """(window, fold, accuracy, n): for each window and fold the centroid model of the other folds, all in
-    one job keyed by window and fold."""
-    rows = windows_of(df, width)
-    folds = df.select(F.col(fold).alias("_f")).distinct()
-    train = rows.join(F.broadcast(folds), F.col(fold) != F.col("_f")).drop(fold).withColumnRenamed("_f", fold)
-    got = centroid(train.select("row_id", "window", fold, "label", "x"), rows.select("row_id", "window", fold, "label", "x"), ["window", fold])
+    """(window, fold, accuracy, n): for each window and fold the centroid model of the other folds, from the
+    sums of all folds less its own, so that no row is copied."""
+    rows = windows_of(df, width).select("row_id", "window", fold, "label", "x")
+    sums = {"s": F.sum("v"), "q": F.sum(F.col("v") * F.col("v")), "n": F.count("*")}
+    own = T.positions(rows).groupBy("window", fold, "label", "pos").agg(*[a.alias(c) for c, a in sums.items()])
+    every = own.groupBy("window", "label", "pos").agg(*[F.sum(c).alias(f"all_{c}") for c in sums])
+    grid = every.join(own.select(fold).distinct())  # sums of classes by each fold
+    keys = ["window", fold, "label", "pos"]
+    rest = grid.join(own, keys, "left").select(*keys, *[(F.col(f"all_{c}") - F.coalesce(F.col(c), F.lit(0))).alias(c) for c in sums]).where("n > 0")
+    means = T.arrays(rest.withColumn("mean", F.col("s") / F.col("n")), ["mean"], ["window", fold, "label"])
+    whole = rest.groupBy("window", fold, "pos").agg(*[F.sum(c).alias(c) for c in sums])
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.col("n") - 1)))
+    scale = T.arrays(whole.withColumn("scale", F.greatest(F.coalesce(spread, F.lit(0.0)), F.lit(1e-12))), ["scale"], ["window", fold])
+    got = _nearest(rows, _models(means, ["window", fold]).join(scale, ["window", fold]), ["window", fold], 1.0)
     return got.groupBy("window", fold).agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
 
@@ -203,18 +217,20 @@ def temporal_generalization(train: DataFrame, test: DataFrame, width: int) -> Da
     """(train_window, test_window, accuracy): each window's model on every window's rows; models, one row for
     each window, meet the rows by broadcast."""
     models = _models(T.class_means(windows_of(train, width).select("window", "label", "x"), ["window", "label"]), ["window"]).withColumnRenamed("window", "train_window")
-    both = windows_of(test, width).join(F.broadcast(models))
+    both = windows_of(test, width).crossJoin(models)  # a model for each window
     got = both.withColumn("p", P.softmax(F.transform("means", lambda m: -squared_distance(F.col("x"), m)))).withColumn("predicted", F.get("labels", P.predicted_index(F.col("p"))))
     return got.groupBy("train_window", F.col("window").alias("test_window")).agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("accuracy"))
 
 
 def permutation_curve(train: DataFrame, test: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """(perm, accuracy): perm 0 is observed; others shuffle training labels by rank, as one more model key."""
-    order = Window.partitionBy("perm")
+    """(perm, accuracy): perm 0 is observed; others shuffle training labels by rank in another seeded
+    order, as one more model key."""
     base = train.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    placed = base.withColumn("_i", F.row_number().over(order.orderBy("row_id"))).withColumn("_j", F.row_number().over(order.orderBy(F.when(F.col("perm") > 0, md5_unit(F.lit(seed), F.col("perm"), F.col("row_id"))), "row_id")))
-    labels = placed.select("perm", F.col("_j").alias("_i"), F.col("label").alias("_l"))
-    shuffled = placed.drop("label", "_j").join(labels, ["perm", "_i"]).select("row_id", "perm", F.col("_l").alias("label"), "x")
+    own, drawn = md5_unit(F.lit(seed), F.col("row_id")), md5_unit(F.lit(seed), F.col("perm"), F.col("row_id"))
+    rows = placed(base.withColumn("_u", own), F.col("_u"), ["_u", "row_id"], ["perm"], "_i", "_m").drop("_u", "_m")
+    mixed = base.select("row_id", "perm", F.col("label").alias("_l"), F.when(F.col("perm") > 0, drawn).otherwise(own).alias("_u"))
+    labels = placed(mixed, F.col("_u"), ["_u", "row_id"], ["perm"], "_i", "_m").select("perm", "_i", "_l")
+    shuffled = rows.drop("label").join(labels, ["perm", "_i"]).select("row_id", "perm", F.col("_l").alias("label"), "x")
     tests = test.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n))))
     got = centroid(shuffled, tests.select("row_id", "perm", "label", "x"), ["perm"])
     return got.groupBy("perm").agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("accuracy"))

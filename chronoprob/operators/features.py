@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 
 def positions(df: DataFrame) -> DataFrame:
     """One row for each entry of ``x``: pos and v, with all other columns."""
@@ -33,13 +35,20 @@ def arrays(stats: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) ->
 def column_scales(df: DataFrame, location: str = "mean", scale: str = "std", floor: float = 1e-12, ddof: int = 0) -> DataFrame:
     """(pos, loc, scale) of the columns; location mean, median or none; scale std, mad, iqr or none."""
     p = positions(df)
-    loc = {"mean": F.avg("v"), "median": F.percentile("v", 0.5), "none": F.lit(0.0)}[location]
+    floored = lambda c: F.greatest(c, F.lit(floor))
+    middle = lambda of: quantiles(of, [0.5]).select("pos", F.get("q", F.lit(0)).alias("_mid"))
+    raw = {"std": F.stddev_samp("v") if ddof else F.stddev_pop("v")}.get(scale, F.lit(1.0))
+    out = p.groupBy("pos").agg({"mean": F.avg("v")}.get(location, F.lit(0.0)).alias("loc"), floored(raw).alias("scale"))
+    if location == "median" or scale == "mad":
+        mid = middle(p)
+    if location == "median":
+        out = out.join(mid, "pos").select("pos", F.col("_mid").alias("loc"), "scale")
     if scale == "mad":
-        mid = p.groupBy("pos").agg(F.percentile("v", 0.5).alias("m"), loc.alias("loc"))
-        spread = p.join(F.broadcast(mid), "pos").groupBy("pos", "loc").agg((1.4826 * F.percentile(F.abs(F.col("v") - F.col("m")), 0.5)).alias("scale"))
-        return spread.withColumn("scale", F.greatest("scale", F.lit(floor)))
-    raw = {"std": F.stddev_samp("v") if ddof else F.stddev_pop("v"), "iqr": F.percentile("v", 0.75) - F.percentile("v", 0.25), "none": F.lit(1.0)}[scale]
-    return p.groupBy("pos").agg(loc.alias("loc"), F.greatest(raw, F.lit(floor)).alias("scale"))
+        away = p.join(mid, "pos").select("pos", F.abs(F.col("v") - F.col("_mid")).alias("v"))
+        out = out.join(middle(away), "pos").select("pos", "loc", floored(1.4826 * F.col("_mid")).alias("scale"))
+    if scale == "iqr":
+        out = out.join(quantiles(p, [0.25, 0.75]), "pos").select("pos", "loc", floored(F.get("q", F.lit(1)) - F.get("q", F.lit(0))).alias("scale"))
+    return out
 
 
 def with_stats(df: DataFrame, stats: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -69,15 +78,16 @@ def minmax(df: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
 
 def sample_quantiles(df: DataFrame, lower: float, higher: float) -> DataFrame:
     """(pos, lo, hi): the sample values at floor and ceil of q (n - 1), no interpolation, found by rank."""
-    w = Window.partitionBy("pos")
-    ranked = positions(df).select("pos", "v", (F.row_number().over(w.orderBy("v")) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    at = lambda q, f: F.max(F.when(F.col("i") == f(F.lit(q) * (F.col("n") - 1)), F.col("v")))
-    return ranked.groupBy("pos").agg(at(lower, F.floor).alias("lo"), at(higher, F.ceil).alias("hi"))
+    q = quantiles(positions(df), [lower, higher], False)
+    return q.select("pos", F.get("q", F.lit(0))["low"].alias("lo"), F.get("q", F.lit(1))["high"].alias("hi"))
 
 
 def clipped(df: DataFrame, lower: float = 0.05, higher: float = 0.95, interpolate: bool = True) -> DataFrame:
     """Entries held between the source's quantiles."""
-    s = positions(source(df)).groupBy("pos").agg(F.percentile("v", lower).alias("lo"), F.percentile("v", higher).alias("hi")) if interpolate else sample_quantiles(source(df), lower, higher)
+    if interpolate:
+        s = quantiles(positions(source(df)), [lower, higher]).select("pos", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
+    else:
+        s = sample_quantiles(source(df), lower, higher)
     z = F.transform(F.arrays_zip("x", "lo", "hi"), lambda t: F.greatest(t["lo"], F.least(t["hi"], t["x"])))
     return with_stats(df, s, ["lo", "hi"]).withColumn("x", z).drop("lo", "hi")
 
@@ -118,7 +128,7 @@ def ecdf(df: DataFrame, output: str = "uniform") -> DataFrame:
 def quantile_bins(df: DataFrame, n_bins: int) -> DataFrame:
     """Number of the source's inner quantile edges at or below each entry."""
     qs = [i / n_bins for i in range(1, n_bins)]
-    edges = positions(source(df)).groupBy("pos").agg(F.percentile("v", F.array(*map(F.lit, qs))).alias("edges"))
+    edges = quantiles(positions(source(df)), qs).withColumnRenamed("q", "edges")
     z = F.transform(F.arrays_zip("x", "edges"), lambda t: F.size(F.filter(t["edges"], lambda e: e <= t["x"])))
     return with_stats(df, edges, ["edges"]).withColumn("bins", z).drop("edges")
 

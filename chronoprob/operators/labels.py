@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from chronoprob.functions import probability as P
 from chronoprob.functions.vectors import md5_unit
 
+from .ranks import placed
+
 
 def in_window(df: DataFrame, window: tuple[float, float], time: str = "time") -> DataFrame:
     return df.where(F.col(time).between(*window))
@@ -105,16 +107,16 @@ def calibration_split(trials: DataFrame, counts: Sequence[int], seeds: Sequence[
     within its class makes smaller splits part of larger ones. Splits that leave a class too few
     evaluation trials are left out."""
     seeded = trials.select(*by, trial).withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
-    ranked = seeded.withColumn("rank", F.row_number().over(Window.partitionBy("seed", *by).orderBy(md5_unit(F.col("seed"), F.col(trial)), trial)))
-    ranked = ranked.withColumn("n", F.count("*").over(Window.partitionBy("seed", *by)))
+    seeded = seeded.withColumn("_u", md5_unit(F.col("seed"), F.col(trial)))
+    ranked = placed(seeded, F.col("_u"), ["_u", trial], ["seed", *by], "rank", "n").drop("_u")
     rows = ranked.withColumn("k", F.explode(F.array(*map(F.lit, counts)))).where(F.col("n") - F.col("k") >= evaluation_at_least)
     return rows.select(*by, trial, "seed", "k", F.when(F.col("rank") <= F.col("k"), "calibration").otherwise("evaluation").alias("role"))
 
 
 def stratified_folds(df: DataFrame, label: str, row: str, k: int, seed: int) -> DataFrame:
     """Folds that deal each label's rows in turn, in seeded order."""
-    w = Window.partitionBy(label).orderBy(md5_unit(F.lit(seed), F.col(row)), row)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    drawn = placed(df.withColumn("_u", md5_unit(F.lit(seed), F.col(row))), F.col("_u"), ["_u", row], [label])
+    return drawn.withColumn("fold", ((F.col("_place") - 1) % k).cast("int")).drop("_u", "_place", "_total")
 
 
 def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from chronoprob.functions import probability as P
 
+from .ranks import placed
+
 
 def scored(df: DataFrame, label: str = "true_label") -> DataFrame:
     """``df`` with the row-wise parts of the metrics: conf, pred, hit, brier, nll, rank."""
@@ -124,16 +126,20 @@ def category_enrichment(df: DataFrame, category: Column, predicted_category: Col
 
 def selective(df: DataFrame, conf: str, row: str, hit: str, coverages: Sequence[float]) -> DataFrame:
     """Accuracy of the ceil(n * coverage) most confident rows, and the confidence of the last of them."""
-    place = F.row_number().over(Window.orderBy(F.col(conf).desc(), row))
-    ranked = df.select(conf, hit, place.alias("place"), F.count("*").over(Window.partitionBy()).alias("n"))
+    ranked = placed(df.select(conf, row, hit), 1 - F.col(conf), [F.col(conf).desc(), row], place="place", total="n")
     rows = ranked.withColumn("coverage", F.explode(F.array(*map(F.lit, coverages)))).where(F.col("place") <= F.ceil(F.col("n") * F.col("coverage")))
     return rows.groupBy("coverage").agg(F.count("*").alias("n_kept"), F.avg(hit).alias("accuracy"), F.min(conf).alias("threshold"))
 
 
 def balance_weights(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Weights inverse to the size of each row's group, with mean one."""
-    inverse = F.lit(1.0) / F.count("*").over(Window.partitionBy(*by))
-    return df.withColumn("_i", inverse).withColumn("weight", F.col("_i") / F.avg("_i").over(Window.partitionBy())).drop("_i")
+    counts = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    whole = counts.agg((F.sum("_n") / F.count("*")).alias("_mean"))  # one row: rows a group
+    weights = counts.join(F.broadcast(whole)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], (F.col("_mean") / F.col("_n")).alias("weight"))
+    on = F.lit(True)
+    for i, k in enumerate(by):
+        on = on & df[k].eqNullSafe(weights[f"_k{i}"])
+    return df.join(weights, on).drop(*[f"_k{i}" for i in range(len(by))])
 
 
 def class_prior(df: DataFrame, label: str, smoothing: float = 0.0, uniform: bool = False) -> DataFrame:
