@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 
 def fit_predict(df: DataFrame, keys: Sequence[str], model: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A caller's model on the rows of each key, as a grouped map."""
+    """A caller's model on the rows of each key, as a grouped map: the rows of one key have to fit in a task, so
+    keys should name what grows with the data (domains, folds, subjects)."""
     return df.groupBy(*keys).applyInPandas(model, schema)
 
 

@@ -47,9 +47,17 @@ def l2(spark: SparkSession, sf: str) -> DataFrame:
     return _priors(D.prior_shift(obs(spark, sf), EVEN, ["subject"], iterations=2), "subject")
 
 
-@query("l2_adapted_rows")
+def _rounds_sql(n: int) -> str:
+    """Rows under the prior of their subject after ``n`` rounds of EM."""
+    tot = " + ".join(f"p{i} * t{i}" for i in range(5))
+    rounds = [f"r1 AS (SELECT subject, {', '.join(f'avg(p{i}) AS t{i}' for i in range(5))} FROM obs GROUP BY 1)"]
+    rounds += [f"r{k} AS (SELECT subject, {', '.join(f'avg(p{i} * t{i} / ({tot})) AS t{i}' for i in range(5))} FROM obs JOIN r{k - 1} USING (subject) GROUP BY 1)" for k in range(2, n + 1)]
+    return f"WITH {OBS_SQL}, {', '.join(rounds)} SELECT event_id, round(p0 * t0 / ({tot}), 9) AS q0, round(p4 * t4 / ({tot}), 9) AS q4 FROM obs JOIN r{n} USING (subject)"
+
+
+@query("l2_adapted_rows", _rounds_sql(6))
 def l2_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows under the converged prior of their block; a loop, tested against numpy."""
+    """Rows under the prior of their block after six rounds."""
     o = obs(spark, sf)
     return entries(D.shifted(o, D.prior_shift(o, EVEN, ["subject"], iterations=6), EVEN, ["subject"]), "event_id")
 
@@ -188,9 +196,21 @@ def _fit(spark: SparkSession, sf: str, **control) -> DataFrame:
     return H.fit(both(spark, sf), ["decoder"], ["stream_id"], 5, 20, **control)
 
 
-@query("e17_sticky_fit")
+_K = "[1, 2, 3, 4, 5]"
+#: Forward recursions of both decoders at each of 20 stay probabilities, scaled to sum one at each row.
+FIT_SQL = f"""{BOTH_SQL}, sq AS (SELECT decoder, stream_id, event_id, time, row_number() OVER (PARTITION BY decoder, stream_id ORDER BY time) AS n, [p0, p1, p2, p3, p4] AS e FROM both_obs),
+gr AS (SELECT i, 0.2 + i * 0.795 / 19 AS s FROM unnest(range(20)) g(i)),
+fw AS (SELECT decoder, stream_id, i, s, n, [x / list_sum(e) for x in e] AS a, ln(list_sum(e) / 5) AS ll FROM sq, gr WHERE n = 1
+  UNION ALL SELECT decoder, stream_id, i, s, n, [x / list_sum(b) for x in b], ll + ln(list_sum(b)) FROM (
+    SELECT sq.decoder, sq.stream_id, fw.i, fw.s, sq.n, fw.ll, [sq.e[k] * (fw.a[k] * fw.s + (1 - fw.a[k]) * (1 - fw.s) / 4) for k in {_K}] AS b FROM fw JOIN sq ON sq.decoder = fw.decoder AND sq.stream_id = fw.stream_id AND sq.n = fw.n + 1)),
+en AS (SELECT decoder, stream_id, max(n) AS n FROM sq GROUP BY 1, 2),
+ls AS (SELECT decoder, i, s, sum(ll) AS ll, CAST(sum(n) AS BIGINT) AS n_observations, count(*) AS n_sequences FROM fw JOIN en USING (decoder, stream_id, n) GROUP BY 1, 2, 3),
+ft AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY decoder ORDER BY ll DESC, i) AS place FROM ls) WHERE place = 1)"""
+
+
+@query("e17_sticky_fit", f"WITH RECURSIVE {FIT_SQL} SELECT decoder, CAST(0 AS INTEGER) AS rep, round(s, 6) AS stay_probability, round(ll, 6) AS log_likelihood, round(ll / n_observations + ln(5), 6) AS gain, n_observations, n_sequences FROM ft")
 def e17(spark: SparkSession, sf: str) -> DataFrame:
-    """Stay probability of each decoder; a recursion over sequences, tested against a plain loop."""
+    """Stay probability of each decoder, from one recursion over each sequence."""
     return rounded(_fit(spark, sf), 6)
 
 
@@ -207,7 +227,14 @@ def e19(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("id", "state", F.round(F.get("posterior", F.lit(0)), 6).alias("posterior0"))
 
 
-@query("e21_smoothing")
+SMOOTH_SQL = f"""WITH RECURSIVE {FIT_SQL}, po AS (SELECT stream_id, event_id, e, row_number() OVER (PARTITION BY stream_id ORDER BY time) AS n FROM sq WHERE decoder = 'a' AND time >= 864000),
+sm AS (SELECT stream_id, event_id, n, e AS a, s FROM po, (SELECT s FROM ft WHERE decoder = 'a') WHERE n = 1
+  UNION ALL SELECT stream_id, event_id, n, [x / list_sum(b) for x in b], s FROM (
+    SELECT po.stream_id, po.event_id, po.n, sm.s, [po.e[k] * (sm.a[k] * sm.s + (1 - sm.a[k]) * (1 - sm.s) / 4) for k in {_K}] AS b FROM sm JOIN po ON po.stream_id = sm.stream_id AND po.n = sm.n + 1))
+SELECT event_id, round(a[1], 6) AS posterior0 FROM sm UNION ALL SELECT event_id, round(e[1], 6) FROM sq WHERE decoder = 'a' AND time < 864000"""
+
+
+@query("e21_smoothing", SMOOTH_SQL)
 def e21(spark: SparkSession, sf: str) -> DataFrame:
     stay = _fit(spark, sf).select("decoder", "stay_probability")
     t = H.traces(obs(spark, sf), stay, ["decoder"], ["stream_id"], "event_id", "poststimulus_forward_only", 864000.0)

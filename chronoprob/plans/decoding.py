@@ -59,7 +59,7 @@ def m3(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(C.nearest_neighbours(s, t, 5).select("row_id", "train_id", "label", "distance", "place"), 6)
 
 
-@query("m3_knn")
+@query("m3_knn", f"WITH {FEAT_SQL}, d AS (SELECT t.row_id, s.row_id AS train_id, s.label, sqrt({' + '.join(f'power(t.x{i} - s.x{i}, 2)' for i in D8)}) AS distance FROM feat t, feat s WHERE t.role = 'target' AND s.role = 'source'), r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY distance, train_id) AS place FROM d), v AS (SELECT row_id, label, sum(1 / greatest(distance, 1e-12)) AS v FROM r WHERE place <= 7 GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY v DESC, label) AS n, sum(v) OVER (PARTITION BY row_id) AS s FROM v) SELECT row_id, CAST(label AS INTEGER) AS predicted, round(v / s, 6) AS share FROM b WHERE n = 1")
 def m3_knn(spark: SparkSession, sf: str) -> DataFrame:
     s, t = halves(spark, sf)
     return rounded(C.knn(s, t, 7, weighted=True), 6)
@@ -79,7 +79,15 @@ def m4(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query("m5_time_resolved")
+FOLD_MODELS = f"""WITH {FEAT_SQL}, s AS (SELECT domain, label, pos, sum(v) AS s, sum(v * v) AS q, count(*) AS n FROM longf GROUP BY 1, 2, 3),
+r AS (SELECT d.domain, label, pos, sum(s) AS s, sum(q) AS q, sum(n) AS n FROM (SELECT DISTINCT domain FROM feat) d JOIN s ON s.domain <> d.domain GROUP BY 1, 2, 3),
+sc AS (SELECT domain, pos, greatest(sqrt(greatest(0, (sum(q) - sum(s) * sum(s) / sum(n)) / (sum(n) - 1))), 1e-12) AS sd FROM r GROUP BY 1, 2),
+d AS (SELECT f.row_id, f.domain, f.label AS own, r.label, f.pos // 8 AS w, sum(power((f.v - r.s / r.n) / sd, 2)) AS d FROM longf f JOIN r ON r.domain = f.domain AND r.pos = f.pos JOIN sc ON sc.domain = f.domain AND sc.pos = f.pos GROUP BY 1, 2, 3, 4, 5),
+p AS (SELECT row_id, domain, own, w, arg_min(label, d) AS p FROM d GROUP BY 1, 2, 3, 4)
+SELECT CAST(w AS INTEGER) AS "window", domain, round(avg(CASE WHEN p = own THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM p GROUP BY 1, 2"""
+
+
+@query("m5_time_resolved", FOLD_MODELS)
 def m5(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(C.time_resolved(long_feat(spark, sf), 8), 6)
 
@@ -94,7 +102,7 @@ def m6(spark: SparkSession, sf: str) -> DataFrame:
     return C.leave_one_domain_out(feat(spark, sf)).select("row_id", "domain", "label", "predicted")
 
 
-@query("m7_temporal_generalization")
+@query("m7_temporal_generalization", f"WITH {FEAT_SQL}, t AS (SELECT pos // 8 AS tw, pos % 8 AS i, label, avg(v) AS m FROM longf WHERE domain <> 0 GROUP BY 1, 2, 3), d AS (SELECT tw, f.pos // 8 AS w, row_id, f.label AS own, t.label, sum(power(f.v - m, 2)) AS d FROM longf f JOIN t ON f.pos % 8 = t.i WHERE f.domain = 0 GROUP BY 1, 2, 3, 4, 5), p AS (SELECT tw, w, row_id, own, arg_min(label, d) AS p FROM d GROUP BY 1, 2, 3, 4) SELECT CAST(tw AS INTEGER) AS train_window, CAST(w AS INTEGER) AS test_window, round(avg(CASE WHEN p = own THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM p GROUP BY 1, 2")
 def m7(spark: SparkSession, sf: str) -> DataFrame:
     f = long_feat(spark, sf)
     return rounded(C.temporal_generalization(f.where("domain <> 0"), f.where("domain = 0"), 8), 6)
@@ -160,7 +168,13 @@ def m16(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("domain").agg(F.count("*").alias("n_rows")).withColumns({"n_anchors": F.lit(facts["n_anchors"]), "before": F.lit(round(facts["before"], 6)), "after": F.lit(round(facts["after"], 6))})
 
 
-@query("m17_few_shot")
+FEW = f"""WITH {FEAT_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY left(md5('0:' || row_id), 8), row_id) AS n FROM feat WHERE role = 'target'),
+tr AS (SELECT label, {', '.join(f'x{i}' for i in D8)} FROM feat WHERE role = 'source' UNION ALL SELECT label, {', '.join(f'x{i}' for i in D8)} FROM k, unnest(range(3)) WHERE n <= 2),
+cm AS (SELECT label, {', '.join(f'avg(x{i}) AS m{i}' for i in D8)} FROM tr GROUP BY 1), sd AS (SELECT {', '.join(f'greatest(stddev_samp(x{i}), 1e-12) AS s{i}' for i in D8)} FROM tr)
+SELECT row_id, t.label, CAST(arg_min(cm.label, {d2('t', 'cm', 'sd')}) AS INTEGER) AS predicted FROM k t, cm, sd WHERE n > 2 GROUP BY 1, 2"""
+
+
+@query("m17_few_shot", FEW)
 def m17(spark: SparkSession, sf: str) -> DataFrame:
     return C.few_shot(feat(spark, sf), 2, 3).select("row_id", "label", "predicted")
 
@@ -201,26 +215,31 @@ def m21(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _window_model(pdf):
-    """A caller's fit and predict: class means of the training rows, nearest mean for the others."""
+    """A caller's fit and predict on one domain's window: class means of the training rows, nearest for the others."""
     import numpy as np
     import pandas as pd
 
     train, test = pdf[pdf["role"] == "source"], pdf[pdf["role"] == "target"]
     if not len(train) or not len(test):
-        return pd.DataFrame([], columns=["window", "row_id", "label", "predicted"])
+        return pd.DataFrame([], columns=["domain", "window", "row_id", "label", "predicted"])
     x, y = np.stack(train["x"].to_list()), train["label"].to_numpy()
     classes = np.unique(y)
     means = np.stack([x[y == c].mean(axis=0) for c in classes])
     d = ((np.stack(test["x"].to_list())[:, None, :] - means) ** 2).sum(-1)
-    return pd.DataFrame({"window": test["window"].tolist(), "row_id": test["row_id"].tolist(), "label": test["label"].tolist(), "predicted": classes[d.argmin(axis=1)].tolist()})
+    return pd.DataFrame({"domain": test["domain"].tolist(), "window": test["window"].tolist(), "row_id": test["row_id"].tolist(), "label": test["label"].tolist(), "predicted": classes[d.argmin(axis=1)].tolist()})
+
+
+USER_MODEL = f"""WITH {FEAT_SQL}, t AS (SELECT domain, pos // 8 AS w, pos, label, avg(v) AS m FROM longf WHERE row_id % 3 <> 0 GROUP BY 1, 2, 3, 4),
+d AS (SELECT f.domain, w, row_id, f.label AS own, t.label, sum(power(f.v - m, 2)) AS d FROM longf f JOIN t ON t.domain = f.domain AND t.pos = f.pos WHERE row_id % 3 = 0 GROUP BY 1, 2, 3, 4, 5)
+SELECT CAST(domain AS INTEGER) AS domain, CAST(w AS INTEGER) AS "window", row_id, own AS label, CAST(arg_min(label, d) AS INTEGER) AS predicted FROM d GROUP BY 1, 2, 3, 4"""
 
 
-@query("o1_user_model")
+@query("o1_user_model", USER_MODEL)
 def o1(spark: SparkSession, sf: str) -> DataFrame:
     from chronoprob.functions.udfs import fit_predict
 
-    rows = C.windows_of(long_feat(spark, sf), 8).withColumn("role", F.when(F.col("domain") == 0, "target").otherwise("source"))
-    return fit_predict(rows, ["window"], _window_model, "window int, row_id long, label int, predicted int")
+    rows = C.windows_of(long_feat(spark, sf), 8).withColumn("role", F.when(F.col("row_id") % 3 == 0, "target").otherwise("source"))
+    return fit_predict(rows, ["domain", "window"], _window_model, "domain int, window int, row_id long, label int, predicted int")
 
 
 @query("o3_trial_source", "SELECT CAST(vec_id AS BIGINT) AS trial_id, CAST(len(embedding) AS INTEGER) AS n_samples FROM embeddings")

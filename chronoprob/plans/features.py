@@ -99,7 +99,13 @@ def j9(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(T.anova(T.source(feat(spark, sf))), 6)
 
 
-@query("j9_correlation_filter")
+GREEDY = f"""WITH RECURSIVE {FEAT_SQL}, c AS (SELECT a.pos AS i, b.pos AS j, abs(corr(a.v, b.v)) AS r FROM longf a JOIN longf b USING (row_id) WHERE a.role = 'source' GROUP BY 1, 2),
+l AS (SELECT i, list(r ORDER BY j) AS r FROM c GROUP BY 1),
+k AS (SELECT CAST(-1 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT l.i, CASE WHEN len([j for j in kept if l.r[j + 1] > 0.1]) = 0 THEN list_append(kept, CAST(l.i AS BIGINT)) ELSE kept END FROM k JOIN l ON l.i = k.i + 1)
+SELECT row_id, [CAST(embedding[j + 1] AS DOUBLE) for j in kept] AS x, feat.label, domain, role FROM feat JOIN embeddings ON vec_id = row_id, (SELECT kept FROM k ORDER BY i DESC LIMIT 1)"""
+
+
+@query("j9_correlation_filter", GREEDY)
 def j9_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Rows with the columns that a correlation limit keeps; greedy, tested by brute force."""
     f = feat(spark, sf)
@@ -276,7 +282,7 @@ def k12(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(A.softmax_weights(s, "score", 0.1, 2, 0.5), 9, weight=6)
 
 
-@query("k12_covariance_distance")
+@query("k12_covariance_distance", f"WITH {FEAT_SQL}, c AS (SELECT a.domain, a.pos AS i, b.pos AS j, covar_samp(a.v, b.v) AS c FROM longf a JOIN longf b USING (row_id) GROUP BY 1, 2, 3) SELECT s.domain, round(sqrt(sum(power(s.c - t.c, 2))), 6) AS distance FROM c s JOIN c t ON t.domain = 0 AND s.i = t.i AND s.j = t.j WHERE s.domain <> 0 GROUP BY 1")
 def k12_covariance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(A.covariance_distance(feat(spark, sf)), 6)
 

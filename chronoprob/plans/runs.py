@@ -64,10 +64,16 @@ def e2(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(R.max_run_thresholds(_rows(spark, sf), ["subject", "stimulus_label"], ["stream_id"], BASELINE, 0.8, 2))
 
 
-@query("e2_max_run_duration")
+LASTING = f"""WITH {CLASS_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY stimulus_label, stream_id ORDER BY time) AS i FROM cl WHERE {IN_BASE}),
+r AS (SELECT x.subject, x.stimulus_label, x.stream_id, x.i, y.i AS j, min(m.score) AS low FROM b x JOIN b y ON y.stimulus_label = x.stimulus_label AND y.stream_id = x.stream_id AND y.i > x.i AND y.time - x.time >= 21600
+  JOIN b m ON m.stimulus_label = x.stimulus_label AND m.stream_id = x.stream_id AND m.i BETWEEN x.i AND y.i GROUP BY 1, 2, 3, 4, 5),
+l AS (SELECT subject, stimulus_label, stream_id, max(low) AS best FROM r GROUP BY 1, 2, 3) SELECT subject, stimulus_label, round(quantile_cont(best, 0.8), 9) AS score_threshold FROM l GROUP BY 1, 2"""
+
+
+@query("e2_max_run_duration", LASTING)
 def e2_duration(spark: SparkSession, sf: str) -> DataFrame:
-    """Runs of two rows that last six hours: a grouped map, tested by brute force."""
-    return R.max_run_thresholds_with_duration(_rows(spark, sf), ["subject", "stimulus_label"], ["stream_id"], BASELINE, 0.8, 2, 21600.0)
+    """Runs of two rows that last six hours."""
+    return rounded(R.max_run_thresholds_with_duration(_rows(spark, sf), ["subject", "stimulus_label"], ["stream_id"], BASELINE, 0.8, 2, 21600.0))
 
 
 ONSET_SQL = f"""{OBS_SQL}, t AS (SELECT subject, quantile_cont(conf, 0.5) AS th FROM obs WHERE {IN_BASE} GROUP BY 1),
@@ -116,7 +122,14 @@ def e7_highest(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(_events(spark, sf, conflicts="highest_peak_per_window"))
 
 
-@query("e7_non_max_suppression")
+SUPPRESSED = f"""WITH RECURSIVE {_events_sql(None)}, o AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY peak_score DESC, onset_time, {NAMED}) AS n FROM pk),
+f AS (SELECT stream_id, n, [onset_time] AS a, [offset_time] AS b, TRUE AS free FROM o WHERE n = 1
+  UNION ALL SELECT stream_id, n, CASE WHEN free THEN list_append(a, onset_time) ELSE a END, CASE WHEN free THEN list_append(b, offset_time) ELSE b END, free FROM (
+    SELECT o.stream_id, o.n, f.a, f.b, o.onset_time, o.offset_time, len([i for i in range(1, len(f.a) + 1) if o.offset_time >= f.a[i] AND f.b[i] >= o.onset_time]) = 0 AS free FROM f JOIN o ON o.stream_id = f.stream_id AND o.n = f.n + 1)),
+z AS (SELECT o.* FROM o JOIN f USING (stream_id, n) WHERE free) {EVENT_SELECT} FROM z"""
+
+
+@query("e7_non_max_suppression", SUPPRESSED)
 def e7_nms(spark: SparkSession, sf: str) -> DataFrame:
     """Greedy by peak in each stream: order-dependent, tested by brute force."""
     return _shown(_events(spark, sf, conflicts="non_max_suppression"))
