@@ -8,7 +8,9 @@ Defined cases: a null text encodes as the empty text, and no ids decode to no by
 encoded alike; an empty table gives an empty result. Texts are encoded whole, of any length; a long
 text is cut only where the split pattern cuts as well. A token may hold part of a character: its
 offsets then cover the whole character, and decoding joins the bytes before it reads characters.
-Bytes that do not form characters (from ids cut in the middle) become U+FFFD in decoded text.
+Bytes that do not form characters (from ids cut in the middle) become U+FFFD in decoded text. Binary that
+is no row of ids decodes all the same: an id beyond the table, and a rest of fewer than four bytes, become
+U+FFFD each.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+#: Stands in decoded bytes for what is no id.
+LOST = "\ufffd".encode()
 #: Pieces remembered within a task; beyond it the memory starts anew.
 REMEMBERED = 200_000
 #: New pieces that go to the library as one text.
@@ -150,7 +154,11 @@ class Codec:
         return [b"".join([head, *map(known.__getitem__, parts[1:])]) for head, parts in zip(heads, cuts, strict=True)]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.table.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        rest = len(ids) % 4
+        known = np.frombuffer(ids[: len(ids) - rest], dtype="<u4")
+        if not rest and not (known >= len(self.table)).any():
+            return b"".join(map(self.table.__getitem__, known.tolist()))
+        return b"".join([*(self.table[i] if i < len(self.table) else LOST for i in known.tolist()), LOST if rest else b""])
 
     def offsets(self, ids: bytes, text: str) -> np.ndarray:
         """Start and end, in code points, of each token; a token with part of a character covers it."""

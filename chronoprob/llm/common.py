@@ -20,10 +20,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is unset (local tests) a temporary folder of this machine is used.
+    Only where that setting is unset on a local master (tests) a temporary folder of this machine is used; a
+    cluster without it is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="spark-shared-")
         shared_dir.own = found
     return found.rstrip("/")

@@ -81,6 +81,30 @@ def test_bpe_offsets_and_split_characters():
     assert "".join(bpe.decode_text(iter([tool.decode(ids[:4]), "🙂".encode()[:2]]))).endswith("�")
 
 
+def test_bpe_decodes_what_is_no_ids(spark, empty):
+    tool = bpe.codec(*bpe.default_paths())
+    one = tool.encode_batch(["ab c"])[0]
+    assert tool.decode(one + b"\xff\xff\xff\xff" + one) == "ab c\ufffdab c".encode()
+    assert tool.decode(one + b"\x01\x02") == "ab c\ufffd".encode()
+    rows = spark.createDataFrame([(one + b"\xff" * 7,), (None,), (b"",)], "ids binary").withColumn("decoded", F.lit("clash"))
+    assert [bytes(r["out"]).decode() for r in bpe.decode(rows, to="out").collect()] == ["ab c\ufffd\ufffd", "", ""]
+    assert bpe.digest(empty).count() == 0 and bpe.token_offsets(bpe.encode(empty)).count() == 0
+
+
+def test_very_long_texts(spark):
+    """One text of half a million words, one of a million letters, through every operator on documents."""
+    rng = random.Random(41)
+    words = sentences(rng, 500).split()
+    docs = docs_of(spark, [" ".join(rng.choices(words, k=500_000)), "q" * 1_000_000, None])
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
+    assert sorted(r["taken"] > 0 for r in mixing.taken_words(docs).collect()) == [False, True, True]
+    assert {r["doc_id"]: r["n_tokens"] > 0 for r in bpe.digest(docs).collect()} == {0: True, 1: True, 2: False}
+    assert {r["doc_id"]: r["n_words"] for r in quality.judge(docs, labels).collect()} == {0: 500_000, 1: 1, 2: 0}
+    assert {r["doc_id"]: r["n_links"] for r in jaccard_join.link_counts(docs).collect()} == {0: 0, 1: 0, 2: 0}
+    assert toxicity.classify(docs, labels).count() == 3 and pii.digest(docs).count() == 3
+    assert {r["doc_id"]: r["n_tokens"] > 0 for r in token_count.count_tokens(docs).collect()} == {0: True, 1: True, 2: False}
+
+
 def test_bpe_columns_round_trip(spark, hard):
     out = bpe.decode(bpe.encode(hard)).collect()
     assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in out)
@@ -729,3 +753,106 @@ def test_pipeline_stages(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
     assert json.dumps(out.columns)
+
+
+def plain_redacted(text, risky):
+    base = plain_base(text)
+    spans = [(a, b, f"<{k.upper()}>") for a, b, k in base]
+    for m in re.finditer(r"[^\W\d_]{2,}", text):
+        if (r := risky.get(m[0].lower())) and not any(a < m.end() and m.start() < b for a, b, _ in base):
+            spans.append((m.start(), m.end(), "" if r[0] == "remove" else f"<{r[1].upper()}-RELATED>"))
+    out, at = "", 0
+    for a, b, new in sorted(spans, key=lambda x: x[0]):
+        if a >= at:
+            out += text[at:a] + new
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_pipeline_equals_a_plain_version(spark, tmp_path):
+    """Planted junk, copies and personal data: every stage against plain Python, and ``run`` against the last."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    import tiktoken
+
+    rng = random.Random(51)
+    clean = [sentences(rng, rng.randint(40, 80)) for _ in range(900)]
+    junk = [" ".join(w + "###" for w in sentences(rng, 40).split()) for _ in range(300)]
+    short = [sentences(rng, 5), "", None, "a b c d e f g h i\n" * 20]
+    near = []
+    for text in clean[:40]:
+        for k in range(3):
+            words = text.split()
+            words[rng.randrange(len(words))] = f"edit{k}"
+            near.append(" ".join(words))
+    private = [f"{sentences(rng, 20)} wilbrix jo{k % 3}@example.com {sentences(rng, 20)}" for k in range(30)]
+    texts = clean + junk + short + near + clean[50:80] + private
+    rows = [(i, t, "en", rng.choice(["a", "a", "b", None]), len(t or "")) for i, t in enumerate(texts)] + [(None, clean[3], None, None, 1), (7, clean[7], "en", "a", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(i < 900), 0) for i in range(1200)] + [(None, 1, 1), (3, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda r: (r["doc_id"], r["text"], r["lang"], r["source"])
+    sort = lambda x: sorted(x, key=repr)
+
+    good = stages["quality rules"](spark, docs, str(tmp_path)).cache()
+    passed = [r for r in rows if r[1] and not (lambda n, c, s, d, rep: n < 20 or 100 * rep > 30 * n)(*plain_quality(r[1])) and "###" not in r[1]]
+    assert sort(map(key, good.collect())) == sort(r[:4] for r in passed) and good.columns == docs.columns
+
+    first = stages["n-gram Jaccard join"](spark, good, str(tmp_path)).cache()
+    sets = [plain_sets(r[1]) for r in passed]
+    by_shingle, parent = {}, list(range(len(passed)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j in {j for x in s for j in by_shingle.get(x, ())}:
+            if len(s & sets[j]) >= 0.8 * len(s | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+        for x in s:
+            by_shingle.setdefault(x, []).append(i)
+    groups = {}
+    for i, r in enumerate(passed):
+        groups.setdefault(top(i), []).append(r)
+    stay = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+    assert sort((r["doc_id"], r["text"]) for r in first.collect()) == sort(r[:2] for r in stay)
+
+    safe = stages["PII"](spark, first, str(tmp_path)).cache()
+    kept = [key(r) for r in first.collect()]
+    risky = plain_disclosure([r[1] for r in kept], pii.Disclosure())
+    assert "wilbrix" in risky
+    assert sort(map(key, safe.collect())) == sort((r[0], plain_redacted(r[1], risky), *r[2:]) for r in kept)
+
+    mixed = stages["mixing sources"](spark, safe, str(tmp_path)).cache()
+    count = lambda t: len(WORDS.findall(t))
+    size, took, whole = {}, {}, {r["doc_id"]: r["text"] for r in safe.collect()}
+    for r in safe.collect():
+        size[r["source"]] = size.get(r["source"], 0) + count(r["text"])
+    for r in mixed.collect():
+        took[r["source"]] = took.get(r["source"], 0) + count(r["text"])
+        assert whole[r["doc_id"]] == r["text"] or WORDS.findall(whole[r["doc_id"]])[: count(r["text"])] == r["text"].split(" ")
+        assert r["n_chars"] == len(r["text"])
+    total, weight = sum(size.values()), {"a": 5, "b": 2, None: 1}
+    open_, rest = set(weight), 1.5 * total
+    while over := {s for s in open_ if rest * weight[s] / sum(weight[x] for x in open_) > 2 * size[s]}:
+        open_ -= over
+        rest -= sum(2 * size[s] for s in over)
+    for s in weight:
+        assert abs(took[s] - (rest * weight[s] / sum(weight[x] for x in open_) if s in open_ else 2 * size[s])) <= 1
+
+    path, pattern = bpe.default_paths()
+    other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={b: i for i, b in enumerate(bpe.read_ranks(path))}, special_tokens={})
+    digest = lambda ids: hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+    expected = [(r["doc_id"], len(ids), digest(ids), hashlib.sha256(r["text"].encode()).hexdigest()) for r in mixed.collect() for ids in [other.encode_ordinary(r["text"])]]
+    assert sort(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sort(expected)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
