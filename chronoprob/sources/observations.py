@@ -17,9 +17,12 @@ METRICS = ("accuracy", "log_loss", "brier", "ece")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir`` where set)."""
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, or, unset and on a
+    local master only, a temporary one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = getattr(shared_path, "own", None) or tempfile.mkdtemp(prefix="spark-tables-")
         shared_path.own = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
