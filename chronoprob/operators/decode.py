@@ -51,19 +51,28 @@ def _nearest(test: DataFrame, models: DataFrame, keys: Sequence[str], temperatur
     return decided(both.withColumn("p", P.softmax(scores)), [*keys, "label"])
 
 
-def gaussian(train: DataFrame, test: DataFrame, tied: bool = True, uniform_prior: bool = False) -> DataFrame:
-    """Diagonal Gaussian decoder; ``tied`` shares the within-class variances."""
-    own = T.positions(train).groupBy("label", "pos").agg(F.avg("v").alias("mean"), F.var_pop("v").alias("var"), F.count("*").alias("n"))
-    if tied:
+#: Shapes of the variances of a Gaussian decoder.
+COVARIANCES = ("diagonal", "tied_diagonal", "spherical", "tied_spherical")
+
+
+def gaussian(train: DataFrame, test: DataFrame, covariance: str = "diagonal", prior: str = "empirical", floor: float = 1e-6, temperature: float = 1.0) -> DataFrame:
+    """Gaussian decoder with a variance for each class and column (``diagonal``), their mean over columns
+    (``spherical``), or one of both kinds for all classes, weighted by their rows (``tied_``)."""
+    if covariance not in COVARIANCES or prior not in ("empirical", "uniform"):
+        raise ValueError(f"no such decoder: {covariance}, {prior}")
+    own = T.positions(train).groupBy("label", "pos").agg(F.avg("v").alias("mean"), F.greatest(F.coalesce(F.var_samp("v"), F.lit(0.0)), F.lit(floor)).alias("var"), F.count("*").alias("n"))
+    if covariance.startswith("tied"):  # windows over tables of classes by columns
         every = Window.partitionBy("pos")
         own = own.withColumn("var", F.sum(F.col("var") * F.col("n")).over(every) / F.sum("n").over(every))
-    own = own.withColumn("var", F.greatest("var", F.lit(1e-12)))
+    if covariance.endswith("spherical"):
+        own = own.withColumn("var", F.avg("var").over(Window.partitionBy("label")))
+    own = own.withColumn("var", F.greatest("var", F.lit(floor)))
     per = T.arrays(own, ["mean", "var"], ["label"]).join(own.groupBy("label").agg(F.first("n").alias("n")), "label")
     whole = Window.partitionBy()
-    prior = F.lit(0.0) if uniform_prior else F.log(F.col("n") / F.sum("n").over(whole))
-    packed = per.withColumn("prior", prior).groupBy().agg(F.array_sort(F.collect_list(F.struct("label", "mean", "var", "prior"))).alias("_c"))
+    log_prior = F.lit(0.0) if prior == "uniform" else F.log(F.col("n") / F.sum("n").over(whole))
+    packed = per.withColumn("prior", log_prior).groupBy().agg(F.array_sort(F.collect_list(F.struct("label", "mean", "var", "prior"))).alias("_c"))
     both = test.join(F.broadcast(packed))  # one row
-    likely = F.transform("_c", lambda c: c["prior"] - P.total(F.zip_with(F.zip_with("x", c["mean"], lambda a, m: (a - m) * (a - m)), c["var"], lambda d, v: (d / v + F.log(v)) / 2)))
+    likely = F.transform("_c", lambda c: (c["prior"] - P.total(F.zip_with(F.zip_with("x", c["mean"], lambda a, m: (a - m) * (a - m)), c["var"], lambda d, v: (d / v + F.log(v)) / 2))) / temperature)
     out = both.withColumn("labels", F.transform("_c", lambda c: c["label"])).withColumn("p", P.softmax(likely))
     return decided(out, ["label"])
 
@@ -169,7 +178,10 @@ def fit_named(name: str, train: DataFrame, test: DataFrame, weight: str | None =
     from pyspark.ml.functions import array_to_vector
 
     vectors = lambda d: d.withColumn("raw", array_to_vector("x")).withColumn("label", F.col("label").cast("double"))
-    estimator = registry()[normalized_name(name)](**parameters)
+    known, wanted = registry(), normalized_name(name)
+    if wanted not in known:
+        raise ValueError(f"no decoder is called {name!r}; there are {', '.join(sorted(known))}")
+    estimator = known[wanted](**parameters)
     if weight:
         estimator.setWeightCol(weight)
     model = Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="features", withMean=True), estimator]).fit(vectors(train))

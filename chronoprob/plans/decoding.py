@@ -40,14 +40,28 @@ def m1(spark: SparkSession, sf: str) -> DataFrame:
     return C.centroid(s, t).select("row_id", "predicted", F.round(F.array_max("p"), 6).alias("confidence"))
 
 
-VAR = f"va AS (SELECT {', '.join(f'greatest(sum((x{i} - m{i}) * (x{i} - m{i})) / count(*), 1e-12) AS v{i}' for i in D8)} FROM feat JOIN cm USING (label) WHERE role = 'source')"
+def _gaussian_sql(var: str, over: str) -> str:
+    """Variances of the classes' columns as ``var`` over a window of them."""
+    return f"""WITH {FEAT_SQL}, o AS (SELECT label, pos, avg(v) AS m, greatest(coalesce(var_samp(v), 0), 1e-6) AS v, count(*) AS n FROM longf WHERE role = 'source' GROUP BY 1, 2),
+g AS (SELECT label, pos, m, greatest({var.format(over)}, 1e-6) AS v, n / CAST(sum(n) OVER (PARTITION BY pos) AS DOUBLE) AS share FROM o),
+s AS (SELECT row_id, g.label, ln(max(share)) - sum(power(f.v - m, 2) / g.v + ln(g.v)) / 2 AS sc FROM longf f JOIN g USING (pos) WHERE f.role = 'target' GROUP BY 1, 2) SELECT row_id, CAST(arg_max(label, sc) AS INTEGER) AS predicted FROM s GROUP BY 1"""
 
 
-@query("m2_gaussian", f"WITH {FEAT_SQL}, {MEANS}, {VAR}, s AS (SELECT t.row_id, cm.label, ln(cm.n / (SELECT CAST(sum(n) AS DOUBLE) FROM cm)) - ({' + '.join(f'power(t.x{i} - cm.m{i}, 2) / v{i} + ln(v{i})' for i in D8)}) / 2 AS sc FROM feat t, cm, va WHERE t.role = 'target') SELECT row_id, CAST(arg_max(label, sc) AS INTEGER) AS predicted FROM s GROUP BY 1")
+@query("m2_gaussian", _gaussian_sql("sum(v * n) OVER ({0}) / sum(n) OVER ({0})", "PARTITION BY pos"))
 def m2(spark: SparkSession, sf: str) -> DataFrame:
+    return C.gaussian(*halves(spark, sf), "tied_diagonal").select("row_id", "predicted")
+
+
+@query("m2_gaussian_classes", _gaussian_sql("v", ""))
+def m2_classes(spark: SparkSession, sf: str) -> DataFrame:
     return C.gaussian(*halves(spark, sf)).select("row_id", "predicted")
 
 
+@query("m2_gaussian_spherical", _gaussian_sql("avg(v) OVER ({0})", "PARTITION BY label"))
+def m2_spherical(spark: SparkSession, sf: str) -> DataFrame:
+    return C.gaussian(*halves(spark, sf), "spherical").select("row_id", "predicted")
+
+
 @query("m2_mahalanobis")
 def m2_mahalanobis(spark: SparkSession, sf: str) -> DataFrame:
     return C.mahalanobis(*halves(spark, sf)).select("row_id", "label", "predicted")
@@ -242,6 +256,20 @@ def o1(spark: SparkSession, sf: str) -> DataFrame:
     return fit_predict(rows, ["domain", "window"], _window_model, "domain int, window int, row_id long, label int, predicted int")
 
 
+BAYES = f"""WITH {FEAT_SQL}, o AS (SELECT label, pos, avg(v) AS m, var_pop(v) AS v, count(*) AS n FROM longf WHERE role = 'source' GROUP BY 1, 2),
+g AS (SELECT *, (n + 1) / CAST(sum(n) OVER (PARTITION BY pos) + count(*) OVER (PARTITION BY pos) AS DOUBLE) AS share FROM o),
+s AS (SELECT row_id, f.label AS own, g.label, ln(max(share)) - sum(power(f.v - m, 2) / g.v + ln(g.v)) / 2 AS sc FROM longf f JOIN g USING (pos) WHERE f.role = 'target' GROUP BY 1, 2, 3)
+SELECT row_id, own AS label, CAST(arg_max(label, sc) AS INTEGER) AS predicted, TRUE AS same FROM s GROUP BY 1, 2"""
+
+
+@query("o2_registry", BAYES)
+def o2(spark: SparkSession, sf: str) -> DataFrame:
+    """A registered decoder by its name and by an alias: the same predictions."""
+    s, t = halves(spark, sf)
+    named, alias = C.fit_named("Naive-Bayes", s, t), C.fit_named("gnb", s, t).select("row_id", F.col("predicted").alias("other"))
+    return named.join(alias, "row_id").select("row_id", "label", "predicted", (F.col("predicted") == F.col("other")).alias("same"))
+
+
 @query("o3_trial_source", "SELECT CAST(vec_id AS BIGINT) AS trial_id, CAST(len(embedding) AS INTEGER) AS n_samples FROM embeddings")
 def o3(spark: SparkSession, sf: str) -> DataFrame:
     """Trials written as text files and read through the registered data source."""

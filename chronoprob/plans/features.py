@@ -270,10 +270,24 @@ def k10(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(A.domain_importance(feat(spark, sf)).select("row_id", "weight"), 6)
 
 
-@query("k11_mmd_weights")
+KERNEL = f"""WITH {FEAT_SQL}, e AS (SELECT row_id, CASE WHEN role = 'target' THEN -1 ELSE domain END AS d, pos, v FROM longf), n AS (SELECT d, count(*) / {N_FEATURES} AS n FROM e GROUP BY 1),
+k AS (SELECT a.d AS da, b.d AS db, exp(-0.5 * sum(power(a.v - b.v, 2))) AS k FROM e a JOIN e b USING (pos) GROUP BY a.row_id, b.row_id, 1, 2),
+m AS (SELECT da, db, sum(k) AS s FROM k GROUP BY 1, 2), q AS (SELECT da, db, s / x.n / y.n AS m FROM m JOIN n x ON x.d = da JOIN n y ON y.d = db),
+z AS (SELECT s.da AS domain, greatest(0, s.m + t.m - 2 * c.m) AS mmd2 FROM q s JOIN q c ON c.da = s.da AND c.db = -1 JOIN q t ON t.da = -1 AND t.db = -1 WHERE s.da >= 0 AND s.db = s.da),
+w AS (SELECT *, exp((-mmd2 + min(mmd2) OVER ()) / 0.01) AS e FROM z) SELECT CAST(domain AS INTEGER) AS domain, round(mmd2, 9) AS mmd2, round(-mmd2, 9) AS score, round(e / sum(e) OVER () * count(*) OVER (), 6) AS weight FROM w"""
+
+
+@query("k11_mmd_weights", KERNEL)
 def k11(spark: SparkSession, sf: str) -> DataFrame:
-    s = A.mmd_scores(feat(spark, sf), N_FEATURES, 0.5)
-    return rounded(A.softmax_weights(s.withColumn("score", -F.col("mmd2")), "score", 0.01))
+    s = A.kernel_mmd(feat(spark, sf), 0.5)
+    return rounded(A.softmax_weights(s.withColumn("score", -F.col("mmd2")), "score", 0.01), 9, weight=6)
+
+
+@query("k11_mmd_estimates")
+def k11_estimates(spark: SparkSession, sf: str) -> DataFrame:
+    """From random features, without pairs of rows; tested against the exact means."""
+    f = feat(spark, sf)
+    return rounded(A.mmd_estimates(f, N_FEATURES, A.median_gamma(f)), 6)
 
 
 @query("k12_similarity_weights", f"WITH {FEAT_SQL}, m AS (SELECT domain, {', '.join(f'avg(x{i}) AS m{i}' for i in range(N_FEATURES))} FROM feat GROUP BY 1), s AS (SELECT a.domain, -sqrt({' + '.join(f'power(a.m{i} - t.m{i}, 2)' for i in range(N_FEATURES))}) AS score FROM m a, m t WHERE t.domain = 0 AND a.domain <> 0), k AS (SELECT * FROM s ORDER BY score DESC, domain LIMIT 2) SELECT domain, round(score, 9) AS score, round(0.5 * exp(score / 0.1) / sum(exp(score / 0.1)) OVER () * 2 + 0.5, 6) AS weight FROM k")

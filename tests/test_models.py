@@ -230,3 +230,29 @@ def test_smaller_calibration_splits_are_part_of_larger_ones(spark):
     more = {(r["label"], r["trial"]) for r in roles.where("k = 5 and role = 'calibration'").collect()}
     assert few < more and len(few) == 4 and len(more) == 10
     assert roles.where(F.col("role") == "evaluation").count() == 24 * 2 - 14
+
+
+def test_unknown_decoders_are_named(spark):
+    rows = spark.createDataFrame([(1, [0.0], 0)], "row_id long, x array<double>, label int")
+    with pytest.raises(ValueError, match="no decoder is called 'oracle'"):
+        C.fit_named("oracle", rows, rows)
+    with pytest.raises(ValueError):
+        C.gaussian(rows, rows, "cubic")
+    assert {C.normalized_name(n) for n in ("LR", "Random Forest", "svc", "gradient-boosting")} == {"logistic", "forest", "linear_svm", "boosting"}
+
+
+def test_estimated_discrepancies_are_near_the_exact_ones(spark):
+    from chronoprob.operators import augment as A
+
+    rng = np.random.default_rng(29)
+    rows = [(i, (rng.normal(size=3) + (i % 3) * 0.8).tolist(), i % 3, "target" if i % 3 == 0 else "source") for i in range(240)]
+    df = spark.createDataFrame(rows, "row_id long, x array<double>, domain int, role string")
+    x, d = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    gaps = ((x[:, None] - x) ** 2).sum(-1)
+    gamma = 1 / (2 * np.median(gaps[np.triu_indices(240, 1)]))
+    assert A.median_gamma(df) == pytest.approx(gamma)
+    k = np.exp(-gamma * gaps)
+    exact = {j: k[d == j][:, d == j].mean() + k[d == 0][:, d == 0].mean() - 2 * k[d == j][:, d == 0].mean() for j in (1, 2)}
+    assert {r["domain"]: r["mmd2"] for r in A.kernel_mmd(df, block=32).collect()} == pytest.approx(exact)
+    rough = {r["domain"]: r["mmd2"] for r in A.mmd_estimates(df, 3, gamma, k=4096).collect()}
+    assert rough == pytest.approx(exact, abs=0.05)
