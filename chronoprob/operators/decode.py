@@ -321,33 +321,78 @@ def joint_adaptation(df: DataFrame, k: int, rounds: int = 3, conditional: float
     return out
 
 
-def anchor_alignment(df: DataFrame, domain: str = "domain", rounds: int = 3) -> tuple[DataFrame, dict]:
-    """Rows of each domain rotated to a common template of class means (orthogonal alignment): anchors are
-    classes that all domains have; the template is the mean of the rotated anchors, turned in rounds."""
+def _orthogonal(sets: dict, rounds: int) -> tuple[dict, np.ndarray]:
+    """Rotation of each domain's anchors to a template, the mean of the rotated anchors, turned in rounds."""
+    template, turns = sets[min(sets)], {}
+    for _ in range(rounds):
+        for d, a in sets.items():
+            u, _, vt = np.linalg.svd(a.T @ template)
+            turns[d] = u @ vt
+        template = np.mean([sets[d] @ turns[d] for d in sets], axis=0)
+    return turns, template
+
+
+def _multiset(sets: dict, components: int, regularization: float, tolerance: float = 1e-10) -> tuple[dict, np.ndarray]:
+    """Multiset canonical correlation: each domain's anchors are whitened, the common axes are the leading ones
+    of all whitened anchors side by side, and axes are scaled to unit deviation over all domains' anchors."""
+    white, places, start = {}, {}, 0
+    for d, a in sets.items():
+        values, vectors = np.linalg.eigh(a.T @ a / max(1, len(a) - 1))
+        keep = values > tolerance
+        white[d] = vectors[:, keep] / np.sqrt(values[keep] + regularization)
+        places[d] = slice(start, start := start + int(keep.sum()))
+    _, strength, axes = np.linalg.svd(np.hstack([sets[d] @ white[d] for d in sets]), full_matrices=False)
+    k = min(components, int((strength > tolerance * strength[0]).sum()))
+    turns = {d: white[d] @ axes[:k, places[d]].T for d in sets}
+    spread = np.vstack([sets[d] @ turns[d] for d in sets]).std(axis=0)
+    turns = {d: w / np.where(spread > 0, spread, 1.0) for d, w in turns.items()}
+    return turns, np.mean([sets[d] @ turns[d] for d in sets], axis=0)
+
+
+def _ridge(sets: dict, regularization: float) -> tuple[dict, np.ndarray]:
+    """Ridge regression of the mean of all domains' anchors on each domain's."""
+    template = np.mean(list(sets.values()), axis=0)
+    return {d: np.linalg.solve(a.T @ a + regularization * np.eye(a.shape[1]), a.T @ template) for d, a in sets.items()}, template
+
+
+def anchor_alignment(df: DataFrame, domain: str = "domain", rounds: int = 3, mode: str = "orthogonal", components: int = 64, regularization: float = 1e-6) -> tuple[DataFrame, dict]:
+    """Rows of each domain, less the mean of its anchors, in a common space. Anchors are the means of the classes
+    that all domains have; ``mode`` is orthogonal, mcca or ridge. Matrices of anchors by features are made on the
+    driver, and one matrix for each domain goes to its rows."""
     anchors = T.class_means(df.select(domain, "label", "x"), [domain, "label"]).collect()
     by: dict = {}
     for r in anchors:
         by.setdefault(r[domain], {})[r["label"]] = np.array(r["mean"])
     shared = sorted(set.intersection(*[set(v) for v in by.values()]))
-    sets = {d: np.stack([v[a] for a in shared]) for d, v in by.items()}
-    centers = {d: a.mean(axis=0) for d, a in sets.items()}
-    template = sets[min(sets)] - centers[min(sets)]
-    turns: dict = {}
-    for _ in range(rounds):
-        for d, a in sets.items():
-            u, _, vt = np.linalg.svd((a - centers[d]).T @ template)
-            turns[d] = u @ vt
-        template = np.mean([(sets[d] - centers[d]) @ turns[d] for d in sets], axis=0)
+    raw = {d: np.stack([by[d][a] for a in shared]) for d in sorted(by)}
+    centers = {d: a.mean(axis=0) for d, a in raw.items()}
+    sets = {d: a - centers[d] for d, a in raw.items()}
+    if mode == "orthogonal":
+        turns, template = _orthogonal(sets, rounds)
+    elif mode == "mcca":
+        turns, template = _multiset(sets, components, regularization)
+    elif mode == "ridge":
+        turns, template = _ridge(sets, regularization)
+    else:
+        raise ValueError(f"no such alignment: {mode}")
     types = dict(df.dtypes)
-    rows = [(d, turns[d].ravel().tolist(), centers[d].tolist()) for d in sorted(turns)]
+    rows = [(d, turns[d].ravel().tolist(), centers[d].tolist()) for d in turns]
     table = df.sparkSession.createDataFrame(rows, f"{domain} {types[domain]}, turn array<double>, center array<double>")
-    n = len(template[0])
-    moved = F.zip_with("x", "center", lambda a, c: a - c)
-    column = lambda j: P.total(F.transform(moved, lambda v, i: v * F.get("turn", i * n + j)))
-    out = df.join(F.broadcast(table), domain).withColumn("x", F.array(*[column(j) for j in range(n)])).drop("turn", "center")
-    before = float(np.mean([np.corrcoef((sets[d] - centers[d]).ravel(), template.ravel())[0, 1] for d in sets]))
-    after = float(np.mean([np.corrcoef(((sets[d] - centers[d]) @ turns[d]).ravel(), template.ravel())[0, 1] for d in sets]))
-    return out, {"n_anchors": len(shared), "before": before, "after": after}
+    n = template.shape[1]
+    column = lambda moved, j: P.total(F.transform(moved, lambda v, i: v * F.get("turn", i * n + j)))
+    moved = P.bound(F.zip_with("x", "center", lambda a, c: a - c), lambda m: F.array(*[column(m, j) for j in range(n)]))
+    out = df.join(table, domain).withColumn("x", moved).drop("turn", "center")
+
+    def likeness(placed: dict) -> float:
+        pairs = [(placed[d], placed[e]) for i, d in enumerate(placed) for e in list(placed)[i + 1 :]]
+        return float(np.mean([np.corrcoef(a.ravel(), b.ravel())[0, 1] for a, b in pairs])) if pairs else 1.0
+
+    def to_template(placed: dict) -> float:
+        return float(np.mean([np.corrcoef(a.ravel(), template.ravel())[0, 1] for a in placed.values()]))
+
+    after = {d: sets[d] @ turns[d] for d in sets}
+    facts = {"n_anchors": len(shared), "n_components": n, "likeness_before": likeness(sets), "likeness_after": likeness(after), "after": to_template(after)}
+    return out, facts | {"before": to_template(sets) if n == sets[min(sets)].shape[1] else float("nan")}
 
 
 def few_shot(df: DataFrame, per_class: int, repeats: int, seed: int = 0) -> DataFrame:

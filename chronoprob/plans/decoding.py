@@ -175,6 +175,16 @@ def m15(spark: SparkSession, sf: str) -> DataFrame:
     return C.anchor_alignment(feat(spark, sf))[0].select("row_id", "domain", "x")
 
 
+@query("m15_mcca_alignment")
+def m15_mcca(spark: SparkSession, sf: str) -> DataFrame:
+    return C.anchor_alignment(feat(spark, sf), mode="mcca", components=4)[0].select("row_id", "domain", "x")
+
+
+@query("m15_ridge_alignment")
+def m15_ridge(spark: SparkSession, sf: str) -> DataFrame:
+    return C.anchor_alignment(feat(spark, sf), mode="ridge", regularization=1.0)[0].select("row_id", "domain", "x")
+
+
 @query("m16_alignment_diagnostics")
 def m16(spark: SparkSession, sf: str) -> DataFrame:
     """Anchors' correlation with the template before and after, beside the rows aligned."""

@@ -17,7 +17,10 @@ from .runs import _events_sql, _thresholds
 
 
 def _replay(spark: SparkSession, sf: str, files: int = 4) -> DataFrame:
-    """Observations as files in order of time, with an end marker for each stream, read as a stream."""
+    """Observations as files in order of time, with an end marker for each stream, read as a stream. A stretch
+    of time is dealt by stream to several files, so that each stream's rows come in order, whichever files make
+    a batch."""
+    dealt = 4
     o = obs(spark, sf).select("stream_id", "subject", "time", "p", "classes")
     path = shared_path(spark, "stream")
     limits = o.agg(F.percentile("time", F.array(*[F.lit(i / files) for i in range(1, files)]))).first()[0]
@@ -28,8 +31,8 @@ def _replay(spark: SparkSession, sf: str, files: int = 4) -> DataFrame:
     ends = o.select("stream_id", "subject").distinct().select("stream_id", "subject", F.lit(None).cast("double").alias("time"), F.array(*[F.lit(None).cast("double")] * 5).alias("p"), F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))).alias("classes"), F.lit(files - 1).alias("part"))
     rows = marked.unionByName(ends)
     for i in range(files):
-        rows.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.where(F.col("part") == i).drop("part").repartition(dealt, "stream_id").write.mode("append").parquet(path)
+    return spark.readStream.schema(o.schema).option("maxFilesPerTrigger", dealt).parquet(path)
 
 
 def _detected(spark: SparkSession, sf: str, rules: S.Rules) -> DataFrame:

@@ -99,7 +99,7 @@ def _none(x):
 
 def detect(rows: DataFrame, rules: Rules) -> DataFrame:
     """Events (kind event) and late rows (kind late) of a stream of (stream_id, stimulus_label, time, score,
-    score_threshold)."""
+    score_threshold). A row without time is a stream's end: its open run comes out and its state goes."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = RunState(*[_none(v) for v in state.get]) if state.exists else RunState()
@@ -107,6 +107,7 @@ def detect(rows: DataFrame, rules: Rules) -> DataFrame:
         # a key's rows of one micro-batch have to be put in order: the trigger's size bounds them
         pdf = pd.concat(list(batches)).sort_values("time", kind="mergesort", na_position="last")
         found: list[tuple] = []
+        ended = bool(pdf["time"].isna().any())
         for time, score, threshold in zip(pdf["time"], pdf["score"], pdf["score_threshold"]):
             if time != time or score != score:
                 found += [(*key, "event", *e) for e in machine.flush()]
@@ -114,7 +115,10 @@ def detect(rows: DataFrame, rules: Rules) -> DataFrame:
                 found.append((*key, "late", -1, time, time, time, 0, score, score, time))
             else:
                 found += [(*key, "event", *e) for e in machine.step(time, score, threshold)]
-        state.update(tuple(astuple(machine.s)))
+        if ended:
+            state.remove()
+        else:
+            state.update(tuple(astuple(machine.s)))
         yield pd.DataFrame(found, columns=COLUMNS)
 
     assert len(fields(RunState)) == len(STATE.split(", "))

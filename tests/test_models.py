@@ -256,3 +256,28 @@ def test_estimated_discrepancies_are_near_the_exact_ones(spark):
     assert {r["domain"]: r["mmd2"] for r in A.kernel_mmd(df, block=32).collect()} == pytest.approx(exact)
     rough = {r["domain"]: r["mmd2"] for r in A.mmd_estimates(df, 3, gamma, k=4096).collect()}
     assert rough == pytest.approx(exact, abs=0.05)
+
+
+@pytest.mark.parametrize("mode", ["orthogonal", "mcca", "ridge"])
+def test_alignment_brings_domains_together(spark, mode):
+    """Four domains see the same classes through mixes of their own; aligned, their class means agree."""
+    rng = np.random.default_rng(37)
+    latent = rng.normal(size=(8, 3))
+    mixes = [np.linalg.qr(rng.normal(size=(3, 3)))[0] @ (np.eye(3) if mode == "orthogonal" else np.diag(rng.uniform(0.5, 2, 3))) for _ in range(4)]
+    rows = []
+    for d, mix in enumerate(mixes):
+        for label in range(8):
+            for _ in range(6):
+                rows.append((len(rows), d, label, (latent[label] @ mix + d + rng.normal(size=3) * 0.02).tolist()))
+    df = spark.createDataFrame(rows, "row_id long, domain int, label int, x array<double>")
+    out, facts = C.anchor_alignment(df, mode=mode, components=3, regularization=1e-6)
+    assert facts["n_anchors"] == 8 and facts["likeness_after"] > max(0.98, facts["likeness_before"])
+    got = {}
+    for r in out.collect():
+        got.setdefault((r["domain"], r["label"]), []).append(r["x"])
+    means = {k: np.mean(v, axis=0) for k, v in got.items()}
+    spread = np.std([means[0, k] for k in range(8)], axis=0)
+    for d in range(1, 4):
+        assert max(np.abs((means[d, k] - means[0, k]) / spread).max() for k in range(8)) < 0.35
+    if mode == "mcca":
+        assert np.vstack([means[d, k] for d in range(4) for k in range(8)]).std(axis=0) == pytest.approx(1.0)
