@@ -129,9 +129,17 @@ def l9_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return entries(D.ensemble(J.aligned_cube(both(spark, sf), ["event_id"]), "confidence_probability", [1.0, 1.0]), "event_id")
 
 
-@query("l10_stacking")
+def _stacking_sql(steps: int = 20) -> str:
+    """A chain of gradient steps on the weights of two decoders."""
+    true = lambda t: "CASE a.true_label " + " ".join(f"WHEN {i} THEN {t}.p{i}" for i in range(5)) + " END"
+    first = f"q AS (SELECT a.event_id, {true('a')} AS qa, {true('b')} AS qb, {', '.join(f'a.p{i} AS a{i}, b.p{i} AS b{i}' for i in (0, 4))} FROM obs a JOIN obs_b b USING (event_id)), w0 AS (SELECT 0.5 AS wa, 0.5 AS wb)"
+    step = "g{1} AS (SELECT wa, wb, avg(qa / greatest(wa * qa + wb * qb, 1e-15)) AS ga, avg(qb / greatest(wa * qa + wb * qb, 1e-15)) AS gb FROM q, w{0} GROUP BY wa, wb), w{1} AS (SELECT wa * exp(0.5 * ga) / (wa * exp(0.5 * ga) + wb * exp(0.5 * gb)) AS wa, wb * exp(0.5 * gb) / (wa * exp(0.5 * ga) + wb * exp(0.5 * gb)) AS wb FROM g{1})"
+    return f"WITH {BOTH_SQL}, {first}, {', '.join(step.format(k, k + 1) for k in range(steps))} SELECT event_id, round(wa * a0 + wb * b0, 9) AS q0, round(wa * a4 + wb * b4, 9) AS q4 FROM q, w{steps}"
+
+
+@query("l10_stacking", _stacking_sql())
 def l10(spark: SparkSession, sf: str) -> DataFrame:
-    """A pool under weights learnt by gradient steps; a loop, tested for its loss."""
+    """A pool under weights learnt by gradient steps."""
     rows = both(spark, sf)
     cube = J.aligned_cube(rows, ["event_id", "true_label"])
     return entries(D.ensemble(cube, "probability", D.stacking_weights(cube, "true_label", 2)), "event_id")

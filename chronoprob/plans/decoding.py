@@ -135,7 +135,15 @@ def m9(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("stream_id", *[F.round(F.get("p", F.lit(i)), 9).alias(f"q{i}") for i in (0, 4)], P.predicted_index(F.col("p")).alias("decision"))
 
 
-@query("m10_permutation")
+PERMUTED = f"""WITH {FEAT_SQL}, b AS (SELECT row_id, label, row_number() OVER (ORDER BY left(md5('0:' || row_id), 8), row_id) AS i FROM feat WHERE role = 'source'),
+pl AS (SELECT perm, label, row_number() OVER (PARTITION BY perm ORDER BY CASE WHEN perm > 0 THEN left(md5('0:' || perm || ':' || row_id), 8) ELSE left(md5('0:' || row_id), 8) END, row_id) AS i FROM b, unnest(range(21)) u(perm)),
+cm AS (SELECT perm, pl.label, pos, avg(v) AS m FROM pl JOIN b USING (i) JOIN longf ON longf.row_id = b.row_id GROUP BY 1, 2, 3), sd AS (SELECT pos, greatest(stddev_samp(v), 1e-12) AS s FROM longf WHERE role = 'source' GROUP BY 1),
+d AS (SELECT perm, row_id, f.label AS own, cm.label, sum(power((f.v - m) / s, 2)) AS d FROM longf f JOIN cm USING (pos) JOIN sd USING (pos) WHERE f.role = 'target' GROUP BY 1, 2, 3, 4),
+p AS (SELECT perm, row_id, own, arg_min(label, d) AS p FROM d GROUP BY 1, 2, 3), a AS (SELECT perm, avg(CASE WHEN p = own THEN 1.0 ELSE 0.0 END) AS accuracy FROM p GROUP BY 1)
+SELECT round(o.accuracy, 6) AS accuracy, round((1 + count(*) FILTER (WHERE a.accuracy >= o.accuracy)) / (count(*) + 1.0), 6) AS p_value FROM a, a o WHERE o.perm = 0 AND a.perm > 0 GROUP BY o.accuracy"""
+
+
+@query("m10_permutation", PERMUTED)
 def m10(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(C.permutation_p(C.permutation_curve(*halves(spark, sf), 20)), 6)
 

@@ -23,9 +23,21 @@ def n1(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(I.effects(_daily(spark, sf), "accuracy", 0.2))
 
 
-@query("n2_max_cluster")
+CLUSTERS = f"""WITH {DAY_SQL}, e AS (SELECT subject, day AS time, accuracy - 0.2 AS effect FROM dr WHERE decoder = 'a'),
+g AS (SELECT perm, subject, CASE WHEN perm > 0 AND CAST('0x' || left(md5('0:' || perm || ':' || subject), 8) AS BIGINT) / 4294967296.0 < 0.5 THEN -1.0 ELSE 1.0 END AS s FROM (SELECT DISTINCT subject FROM e), unnest(range(61)) u(perm)),
+t AS (SELECT perm, time, avg(effect * s) / nullif(stddev_samp(effect * s) / sqrt(count(*)), 0) AS t FROM e JOIN g USING (subject) GROUP BY 1, 2),
+th AS (SELECT time, quantile_cont(t, 0.95) AS threshold FROM t WHERE perm > 0 GROUP BY 1), o AS (SELECT time, t AS o FROM t WHERE perm = 0),
+pv AS (SELECT time, (1 + count(*) FILTER (WHERE t >= o)) / (count(*) + 1.0) AS p_value FROM t JOIN o USING (time) WHERE perm > 0 GROUP BY 1),
+n AS (SELECT perm, time, t, threshold, row_number() OVER (PARTITION BY perm ORDER BY time) AS i FROM t JOIN th USING (time)),
+a AS (SELECT *, i - row_number() OVER (PARTITION BY perm ORDER BY time) AS run FROM n WHERE t >= threshold),
+m AS (SELECT perm, run, sum(t) AS mass FROM a GROUP BY 1, 2), l AS (SELECT perm, coalesce(max(mass), 0) AS largest FROM (SELECT DISTINCT perm FROM t WHERE perm > 0) LEFT JOIN m USING (perm) GROUP BY 1),
+c AS (SELECT run, (1 + count(*) FILTER (WHERE largest >= mass)) / (count(*) + 1.0) AS cluster_p FROM m, l WHERE m.perm = 0 GROUP BY 1, mass)
+SELECT time, round(o, 6) AS t, round(threshold, 6) AS threshold, round(p_value, 6) AS p_value, round(cluster_p, 6) AS cluster_p FROM o JOIN th USING (time) JOIN pv USING (time) LEFT JOIN (SELECT time, run FROM a WHERE perm = 0) USING (time) LEFT JOIN c USING (run)"""
+
+
+@query("n2_max_cluster", CLUSTERS)
 def n2(spark: SparkSession, sf: str) -> DataFrame:
-    """Sign flips by hash; tested by brute force on the same signs."""
+    """Sign flips by hash."""
     return rounded(I.max_cluster(I.effects(_daily(spark, sf), "accuracy", 0.2).select("subject", "time", "effect"), 60), 6)
 
 
