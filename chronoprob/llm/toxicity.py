@@ -47,7 +47,7 @@ class Distance:
     #: Characters of a window at most; a longer one is cut into several.
     window_chars: int = 1024
     level: int = 9
-    #: Bytes of the ordinary dictionary, and windows of text that train it, at most.
+    #: Bytes of the ordinary dictionary, and different windows of text that train it, at most (about).
     ordinary_bytes: int = 16_384
     ordinary_windows: int = 40_000
     #: Length of character sequences, and bytes of the toxic dictionary for each that is toxic text's own.
@@ -182,8 +182,10 @@ def train_dictionaries(learn: DataFrame, how: Distance = Distance()) -> tuple[by
 
     pieces = learn.where("toxic = 1").select("text").mapInPandas(found, "piece binary").groupBy("piece").count()
     toxic = [(bytes(r["piece"]), min(r["count"], how.weight)) for r in pieces.orderBy(F.col("count").desc(), "piece").limit(how.stretches).collect()]
-    usual = learn.where("toxic = 0").select("text").mapInPandas(cut_up, "piece binary").select("piece", F.xxhash64("piece").alias("h"))
-    common = [(bytes(r["piece"]), 1) for r in usual.orderBy("h", "piece").limit(how.ordinary_windows).collect()]  # some of all, by hash
+    usual = cut(learn.where("toxic = 0").select("text").mapInPandas(cut_up, "piece binary").groupBy("piece").count(), "toxicity-windows")
+    # a share of the different windows, by hash: about as many as wanted
+    part = F.pmod(F.xxhash64("piece"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, how.ordinary_windows / max(1, usual.count())))
+    common = [(bytes(r["piece"]), min(r["count"], how.weight)) for r in usual.where(part).orderBy("piece").collect()]
     own = _trained(toxic, max(256, how.bytes_for_gram * len(rich)), 32)
     shared = _trained(common, how.ordinary_bytes, 64) + LEAD
     return b"\0" * len(own) + shared, own + shared
