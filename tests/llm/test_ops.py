@@ -511,7 +511,7 @@ def test_warc_round_trip(spark):
     big = "é" * 700
     rows = [(1, "http://a/%0A\nx", big), (5, None, big), (3, "u", big), (2, "u", "small"), (4, "u", "small"), (6, "u", None), (7, "u", "\r\n\r\nWARC/1.1\r\n"), (None, "u", big), (5, None, big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
-    layout = warc.Layout(frame_bytes=1500, bundle_bytes=6000)
+    layout = warc.Layout(frame_bytes=1500, bundle_bytes=2500)
     folder, index = warc.write_archives(pages, layout=layout)
     got = warc.read_archives(folder, index).collect()
     assert len(got) == len(rows) and all(r["intact"] for r in got)
