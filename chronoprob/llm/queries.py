@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard_join, mixing, pii, quality, token_count, topk, toxicity, warc
+from . import bpe, chat, jaccard_join, mixing, part_codes, periodic, pii, quality, quality_compression, token_count, topk, toxicity, warc
 from .common import load
 from .sql import HOSTILE, SQL
 
@@ -56,8 +56,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op11_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_compression.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op12_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes.with_label_errors(load(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.with_planted_runs(load(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_mix_sources, op3_byte_bpe, op4_quality_rules, op5_token_counts, op6_chat_format, op7_exact_top_k, op8_warc, op9_jaccard_join, op10_toxicity)}
+    return {f.__name__: f for f in (op1_pii, op2_mix_sources, op3_byte_bpe, op4_quality_rules, op5_token_counts, op6_chat_format, op7_exact_top_k, op8_warc, op9_jaccard_join, op10_toxicity, op11_quality_compression, op12_part_codes, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
