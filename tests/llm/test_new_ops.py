@@ -199,7 +199,7 @@ def test_code_hard_cases(spark):
 def test_codes_of_the_table(spark, sf_dir):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     got = op12_part_codes(spark, sf_dir).collect()
-    codes, errors, digest = plain_codes(rows[:0] + rows) if len(rows) <= 600 else (None, None, None)
+    codes, errors, digest = plain_codes(rows) if len(rows) <= 600 else (None, None, None)
     assert {r.vec_id: (r.code, r.error) for r in got} == {i: (codes[i], errors[i]) for i in codes}
     assert {r.codebooks_sha256 for r in got} == {digest}
 
@@ -208,7 +208,7 @@ def test_codes_of_the_table(spark, sf_dir):
 
 
 def test_quality_on_held_out_rows(spark):
-    sf_dir = "/root/testdata/sf0.01"
+    sf_dir = "/root/testdata/sf0.1"
     got = op11_quality_compression(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("held_out").collect()
     good, bad = [r.score for r in got if r.quality == 1], [r.score for r in got if r.quality == 0]
     area = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
@@ -225,8 +225,8 @@ def test_quality_score_equals_a_plain_version(spark):
     labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(240)] + [(None, 1), (3, None)], "doc_id long, quality int")
     got = {r.doc_id: r for r in quality_compression.classify(docs, labels).collect()}
     known = quality_compression.labelled_texts(docs.withColumn("held_out", F.lit(False)), labels)
-    pair = quality_compression.train_dictionaries(docs, known)
-    scale = quality_compression.Scale(*pair)
+    pairs = quality_compression.train_dictionaries(docs, known)
+    scale = quality_compression.Scale(pairs)
     for i, t in enumerate(texts):
         assert got[i].difference == scale.difference(t)
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
@@ -251,11 +251,11 @@ def test_windows_of_the_sample(spark):
     docs, labels = docs_of(spark, texts), spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
     known = quality_compression.labelled_texts(docs, labels)
     every = {(r.quality, r.piece) for r in quality_compression.sample_windows(docs, known).collect()}
-    wanted = {r.mark: r.quality for r in known.where("half = 0").collect()}
+    wanted = {r.mark: r.quality for r in known.where("teaches").collect()}
     marks = {r.doc_id: r.m for r in docs.select("doc_id", F.xxhash64("text").alias("m")).collect()}
     assert every == {(wanted[marks[i]], t[at : at + 64]) for i, t in enumerate(texts) if marks[i] in wanted for at in range(0, 1000, 64)}
     some = quality_compression.sample_windows(docs, known, quality_compression.Sizes(fit_windows=20)).count()
-    assert 0 < some < 80
+    assert 0 < some < 90
 
 
 def test_quality_hard_cases(spark):
