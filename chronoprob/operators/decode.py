@@ -290,37 +290,6 @@ def geodesic_features(df: DataFrame, k: int, steps: int) -> DataFrame:
     return T.linear(df, np.concatenate(bases, axis=1))
 
 
-def joint_adaptation(df: DataFrame, k: int, rounds: int = 3, conditional: float = 1.0, regularization: float = 1.0) -> DataFrame:
-    """Linear joint distribution adaptation: the directions in which the means of the domains, and of their
-    classes by pseudo labels, differ least for the spread that they keep. Each round takes class sums by
-    role from Spark and solves a problem as large as the features."""
-    z = T.standardized(df, fit=df)
-    _, scatter, n = T.mean_and_covariance(z, ddof=0)
-    pseudo = z.where("role = 'target'").select("row_id", F.lit(None).cast("int").alias("pseudo"))
-    out = z
-    for _ in range(rounds):
-        labelled = z.join(pseudo, "row_id", "left").withColumn("y", F.when(F.col("role") == "source", F.col("label")).otherwise(F.col("pseudo")))
-        means = {(r["role"], r["y"]): np.array(r["mean"]) for r in T.class_means(labelled.select("role", "y", "x"), ["role", "y"]).collect()}
-        counts = {(r["role"], r["y"]): r["n"] for r in labelled.groupBy("role", "y").agg(F.count("*").alias("n")).collect()}
-        overall = lambda role: sum(m * counts[key] for key, m in means.items() if key[0] == role) / sum(c for key, c in counts.items() if key[0] == role)
-        d = overall("source") - overall("target")
-        m, weight = np.outer(d, d), 1.0
-        for (role, y), mean in means.items():
-            if role == "source" and ("target", y) in means:
-                e = mean - means["target", y]
-                m = m + conditional * np.outer(e, e)
-                weight += conditional
-        m = m * n / weight
-        left, right = m + regularization * np.eye(len(m)), scatter * n + 1e-6 * np.eye(len(m))
-        half = T.power(right, -0.5)
-        values, vectors = np.linalg.eigh(half @ left @ half)
-        w = T.signed_columns(half @ vectors[:, np.argsort(values)[:k]])
-        out = T.linear(z, w / np.linalg.norm(w, axis=0))
-        got = _plain_centroid(out.where("role = 'source'"), out.where("role = 'target'"))
-        pseudo = got.select("row_id", F.col("predicted").alias("pseudo"))
-    return out
-
-
 def _orthogonal(sets: dict, rounds: int) -> tuple[dict, np.ndarray]:
     """Rotation of each domain's anchors to a template, the mean of the rotated anchors, turned in rounds."""
     template, turns = sets[min(sets)], {}

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from chronoprob.functions import probability as P
 from chronoprob.operators import decode as C
 from chronoprob.operators import features as T
+from chronoprob.operators import gradients as G
+from chronoprob.operators import matching as M
 
 from .fixtures import FEAT_SQL, N_FEATURES, OBS_SQL, feat, obs, table
 from .metrics import NLL, rounded
@@ -93,6 +95,13 @@ def m4(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+@query("m4_tuned_logistic")
+def m4_tuned(spark: SparkSession, sf: str) -> DataFrame:
+    """The inverse ridge is chosen on folds of the source by domain."""
+    s, t = halves(spark, sf)
+    return G.tuned_logistic(s, t, "domain", (0.01, 0.1, 1.0), rounds=40, tolerance=1e-4)[0].select("row_id", "label", "predicted")
+
+
 FOLD_MODELS = f"""WITH {FEAT_SQL}, s AS (SELECT domain, label, pos, sum(v) AS s, sum(v * v) AS q, count(*) AS n FROM longf GROUP BY 1, 2, 3),
 r AS (SELECT d.domain, label, pos, sum(s) AS s, sum(q) AS q, sum(n) AS n FROM (SELECT DISTINCT domain FROM feat) d JOIN s ON s.domain <> d.domain GROUP BY 1, 2, 3),
 sc AS (SELECT domain, pos, greatest(sqrt(greatest(0, (sum(q) - sum(s) * sum(s) / sum(n)) / (sum(n) - 1))), 1e-12) AS sd FROM r GROUP BY 1, 2),
@@ -116,6 +125,14 @@ def m6(spark: SparkSession, sf: str) -> DataFrame:
     return C.leave_one_domain_out(feat(spark, sf)).select("row_id", "domain", "label", "predicted")
 
 
+@query("m6_nested_selection")
+def m6_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Each domain under the other domains' decoder, whose inverse ridge inner left-out domains choose."""
+    rows, inner = G.nested_leave_one_out(feat(spark, sf), "domain", (0.01, 0.1, 1.0), rounds=40, tolerance=1e-4)
+    chosen = inner.where("chosen").groupBy("domain").agg(F.first("c").alias("c"), F.round(F.avg("score"), 4).alias("inner_score"))
+    return rows.select("row_id", "domain", "label", "predicted").join(chosen, "domain")
+
+
 @query("m7_temporal_generalization", f"WITH {FEAT_SQL}, t AS (SELECT pos // 8 AS tw, pos % 8 AS i, label, avg(v) AS m FROM longf WHERE domain <> 0 GROUP BY 1, 2, 3), d AS (SELECT tw, f.pos // 8 AS w, row_id, f.label AS own, t.label, sum(power(f.v - m, 2)) AS d FROM longf f JOIN t ON f.pos % 8 = t.i WHERE f.domain = 0 GROUP BY 1, 2, 3, 4, 5), p AS (SELECT tw, w, row_id, own, arg_min(label, d) AS p FROM d GROUP BY 1, 2, 3, 4) SELECT CAST(tw AS INTEGER) AS train_window, CAST(w AS INTEGER) AS test_window, round(avg(CASE WHEN p = own THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM p GROUP BY 1, 2")
 def m7(spark: SparkSession, sf: str) -> DataFrame:
     f = long_feat(spark, sf)
@@ -163,6 +180,14 @@ def m12(spark: SparkSession, sf: str) -> DataFrame:
     return C.coral(feat(spark, sf)).select("row_id", "role", "x")
 
 
+@query("m12_conditional_coral")
+def m12_conditional(spark: SparkSession, sf: str) -> DataFrame:
+    """Pseudo labels of the target are those of the source's centroids."""
+    f = feat(spark, sf)
+    guess = C.centroid(f.where("role = 'source'"), f.where("role = 'target'"))
+    return M.conditional_coral(f, guess, threshold=0.12)[0].select("row_id", "role", "x")
+
+
 @query("m13_subspace_alignment")
 def m13(spark: SparkSession, sf: str) -> DataFrame:
     return C.subspace_aligned(feat(spark, sf), 3).select("row_id", "role", "x")
@@ -175,7 +200,14 @@ def m13_geodesic(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m14_joint_adaptation")
 def m14(spark: SparkSession, sf: str) -> DataFrame:
-    return C.joint_adaptation(feat(spark, sf), 3, 2).select("row_id", "role", "x")
+    out, _ = M.joint_adaptation(feat(spark, sf), 3, 4)
+    return out.select("row_id", "role", "x", "predicted")
+
+
+@query("m14_soft_joint_adaptation")
+def m14_soft(spark: SparkSession, sf: str) -> DataFrame:
+    out, _ = M.joint_adaptation(feat(spark, sf), 3, 4, soft=True, unit=True)
+    return out.select("row_id", "role", "x", "predicted")
 
 
 @query("m15_anchor_alignment")
@@ -229,6 +261,12 @@ def m20(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(C.domain_risk(obs(spark, sf), "subject", P.log_loss(F.col("p"), F.col("true_label"))))
 
 
+@query("m20_risk_extrapolation")
+def m20_vrex(spark: SparkSession, sf: str) -> DataFrame:
+    s, t = halves(spark, sf)
+    return G.extrapolated_risk(s, t, rounds=60, tolerance=1e-6)[0].select("row_id", "label", "predicted")
+
+
 @query("m21_sweep", f"WITH {FEAT_SQL}, {LOO}, p AS (SELECT row_id, domain, own, arg_min(label, d) AS predicted FROM ls GROUP BY 1, 2, 3) SELECT 'centroid' AS method, domain AS fold, count(*) AS n, round(avg(CASE WHEN own = predicted THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM p GROUP BY 2 UNION ALL SELECT 'majority', f.domain, count(*), round(avg(CASE WHEN f.label = m.label THEN 1.0 ELSE 0.0 END), 9) FROM feat f JOIN (SELECT d.domain, arg_max(c.label, c.n * 1000 - c.label) AS label FROM (SELECT DISTINCT domain FROM feat) d JOIN (SELECT a.domain, f.label, count(*) AS n FROM (SELECT DISTINCT domain FROM feat) a JOIN feat f ON f.domain <> a.domain GROUP BY 1, 2) c USING (domain) GROUP BY 1) m ON m.domain = f.domain GROUP BY 2")
 def m21(spark: SparkSession, sf: str) -> DataFrame:
     """Methods by folds in one table; partial results are kept by method and fold, and metrics come from them."""
