@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from chronoprob.functions import probability as P
 
-from .ranks import placed
+from .ranks import placed_by_value
 
 
 def covered(df: DataFrame, conf: str, row: str, coverage: float) -> DataFrame:
     """The ceil(n * coverage) most confident rows, first rows first among equals."""
-    ranked = placed(df, 1 - F.col(conf), [F.col(conf).desc(), row])
+    ranked = placed_by_value(df, [F.col(conf).desc(), row])
     return ranked.where(F.col("_place") <= F.ceil(F.col("_total") * coverage)).drop("_place", "_total")
 
 
@@ -136,8 +136,9 @@ def confident(df: DataFrame, row: str, min_confidence: float = 0.0, min_margin:
         ok = ok & (P.entropy(p, True) <= max_entropy)
     out = df.withColumn("keep", ok)
     if per_class is not None:
-        w = Window.partitionBy(P.predicted_index(p), "keep").orderBy(P.confidence(p).desc(), row)
-        out = out.withColumn("keep", F.col("keep") & (F.row_number().over(w) <= per_class))
+        keyed = out.withColumns({"_class": P.predicted_index(p), "_conf": P.confidence(p)})
+        out = placed_by_value(keyed, [F.col("_conf").desc(), row], ["_class", "keep"])
+        out = out.withColumn("keep", F.col("keep") & (F.col("_place") <= per_class)).drop("_class", "_conf", "_place", "_total")
     return out
 
 
@@ -233,17 +234,62 @@ def best_candidates(scores: DataFrame, candidate: str, score: str, k: int) -> Da
     return scores.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def affinity_edges(df: DataFrame, n_neighbors: int, gamma: float | None = None, standardize: bool = True, eps: float = 1e-12) -> DataFrame:
+    """(src, dst, weight): edges between rows (row_id, x) of which either is among the other's ``n_neighbors`` nearest, the
+    smaller id first among equals, with weight exp(-``gamma`` d^2); without ``gamma``, one over twice the exact
+    median of the squared distances of all pairs. Rows whose weights sum to no more than ``eps`` have no edges."""
+    from . import features as T
+    from .augment import median_gamma
+    from .decode import nearest_neighbours
+
+    rows = df.select("row_id", "x")
+    if standardize:
+        out = T.with_stats(rows, T.column_scales(rows, floor=eps, ddof=1), ["loc", "scale"])
+        rows = out.withColumn("x", F.transform(F.arrays_zip("x", "loc", "scale"), lambda t: (t["x"] - t["loc"]) / t["scale"])).select("row_id", "x")
+    width = median_gamma(rows) if gamma is None else gamma
+    rows = rows.withColumn("label", F.lit(0))
+    others = nearest_neighbours(rows, rows, n_neighbors + 1).where("row_id <> train_id")
+    place = F.row_number().over(Window.partitionBy("row_id").orderBy("distance", "train_id"))
+    near = others.withColumn("_k", place).where(F.col("_k") <= n_neighbors)
+    weight = F.exp(-F.lit(width) * F.col("distance") * F.col("distance")).alias("weight")
+    both = near.select(F.col("row_id").alias("src"), F.col("train_id").alias("dst"), weight).unionByName(near.select(F.col("train_id").alias("src"), F.col("row_id").alias("dst"), weight))
+    edges = both.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    mass = edges.groupBy("src").agg(F.sum("weight").alias("_m")).where(F.col("_m") > eps)
+    return edges.join(mass, "src").drop("_m")
+
+
+def affinity_smoothed(df: DataFrame, n_neighbors: int, alpha: float = 0.5, rounds: int = 50, tolerance: float = 1e-7, gamma: float | None = None, standardize: bool = True) -> tuple[DataFrame, int]:
+    """Rows (row_id, x, p) whose probabilities are smoothed over their affinity graph until no entry moves by more
+    than ``tolerance`` or ``rounds`` are done; and the number of rounds. The graph is built once."""
+    from chronoprob.sources.observations import cut
+
+    return _smoothed(df, cut(affinity_edges(df, n_neighbors, gamma, standardize), "affinity"), "row_id", alpha, rounds, tolerance)
+
+
 def graph_smoothed(df: DataFrame, edges: DataFrame, row: str, alpha: float = 0.5, iterations: int = 3) -> DataFrame:
     """p <- (1 - alpha) p0 + alpha * weighted mean of the neighbours' p; ``edges`` has src, dst and weight."""
+    return _smoothed(df, edges, row, alpha, iterations, None)[0]
+
+
+def _smoothed(df: DataFrame, edges: DataFrame, row: str, alpha: float, rounds: int, tolerance: float | None) -> tuple[DataFrame, int]:
+    """Rows without neighbours keep their p; without ``tolerance`` all rounds are done."""
     from chronoprob.sources.observations import cut
 
     start = df.select(F.col(row).alias("dst"), F.col("p").alias("p0"))
-    now = start.withColumnRenamed("p0", "p")
-    for _ in range(iterations):
+    now, done = start.withColumnRenamed("p0", "p"), 0
+    for done in range(1, rounds + 1):
         long = edges.join(now, "dst").select("src", "weight", F.posexplode("p").alias("k", "v"))
         mean = long.groupBy("src", "k").agg((F.sum(F.col("weight") * F.col("v")) / F.sum("weight")).alias("v"))
         near = mean.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("m"))
         step = start.join(near.withColumnRenamed("src", "dst"), "dst", "left")
         mixed = F.when(F.col("m").isNull(), F.col("p0")).otherwise(F.zip_with("p0", "m", lambda a, b: (1 - alpha) * a + alpha * b))
-        now = cut(step.select("dst", mixed.alias("p")), "smoothing")
-    return df.drop("p").join(now.withColumnRenamed("dst", row), row)
+        if tolerance is None:
+            now = cut(step.select("dst", mixed.alias("p")), "smoothing")
+            continue
+        moved = F.array_max(F.zip_with("p", "_old", lambda a, b: F.abs(a - b)))
+        after = step.select("dst", mixed.alias("p")).join(now.withColumnRenamed("p", "_old"), "dst")
+        after = cut(after.select("dst", "p", moved.alias("moved")), "smoothing")
+        now = after.select("dst", "p")
+        if (after.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+            break
+    return df.drop("p").join(now.withColumnRenamed("dst", row), row), done

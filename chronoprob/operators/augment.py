@@ -54,7 +54,7 @@ def mixstyle(df: DataFrame, lam: float, domain: str = "domain") -> DataFrame:
     pairs = a.withColumn("_next", F.coalesce(F.lead(domain).over(order), F.first(domain).over(order)))
     other = a.select(F.col(domain).alias("_next"), F.col("m").alias("m2"), F.col("s").alias("s2"))
     table = pairs.join(other, "_next").drop("_next")
-    out = df.join(F.broadcast(table), domain)  # one row for each domain
+    out = df.join(table, domain)
     z = F.transform(F.arrays_zip("x", "m", "s", "m2", "s2"), lambda t: (t["x"] - t["m"]) / t["s"] * (lam * t["s"] + (1 - lam) * t["s2"]) + lam * t["m"] + (1 - lam) * t["m2"])
     return out.withColumn("x", z).drop("m", "s", "m2", "s2")
 
@@ -162,20 +162,69 @@ def domain_importance(df: DataFrame, floor: float = 0.05, ceiling: float = 20.0)
     return mean_one(out.drop("rawPrediction", "prediction"), odds).drop("features", "probability", "_y")
 
 
-def median_gamma(df: DataFrame, rows: int = 1000) -> float:
-    """1 / (2 median) of the positive squared distances of pairs of rows: of all of them up to ``rows``, else of
-    as many chosen by a hash."""
-    some = df.select("x").orderBy(F.xxhash64("row_id"), "row_id").limit(rows).collect()
-    x = np.array([r["x"] for r in some])
-    sq = (x * x).sum(1)
-    d = (sq[:, None] + sq - 2 * x @ x.T)[np.triu_indices(len(x), 1)]
-    d = d[d > 1e-12]
-    return 1.0 / (2.0 * (float(np.median(d)) if len(d) else 1.0))
+def median_squared_distance(df: DataFrame, least: float = 1e-12, block: int = 1024) -> float | None:
+    """The exact median of the squared distances above ``least`` of all pairs of rows; None without such pairs.
+
+    Blocks of rows meet in pairs. The bits of a positive number are ordered as the number is: four passes
+    count 16 bits each, among the distances that share the bits found before, so that tasks send counts only."""
+    from chronoprob.sources.observations import cut
+
+    n_blocks = max(1, -(-df.count() // block))
+    blocks = df.select("x", F.pmod(F.xxhash64("row_id"), F.lit(n_blocks)).alias("b")).groupBy("b").agg(F.flatten(F.collect_list("x")).alias("xs"), F.count("*").alias("m"))
+    blocks = cut(blocks, "median-blocks")  # rows keep their places from pass to pass
+    left = blocks.select(F.col("b").alias("a"), F.col("xs").alias("xa"), F.col("m").alias("ma"), F.explode(F.sequence("b", F.lit(n_blocks - 1).cast("long"))).alias("b"))
+    pairs = left.join(blocks, "b")
+
+    def counts(known: list[tuple[int, int]], shift: int) -> dict[tuple[int, int], int]:
+        """Counts of the 16 bits above ``shift`` among numbers whose higher bits are one of ``known``."""
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total: dict[int, np.ndarray] = {head: np.zeros(1 << 16, dtype=np.int64) for head in known}
+            for pdf in batches:
+                for r in pdf.itertuples(index=False):
+                    u, v = np.asarray(r.xa).reshape(r.ma, -1), np.asarray(r.xs).reshape(r.m, -1)
+                    for i in range(len(u)):
+                        d = ((v[i + 1 :] if r.a == r.b else v) - u[i]) ** 2
+                        d = d.sum(axis=1)
+                        bits = d[d > least].view(np.uint64) >> np.uint64(shift)
+                        for head in known:
+                            mine = bits if head is None else bits[(bits >> np.uint64(16)) == np.uint64(head)]
+                            total[head] += np.bincount((mine & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+            rows = [(-1 if head is None else head, int(k), int(t[k])) for head, t in total.items() for k in np.flatnonzero(t)]
+            yield pd.DataFrame(rows, columns=["head", "k", "n"])
+
+        found = pairs.mapInPandas(partial, "head long, k int, n long").groupBy("head", "k").agg(F.sum("n").alias("n")).collect()
+        return {(None if r["head"] < 0 else r["head"], r["k"]): r["n"] for r in found}
+
+    heads: list = [None]
+    ranks: dict = {}
+    for shift in (48, 32, 16, 0):
+        found = counts(heads, shift)
+        if shift == 48:
+            total = sum(found.values())
+            if not total:
+                return None
+            ranks = {r: (None, r) for r in {(total - 1) // 2, total // 2}}
+        after = {}
+        for r, (head, left_over) in ranks.items():
+            for k in sorted(k for h, k in found if h == head):
+                if left_over < found[head, k]:
+                    after[r] = ((head or 0) << 16 | k, left_over)
+                    break
+                left_over -= found[head, k]
+        ranks, heads = after, sorted({h for h, _ in after.values()})
+    return float(np.array([h for h, _ in ranks.values()], dtype=np.uint64).view(np.float64).mean())
+
+
+def median_gamma(df: DataFrame) -> float:
+    """One over twice the exact median of the positive squared distances of all pairs of rows (1/2 without)."""
+    median = median_squared_distance(df)
+    return 1.0 / (2.0 * (1.0 if median is None else median))
 
 
 def kernel_mmd(df: DataFrame, gamma: float | None = None, domain: str = "domain", block: int = 1024) -> DataFrame:
     """(domain, mmd2): squared maximum mean discrepancy of each source domain to the target under a Gaussian
-    kernel (``median_gamma`` without ``gamma``), from the exact means of the kernel over all pairs of rows.
+    kernel (of the exact ``median_gamma`` without ``gamma``), from the exact means of the kernel over all pairs of rows.
 
     Rows meet in blocks: a task takes two blocks and gives back one sum, so what is shuffled grows with the
     number of blocks, while the work is that of all pairs. ``mmd_estimates`` is the way for large domains."""
@@ -190,7 +239,10 @@ def kernel_mmd(df: DataFrame, gamma: float | None = None, domain: str = "domain"
     first, second = blocks.select(*[F.col(c).alias(f"{c}a") for c in names]), blocks.select(*[F.col(c).alias(f"{c}b") for c in names])
     # a domain's blocks meet its own, and a source's the target's
     own = first.join(second, F.col("da").eqNullSafe(F.col("db")) & (F.col("ta") == F.col("tb")))
-    across = first.where("not ta").join(second.where("tb"), F.col("ta") != F.col("tb"))
+    # each target block goes to every salt, so a source's block meets it once, by an equi-join
+    salts = max(1, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    dealt = second.where("tb").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    across = first.where("not ta").withColumn("_salt", F.pmod(F.xxhash64("da", "xsa"), F.lit(salts))).join(dealt, "_salt").drop("_salt")
     pairs = own.unionByName(across)
 
     @F.pandas_udf("double")

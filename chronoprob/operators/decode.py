@@ -188,13 +188,18 @@ def fit_named(name: str, train: DataFrame, test: DataFrame, weight: str | None =
     return model.transform(vectors(test)).select("row_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted"))
 
 
+def _each(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``table`` once for each value of ``key`` in ``rows``: a table of sums by that key."""
+    values = rows.agg(F.collect_set(key).alias("_values"))
+    return table.join(F.broadcast(values)).withColumn(key, F.explode("_values")).drop("_values")  # one row
+
+
 def leave_one_domain_out(df: DataFrame, domain: str = "domain") -> DataFrame:
     """(row_id, domain, label, predicted): nearest class mean of all other domains. Each domain's model is
     the totals of all domains less its own, so no row is copied."""
     own = T.positions(df).groupBy(domain, "label", "pos").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
-    domains = own.select(domain).distinct()
     totals = own.groupBy("label", "pos").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
-    grid = totals.join(F.broadcast(domains))  # sums of classes by each domain
+    grid = _each(totals, own, domain)
     rest = grid.join(own, [domain, "label", "pos"], "left").select(domain, "label", "pos", (F.col("all_s") - F.coalesce("s", F.lit(0.0))).alias("s"), (F.col("all_n") - F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
     means = T.arrays(rest.withColumn("mean", F.col("s") / F.col("n")), ["mean"], [domain, "label"])
     both = df.join(_models(means, [domain]), domain)
@@ -214,7 +219,7 @@ def time_resolved(df: DataFrame, width: int, fold: str = "domain") -> DataFrame:
     sums = {"s": F.sum("v"), "q": F.sum(F.col("v") * F.col("v")), "n": F.count("*")}
     own = T.positions(rows).groupBy("window", fold, "label", "pos").agg(*[a.alias(c) for c, a in sums.items()])
     every = own.groupBy("window", "label", "pos").agg(*[F.sum(c).alias(f"all_{c}") for c in sums])
-    grid = every.join(own.select(fold).distinct())  # sums of classes by each fold
+    grid = _each(every, own, fold)
     keys = ["window", fold, "label", "pos"]
     rest = grid.join(own, keys, "left").select(*keys, *[(F.col(f"all_{c}") - F.coalesce(F.col(c), F.lit(0))).alias(c) for c in sums]).where("n > 0")
     means = T.arrays(rest.withColumn("mean", F.col("s") / F.col("n")), ["mean"], ["window", fold, "label"])
@@ -226,10 +231,11 @@ def time_resolved(df: DataFrame, width: int, fold: str = "domain") -> DataFrame:
 
 
 def temporal_generalization(train: DataFrame, test: DataFrame, width: int) -> DataFrame:
-    """(train_window, test_window, accuracy): each window's model on every window's rows; models, one row for
-    each window, meet the rows by broadcast."""
+    """(train_window, test_window, accuracy): each window's model on every window's rows; the models of all
+    windows are one row."""
     models = _models(T.class_means(windows_of(train, width).select("window", "label", "x"), ["window", "label"]), ["window"]).withColumnRenamed("window", "train_window")
-    both = windows_of(test, width).crossJoin(models)  # a model for each window
+    packed = models.groupBy().agg(F.collect_list(F.struct("train_window", "labels", "means")).alias("_models"))
+    both = windows_of(test, width).join(F.broadcast(packed)).withColumn("_m", F.explode("_models")).drop("_models").select("*", "_m.*")  # one row
     got = both.withColumn("p", P.softmax(F.transform("means", lambda m: -squared_distance(F.col("x"), m)))).withColumn("predicted", F.get("labels", P.predicted_index(F.col("p"))))
     return got.groupBy("train_window", F.col("window").alias("test_window")).agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("accuracy"))
 
@@ -368,8 +374,8 @@ def few_shot(df: DataFrame, per_class: int, repeats: int, seed: int = 0) -> Data
     """Target rows left for evaluation under centroids of the source rows and ``per_class`` seeded target rows
     of each class that count ``repeats`` times."""
     t = df.where("role = 'target'")
-    place = F.row_number().over(Window.partitionBy("label").orderBy(md5_unit(F.lit(seed), F.col("row_id")), "row_id"))
-    split = t.withColumn("_n", place)
+    drawn = t.withColumn("_u", md5_unit(F.lit(seed), F.col("row_id")))
+    split = placed(drawn, F.col("_u"), ["_u", "row_id"], ["label"], "_n", "_all").drop("_u", "_all")
     known = split.where(F.col("_n") <= per_class).drop("_n").withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).drop("_r")
     return centroid(df.where("role = 'source'").unionByName(known), split.where(F.col("_n") > per_class).drop("_n"))
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import quantiles
+from .ranks import placed, quantiles
 
 
 def positions(df: DataFrame) -> DataFrame:
@@ -103,21 +103,21 @@ def ecdf(df: DataFrame, output: str = "uniform") -> DataFrame:
     """Rank of each entry among the source's: (r + 0.5) / (n + 1) with r source values at or below it,
     within [0, 1]; constant columns give 0.5; ``mid`` gives the mean of left and right rank over n.
 
-    A running count by value over source and other rows together, one partition for each column and bucket
-    of values: counts of whole buckets come first, so a column is no single task.
+    A column's different values, each with the number of source rows that have it, are dealt by ranges; what
+    stands before a range comes from the ranges' sums, so a column is no single task, and neither is a value
+    that many rows share.
     """
+    from chronoprob.sources.observations import cut
+
     p = positions(df)
     edges = positions(source(df)).groupBy("pos").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    is_source = (F.col("role") == "source").cast("long")
-    width = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))
-    rows = p.join(F.broadcast(edges), "pos").withColumn("_b", F.floor(F.least(F.lit(63.0), F.greatest(F.lit(0.0), (F.col("v") - F.col("lo")) / width * 64))))
-    buckets = rows.groupBy("pos", "_b").agg(F.sum(is_source).alias("s"))
-    before = Window.partitionBy("pos").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.select("pos", "_b", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("_s"))
-    inside = Window.partitionBy("pos", "_b").orderBy("v")
-    upto = F.sum(is_source).over(inside.rangeBetween(Window.unboundedPreceding, 0))
-    ties = F.sum(is_source).over(Window.partitionBy("pos", "_b", "v"))
-    ranked = rows.withColumns({"_r": upto, "_t": ties}).join(F.broadcast(starts), ["pos", "_b"]).withColumn("_r", F.col("_r") + F.col("_s"))
+    counts = p.groupBy("pos", "v").agg(F.count_if(F.col("role") == "source").alias("_t"))
+    dealt = cut(counts.repartitionByRange("pos", "v").withColumn("_part", F.spark_partition_id()), "ecdf")
+    parts = dealt.groupBy("pos", "_part").agg(F.sum("_t").alias("_sum"))
+    starts = parts.select("pos", "_part", (F.sum("_sum").over(Window.partitionBy("pos").orderBy("_part")) - F.col("_sum")).alias("_s"))
+    upto = F.sum("_t").over(Window.partitionBy("pos", "_part").orderBy("v"))
+    known = dealt.withColumn("_r", upto).join(starts, ["pos", "_part"]).select("pos", "v", "_t", (F.col("_r") + F.col("_s")).alias("_r"))
+    ranked = p.join(known.join(edges, "pos"), ["pos", "v"])
     if output == "uniform":
         value = F.when(F.col("hi") == F.col("lo"), 0.5).otherwise(F.least(F.lit(1.0), (F.col("_r") + 0.5) / (F.col("n") + 1)))
     else:
@@ -322,13 +322,12 @@ def pseudo_trials(df: DataFrame, keys: Sequence[str], k: int, row: str, seed: in
     """Means of seeded chunks of each key's rows: at most ``k`` chunks, as alike in size as can be."""
     from chronoprob.functions.vectors import md5_unit
 
-    w = Window.partitionBy(*keys)
-    place = F.row_number().over(w.orderBy(md5_unit(F.lit(seed), F.col(row)), row)) - 1
-    n = F.count("*").over(w)
+    drawn = placed(df.withColumn("_u", md5_unit(F.lit(seed), F.col(row))), F.col("_u"), ["_u", row], keys)
+    place, n = F.col("_place") - 1, F.col("_total")
     chunks = F.least(F.lit(k), n)
     size, long = F.floor(n / chunks), n % chunks
     chunk = F.when(place < long * (size + 1), F.floor(place / (size + 1))).otherwise(long + F.floor((place - long * (size + 1)) / F.greatest(size, F.lit(1))))
-    marked = df.withColumn("chunk", chunk.cast("int"))
+    marked = drawn.withColumn("chunk", chunk.cast("int"))
     sizes = marked.groupBy(*keys, "chunk").agg(F.count("*").alias("n_rows"))
     return class_means(marked.select(*keys, "chunk", "x"), [*keys, "chunk"]).join(sizes, [*keys, "chunk"]).withColumnRenamed("mean", "x")
 
@@ -342,7 +341,7 @@ def fold_standardized(df: DataFrame, fold: str = "fold") -> DataFrame:
     rest = {c: F.sum(c).over(every) - F.col(c) for c in ("n", "s", "q")}
     stats = own.select(fold, "pos", (rest["s"] / rest["n"]).alias("loc"), F.sqrt(F.greatest(rest["q"] / rest["n"] - (rest["s"] / rest["n"]) * (rest["s"] / rest["n"]), F.lit(1e-24))).alias("scale"))
     packed = arrays(stats, ["loc", "scale"], [fold])
-    return df.join(F.broadcast(packed), fold).withColumn("x", F.transform(F.arrays_zip("x", "loc", "scale"), lambda t: (t["x"] - t["loc"]) / t["scale"])).drop("loc", "scale")
+    return df.join(packed, fold).withColumn("x", F.transform(F.arrays_zip("x", "loc", "scale"), lambda t: (t["x"] - t["loc"]) / t["scale"])).drop("loc", "scale")
 
 
 def correlation_filtered(df: DataFrame, limit: float) -> list[int]:

@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoprob.functions.vectors import md5_unit
+from chronoprob.sources.observations import cut
 
+from .ranks import grouped_quantile
 from .runs import with_runs
 
 
@@ -18,14 +20,17 @@ def effects(df: DataFrame, metric: str, chance: float, larger_is_better: bool =
     return df.join(F.broadcast(grid)).select("subject", "time", e.alias("effect"), (F.col("_cells") == F.col("_rows")).alias("complete"))  # one row
 
 
-def _signed(subjects: DataFrame, n: int, seed: int, exact: bool) -> DataFrame:
-    """(perm, subject, sign); permutation 0 leaves all signs."""
-    placed = subjects.withColumn("_i", F.row_number().over(Window.orderBy("subject")) - 1)
-    rows = placed.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n if not exact else n - 1))))
-    bit = F.floor(F.col("perm") / F.pow(F.lit(2.0), F.col("_i"))).cast("long") % 2
-    if not exact:
-        bit = F.when((F.col("perm") > 0) & (md5_unit(F.lit(seed), F.col("perm"), F.col("subject")) < 0.5), 1).otherwise(0)
-    return rows.select("perm", "subject", F.when(bit == 1, -1.0).otherwise(1.0).alias("sign"))
+def _flipped(rows: DataFrame, n: int, seed: int, order: list | None = None) -> DataFrame:
+    """``rows`` once for each permutation, with ``sign``; permutation 0 leaves all signs. The sign is a bit of a hash
+    of seed, permutation and subject, or, with the subjects' ``order``, of the permutation's number, so that all
+    2 to the number of subjects come up; no table of signs is made."""
+    each = rows.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n if order is None else 2 ** len(order) - 1))))
+    if order is None:
+        flip = (F.col("perm") > 0) & (md5_unit(F.lit(seed), F.col("perm"), F.col("subject")) < 0.5)
+    else:
+        place = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("subject")) - 1
+        flip = F.floor(F.col("perm") / F.pow(F.lit(2.0), place)).cast("long") % 2 == 1
+    return each.withColumn("sign", F.when(flip, -1.0).otherwise(1.0))
 
 
 def t_statistic(x: Column) -> Column:
@@ -36,9 +41,9 @@ def max_cluster(e: DataFrame, n: int = 200, alpha: float = 0.05, seed: int = 0)
     """(time, t, threshold, p_value, cluster_p): one-sample t at each time against ``n`` sign flips, with the
     flips' 1 - alpha quantile at each time as threshold, and for runs of times above it the share of flips
     whose largest run weighs as much."""
-    signs = _signed(e.select("subject").distinct(), n, seed, False)
-    t = e.join(F.broadcast(signs), "subject").groupBy("perm", "time").agg(t_statistic(F.col("effect") * F.col("sign")).alias("t"))
-    null = t.where("perm > 0").groupBy("time").agg(F.percentile("t", 1 - alpha).alias("threshold"))
+    # times by permutations, read several times
+    t = cut(_flipped(e, n, seed).groupBy("perm", "time").agg(t_statistic(F.col("effect") * F.col("sign")).alias("t")), "sign-flips")
+    null = grouped_quantile(t.where("perm > 0"), "t", 1 - alpha, ["time"], "threshold")
     seen = t.where("perm = 0").select("time", F.col("t").alias("_o"))
     point = t.where("perm > 0").join(seen, "time").groupBy("time").agg(((1 + F.count_if(F.col("t") >= F.col("_o"))) / (F.count("*") + 1)).alias("p_value"))
     runs = with_runs(t.join(null, "time").withColumn("score", F.coalesce(F.col("t"), F.lit(float("-inf")))), ["perm"], F.col("threshold"))
@@ -53,11 +58,10 @@ def max_cluster(e: DataFrame, n: int = 200, alpha: float = 0.05, seed: int = 0)
 def sign_flip_p(differences: DataFrame, keys: list[str], n: int = 1000, seed: int = 0) -> DataFrame:
     """(keys, n_subjects, mean_difference, median_difference, p_value): two-sided sign flips of the paired
     differences (subject, d); all of them where 2 to the number of subjects is at most ``n``."""
-    subjects = differences.select("subject").distinct()
-    m = subjects.count()
-    exact = 2**m <= n
-    signs = _signed(subjects, 2**m if exact else n, seed, exact)
-    means = differences.join(F.broadcast(signs), "subject").groupBy(*keys, "perm").agg(F.avg(F.col("d") * F.col("sign")).alias("mean"))
+    # whether so few subjects there are that all flips are taken shows in one more than their number
+    few = max(n, 1).bit_length() - 1
+    subjects = [r.subject for r in differences.select("subject").distinct().limit(few + 1).collect()]
+    means = _flipped(differences, n, seed, sorted(subjects) if len(subjects) <= few else None).groupBy(*keys, "perm").agg(F.avg(F.col("d") * F.col("sign")).alias("mean"))
     seen = differences.groupBy(*keys).agg(F.count("*").alias("n_subjects"), F.avg("d").alias("mean_difference"), F.percentile("d", 0.5).alias("median_difference"))
     both = means.join(seen, keys) if keys else means.join(F.broadcast(seen))  # one row
     as_large = F.count_if(F.abs("mean") >= F.abs("mean_difference") - 1e-12)

@@ -78,7 +78,7 @@ def selected_domains(df: DataFrame, domain: str, holdout: float, seed: int, at_l
     n = F.count("*").over(Window.partitionBy())
     held = F.least(F.floor(n * F.lit(holdout)), n - at_least)
     marked = domains.withColumn("selected", F.row_number().over(order) > held)
-    return df.join(F.broadcast(marked), domain)  # one row for each domain
+    return df.join(marked, domain)
 
 
 def domain_subsets(df: DataFrame, domain: str, size: int) -> DataFrame:

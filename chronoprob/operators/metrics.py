@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoprob.functions import probability as P
 
-from .ranks import placed
+from .ranks import placed_by_value
 
 
 def scored(df: DataFrame, label: str = "true_label") -> DataFrame:
@@ -126,7 +126,7 @@ def category_enrichment(df: DataFrame, category: Column, predicted_category: Col
 
 def selective(df: DataFrame, conf: str, row: str, hit: str, coverages: Sequence[float]) -> DataFrame:
     """Accuracy of the ceil(n * coverage) most confident rows, and the confidence of the last of them."""
-    ranked = placed(df.select(conf, row, hit), 1 - F.col(conf), [F.col(conf).desc(), row], place="place", total="n")
+    ranked = placed_by_value(df.select(conf, row, hit), [F.col(conf).desc(), row], place="place", total="n")
     rows = ranked.withColumn("coverage", F.explode(F.array(*map(F.lit, coverages)))).where(F.col("place") <= F.ceil(F.col("n") * F.col("coverage")))
     return rows.groupBy("coverage").agg(F.count("*").alias("n_kept"), F.avg(hit).alias("accuracy"), F.min(conf).alias("threshold"))
 

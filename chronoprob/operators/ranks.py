@@ -1,5 +1,4 @@
-"""Ranks and quantiles of large groups in two steps: counts of buckets first, then places within a bucket, so
-that a group is no single task. Tables of buckets are as large as groups times ``BUCKETS``."""
+"""Ranks and quantiles of large groups, of which neither a group nor a value that many rows share is one task."""
 
 from __future__ import annotations
 
@@ -9,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
+#: Ranks of a sketch are right within one part in so many of the rows.
+ACCURACY = 10_000
 
 
 def _same(by: Sequence[str], left: str, right: str) -> Column:
@@ -18,33 +19,77 @@ def _same(by: Sequence[str], left: str, right: str) -> Column:
     return on
 
 
+def _numbered(rows: DataFrame, part: str, order: Sequence[Column | str], by: Sequence[str], place: str, total: str) -> DataFrame:
+    """``rows`` with each row's place, from 1, in its group, from places in the parts and the parts' counts; the
+    table of counts is as large as groups and parts."""
+    columns = [c for c in rows.columns if c != part]
+    counts = rows.groupBy(*by, part).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*by)
+    starts = counts.select(*by, part, (F.sum("_n").over(group.orderBy(part)) - F.col("_n")).alias("_start"), F.sum("_n").over(group).alias(total)).alias("s")
+    ranked = rows.withColumn("_inside", F.row_number().over(Window.partitionBy(*by, part).orderBy(*order))).alias("r")
+    both = ranked.join(starts, _same([*by, part], "r", "s"))
+    return both.select(*[F.col(f"r.{c}") for c in columns], (F.col("s._start") + F.col("r._inside")).alias(place), F.col(f"s.{total}").alias(total))
+
+
 def placed(df: DataFrame, unit: Column, order: Sequence[Column | str], by: Sequence[str] = (), place: str = "_place", total: str = "_total") -> DataFrame:
-    """``df`` with each row's place, from 1, among the rows that agree in ``by``, and their number. ``unit`` is a
-    number from 0 to 1 that grows along ``order``; rows of one bucket of it are put in order together."""
+    """``df`` with each row's place, from 1, among the rows that agree in ``by``, and their number. ``unit`` is a hash
+    as a number from 0 to 1 that grows along ``order``: its buckets are even, and rows of one are put in order
+    together. For values, whose buckets need not be even, there is ``placed_by_value``."""
     bucket = F.coalesce(F.least(F.lit(BUCKETS - 1), F.greatest(F.lit(0), F.floor(unit * BUCKETS))).cast("int"), F.lit(BUCKETS))
-    rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
-    group = Window.partitionBy(*by)
-    starts = counts.select(*by, "_bucket", (F.sum("_n").over(group.orderBy("_bucket")) - F.col("_n")).alias("_start"), F.sum("_n").over(group).alias(total)).alias("s")
-    inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
-    ranked = rows.withColumn("_inside", F.row_number().over(inside)).alias("r")
-    both = ranked.join(starts, _same([*by, "_bucket"], "r", "s"))
-    return both.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("s._start") + F.col("r._inside")).alias(place), F.col(f"s.{total}").alias(total))
-
-
-def quantiles(p: DataFrame, qs: Sequence[float], interpolate: bool = True) -> DataFrame:
-    """(pos, q): the quantiles of ``v`` for each ``pos``, between neighbours in proportion, or, as pairs for each
-    quantile, the two neighbours. Null and NaN entries take no part."""
-    values = p.where(F.col("v").isNotNull() & ~F.isnan("v")).select("pos", "v")
-    edges = values.groupBy("pos").agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
-    unit = F.when(F.col("_hi") > F.col("_lo"), (F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    ranked = placed(values.join(edges, "pos"), unit, ["v"], ["pos"])
-    at = [F.lit(q) * (F.col("_total") - 1) for q in qs]
-    near = F.lit(False)
-    for a in at:
-        near = near | (F.col("_place") - 1 == F.floor(a)) | (F.col("_place") - 1 == F.ceil(a))
-    picked = ranked.where(near).groupBy("pos", "_total").agg(*[F.max(F.when(F.col("_place") - 1 == f(a), F.col("v"))).alias(f"{name}{i}") for i, a in enumerate(at) for name, f in (("_a", F.floor), ("_b", F.ceil))])
-    low, high = lambda i: F.col(f"_a{i}"), lambda i: F.col(f"_b{i}")
+    return _numbered(df.withColumn("_bucket", bucket), "_bucket", order, by, place, total)
+
+
+def placed_by_value(df: DataFrame, order: Sequence[Column | str], by: Sequence[str] = (), place: str = "_place", total: str = "_total") -> DataFrame:
+    """As ``placed`` for any ``order``: rows are dealt by ranges of (``by``, ``order``), whose limits come from a sample
+    of the rows, so that outliers and large groups leave the parts even; an ``order`` that ends in the row's id
+    splits what many rows share as well. The dealt rows are a table, so that all uses see the same parts."""
+    from chronoprob.sources.observations import cut
+
+    dealt = df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
+    return _numbered(cut(dealt, "ranges"), "_part", order, by, place, total)
+
+
+def quantiles(p: DataFrame, qs: Sequence[float], interpolate: bool = True, by: Sequence[str] = ("pos",)) -> DataFrame:
+    """(by, q): the quantiles of ``v`` for each group, between neighbours in proportion, or, as pairs for each
+    quantile, the two neighbours. Null and NaN entries take no part.
+
+    A mergeable sketch gives each quantile a bracket of about six in ACCURACY of the rows; counts below the bracket,
+    the values next to it, and the counted values inside give the exact neighbours. Only values inside a bracket
+    are shuffled, each once however many rows share it."""
+    values = p.where(F.col("v").isNotNull() & ~F.isnan("v")).select(*by, F.col("v").cast("double").alias("v"))
+    near = [(max(0.0, q - 3 / ACCURACY), min(1.0, q + 3 / ACCURACY)) for q in qs]
+    sketch = F.percentile_approx("v", [x for pair in near for x in pair], ACCURACY)
+    brackets = values.groupBy(*by).agg(F.count("*").alias("_n"), sketch.alias("_e"))
+    both = values.alias("v").join(brackets.alias("b"), _same(by, "v", "b")) if by else values.join(F.broadcast(brackets))  # one row
+    both = both.select(*[F.col(f"v.{c}") if by else F.col(c) for c in by], "v", "_n", "_e")
+    low, high = (lambda i: F.get("_e", F.lit(2 * i))), (lambda i: F.get("_e", F.lit(2 * i + 1)))
+    v = F.col("v")
+    outside = []
+    for i in range(len(qs)):
+        outside += [F.count_if(v < low(i)).alias(f"_below{i}"), F.max(F.when(v < low(i), v)).alias(f"_prev{i}"), F.min(F.when(v > high(i), v)).alias(f"_next{i}"), F.count_if(v.between(low(i), high(i))).alias(f"_in{i}")]
+    around = both.groupBy(*by).agg(F.max("_n").alias("_n"), *outside)
+    which = F.filter(F.array(*[F.when(v.between(low(i), high(i)), i) for i in range(len(qs))]), lambda i: i.isNotNull())
+    inside = both.select(*by, "v", F.explode(which).alias("_i")).groupBy(*by, "_i", "v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_i").orderBy("v"))
+    # what one task puts in order is a bracket: a fixed share of the rows
+    counted = inside.withColumn("_upto", upto).alias("c").join(around.alias("a"), _same(by, "c", "a")) if by else inside.withColumn("_upto", upto).join(F.broadcast(around))  # one row
+    key = [F.col(f"c.{c}") if by else F.col(c) for c in by]
+    pick = lambda i, rank: F.max(F.when((F.col("_i") == i) & (F.col(f"_below{i}") + F.col("_upto") - F.col("_c") <= rank) & (rank < F.col(f"_below{i}") + F.col("_upto")), v))
+    found = []
+    for i, q in enumerate(qs):
+        at = F.lit(q) * (F.col("_n") - 1)
+        for name, rank in (("_a", F.floor(at)), ("_b", F.ceil(at))):
+            beside = F.when(rank < F.col(f"_below{i}"), F.col(f"_prev{i}")).when(rank >= F.col(f"_below{i}") + F.col(f"_in{i}"), F.col(f"_next{i}"))
+            found.append(F.coalesce(pick(i, rank), F.max(beside)).alias(f"{name}{i}"))
+    exact = counted.groupBy(*key).agg(F.max("_n").alias("_n"), *found)
+    pairs = [(F.col(f"_a{i}"), F.col(f"_b{i}")) for i in range(len(qs))]
     if not interpolate:
-        return picked.select("pos", F.array(*[F.struct(low(i).alias("low"), high(i).alias("high")) for i in range(len(qs))]).alias("q"))
-    return picked.select("pos", F.array(*[low(i) + (high(i) - low(i)) * (a - F.floor(a)) for i, a in enumerate(at)]).alias("q"))
+        return exact.select(*by, F.array(*[F.struct(a.alias("low"), b.alias("high")) for a, b in pairs]).alias("q"))
+    share = [F.lit(q) * (F.col("_n") - 1) - F.floor(F.lit(q) * (F.col("_n") - 1)) for q in qs]
+    return exact.select(*by, F.array(*[a + (b - a) * s for (a, b), s in zip(pairs, share)]).alias("q"))
+
+
+def grouped_quantile(df: DataFrame, value: str, q: float, by: Sequence[str], name: str) -> DataFrame:
+    """(by, name): one interpolated quantile of ``value`` for each group."""
+    found = quantiles(df.select(*by, F.col(value).alias("v")), [q], by=by)
+    return found.select(*by, F.get("q", F.lit(0)).alias(name))

@@ -8,11 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoprob.sources.observations import cut
+
+from .ranks import grouped_quantile
 
 
 def point_thresholds(df: DataFrame, keys: Sequence[str], window: tuple[float, float], quantile: float, score: str = "score") -> DataFrame:
     """Linear-interpolated quantile of the scores in the baseline window, for each key."""
-    return df.where(F.col("time").between(*window)).groupBy(*keys).agg(F.percentile(score, quantile).alias("score_threshold"))
+    return grouped_quantile(df.where(F.col("time").between(*window)), score, quantile, keys, "score_threshold")
 
 
 def max_run_thresholds(df: DataFrame, keys: Sequence[str], sequence: Sequence[str], window: tuple[float, float], quantile: float, min_consecutive: int, score: str = "score") -> DataFrame:
@@ -22,7 +25,7 @@ def max_run_thresholds(df: DataFrame, keys: Sequence[str], sequence: Sequence[st
     w = Window.partitionBy(*keys, *sequence).orderBy("time").rowsBetween(-(min_consecutive - 1), 0)
     slid = base.withColumn("_m", F.when(F.count("*").over(w) == min_consecutive, F.min(score).over(w)))
     best = slid.groupBy(*keys, *sequence).agg(F.max("_m").alias("_m")).where("_m is not null")
-    return best.groupBy(*keys).agg(F.percentile("_m", quantile).alias("score_threshold"))
+    return grouped_quantile(best, "_m", quantile, keys, "score_threshold")
 
 
 def longest_threshold(scores: list[float], times: list[float], min_consecutive: int, min_duration: float) -> float | None:
@@ -52,7 +55,7 @@ def max_run_thresholds_with_duration(df: DataFrame, keys: Sequence[str], sequenc
         return pd.DataFrame([(*pdf.iloc[0][list(keys)].tolist(), best)], columns=[*keys, "best"])
 
     rows = base.groupBy(*keys, *sequence).applyInPandas(largest, ", ".join(f"{k} {types[k]}" for k in keys) + ", best double")
-    return rows.where("best is not null and not isnan(best)").groupBy(*keys).agg(F.percentile("best", quantile).alias("score_threshold"))
+    return grouped_quantile(cut(rows, "longest-runs"), "best", quantile, keys, "score_threshold")
 
 
 def with_runs(df: DataFrame, sequence: Sequence[str], threshold: Column, score: str = "score", merge_gap: float | None = None, stable: str | None = None, breaks: Column | None = None) -> DataFrame:
@@ -232,7 +235,7 @@ def event_templates(grid: DataFrame, annotations: DataFrame, offsets: Sequence[i
     at = annotations.withColumn("offset", F.explode(F.array(*map(F.lit, offsets)))).withColumn("_bin", F.col("bin") + F.col("offset")).drop("bin")
     hit = at.join(grid.select("stream", F.col("bin").alias("_bin"), "stimulus_label", "score"), ["stream", "_bin", "stimulus_label"])
     means = hit.groupBy("stimulus_label", "offset").agg(F.avg("score").alias("mean"), F.count("*").alias("n")).where(F.col("n") >= min_events)
-    base = grid.groupBy("stimulus_label").agg(F.percentile("score", 0.5).alias("base"))
+    base = grouped_quantile(grid, "score", 0.5, ["stimulus_label"], "base")
     raw = means.join(base, "stimulus_label").withColumn("raw", F.col("mean") - F.col("base"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("stimulus_label")))
     return raw.select("stimulus_label", "offset", F.try_divide(F.col("raw"), length).alias("weight"))

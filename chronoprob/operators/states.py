@@ -80,25 +80,24 @@ def likelihoods(df: DataFrame, model: Sequence[str], sequence: Sequence[str], n_
     times of a sequence or the labels of its rows, by a generator seeded with sequence and repetition."""
     grid = stay_grid(n_states, size)
     types = dict(df.dtypes)
-    rows = df.select(*model, *sequence, "time", "p")
-    if control != "observed":
-        rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_controls))))
-    else:
-        rows = rows.withColumn("rep", F.lit(0))
+    rows = df.select(*model, *sequence, "time", "p")  # a sequence goes to its task once, for all controls
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("time")
         e = emissions(pdf["p"])
         if len(e) < 2:
             return pd.DataFrame([], columns=[*model, "rep", "ll", "n"])
-        rep = int(pdf["rep"].iloc[0])
-        if control != "observed":
-            marks = [ord(c) for k in sequence for c in str(pdf[k].iloc[0])]
-            rng = np.random.default_rng([seed, rep, *marks])
-            e = e[rng.permutation(len(e))] if control == "shuffled_time" else np.stack([r[rng.permutation(len(r))] for r in e])
-        return pd.DataFrame([(*pdf.iloc[0][list(model)].tolist(), rep, grid_log_likelihood(e, grid).tolist(), len(e))], columns=[*model, "rep", "ll", "n"])
-
-    lls = rows.groupBy(*model, *sequence, "rep").applyInPandas(one, ", ".join(f"{k} {types[k]}" for k in model) + ", rep int, ll array<double>, n long")
+        key, out = pdf.iloc[0][list(model)].tolist(), []
+        marks = [ord(c) for k in sequence for c in str(pdf[k].iloc[0])]
+        for rep in range(1, n_controls + 1) if control != "observed" else [0]:
+            mixed = e
+            if control != "observed":
+                rng = np.random.default_rng([seed, rep, *marks])
+                mixed = e[rng.permutation(len(e))] if control == "shuffled_time" else np.stack([r[rng.permutation(len(r))] for r in e])
+            out.append((*key, rep, grid_log_likelihood(mixed, grid).tolist(), len(e)))
+        return pd.DataFrame(out, columns=[*model, "rep", "ll", "n"])
+
+    lls = rows.groupBy(*model, *sequence).applyInPandas(one, ", ".join(f"{k} {types[k]}" for k in model) + ", rep int, ll array<double>, n long")
     totals = lls.groupBy(*model, "rep").agg(F.sum("n").alias("n_observations"), F.count("*").alias("n_sequences"))
     long = lls.select(*model, "rep", F.posexplode("ll").alias("i", "v")).groupBy(*model, "rep", "i").agg(F.sum("v").alias("ll"))
     return long.join(totals, [*model, "rep"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoprob.functions import probability as P
 from chronoprob.operators import adapt as D
+from chronoprob.operators import ensembles as N
 from chronoprob.operators import joins as J
 from chronoprob.operators import states as H
 
@@ -113,6 +114,30 @@ def l8(spark: SparkSession, sf: str) -> DataFrame:
     return entries(D.graph_smoothed(o.select("event_id", "p"), near, "event_id", 0.5, 1), "event_id")
 
 
+def _affinity_sql(k: int, gamma: float) -> str:
+    """One round over the graph of k nearest rows, from the centroid decoder's probabilities."""
+    from .decoding import D8, MEANS, d2
+
+    return f"""WITH {FEAT_SQL}, {MEANS}, sc AS (SELECT t.row_id, cm.label, -({d2('t', 'cm', 'sd')}) AS sc FROM feat t, cm, sd WHERE t.role = 'target'), ex AS (SELECT row_id, label, exp(sc - max(sc) OVER (PARTITION BY row_id)) AS e FROM sc),
+p AS (SELECT row_id, label, e / sum(e) OVER (PARTITION BY row_id) AS p FROM ex), ts AS (SELECT {', '.join(f'avg(x{i}) AS m{i}, greatest(stddev_samp(x{i}), 1e-12) AS s{i}' for i in D8)} FROM feat WHERE role = 'target'),
+z AS (SELECT row_id, {', '.join(f'(x{i} - m{i}) / s{i} AS x{i}' for i in D8)} FROM feat, ts WHERE role = 'target'), d AS (SELECT a.row_id AS src, b.row_id AS dst, {' + '.join(f'power(a.x{i} - b.x{i}, 2)' for i in D8)} AS d FROM z a JOIN z b ON a.row_id <> b.row_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS n FROM d), e AS (SELECT DISTINCT src, dst, exp(-{gamma} * d) AS w FROM (SELECT src, dst, d FROM k WHERE n <= {k} UNION ALL SELECT dst, src, d FROM k WHERE n <= {k})),
+m AS (SELECT src, label, sum(w * p) / sum(w) AS m FROM e JOIN p ON p.row_id = e.dst GROUP BY 1, 2), q AS (SELECT p.row_id, p.label, 0.5 * p + 0.5 * m AS q FROM p JOIN m ON m.src = p.row_id AND m.label = p.label)
+SELECT row_id, CAST(arg_max(label, q) AS INTEGER) AS predicted, round(max(q), 6) AS confidence FROM q GROUP BY 1"""
+
+
+@query("l8_affinity_graph", _affinity_sql(5, 0.01))
+def l8_affinity(spark: SparkSession, sf: str) -> DataFrame:
+    """Target rows' probabilities after a round over the graph of their nearest rows; tests run it to its stop."""
+    from chronoprob.operators.decode import centroid
+
+    f = feat(spark, sf)
+    p = centroid(f.where("role = 'source'"), f.where("role = 'target'")).select("row_id", "p")
+    rows = f.where("role = 'target'").select("row_id", "x").join(p, "row_id")
+    out, _ = D.affinity_smoothed(rows, 5, 0.5, 1, gamma=0.01)
+    return out.select("row_id", P.predicted_index(F.col("p")).alias("predicted"), F.round(F.array_max("p"), 6).alias("confidence"))
+
+
 LOGS = [f"sqrt(greatest(a.p{i}, 1e-15) * greatest(b.p{i}, 1e-15))" for i in range(5)]
 
 
@@ -145,6 +170,27 @@ def l10(spark: SparkSession, sf: str) -> DataFrame:
     return entries(D.ensemble(cube, "probability", D.stacking_weights(cube, "true_label", 2)), "event_id")
 
 
+def _searched_sql(step: float = 0.25) -> str:
+    points = ", ".join(f"({k}, {k * step!r}::DOUBLE, {1 - k * step!r}::DOUBLE)" for k in range(int(round(1 / step)) + 1))
+    sums = [f"a * ln(least(1.0, greatest(x.p{i}, 1e-12))) + b * ln(least(1.0, greatest(y.p{i}, 1e-12)))" for i in range(5)]
+    best = " ".join(f"WHEN z{i} = greatest(z0, z1, z2, z3, z4) THEN {i}" for i in range(5))
+    return f"""WITH {OBS_SQL}, w AS (SELECT *, row_number() OVER (PARTITION BY stream_id, wanted ORDER BY abs(time - wanted), time) AS n FROM obs, (VALUES (500000.0), (1500000.0)) v(wanted)),
+c AS (SELECT x.stream_id, x.subject, x.stream_id % 5 AS y, k, a, {', '.join(f'{s} AS z{i}' for i, s in enumerate(sums))} FROM w x JOIN w y ON x.stream_id = y.stream_id AND x.n = 1 AND y.n = 1 AND x.wanted < y.wanted, (VALUES {points}) g(k, a, b)),
+h AS (SELECT *, CASE {best} END AS pred FROM c), o AS (SELECT subject, y, k, count(*) AS n, count(*) FILTER (WHERE pred = y) AS hits FROM h GROUP BY 1, 2, 3),
+r AS (SELECT s.subject, o.y, k, sum(n) AS n, sum(hits) AS hits FROM (SELECT DISTINCT subject FROM h) s JOIN o ON o.subject <> s.subject GROUP BY 1, 2, 3), sc AS (SELECT subject, k, round(avg(hits / n), 12) AS score FROM r GROUP BY 1, 2),
+b AS (SELECT subject, k FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY score DESC, k) AS place FROM sc) WHERE place = 1)
+SELECT stream_id, round(a, 6) AS first_weight, CAST(pred AS INTEGER) AS predicted, round(1 / ({' + '.join(f'exp(z{i} - greatest(z0, z1, z2, z3, z4))' for i in range(5))}), 9) AS confidence FROM h JOIN b USING (subject, k)"""
+
+
+@query("l11_weight_search", _searched_sql())
+def l11_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights of two windows for each subject, by the balanced accuracy of all other subjects' streams."""
+    rows = obs(spark, sf).withColumn("y", (F.col("stream_id") % 5).cast("int"))
+    out = N.response_window_ensemble(rows, ["stream_id"], [500000.0, 1500000.0], "subject", "y", 0.25)
+    shown = out.select("stream_id", F.round(F.get("weights", F.lit(0)), 6).alias("first_weight"), P.predicted_index(F.col("p")).alias("predicted"), F.round(F.array_max("p"), 9).alias("confidence"))
+    return shown
+
+
 @query("l11_response_windows", f"WITH {OBS_SQL}, w AS (SELECT stream_id, wanted, p0, p4, row_number() OVER (PARTITION BY stream_id, wanted ORDER BY abs(time - wanted), time) AS n FROM obs, (VALUES (500000.0), (1500000.0)) v(wanted)) SELECT stream_id, round(avg(p0), 9) AS q0, round(avg(p4), 9) AS q4 FROM w WHERE n = 1 GROUP BY 1")
 def l11(spark: SparkSession, sf: str) -> DataFrame:
     return entries(D.response_windows(obs(spark, sf), ["stream_id"], [500000.0, 1500000.0]), "stream_id")
@@ -159,7 +205,8 @@ def l12(spark: SparkSession, sf: str) -> DataFrame:
 
     f = feat(spark, sf)
     models = _models(class_means(f.where("role = 'source'").select("domain", "label", "x"), ["domain", "label"]), ["domain"])
-    rows = f.where("role = 'target'").drop("domain").join(F.broadcast(models))  # one row for each domain
+    packed = models.groupBy().agg(F.collect_list(F.struct("domain", "means")).alias("_m"))  # one row
+    rows = f.where("role = 'target'").drop("domain").join(F.broadcast(packed)).select("row_id", "x", F.inline("_m"))
     own = rows.select("row_id", "domain", P.softmax(F.transform("means", lambda m: -squared_distance(F.col("x"), m))).alias("p"))
     return entries(D._keyed_means(own, ["row_id"], F.col("p"), "p"), "row_id")
 
@@ -193,6 +240,15 @@ def l15(spark: SparkSession, sf: str) -> DataFrame:
     return entries(D.bundle_mean(both(spark, sf), ["event_id"], "decoder", 2), "event_id", "complete")
 
 
+@query("l16_pairwise_rerank")
+def l16_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    """Streams of the first fold, whose three best classes are told apart by models of the other folds' rows."""
+    o = obs(spark, sf)
+    held, rest = o.where("fold = 0"), o.where("fold <> 0")
+    out, alpha = N.pairwise_reranked(rest.select("p", "true_label"), held, "true_label", 5, 3)
+    return out.select("event_id", P.predicted_index(F.col("p")).alias("predicted"), F.round(F.array_max("p"), 6).alias("confidence")).withColumn("alpha", F.lit(alpha))
+
+
 @query("l16_top_candidates", f"WITH {BOTH_SQL}, l AS (SELECT decoder, fold, round(avg({NLL}), 12) AS l FROM both_obs GROUP BY 1, 2), s AS (SELECT decoder || fold AS candidate, -l AS score FROM l) SELECT candidate, round(score, 9) AS score, CAST(row_number() OVER (ORDER BY score DESC, candidate) AS INTEGER) AS place FROM s ORDER BY score DESC, candidate LIMIT 3")
 def l16(spark: SparkSession, sf: str) -> DataFrame:
     loss = F.round(F.avg(P.log_loss(F.col("p"), F.col("true_label"))), 12)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoprob.operators import augment as A
+from chronoprob.operators import ensembles as N
 from chronoprob.operators import features as T
 
 from .fixtures import FEAT_SQL, N_FEATURES, OBS_SQL, feat, obs, table
@@ -246,6 +247,23 @@ def k6(spark: SparkSession, sf: str) -> DataFrame:
     return A.bags(feat(spark, sf), 5, "row_id").groupBy("bag").agg(F.count("*").alias("n_rows"), F.sum("weight").alias("total"))
 
 
+def _subspace_sql(members: int, fraction: float) -> str:
+    size = int(round(N_FEATURES * fraction))
+    return f"""WITH {FEAT_SQL}, h AS (SELECT m, c, row_number() OVER (PARTITION BY m ORDER BY left(md5('0:' || m || ':' || c), 8), c) AS r FROM unnest(range({members})) a(m), unnest(range({N_FEATURES})) b(c)),
+cm AS (SELECT label, pos, avg(v) AS m FROM longf WHERE role = 'source' GROUP BY 1, 2), sd AS (SELECT pos, greatest(stddev_samp(v), 1e-12) AS s FROM longf WHERE role = 'source' GROUP BY 1),
+d AS (SELECT h.m, f.row_id, f.label AS own, cm.label, -sum(power((f.v - cm.m) / s, 2)) AS z FROM longf f JOIN cm USING (pos) JOIN sd USING (pos) JOIN h ON h.c = f.pos AND r <= {size} WHERE f.role = 'target' GROUP BY 1, 2, 3, 4),
+e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY m, row_id)) AS e FROM d), p AS (SELECT *, e / sum(e) OVER (PARTITION BY m, row_id) AS p FROM e),
+a AS (SELECT row_id, own, label, avg(p) AS p FROM p GROUP BY 1, 2, 3) SELECT row_id, own AS label, CAST(arg_max(label, p) AS INTEGER) AS predicted, round(max(p), 6) AS confidence FROM a GROUP BY 1, 2"""
+
+
+@query("k6_random_subspaces", _subspace_sql(7, 0.5))
+def k6_subspaces(spark: SparkSession, sf: str) -> DataFrame:
+    """Centroid members on columns of their own, averaged."""
+    f = feat(spark, sf)
+    out = N.random_subspaces(f.where("role = 'source'"), f.where("role = 'target'"), 7)
+    return out.select("row_id", "label", "predicted", F.round(F.array_max("p"), 6).alias("confidence"))
+
+
 SCALED = " + ".join(f"power((f.x{i} - m{i}) / greatest(s{i}, 1e-12), 2)" for i in range(N_FEATURES))
 DIST = f"{FEAT_SQL}, sc AS (SELECT {', '.join(f'stddev_pop(x{i}) AS s{i}' for i in range(N_FEATURES))} FROM feat), cm AS (SELECT label, {', '.join(f'avg(x{i}) AS m{i}' for i in range(N_FEATURES))} FROM feat GROUP BY 1), di AS (SELECT f.row_id, f.label, sqrt({SCALED}) AS d FROM feat f JOIN cm USING (label), sc)"
 

@@ -10,6 +10,7 @@ from chronoprob.operators import joins as J
 from chronoprob.operators import labels as L
 from chronoprob.operators import runs as R
 from chronoprob.operators import schema as S
+from chronoprob.operators.ranks import grouped_quantile, quantiles
 from chronoprob.sources.observations import cut, shared_path, write_table
 
 from .fixtures import BASELINE, EFFECT, OBS_SQL, annotations, obs
@@ -145,11 +146,12 @@ def e8(spark: SparkSession, sf: str) -> DataFrame:
 def e9(spark: SparkSession, sf: str) -> DataFrame:
     """All settings in one job, as keys: the rows of a class are repeated for each setting."""
     rows = _rows(spark, sf).where("stimulus_label = 2").select("subject", "stream_id", "time", "score")
+    base = rows.where(F.col("time").between(*BASELINE))
     rows = rows.withColumn("min_consecutive", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("quantile", F.explode(F.array(F.lit(0.7), F.lit(0.9))))
-    base = rows.where(F.col("time").between(*BASELINE)).groupBy("subject", "quantile", "min_consecutive")
-    t = base.agg(F.percentile("score", F.array(F.lit(0.7), F.lit(0.9))).alias("q")).withColumn("score_threshold", F.when(F.col("quantile") == 0.7, F.col("q")[0]).otherwise(F.col("q")[1])).drop("q")
+    t = quantiles(base.withColumn("v", F.col("score")), [0.7, 0.9], by=["subject"])
+    t = t.select("subject", F.explode(F.map_from_arrays(F.array(F.lit(0.7), F.lit(0.9)), "q")).alias("quantile", "score_threshold"))
     keys = ["quantile", "min_consecutive", "stream_id"]
-    found = R.with_runs(rows.where(F.col("time").between(*EFFECT)).join(t, ["subject", "quantile", "min_consecutive"]), keys, F.col("score_threshold"))
+    found = R.with_runs(rows.where(F.col("time").between(*EFFECT)).join(t, ["subject", "quantile"]), keys, F.col("score_threshold"))
     valid = found.groupBy(*keys, "run").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("min_consecutive"))
     return valid.groupBy("quantile", "min_consecutive").agg(F.count("*").alias("n_events"), F.countDistinct("stream_id").alias("n_streams"))
 
@@ -167,7 +169,8 @@ def e11(spark: SparkSession, sf: str) -> DataFrame:
     rows = obs(spark, sf).select(F.concat(F.lit("task"), F.col("fold")).alias("task"), "stream_id", P.confidence(F.col("p")).alias("conf"))
     path = write_table(rows, shared_path(spark, "tasks"), partition_by=("task",))
     back = spark.read.parquet(path)
-    return rounded(back.groupBy("task").agg(F.countDistinct("stream_id").alias("n_sequences"), F.percentile("conf", 0.95).alias("score_threshold")))
+    n = back.groupBy("task").agg(F.countDistinct("stream_id").alias("n_sequences"))
+    return rounded(n.join(grouped_quantile(back, "conf", 0.95, ["task"], "score_threshold"), "task"))
 
 
 GRID = f"{CLASS_SQL}, gr AS (SELECT stream_id AS stream, CAST(floor(time / 86400) AS BIGINT) AS bin, stimulus_label, avg(score) AS score FROM cl GROUP BY 1, 2, 3), an AS (SELECT DISTINCT stream_id AS stream, CAST(floor(time / 86400) AS BIGINT) AS bin, 2 AS stimulus_label FROM obs WHERE true_label = 2), te0 AS (SELECT g.stimulus_label, o AS off, avg(g.score) AS mean, count(*) AS n FROM an, unnest([-1, 0, 1]) u(o), gr g WHERE g.stream = an.stream AND g.bin = an.bin + o AND g.stimulus_label = an.stimulus_label GROUP BY 1, 2), te1 AS (SELECT t.stimulus_label, off, mean - (SELECT quantile_cont(score, 0.5) FROM gr g WHERE g.stimulus_label = t.stimulus_label) AS raw FROM te0 t WHERE n >= 3), te AS (SELECT stimulus_label, off, raw / sqrt(sum(raw * raw) OVER (PARTITION BY stimulus_label)) AS weight FROM te1)"
@@ -190,7 +193,7 @@ def e12(spark: SparkSession, sf: str) -> DataFrame:
 @query("e13_template_peaks", f"WITH {GRID}, sc2 AS (SELECT stream, g.bin - off AS bin, g.stimulus_label, sum(weight * score) AS s, sum(abs(weight)) AS w FROM gr g JOIN te USING (stimulus_label) GROUP BY 1, 2, 3), sc3 AS (SELECT stream, bin, stimulus_label, s * h / w AS score FROM sc2 JOIN (SELECT stimulus_label, sum(abs(weight)) AS h FROM te GROUP BY 1) USING (stimulus_label) WHERE w >= 0.9 * h), th3 AS (SELECT quantile_cont(score, 0.8) AS t FROM sc3), p AS (SELECT *, lag(score) OVER w AS b, lead(score) OVER w AS a FROM sc3 WINDOW w AS (PARTITION BY stream, stimulus_label ORDER BY bin)) SELECT stream, CAST(bin AS BIGINT) AS bin, round(score, 6) AS score FROM p, th3 WHERE score >= t AND (b IS NULL OR score > b) AND (a IS NULL OR score >= a)")
 def e13(spark: SparkSession, sf: str) -> DataFrame:
     scores = cut(R.template_scores(_grid_rows(spark, sf), _templates(spark, sf), 0.9), "template-scores")
-    limit = scores.agg(F.percentile("score", 0.8).alias("t"))
+    limit = grouped_quantile(scores, "score", 0.8, [], "t")
     rows = scores.join(F.broadcast(limit))  # one row
     return rounded(R.local_peaks(rows, ["stream", "stimulus_label"], "bin", F.col("t")).select("stream", "bin", "score"), 6)
 
