@@ -1,19 +1,27 @@
 r"""Information-theoretic sanitisation of personal data.
 
 Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. The corpus then
-says how strongly other words reveal them. A word ``t`` near an entity ``e`` reveals the part
-PMI(t; e) / IC(e) of e's information, where IC(e) = -log2 p(e) and PMI = log2 p(t, e) / (p(t) p(e)).
-p(t), p(e) and p(t, e) all count distinct texts, so that copies of one text are one piece of evidence. Words
-are runs of letters in lower case that touch no base span: other addresses and numbers are no words. Where
-a word occurs in ``support`` distinct contexts (the words around a mention) and texts of the entity,
-p(t, e) / p(t) is taken as counted; in fewer, as with values mentioned once or twice, its lower bound
-(Wilson's, ``errors`` standard errors, the contexts or texts as draws) stands for it. A word is removed where
-it reveals ``remove`` of an entity or more, and generalised to the entity's kind from ``generalise`` on,
-wherever in the corpus it stands outside base spans.
-
-Work on texts is row by row in Arrow batches; counts are Spark aggregations. The corpus is passed a fixed
-number of times: once for contexts, once for the words at risk, once to mark. Up to ``block`` words go to the
-tasks by broadcast; beyond that words and texts meet in joins, with equal results.
+says how strongly other words reveal them. With IC(e) = -log2 p(e) and PMI(t; e) = log2 p(t, e) / (p(t) p(e)),
+IC(e) - PMI(t; e) = -log2 p(e | t) bits of an entity e are left to who reads the word ``t``. A word discloses where
+few are left, by evidence and not by chance:
+
+* it stands near mentions of e in ``support`` distinct texts and distinct contexts (the words around a mention) at
+  least, so that one meeting by accident, or copies of one text, disclose nothing;
+* p(e | t) is taken by its lower bound (Wilson's, ``errors`` standard errors; the distinct contexts, or texts if fewer,
+  are the draws), and no more than ``generalise`` bits are left by it: then the word is generalised to the entity's
+  kind, or removed where ``remove`` bits at most are left, wherever it stands in the corpus outside base spans;
+* so many meetings would not come about if e were in the texts that hold t as often as in any (the binomial tail by
+  Chernoff's bound, times the number of words near e, is at most ``chance``).
+
+All counts are of distinct texts. Neither copies of texts nor the number of unrelated texts enter the bits that are
+left; more unrelated texts can only make chance less likely.
+
+Words are runs of letters in lower case that touch no base span: other addresses and numbers are no words. Work on
+texts is row by row in Arrow batches; counts are Spark aggregations and joins, the same at every size. A word that
+can disclose is in fewer than 2^``generalise`` texts for each text in which it meets the entity: words that are in
+more texts near any entity, then words that are in more of one part in ``PART`` of the texts, are left out before the
+texts with the others are listed, so what is shuffled grows with the evidence. Cells of hashes, of fixed number, tell
+tasks which words are asked for; joins decide. The corpus is read three times, and a part of it once more.
 
 Base patterns, leftmost and non-overlapping for each kind, matches that fail their check dropped without
 another try: e-mail ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+``, ip
@@ -31,7 +39,6 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,14 +68,18 @@ Span = tuple[int, int, str]
 class Disclosure:
     #: Words on either side of a mention that make its context.
     window: int = 8
-    #: Distinct contexts of an entity from which a word's share is taken as counted; standard errors of the
-    #: bound that is taken with fewer.
-    support: int = 3
-    errors: float = 2.58
-    generalise: float = 0.75
-    remove: float = 0.9
-    #: Most words, and most texts with copies, that are broadcast; more of them are joined.
-    block: int = 200_000
+    #: Distinct texts, and distinct contexts, in which word and entity have to meet.
+    support: int = 2
+    #: Standard errors of the lower bound; bits left of an entity up to which a word is generalised or removed.
+    errors: float = 0.7
+    generalise: float = 1.0
+    remove: float = 0.25
+    #: The most likely that meetings may be by chance, over all words near the entity.
+    chance: float = 0.01
+
+
+#: Cells of the filter of words, and the part of the texts that the first count reads.
+CELLS, PART = 1 << 20, 16
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -131,13 +142,6 @@ def terms(text: str, spans: list[Span]) -> Iterator[re.Match]:
             yield m
 
 
-def _words(text: str) -> set[str]:
-    """The distinct words of ``text`` in lower case, those of base spans left out."""
-    spans = base_spans(text)
-    found = [m[0] for m in terms(text, spans)] if spans else _TERM.findall(text)
-    return {w.lower() for w in set(found)}
-
-
 def _contexts(text: str, window: int) -> Iterator[tuple[str, str, list[str]]]:
     """(entity, digest of the context, its distinct words) of each mention."""
     spans = base_spans(text)
@@ -164,126 +168,110 @@ def contexts(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     return marked.mapInPandas(rows, "entity string, context string, mark long, words array<string>").dropDuplicates(["entity", "context", "mark"])
 
 
-def _few(table: DataFrame, most: int) -> list | None:
-    """The rows of ``table`` where there are at most ``most``."""
-    rows = table.limit(most + 1).collect()
-    return rows if len(rows) <= most else None
-
-
-def _text_counts(docs: DataFrame, risky: DataFrame, copied: DataFrame, most: int) -> DataFrame:
-    """(term, n): the distinct texts that hold each word of ``risky``, in one pass over the corpus.
-
-    Tasks count words by batch. Texts that may have copies (their hashes in ``copied``; all, where those are
-    too many to send) are listed by word and hash instead, and each counts once."""
-    few_words, few_texts = _few(risky, most), _few(copied, most)
-    wanted = None if few_words is None else frozenset(r.term for r in few_words)
-    listed = None if few_texts is None else frozenset(r.mark for r in few_texts)
-    held = docs.sparkSession.sparkContext.broadcast((wanted, listed))
+def _places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(mark, term, at): where words of ``wanted`` (term) stand in the distinct texts of ``docs`` (text, mark)."""
+    cells = [r.cell for r in wanted.select((F.crc32(F.col("term").cast("binary")) % CELLS).cast("int").alias("cell")).distinct().collect()]  # CELLS at most
+    on = bytearray(CELLS)
+    for c in cells:
+        on[c] = 1
+    held = docs.sparkSession.sparkContext.broadcast(bytes(on))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted, listed = held.value
-        for pdf in batches:
-            counts: Counter = Counter()
-            seen: dict[int, set[str]] = {}
-            for text, k in zip(pdf["text"], pdf["mark"]):
-                if isinstance(text, str) and k not in seen:
-                    found = _words(text) if wanted is None else wanted & _words(text)
-                    if listed is None or k in listed:
-                        seen[k] = found
-                    else:
-                        counts.update(found)
-            pairs = [(w, k, 0) for k, found in seen.items() for w in found]  # a number of 0 marks the listed ones
-            yield pd.DataFrame([*((w, 0, n) for w, n in counts.items()), *pairs], columns=["term", "mark", "n"])
-
-    found = docs.select("text", F.xxhash64("text").alias("mark")).mapInPandas(rows, "term string, mark long, n long")
-    if wanted is None:
-        found = found.join(risky, "term", "left_semi")
-    alone = found.where("n > 0").groupBy("term").agg(F.sum("n").alias("n"))
-    shared = found.where("n = 0").select("term", "mark").distinct().groupBy("term").agg(F.count("*").alias("n"))
-    return alone.unionByName(shared).groupBy("term").agg(F.sum("n").alias("n"))
+        import zlib
 
-
-def disclosing_terms(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
-    """(term, kind, action, share): words that reveal an entity, with the strongest reading of each."""
+        cells = held.value
+        for pdf in batches:
+            out = []
+            for text, mark in _once(pdf):
+                asked = {w for w in {x.lower() for x in set(_TERM.findall(text))} if cells[zlib.crc32(w.encode("utf-8", "surrogatepass")) % CELLS]}
+                if not asked:
+                    continue
+                at: dict[str, list] = {}
+                for m in terms(text, base_spans(text)):
+                    if (w := m[0].lower()) in asked:
+                        at.setdefault(w, []).append({"start": m.start(), "end": m.end()})
+                out += [(mark, w, places) for w, places in at.items()]
+            yield pd.DataFrame(out, columns=["mark", "term", "at"])
+
+    found = docs.mapInPandas(rows, "mark long, term string, at array<struct<start:int,end:int>>")
+    return found.join(wanted.select("term"), "term").dropDuplicates(["mark", "term"])
+
+
+def _once(pdf: pd.DataFrame) -> Iterator[tuple[str, int]]:
+    """(text, mark) of the distinct texts of a batch."""
+    seen: set[int] = set()
+    for text, mark in zip(pdf["text"], pdf["mark"]):
+        if isinstance(text, str) and mark not in seen:
+            seen.add(mark)
+            yield text, mark
+
+
+def _disclosed(docs: DataFrame, how: Disclosure) -> tuple[DataFrame, DataFrame]:
+    """(term, kind, action, bits) of the words that disclose, and (mark, term, at) of those that might."""
     found = cut(contexts(docs, how), "pii-contexts")
     entities = found.groupBy("entity").agg(F.count_distinct("mark").alias("n_entity"))
     evidence = found.select("entity", "context", "mark", F.explode("words").alias("term"))
-    pairs = evidence.groupBy("entity", "term").agg(F.count_distinct("mark").alias("n_both"), F.count_distinct("context").alias("n_contexts"))
-    pairs = cut(pairs.join(entities, "entity"), "pii-pairs")
-    # each distinct text counts once: all documents, less the copies
-    marks = cut(docs.where("text is not null").groupBy(F.xxhash64("text").alias("mark")).agg(F.count("*").alias("copies")), "pii-marks")
-    n_docs = float(max(2, marks.count()))
-    pairs = pairs.withColumn("information", F.log2(F.lit(n_docs) / F.col("n_entity")))
-
-    def share(n) -> Column:
+    pairs = cut(evidence.groupBy("entity", "term").agg(F.count_distinct("mark").alias("n_both"), F.count_distinct("context").alias("n_contexts")), "pii-pairs")
+    tried = pairs.groupBy("entity").agg(F.count("*").alias("n_tried"))
+    near = evidence.groupBy("term").agg(F.count_distinct("mark").alias("n_near"))
+    marked = docs.where("text is not null").select("text", F.xxhash64("text").alias("mark"))
+    n_texts = float(max(1, marked.select("mark").distinct().count()))
+
+    def bits(n: Column) -> Column:
+        """What is left of the entity for a word that ``n`` texts hold; null where the evidence may be chance."""
+        draws_of = F.least("n_contexts", "n_both")
         p = F.least(F.lit(1.0), F.col("n_both") / n)
-        evidence = F.least("n_contexts", "n_both")
-        draws, z2 = evidence / p, how.errors**2
-        bound = (p + z2 / (2 * draws) - how.errors * F.sqrt(p * (1 - p) / draws + z2 / (4 * draws * draws))) / (1 + z2 / draws)
-        sure = F.when(evidence >= how.support, p).otherwise(bound)
-        revealed = F.greatest(F.lit(0.0), F.col("information") + F.log2(sure)) / F.greatest(F.col("information"), F.lit(1e-9))
-        return F.least(F.lit(1.0), revealed)
-
-    # a word's share is largest if it stands nowhere else; others need not be counted
-    pairs = pairs.where(share(F.col("n_both")) >= how.generalise)
-    risky = cut(pairs.select("term").distinct(), "pii-risky")
-    counts = cut(_text_counts(docs, risky, marks.where("copies > 1"), how.block), "pii-counts")
-    scored = pairs.join(counts, "term").withColumn("share", share(F.col("n"))).where(F.col("share") >= how.generalise)
-    best = scored.groupBy("term").agg(F.max(F.struct("share", F.split("entity", ":")[0].alias("kind"))).alias("b"))
-    return cut(best.select("term", F.col("b.kind").alias("kind"), F.when(F.col("b.share") >= how.remove, "remove").otherwise("generalise").alias("action"), F.col("b.share").alias("share")), "pii-terms")
-
-
-def _marked(text: str, risky: dict[str, str]) -> list[Span]:
-    """All spans: the base ones, and the risky words that overlap none of them."""
-    spans = base_spans(text)
-    if not risky:
-        return spans
-    more = [(m.start(), m.end(), kind) for m in terms(text, spans) if (kind := risky.get(m[0].lower()))]
-    return sorted([*spans, *more], key=lambda s: (s[0], KINDS.index(s[2]) if s[2] in KINDS else len(KINDS), s[1]))
-
-
-SPANS = "array<struct<start:int,end:int,kind:string>>"
+        draws, z2 = draws_of / p, how.errors**2
+        lower = (p + z2 / (2 * draws) - how.errors * F.sqrt(p * (1 - p) / draws + z2 / (4 * draws * draws))) / (1 + z2 / draws)
+        base = F.col("n_entity") / F.lit(n_texts)
+        apart = p * F.log(p / base) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - base))).otherwise(0.0)
+        sure = (p > base) & (F.log("n_tried") - draws * apart <= F.log(F.lit(how.chance)))
+        return F.when(sure, -F.log2(lower))
+
+    pairs = pairs.where((F.col("n_both") >= how.support) & (F.col("n_contexts") >= how.support)).join(entities, "entity").join(tried, "entity").join(near, "term")
+    # a word discloses most if it stands nowhere but near entities: others need not be counted
+    pairs = cut(pairs.where(bits(F.col("n_near")) <= how.generalise), "pii-candidates")
+    most = pairs.groupBy("term").agg((F.max("n_both") * 2.0**how.generalise).alias("most"))
+    some = _places(marked.where(F.pmod("mark", F.lit(PART)) == 0), most).groupBy("term").agg(F.count("*").alias("n"))
+    wanted = cut(most.join(some, "term", "left").where(F.coalesce("n", F.lit(0)) <= F.col("most")).select("term"), "pii-wanted")
+    places = cut(_places(marked, wanted), "pii-places")
+    counts = places.groupBy("term").agg(F.count("*").alias("n"))
+    scored = pairs.join(counts, "term").withColumn("bits", bits(F.col("n"))).where(F.col("bits") <= how.generalise)
+    best = scored.groupBy("term").agg(F.min(F.struct("bits", F.split("entity", ":")[0].alias("kind"))).alias("b"))
+    return cut(best.select("term", F.col("b.kind").alias("kind"), F.when(F.col("b.bits") <= how.remove, "remove").otherwise("generalise").alias("action"), F.col("b.bits").alias("bits")), "pii-terms"), places
 
 
-def _span_finder(risky):
-    @F.pandas_udf(SPANS)
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([[{"start": a, "end": b, "kind": k} for a, b, k in _marked(x or "", risky.value)] for x in batch], dtype=object)
+def disclosing_terms(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
+    """(term, kind, action, bits): words that disclose an entity, with the fewest bits that one leaves."""
+    return _disclosed(docs.select("text"), how)[0]
 
-    return spans
 
+SPANS = "array<struct<start:int,end:int,kind:string>>"
 
-def _joined_spans(texts: DataFrame, terms_at_risk: DataFrame) -> DataFrame:
-    """(mark, added): the spans of words at risk in distinct texts, where the words are too many to broadcast."""
 
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for text, k in zip(pdf["text"], pdf["mark"]):
-                if isinstance(text, str):
-                    yield pd.DataFrame([(k, m[0].lower(), m.start(), m.end()) for m in terms(text, base_spans(text))], columns=["mark", "term", "start", "end"])
+def _base_finder():
+    @F.pandas_udf(SPANS)
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "end": b, "kind": k} for a, b, k in base_spans(x or "")] for x in texts], dtype=object)
 
-    found = texts.mapInPandas(places, "mark long, term string, start int, end int").distinct()
-    named = terms_at_risk.select("term", F.concat_ws("-", "action", "kind").alias("kind"))
-    return found.join(named, "term").groupBy("mark").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("added"))  # those of one text
+    return found
 
 
 def find(docs: DataFrame, text: str = "text", how: Disclosure = Disclosure(), to: str = "pii_spans") -> DataFrame:
-    """``docs`` with column ``to``: array of (start, end, kind); added words have the kind
-    "generalise-<kind>" or "remove-<kind>" of the entity that they reveal."""
-    risky = disclosing_terms(docs.select(F.col(text).alias("text")), how)
-    few = _few(risky, how.block)
-    known = {r.term: f"{r.action}-{r.kind}" for r in few or ()}
-    spans = _span_finder(docs.sparkSession.sparkContext.broadcast(known))(F.col(text))
-    if few is not None:
-        return docs.withColumn(to, spans)
-    mark = free_name(docs, "pii_mark")
-    marked = docs.withColumn(mark, F.xxhash64(text))
-    added = _joined_spans(marked.select(F.col(text).alias("text"), F.col(mark).alias("mark")), risky).select(F.col("mark").alias(mark), F.col("added").alias(to))
-    both = marked.join(added, mark, "left").withColumn(to, F.concat(spans, F.coalesce(to, F.array().cast(SPANS))))
+    """``docs`` with column ``to``: array of (start, end, kind), in place of an existing column of that name; added words
+    have the kind "generalise-<kind>" or "remove-<kind>" of the entity that they disclose."""
+    risky, places = _disclosed(docs.select(F.col(text).alias("text")), how)
+    named = places.join(risky.select("term", F.concat_ws("-", "action", "kind").alias("kind")), "term").select("mark", "kind", F.explode("at").alias("at"))
+    added = named.groupBy("mark").agg(F.sort_array(F.collect_list(F.struct("at.start", "at.end", "kind"))).alias("added"))  # those of one text
+    added = cut(added, "pii-added")  # a table of known size: where it is small, Spark moves no texts for the join
+    mark, more, base = free_name(docs, "pii_mark"), free_name(docs, "pii_added"), free_name(docs, "pii_base")
+    both = docs.withColumn(mark, F.xxhash64(text)).join(added.select(F.col("mark").alias(mark), F.col("added").alias(more)), mark, "left")
+    both = both.withColumn(base, _base_finder()(F.col(text)))
+    every = F.concat(base, F.coalesce(more, F.array().cast(SPANS)))
     rank = lambda s: F.coalesce(*[F.when(s["kind"] == k, F.lit(i)) for i, k in enumerate(KINDS)], F.lit(len(KINDS)))
-    ordered = F.array_sort(F.transform(to, lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return both.withColumn(to, F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).select(*docs.columns, to)
+    ordered = F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    spans = F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return both.withColumn(to, F.when(F.col(more).isNull(), F.col(base)).otherwise(spans)).select(*[F.col(f"`{c}`") for c in docs.columns if c != to], to)
 
 
 def redact(text: str | None, spans: list) -> str | None:
