@@ -142,50 +142,105 @@ def confident(df: DataFrame, row: str, min_confidence: float = 0.0, min_margin:
     return out
 
 
+def _weighted_sum(parts: Sequence[Column], weights: Sequence[Column | float]) -> Column:
+    """Sum of arrays times weights, which may be columns."""
+    def times(part: Column, w: Column | float) -> Column:
+        if not isinstance(w, Column):
+            return F.transform(part, lambda x: x * F.lit(float(w)))
+        return P.bound(w, lambda c: F.transform(part, lambda x: x * c))
+
+    out = None
+    for part, w in zip(parts, weights, strict=True):
+        scaled = times(part, w)
+        out = scaled if out is None else F.zip_with(out, scaled, lambda x, y: x + y)
+    return out
+
+
+#: How members are pooled.
+ENSEMBLES = ("log", "probability", "confidence_probability", "agreement_probability", "rank")
+
+
 def ensemble(cube: DataFrame, mode: str = "log", weights: Sequence[float] | None = None, temperatures: Sequence[float] | None = None) -> DataFrame:
     """One ``p`` from the aligned ``cube`` (array of (name, p) in order of name): weighted means of log
-    scores, of probabilities, of probabilities weighted by confidence, or of ranks."""
-    def member(i: int, p: Column) -> Column:
-        return P.tempered(p, temperatures[i]) if temperatures else p
-
-    n = len(weights) if weights else len(temperatures) if temperatures else None
-    size = n or cube.select(F.size("cube").alias("n")).first()["n"]
-    w = weights or [1.0] * size
-    ps = [member(i, F.col("cube")[i]["p"]) for i in range(size)]
+    scores, of probabilities, of probabilities that also count by their certainty (one less relative entropy) or
+    by their agreement with the plain mean (one less total variation, squared), or the softmax of weighted mean
+    ranks, scaled to [0, 1], the later of equal classes higher. Rows have to hold the same number of members."""
+    if mode not in ENSEMBLES:
+        raise ValueError(f"no such ensemble: {mode}")
+    sizes = cube.agg(F.max(F.size("cube")).alias("most"), F.min(F.size("cube")).alias("least")).first()
+    if sizes["most"] is None:
+        return cube.withColumn("p", F.lit(None).cast("array<double>"))
+    size = sizes["most"]
+    if sizes["least"] != size or any(len(x) != size for x in (weights, temperatures) if x):
+        raise ValueError("every row needs as many members as there are weights and temperatures")
+    w = [x / sum(weights) for x in weights] if weights else [1.0 / size] * size
+    held = cube.withColumn("_q", F.array(*[P.tempered(F.col("cube")[i]["p"], temperatures[i]) if temperatures else F.col("cube")[i]["p"] for i in range(size)]))
+    ps = [F.get("_q", F.lit(i)) for i in range(size)]
     if mode == "log":
-        parts = [F.transform(p, lambda x: F.log(F.greatest(x, F.lit(P.EPS)))) for p in ps]
+        p = P.softmax(_weighted_sum([F.transform(q, lambda x: F.log(F.greatest(x, F.lit(P.EPS)))) for q in ps], w))
     elif mode == "probability":
-        parts = ps
-    elif mode == "confidence_probability":
-        parts = [P.bound(p, lambda a: P.bound(P.confidence(a), lambda c: F.transform(a, lambda x: x * c))) for p in ps]
+        p = P.normalized(_weighted_sum(ps, w))
     elif mode == "rank":
-        parts = [P.bound(p, lambda a: F.transform(a, lambda x: F.size(F.filter(a, lambda y: y <= x)).cast("double"))) for p in ps]
+        place = lambda q: P.bound(q, lambda a: F.transform(a, lambda x, i: F.size(F.filter(a, lambda y, j: (y < x) | ((y == x) & (j < i)))) / F.greatest(F.lit(1), F.size(a) - 1)))
+        p = P.softmax(_weighted_sum([place(q) for q in ps], w))
     else:
-        raise ValueError(f"no such ensemble: {mode}")
-    out = None
-    for part, x in zip(parts, w, strict=True):
-        scaled = _scaled(part, x / sum(w))
-        out = scaled if out is None else F.zip_with(out, scaled, lambda a, b: a + b)
-    return cube.withColumn("p", P.softmax(out) if mode == "log" else P.normalized(out))
-
-
-def _scaled(a: Column, w: float) -> Column:
-    return F.transform(a, lambda x: x * F.lit(w))
-
+        if mode == "confidence_probability":
+            part = [F.greatest(F.lit(0.0), 1 - P.entropy(q, True, 1e-12)) for q in ps]
+        else:
+            mean = F.col("_mean")
+            held = held.withColumn("_mean", _weighted_sum(ps, [1.0 / size] * size))
+            part = [F.pow(F.greatest(F.lit(0.0), 1 - P.total(F.zip_with(q, mean, lambda x, m: F.abs(x - m))) / 2), F.lit(2.0)) for q in ps]
+        held = held.withColumn("_w", F.array(*[c * x for c, x in zip(part, w)]))
+        own = [F.get("_w", F.lit(i)) for i in range(size)]
+        p = P.normalized(F.when(P.total(F.col("_w")) > 0, _weighted_sum(ps, own)).otherwise(_weighted_sum(ps, w)))
+    return held.withColumn("p", p).select(*[c for c in cube.columns if c != "p"], "p")
+
+
+def stacking_weights(cube: DataFrame, label: str, n: int, steps: int = 250, rate: float = 0.25, pooling: str = "linear", eps: float = 1e-12) -> list[float]:
+    """Simplex weights of a pool of ``n`` candidates by exponentiated gradients, with steps of ``rate`` over the root
+    of their number, on the class-balanced log loss. The pool is ``linear``, of probabilities, or ``log``, of their
+    logarithms. A step is one job, to which tasks send a number for each candidate."""
+    import numpy as np
+    import pandas as pd
 
-def stacking_weights(cube: DataFrame, label: str, n: int, steps: int = 20, rate: float = 0.5) -> list[float]:
-    """Simplex weights of a linear pool by exponentiated gradient on the log loss: one aggregation a step,
-    of as many numbers as candidates."""
     from chronoprob.sources.observations import cut
 
-    rows = cut(cube.select(F.array(*[P.true_probability(F.col("cube")[i]["p"], F.col(label)) for i in range(n)]).alias("q")), "stacking")
-    w = [1.0 / n] * n
-    for _ in range(steps):
-        pooled = sum((F.get("q", F.lit(i)) * w[i] for i in range(1, n)), F.get("q", F.lit(0)) * w[0])
-        g = rows.agg(*[F.avg(F.get("q", F.lit(i)) / F.greatest(pooled, F.lit(P.EPS))).alias(f"g{i}") for i in range(n)]).first()
-        raw = [w[i] * 2.718281828459045 ** (rate * g[i]) for i in range(n)]
-        w = [x / sum(raw) for x in raw]
-    return w
+    if pooling not in ("linear", "log"):
+        raise ValueError(f"no such pool: {pooling}")
+    if n == 1:
+        return [1.0]
+    rows = cut(cube.select(F.col(label).cast("int").alias("y"), F.transform(F.slice("cube", 1, n), lambda c: c["p"]).alias("q")), "stacking")
+    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}  # a row for each class
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        def partial(batches):
+            total, mass = np.zeros(n), 0.0
+            for pdf in batches:
+                y = pdf["y"].to_numpy()
+                p = np.maximum(np.stack([np.stack(q) for q in pdf["q"]]), eps)
+                p /= p.sum(axis=2, keepdims=True)
+                own, s = np.arange(len(y)), 1.0 / np.array([counts[k] for k in y], dtype=float)
+                if pooling == "linear":
+                    true = p[own, :, y]
+                    g = -true / np.clip(true @ w, eps, 1.0)[:, None]
+                else:
+                    z = np.log(p)
+                    pooled = np.einsum("nik,i->nk", z, w)
+                    e = np.exp(pooled - pooled.max(axis=1, keepdims=True))
+                    g = np.einsum("nk,nik->ni", e / e.sum(axis=1, keepdims=True), z) - z[own, :, y]
+                total += s @ g
+                mass += s.sum()
+            yield pd.DataFrame({"i": np.arange(n + 1), "v": [*total, mass]})
+
+        found = {r["i"]: r["v"] for r in rows.mapInPandas(partial, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
+        return np.array([found[i] for i in range(n)]) / found[n]
+
+    w = np.full(n, 1.0 / n)
+    for i in range(steps):
+        g = gradient(w)
+        w = w * np.exp(np.clip(-rate / np.sqrt(i + 1.0) * (g - g @ w), -50.0, 50.0))
+        w = w / w.sum()
+    return w.tolist()
 
 
 def response_windows(df: DataFrame, sequence: Sequence[str], times: Sequence[float]) -> DataFrame:

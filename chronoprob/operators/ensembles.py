@@ -7,7 +7,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoprob.functions import probability as P
@@ -198,12 +198,24 @@ def pairwise_reranked(fit: DataFrame, rows: DataFrame, label: str, n_classes: in
     if not tried[best]:
         return rows, 0.0
 
-    @F.pandas_udf("array<double>")
-    def apply(p: pd.Series) -> pd.Series:
-        return pd.Series(list(_reranked(np.stack(p.to_list()), constants, slopes, top, tried[best]))) if len(p) else pd.Series([], dtype=object)
+    return rows.withColumn("p", _moved_scores(F.col("p"), constants, slopes, top, tried[best])), tried[best]
+
+
+def _moved_scores(p: Column, constants: np.ndarray, slopes: np.ndarray, top: int, alpha: float) -> Column:
+    """As ``_reranked``, for a column: pairs of classes in either order, so constants change their sign."""
+    table = lambda m: F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in m])
+    both, slope = table(np.triu(constants, 1) - np.triu(constants, 1).T), table(np.triu(slopes, 1) + np.triu(slopes, 1).T)
+    logs = F.transform(p, lambda x: F.log(F.least(F.lit(1.0), F.greatest(x, F.lit(EPS)))))
+    best = F.transform(F.slice(P.ranking(p), 1, top), lambda r: r["class"])
+
+    def moved(z: Column, classes: Column) -> Column:
+        def pull(i: Column, own: Column) -> Column:
+            others = F.filter(classes, lambda j: j != i)
+            return F.aggregate(others, F.lit(0.0), lambda s, j: s + F.get(F.get(both, i), j) + F.get(F.get(slope, i), j) * (own - F.get(z, j)))
 
-    # kept as one expression: Spark would copy a deterministic one into each use of the column
-    return rows.withColumn("p", apply.asNondeterministic()("p")), tried[best]
+        return F.transform(z, lambda own, i: F.when(F.array_contains(classes, i), own + F.lit(alpha / max(top - 1, 1)) * pull(i, own)).otherwise(own))
+
+    return P.softmax(P.bound(logs, lambda z: P.bound(best, lambda classes: moved(z, classes))))
 
 
 # feature subspaces
@@ -246,3 +258,55 @@ def random_subspaces(train: DataFrame, test: DataFrame, members: int = 25, fract
 
     rows = test.withColumn("p", apply("x"))
     return rows.select("row_id", "label", "p", F.get(F.array(*[F.lit(v) for v in labels]), P.predicted_index(F.col("p"))).alias("predicted"))
+
+
+# models of source domains
+
+WEIGHTINGS = ("uniform", "target_confidence", "target_entropy", "target_feature_similarity")
+
+
+def domain_ensemble(df: DataFrame, weighting: str = "uniform", temperature: float = 1.0, least_classes: int = 2, domain: str = "domain") -> tuple[DataFrame, DataFrame]:
+    """Target rows (row_id, p, predicted) under one centroid model for each source domain that has ``least_classes``
+    classes, and the (domain, weight) of these: equal, or the softmax over ``temperature`` of their mean confidence
+    on the target, of minus their mean entropy there, or of minus the distance of mean and covariance to the target's."""
+    from chronoprob.functions.vectors import squared_distance
+
+    if weighting not in WEIGHTINGS:
+        raise ValueError(f"no such weighting: {weighting}")
+    source, target = df.where("role = 'source'"), df.where("role = 'target'")
+    means = T.class_means(source.select(domain, "label", "x"), [domain, "label"])
+    models = means.groupBy(domain).agg(F.map_from_entries(F.collect_list(F.struct("label", "mean"))).alias("means")).where(F.size("means") >= least_classes)
+    labels = [r.label for r in source.select("label").distinct().orderBy("label").collect()]
+    packed = models.groupBy().agg(F.collect_list(F.struct(domain, "means")).alias("_m"))  # one row
+    rows = target.select("row_id", "x").join(F.broadcast(packed)).select("row_id", "x", F.inline("_m"))
+    score = F.transform(F.array(*[F.lit(v) for v in labels]), lambda y: F.coalesce(-squared_distance(F.col("x"), F.try_element_at("means", y)), F.lit(-1e30)))
+    own = cut(rows.select("row_id", domain, P.softmax(score).alias("p")), "domain-ensemble")
+    if weighting == "target_feature_similarity":
+        t = T.moments(target).first()
+        d = len(t.s)
+
+        def shape(n: int, s: np.ndarray, xx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return s / n, (xx.reshape(d, d) - np.outer(s, s) / n) / (n - 1) if n > 1 else np.zeros((d, d))
+
+        mean, cov = shape(t.n, np.array(t.s), np.array(t.xx))
+
+        @F.pandas_udf("double")
+        def near(n: pd.Series, s: pd.Series, xx: pd.Series) -> pd.Series:
+            out = []
+            for a, b, c in zip(n, s, xx):
+                m, v = shape(a, np.asarray(b), np.asarray(c))
+                out.append(-(np.linalg.norm(m - mean) / np.sqrt(d) + np.linalg.norm(v - cov) / d))
+            return pd.Series(out, dtype="float64")
+
+        scores = T.moments(source, [domain]).join(models.select(domain), domain).select(domain, near("n", "s", "xx").alias("score"))
+    else:
+        p = F.col("p")
+        by = {"uniform": F.lit(0.0), "target_confidence": F.avg(P.confidence(p)), "target_entropy": -F.avg(P.entropy(p, eps=EPS))}[weighting]
+        scores = own.groupBy(domain).agg(F.max(F.lit(1)), by.alias("score"))
+    every = Window.partitionBy()  # a row for each domain
+    e = F.exp(F.greatest(F.lit(-50.0), (F.col("score") - F.max("score").over(every)) / temperature))
+    weights = cut(scores.select(domain, e.alias("_e")).select(domain, (F.col("_e") / F.sum("_e").over(every)).alias("weight")), "domain-weights")
+    long = own.join(weights, domain).select("row_id", F.posexplode("p").alias("k", "v"), "weight")
+    sums = long.groupBy("row_id", "k").agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
+    out = sums.groupBy("row_id").agg(P.normalized(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"])).alias("p"))
+    return out.withColumn("predicted", F.get(F.array(*[F.lit(v) for v in labels]), P.predicted_index(F.col("p")))), weights

@@ -146,28 +146,60 @@ def l9(spark: SparkSession, sf: str) -> DataFrame:
     return entries(D.ensemble(J.aligned_cube(both(spark, sf), ["event_id"]), "log", [1.0, 1.0]), "event_id")
 
 
-CONF = [f"(a.p{i} * a.conf + b.p{i} * b.conf)" for i in range(5)]
+_SURE = "greatest(0, 1 + (" + " + ".join("greatest({0}.p%d, 1e-12) * ln(greatest({0}.p%d, 1e-12))" % (i, i) for i in range(5)) + ") / ln(5))"
+CONF = [f"(a.p{i} * {_SURE.format('a')} + b.p{i} * {_SURE.format('b')})" for i in range(5)]
 
 
-@query("l9_confidence_ensemble", f"WITH {BOTH_SQL} SELECT event_id, round({CONF[0]} / (a.conf + b.conf), 9) AS q0, round({CONF[4]} / (a.conf + b.conf), 9) AS q4 FROM obs a JOIN obs_b b USING (event_id)")
+@query("l9_confidence_ensemble", f"WITH {BOTH_SQL} SELECT event_id, round({CONF[0]} / ({' + '.join(CONF)}), 9) AS q0, round({CONF[4]} / ({' + '.join(CONF)}), 9) AS q4 FROM obs a JOIN obs_b b USING (event_id)")
 def l9_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return entries(D.ensemble(J.aligned_cube(both(spark, sf), ["event_id"]), "confidence_probability", [1.0, 1.0]), "event_id")
 
 
-def _stacking_sql(steps: int = 20) -> str:
-    """A chain of gradient steps on the weights of two decoders."""
+AGREE = "power(1 - (" + " + ".join(f"abs(a.p{i} - b.p{i})" for i in range(5)) + ") / 4, 2)"
+
+
+@query("l9_agreement_ensemble", f"WITH {BOTH_SQL}, w AS (SELECT a.event_id, {AGREE} * 2 AS wa, {AGREE} AS wb, a.p0 AS a0, a.p4 AS a4, b.p0 AS b0, b.p4 AS b4 FROM obs a JOIN obs_b b USING (event_id)) SELECT event_id, round((wa * a0 + wb * b0) / (wa + wb), 9) AS q0, round((wa * a4 + wb * b4) / (wa + wb), 9) AS q4 FROM w")
+def l9_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    return entries(D.ensemble(J.aligned_cube(both(spark, sf), ["event_id"]), "agreement_probability", [2.0, 1.0]), "event_id")
+
+
+_RANK = [" + ".join(f"CASE WHEN {{0}}.p{j} < {{0}}.p{i}{f' OR {{0}}.p{j} = {{0}}.p{i}' if j < i else ''} THEN 0.25 ELSE 0 END" for j in range(5) if j != i) for i in range(5)]
+RANKS = [f"exp((({r.format('a')}) + ({r.format('b')})) / 2)" for r in _RANK]
+
+
+@query("l9_rank_ensemble", f"WITH {BOTH_SQL} SELECT event_id, round({RANKS[0]} / ({' + '.join(RANKS)}), 9) AS q0, round({RANKS[4]} / ({' + '.join(RANKS)}), 9) AS q4 FROM obs a JOIN obs_b b USING (event_id)")
+def l9_rank(spark: SparkSession, sf: str) -> DataFrame:
+    return entries(D.ensemble(J.aligned_cube(both(spark, sf), ["event_id"]), "rank"), "event_id")
+
+
+def _stacking_sql(steps: int, rate: float, log: bool) -> str:
+    """A chain of gradient steps on the weights of two decoders, on the class-balanced loss."""
     true = lambda t: "CASE a.true_label " + " ".join(f"WHEN {i} THEN {t}.p{i}" for i in range(5)) + " END"
-    first = f"q AS (SELECT a.event_id, {true('a')} AS qa, {true('b')} AS qb, {', '.join(f'a.p{i} AS a{i}, b.p{i} AS b{i}' for i in (0, 4))} FROM obs a JOIN obs_b b USING (event_id)), w0 AS (SELECT 0.5 AS wa, 0.5 AS wb)"
-    step = "g{1} AS (SELECT wa, wb, avg(qa / greatest(wa * qa + wb * qb, 1e-15)) AS ga, avg(qb / greatest(wa * qa + wb * qb, 1e-15)) AS gb FROM q, w{0} GROUP BY wa, wb), w{1} AS (SELECT wa * exp(0.5 * ga) / (wa * exp(0.5 * ga) + wb * exp(0.5 * gb)) AS wa, wb * exp(0.5 * gb) / (wa * exp(0.5 * ga) + wb * exp(0.5 * gb)) AS wb FROM g{1})"
-    return f"WITH {BOTH_SQL}, {first}, {', '.join(step.format(k, k + 1) for k in range(steps))} SELECT event_id, round(wa * a0 + wb * b0, 9) AS q0, round(wa * a4 + wb * b4, 9) AS q4 FROM q, w{steps}"
+    first = f"q AS (SELECT a.event_id, 1.0 / count(*) OVER (PARTITION BY a.true_label) AS s, {true('a')} AS qa, {true('b')} AS qb, {', '.join(f'a.p{i} AS a{i}, b.p{i} AS b{i}' for i in range(5))} FROM obs a JOIN obs_b b USING (event_id)), w0 AS (SELECT 0.5 AS wa, 0.5 AS wb)"
+    pool = [f"exp(wa * ln(a{i}) + wb * ln(b{i}))" for i in range(5)]
+    expected = lambda t: "(" + " + ".join(f"{p} * ln({t}{i})" for i, p in enumerate(pool)) + f") / ({' + '.join(pool)})"
+    gain = lambda t: f"ln(q{t}) - {expected(t)}" if log else f"q{t} / greatest(wa * qa + wb * qb, 1e-12)"
+    part = [f"g{k + 1} AS (SELECT wa, wb, sum(s * ({gain('a')})) / sum(s) AS ga, sum(s * ({gain('b')})) / sum(s) AS gb FROM q, w{k} GROUP BY wa, wb), w{k + 1} AS (SELECT wa * exp({rate / (k + 1) ** 0.5!r} * ga) / (wa * exp({rate / (k + 1) ** 0.5!r} * ga) + wb * exp({rate / (k + 1) ** 0.5!r} * gb)) AS wa, wb * exp({rate / (k + 1) ** 0.5!r} * gb) / (wa * exp({rate / (k + 1) ** 0.5!r} * ga) + wb * exp({rate / (k + 1) ** 0.5!r} * gb)) AS wb FROM g{k + 1})" for k in range(steps)]
+    shown = [f"{pool[i]} / ({' + '.join(pool)})" if log else f"wa * a{i} + wb * b{i}" for i in (0, 4)]
+    return f"WITH {BOTH_SQL}, {first}, {', '.join(part)} SELECT event_id, round({shown[0]}, 9) AS q0, round({shown[1]}, 9) AS q4 FROM q, w{steps}"
+
 
+def _stacked(spark: SparkSession, sf: str, steps: int, pooling: str) -> DataFrame:
+    cube = J.aligned_cube(both(spark, sf), ["event_id", "true_label"])
+    weights = D.stacking_weights(cube, "true_label", 2, steps, 0.5, pooling)
+    return entries(D.ensemble(cube, "log" if pooling == "log" else "probability", weights), "event_id")
 
-@query("l10_stacking", _stacking_sql())
+
+@query("l10_stacking", _stacking_sql(20, 0.5, False))
 def l10(spark: SparkSession, sf: str) -> DataFrame:
-    """A pool under weights learnt by gradient steps."""
-    rows = both(spark, sf)
-    cube = J.aligned_cube(rows, ["event_id", "true_label"])
-    return entries(D.ensemble(cube, "probability", D.stacking_weights(cube, "true_label", 2)), "event_id")
+    """A pool of probabilities under weights learnt by gradient steps."""
+    return _stacked(spark, sf, 20, "linear")
+
+
+@query("l10_log_stacking", _stacking_sql(8, 0.5, True))
+def l10_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A pool of log probabilities under weights learnt by gradient steps."""
+    return _stacked(spark, sf, 8, "log")
 
 
 def _searched_sql(step: float = 0.25) -> str:
@@ -196,19 +228,27 @@ def l11(spark: SparkSession, sf: str) -> DataFrame:
     return entries(D.response_windows(obs(spark, sf), ["stream_id"], [500000.0, 1500000.0]), "stream_id")
 
 
-@query("l12_domain_ensemble", f"WITH {FEAT_SQL}, cm AS (SELECT domain, label, {', '.join(f'avg(x{i}) AS m{i}' for i in range(N_FEATURES))} FROM feat WHERE role = 'source' GROUP BY 1, 2), s AS (SELECT t.row_id, cm.domain, cm.label, exp(-({' + '.join(f'(t.x{i} - m{i}) * (t.x{i} - m{i})' for i in range(N_FEATURES))})) AS e FROM feat t, cm WHERE t.role = 'target'), p AS (SELECT row_id, domain, label, e / sum(e) OVER (PARTITION BY row_id, domain) AS p FROM s), a AS (SELECT row_id, label, avg(p) AS p FROM p GROUP BY 1, 2) SELECT row_id, round(max(CASE WHEN label = 0 THEN p END), 9) AS q0, round(max(CASE WHEN label = 4 THEN p END), 9) AS q4 FROM a GROUP BY 1")
+_DOMAIN_MODELS = f"""WITH {FEAT_SQL}, cm AS (SELECT domain, label, {', '.join(f'avg(x{i}) AS m{i}' for i in range(N_FEATURES))} FROM feat WHERE role = 'source' GROUP BY 1, 2),
+s AS (SELECT t.row_id, cm.domain, cm.label, exp(-({' + '.join(f'(t.x{i} - m{i}) * (t.x{i} - m{i})' for i in range(N_FEATURES))})) AS e FROM feat t, cm WHERE t.role = 'target'), p AS (SELECT row_id, domain, label, e / sum(e) OVER (PARTITION BY row_id, domain) AS p FROM s)"""
+_DOMAIN_SHOWN = "SELECT row_id, round(max(CASE WHEN label = 0 THEN p END), 9) AS q0, round(max(CASE WHEN label = 4 THEN p END), 9) AS q4 FROM a GROUP BY 1"
+
+
+@query("l12_domain_ensemble", f"{_DOMAIN_MODELS}, a AS (SELECT row_id, label, avg(p) AS p FROM p GROUP BY 1, 2) {_DOMAIN_SHOWN}")
 def l12(spark: SparkSession, sf: str) -> DataFrame:
     """One centroid model for each source domain, averaged over the domains."""
-    from chronoprob.functions.vectors import squared_distance
-    from chronoprob.operators.decode import _models
-    from chronoprob.operators.features import class_means
+    return entries(N.domain_ensemble(feat(spark, sf))[0], "row_id")
 
-    f = feat(spark, sf)
-    models = _models(class_means(f.where("role = 'source'").select("domain", "label", "x"), ["domain", "label"]), ["domain"])
-    packed = models.groupBy().agg(F.collect_list(F.struct("domain", "means")).alias("_m"))  # one row
-    rows = f.where("role = 'target'").drop("domain").join(F.broadcast(packed)).select("row_id", "x", F.inline("_m"))
-    own = rows.select("row_id", "domain", P.softmax(F.transform("means", lambda m: -squared_distance(F.col("x"), m))).alias("p"))
-    return entries(D._keyed_means(own, ["row_id"], F.col("p"), "p"), "row_id")
+
+@query("l12_confidence_weights", f"{_DOMAIN_MODELS}, c AS (SELECT domain, avg(m) AS c FROM (SELECT row_id, domain, max(p) AS m FROM p GROUP BY 1, 2) GROUP BY 1), w AS (SELECT domain, exp(c / 0.01) / sum(exp(c / 0.01)) OVER () AS w FROM c), a AS (SELECT row_id, label, sum(w * p) AS p FROM p JOIN w USING (domain) GROUP BY 1, 2) {_DOMAIN_SHOWN}")
+def l12_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Domains weighted by how sure their models are on the target."""
+    return entries(N.domain_ensemble(feat(spark, sf), "target_confidence", 0.01)[0], "row_id")
+
+
+@query("l12_similarity_weights")
+def l12_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """Domains weighted by how near their mean and covariance are to the target's; tested against numpy."""
+    return entries(N.domain_ensemble(feat(spark, sf), "target_feature_similarity", 0.1)[0], "row_id")
 
 
 _H = "(" + " + ".join("{0}%d * ln(greatest({0}%d, 1e-15))" % (i, i) for i in range(5)) + ") / ln(5)"

@@ -244,3 +244,96 @@ def test_smoothing_over_the_graph_until_it_stops(spark):
         assert rounds == done < 50
         got = {r.row_id: r.p for r in out.collect()}
         assert np.stack([got[i] for i in range(40)]) == pytest.approx(now, abs=1e-9)
+
+
+# pools of members
+
+
+def cube_of(spark, p, y=None):
+    rows = [(i, int(y[i]) if y is not None else 0, [(f"m{k}", p[i, k].tolist()) for k in range(p.shape[1])]) for i in range(len(p))]
+    return spark.createDataFrame(rows, "id int, y int, cube array<struct<name:string,p:array<double>>>")
+
+
+def test_pools_equal_numpy(spark):
+    rng = np.random.default_rng(13)
+    p = rng.dirichlet([0.5] * 4, (60, 3))
+    p[0] = 0.25  # no certainty at all: the plain mean
+    p[1] = np.eye(4)[[0, 1, 2]]
+    w = np.array([0.5, 0.3, 0.2])
+    q = np.clip(p, 1e-12, 1)
+    sure = np.clip(1 + (q * np.log(q)).sum(axis=2) / np.log(4), 0, 1)
+    alike = np.clip(1 - 0.5 * np.abs(p - p.mean(axis=1, keepdims=True)).sum(axis=2), 0, 1) ** 2
+    rank = np.array([[[sum(b < a or (b == a and j < i) for j, b in enumerate(m)) / 3 for i, a in enumerate(m)] for m in r] for r in p])
+
+    def weighted(v):
+        v = v * w
+        v[v.sum(axis=1) <= 1e-13] = w
+        out = (v[:, :, None] * p).sum(axis=1)
+        return out / out.sum(axis=1, keepdims=True)
+
+    def softmax(z):
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    want = {"probability": weighted(np.ones((60, 3))), "log": softmax((np.log(np.maximum(p, 1e-15)) * w[:, None]).sum(axis=1)), "confidence_probability": weighted(sure), "agreement_probability": weighted(alike), "rank": softmax((rank * w[:, None]).sum(axis=1))}
+    assert set(want) == set(D.ENSEMBLES)
+    for mode, expected in want.items():
+        got = {r.id: r.p for r in D.ensemble(cube_of(spark, p), mode, [5, 3, 2]).collect()}
+        assert np.stack([got[i] for i in range(60)]) == pytest.approx(expected, abs=1e-9), mode
+    short = cube_of(spark, p).unionByName(cube_of(spark, p[:1, :2]))
+    for wrong in (lambda: D.ensemble(short), lambda: D.ensemble(cube_of(spark, p), "log", [1.0]), lambda: D.ensemble(cube_of(spark, p), "best")):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+@pytest.mark.parametrize("pooling", ["linear", "log"])
+def test_stacking_equals_a_loop(spark, pooling):
+    rng = np.random.default_rng(14)
+    y = rng.choice(3, 80, p=[0.7, 0.2, 0.1])
+    p = rng.dirichlet([1.0] * 3, (80, 3))
+    p[:, 1] += 0.6 * np.eye(3)[y]
+    p /= p.sum(axis=2, keepdims=True)
+    s = 1 / np.bincount(y)[y]
+    w = np.full(3, 1 / 3)
+    for i in range(12):
+        if pooling == "linear":
+            true = p[np.arange(80), :, y]
+            g = np.average(-true / np.clip(true @ w, 1e-12, 1)[:, None], axis=0, weights=s)
+        else:
+            z = np.einsum("nik,i->nk", np.log(p), w)
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            e /= e.sum(axis=1, keepdims=True)
+            g = np.average(np.einsum("nk,nik->ni", e, np.log(p)) - np.log(p)[np.arange(80), :, y], axis=0, weights=s)
+        w = w * np.exp(-0.25 / np.sqrt(i + 1) * (g - g @ w))
+        w /= w.sum()
+    assert D.stacking_weights(cube_of(spark, p, y), "y", 3, 12, 0.25, pooling) == pytest.approx(w.tolist())
+
+
+@pytest.mark.parametrize("weighting", N.WEIGHTINGS)
+def test_domain_ensembles_equal_numpy(spark, weighting):
+    rng = np.random.default_rng(15)
+    n = 120
+    y, g = rng.integers(0, 3, n), rng.integers(0, 5, n)
+    y[g == 3] %= 2  # a domain without the last class
+    y[g == 4] = 1  # and one with a single class, which takes no part
+    x = rng.normal(size=(n, 3)) + y[:, None] * 0.7 + g[:, None] * 0.1
+    df = spark.createDataFrame([(i, x[i].tolist(), int(y[i]), int(g[i]), "target" if g[i] == 0 else "source") for i in range(n)], "row_id long, x array<double>, label int, domain int, role string")
+    out, weights = N.domain_ensemble(df, weighting, 0.5)
+    t = x[g == 0]
+    p, score = {}, {}
+    for d in (1, 2, 3):
+        z = np.full((len(t), 3), -1e30)
+        for c in range(3):
+            if ((g == d) & (y == c)).any():
+                z[:, c] = -((t - x[(g == d) & (y == c)].mean(axis=0)) ** 2).sum(axis=1)
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        p[d] = e / e.sum(axis=1, keepdims=True)
+        q = np.maximum(p[d], 1e-12)
+        own = x[g == d]
+        gap = np.linalg.norm(own.mean(axis=0) - t.mean(axis=0)) / np.sqrt(3) + np.linalg.norm(np.cov(own.T) - np.cov(t.T)) / 3
+        score[d] = {"uniform": 0.0, "target_confidence": p[d].max(axis=1).mean(), "target_entropy": (q * np.log(q)).sum(axis=1).mean(), "target_feature_similarity": -gap}[weighting]
+    e = np.exp((np.array([score[d] for d in (1, 2, 3)]) - max(score.values())) / 0.5)
+    w = dict(zip((1, 2, 3), e / e.sum()))
+    assert {r.domain: r.weight for r in weights.collect()} == pytest.approx(w)
+    got = {r.row_id: r.p for r in out.collect()}
+    assert np.stack([got[i] for i in np.flatnonzero(g == 0)]) == pytest.approx(sum(w[d] * p[d] for d in w), abs=1e-9)
