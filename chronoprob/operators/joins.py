@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoprob.sources.observations import cut
+
+from .ranks import grouped_quantile
 from .sequences import Rows, map_sequences
 
 
@@ -190,19 +192,30 @@ def align_triggers(presses: Sequence[float], triggers: Sequence[float], lag: flo
 
 def match_triggers(presses: DataFrame, triggers: DataFrame, by: Sequence[str], lag: float, tolerance: float) -> DataFrame:
     """Presses with trigger time and recommended time: the trigger's, else the press plus the median lag of
-    its group's matches (the expected lag without any)."""
+    its group's matches (the expected lag without any). Rows without a time take no part.
+
+    What a press can reach is within an island of times, so islands are solved by themselves, some at a time, and
+    no task holds a group."""
     types = dict(presses.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in by) + ", press_time double, trigger_time double, recommended_time double"
+    schema = ", ".join(f"{k} {types[k]}" for k in by) + ", press_time double, trigger_time double"
+    p = presses.where("time is not null").select(*by, (F.col("time") + lag).alias("t"), F.lit(0).alias("kind"), F.lit("").alias("id"), "time")
+    t = triggers.where("time is not null").select(*by, F.col("time").alias("t"), F.lit(1).alias("kind"), F.lit("").alias("id"), "time")
+    near = islands(p.unionByName(t), by, tolerance * (1 + 1e-9))
 
-    def solve(key: tuple, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        press, trigger = sorted(p["time"].dropna().tolist()), sorted(t["time"].dropna().tolist())
+    def solve(rows: Rows) -> dict[str, Sequence]:
+        press, trigger = np.sort(rows["time"][rows["kind"] == 0]), np.sort(rows["time"][rows["kind"] == 1])
         got = align_triggers(press, trigger, lag, tolerance)
-        lags = [trigger[j] - press[i] for i, j in enumerate(got) if j >= 0]
-        usual = float(pd.Series(lags).median()) if lags else lag
-        rows = [(*key, x, trigger[j] if j >= 0 else None, trigger[j] if j >= 0 else x + usual) for x, j in zip(press, got, strict=True)]
-        return pd.DataFrame(rows, columns=[*by, "press_time", "trigger_time", "recommended_time"])
+        keys = {k: [rows[k][0]] * len(press) for k in by}
+        return {**keys, "press_time": press.tolist(), "trigger_time": [float(trigger[j]) if j >= 0 else None for j in got]}
 
-    return presses.select(*by, "time").groupBy(*by).cogroup(triggers.select(*by, "time").groupBy(*by)).applyInPandas(solve, schema)
+    dealt = near.withColumn("_islands", F.floor(F.col("_island") / 256))
+    done = map_sequences(dealt.drop("_island", "id"), [*by, "_islands"], ["t", "kind"], solve, schema)
+    done = cut(done.withColumn("trigger_time", F.when(~F.isnan("trigger_time"), F.col("trigger_time"))), "triggers")
+    lags = done.where("trigger_time is not null").withColumn("_lag", F.col("trigger_time") - F.col("press_time"))
+    usual = grouped_quantile(lags, "_lag", 0.5, by, "_usual")
+    both = done.join(usual, list(by), "left")
+    recommended = F.coalesce("trigger_time", F.col("press_time") + F.coalesce("_usual", F.lit(lag)))
+    return both.select(*by, "press_time", "trigger_time", recommended.alias("recommended_time"))
 
 
 def execution_times(timing: DataFrame, cues: DataFrame, keys: Sequence[str], times: Sequence[str], duration: str = "cue_duration") -> DataFrame:

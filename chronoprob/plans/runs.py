@@ -23,11 +23,14 @@ IN_BASE, IN_EFFECT = f"time BETWEEN {BASELINE[0]} AND {BASELINE[1]}", f"time BET
 CLASS_SQL = f"{OBS_SQL}, cl AS (SELECT o.event_id, o.subject, o.stream_id, o.time, l.k AS stimulus_label, l.v AS score FROM obs o JOIN ({LONG_P}) l USING (event_id)), th AS (SELECT subject, stimulus_label, quantile_cont(score, 0.8) AS score_threshold FROM cl WHERE {IN_BASE} GROUP BY 1, 2)"
 
 
-def _events_sql(merge_gap: float | None) -> str:
+def _events_sql(merge_gap: float | None, idle: float | None = None) -> str:
+    """Events of the batch; ``idle`` ends runs where no row of the stream comes for so long."""
     apart = "i - pi > 1" + (f" AND time - pt > {merge_gap}" if merge_gap is not None else "")
+    silent = f"sum(CASE WHEN gap > {idle} THEN 1 ELSE 0 END) OVER w" if idle is not None else "0"
     return f"""{CLASS_SQL}, n AS (SELECT cl.*, score_threshold, row_number() OVER w AS i FROM cl JOIN th USING (subject, stimulus_label) WHERE {IN_EFFECT} WINDOW w AS (PARTITION BY stream_id, stimulus_label ORDER BY time)),
-ab AS (SELECT *, lag(i) OVER w AS pi, lag(time) OVER w AS pt FROM n WHERE score >= score_threshold WINDOW w AS (PARTITION BY stream_id, stimulus_label ORDER BY time)),
-rn AS (SELECT *, sum(CASE WHEN pi IS NULL OR ({apart}) THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id, stimulus_label ORDER BY time ROWS UNBOUNDED PRECEDING) AS run FROM ab),
+si AS (SELECT n.*, time - lag(time) OVER (PARTITION BY stream_id, stimulus_label ORDER BY time) AS gap FROM n), sn AS (SELECT *, {silent} AS silence FROM si WINDOW w AS (PARTITION BY stream_id, stimulus_label ORDER BY time)),
+ab AS (SELECT *, lag(i) OVER w AS pi, lag(time) OVER w AS pt, lag(silence) OVER w AS ps FROM sn WHERE score >= score_threshold WINDOW w AS (PARTITION BY stream_id, stimulus_label ORDER BY time)),
+rn AS (SELECT *, sum(CASE WHEN pi IS NULL OR ps <> silence OR ({apart}) THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id, stimulus_label ORDER BY time ROWS UNBOUNDED PRECEDING) AS run FROM ab),
 ev2 AS (SELECT subject, stream_id, stimulus_label, run, min(time) AS onset_time, max(time) AS offset_time, count(*) AS run_length, max(score) AS peak_score, list(time ORDER BY time)[2] AS detection_confirmed_time FROM rn GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2),
 pk AS (SELECT e.*, (SELECT min(time) FROM rn r WHERE r.stream_id = e.stream_id AND r.stimulus_label = e.stimulus_label AND r.run = e.run AND r.score = e.peak_score) AS peak_time FROM ev2 e)"""
 

@@ -35,6 +35,36 @@ def _replay(spark: SparkSession, sf: str, files: int = 4) -> DataFrame:
     return spark.readStream.schema(o.schema).option("maxFilesPerTrigger", dealt).parquet(path)
 
 
+#: Times at which the files of ``_out_of_order`` end.
+CUTS = (600_000.0, 1_200_000.0, 1_800_000.0)
+_PART = "CASE WHEN time > 1800000.0 THEN 3 WHEN event_id % 50 = 0 THEN 3 WHEN time > 1200000.0 THEN 2 WHEN time > 600000.0 THEN 1 ELSE 0 END"
+
+
+def _out_of_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Observations as four files in order of time, but for each fiftieth event, which comes with the last file."""
+    o = obs(spark, sf)
+    part = F.when((F.col("time") > CUTS[2]) | (F.col("event_id") % 50 == 0), 3).when(F.col("time") > CUTS[1], 2).when(F.col("time") > CUTS[0], 1).otherwise(0)
+    rows, path = o.select("stream_id", "subject", "time", "p", "classes", part.alias("part")), shared_path(spark, "stream")
+    for i in range(4):
+        rows.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _silent(spark: SparkSession, sf: str, files: int = 4) -> DataFrame:
+    """Observations without any end markers; one row of no stream, far ahead, moves the watermark past all."""
+    o = obs(spark, sf).select("stream_id", "subject", "time", "p", "classes")
+    path, dealt = shared_path(spark, "stream"), 2
+    limits = o.agg(F.percentile_approx("time", [i / files for i in range(1, files)])).first()[0]  # any cuts do
+    part = F.lit(0)
+    for x in limits:
+        part = part + F.when(F.col("time") > x, 1).otherwise(0)
+    rows = o.withColumn("part", part)
+    for i in range(files):
+        rows.where(F.col("part") == i).drop("part").repartition(dealt, "stream_id").write.mode("append").parquet(path)
+    o.limit(1).withColumns({"stream_id": F.lit(-1).cast("long"), "time": F.lit(1e9)}).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(o.schema).option("maxFilesPerTrigger", dealt).parquet(path)
+
+
 def _detected(spark: SparkSession, sf: str, rules: S.Rules) -> DataFrame:
     """Thresholds, one row for each subject and class, meet the stream by a stream-static join."""
     stream = L.by_class(_replay(spark, sf)).join(_thresholds(spark, sf), ["subject", "stimulus_label"])
@@ -60,6 +90,41 @@ def i2(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(got.select(*SHOWN).withColumn("run_length", F.col("run_length").cast("long")), 6)
 
 
+@query("i2_timers", f"WITH {_events_sql(50000.0, 200000.0)} {SELECT}")
+def i2_timers(spark: SparkSession, sf: str) -> DataFrame:
+    """Streams without an end: event-time timers close the runs of streams that are silent for 200,000 seconds, and drop
+    their state."""
+    stream = L.by_class(_silent(spark, sf)).join(_thresholds(spark, sf), ["subject", "stimulus_label"])
+    out = S.detect(stream.select("stream_id", "stimulus_label", "time", "score", "score_threshold"), S.Rules(min_consecutive=2, merge_gap=50000.0, window=EFFECT, idle=200000.0))
+    got = S.run_to_table(out, shared_path(spark, "stream-events"), shared_path(spark, "stream-checkpoint")).where("kind = 'event' and stream_id >= 0")
+    return rounded(got.select(*SHOWN).withColumn("run_length", F.col("run_length").cast("long")), 6)
+
+
+@query("i3_marked_rows", f"WITH {OBS_SQL}, o AS (SELECT *, {_PART} AS part FROM obs), m AS (SELECT stream_id, max(time) AS seen FROM o WHERE part < 3 GROUP BY 1) SELECT stream_id, round(time, 6) AS late_time FROM o JOIN m USING (stream_id) WHERE part = 3 AND time < seen")
+def i3_marked(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that come after later ones of their stream are passed on, marked as late."""
+    stream = L.by_class(_out_of_order(spark, sf)).where("stimulus_label = 2").withColumn("score_threshold", F.lit(0.3))
+    out = S.detect(stream.select("stream_id", "stimulus_label", "time", "score", "score_threshold"), S.Rules())
+    got = S.run_to_table(out, shared_path(spark, "stream-events"), shared_path(spark, "stream-checkpoint")).where("kind = 'late'")
+    return got.select("stream_id", F.round("onset_time", 6).alias("late_time"))
+
+
+@query("i3_dropped_rows", f"WITH {OBS_SQL}, o AS (SELECT *, {_PART} AS part, floor(time / 86400) AS day FROM obs), m AS (SELECT max(time) - 604800 AS mark FROM o WHERE part < 2) SELECT CAST(day AS BIGINT) AS day, count(*) AS n FROM o, m WHERE part < 3 OR (day + 1) * 86400 > mark GROUP BY 1")
+def i3_dropped(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts by day under a watermark of a week: of the rows that come late, those of days are dropped that the watermark
+    had passed by the batch before (Spark measures lateness against that one)."""
+    stream = _out_of_order(spark, sf).withColumn("ts", F.timestamp_micros((F.col("time") * 1e6).cast("long")))
+    counts = stream.withWatermark("ts", "7 days").groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"))
+    path, check = shared_path(spark, "stream-counts"), shared_path(spark, "stream-checkpoint")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    counts.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{path}/*").groupBy("w").agg(F.max_by("n", "batch").alias("n"))
+    return last.select(F.floor(F.unix_seconds("w.start") / 86400).alias("day"), "n")
+
+
 @query("i3_late_rows", f"WITH {OBS_SQL} SELECT stream_id, CAST(floor(time / 604800) AS BIGINT) AS week, count(*) AS n FROM obs GROUP BY 1, 2")
 def i3(spark: SparkSession, sf: str) -> DataFrame:
     """Counts by event-time window under a watermark, as a stream over the replayed files."""

@@ -3,7 +3,9 @@
 One machine, written in plain Python, holds a stream's open run; the same rules as in batch decide what an
 event is. In Structured Streaming its state is kept for each (stream, class). Rows of a micro-batch are
 stepped in order of time; rows older than what their stream has seen are passed on marked as late, not
-used. A row without a score closes the stream (an end marker), as a flush does.
+used. A row without a score closes the stream (an end marker), as a flush does. With ``idle``, event-time timers
+do so as well: when the watermark shows that a stream has been silent for so long, its open run comes out and its
+state goes, so that streams without an end cost nothing for ever.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from dataclasses import astuple, dataclass, fields
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -37,6 +40,8 @@ class Rules:
     merge_gap: float | None = None
     refractory: float | None = None
     window: tuple[float, float] | None = None
+    #: Seconds without a row after which a stream begins anew.
+    idle: float | None = None
 
 
 Event = tuple[int, float, float, float, int, float, float, float]
@@ -55,9 +60,12 @@ class Machine:
         s, r = self.s, self.rules
         if r.window is not None and time < r.window[0]:
             return []
+        out: list[Event] = []
+        if r.idle is not None and s.seen is not None and time - s.seen > r.idle:
+            out += self.expire()
+            s = self.s
         s.seen = time
         above = score >= threshold and (r.window is None or time <= r.window[1])
-        out: list[Event] = []
         if s.start is not None and s.below and (r.merge_gap is None or time - s.last > r.merge_gap):
             out += self._close(time)
         if above:
@@ -73,6 +81,12 @@ class Machine:
                 out += self._close(time)
         return out
 
+    def expire(self) -> list[Event]:
+        """The open run's event as of the end of the silence; nothing of the stream is kept."""
+        out = self._close(self.s.seen + self.rules.idle) if self.s.start is not None else []
+        self.s = RunState()
+        return out
+
     def flush(self) -> list[Event]:
         return self._close(self.s.seen) if self.s.start is not None else []
 
@@ -97,13 +111,19 @@ def _none(x):
     return None if x is None or x != x else x
 
 
-def detect(rows: DataFrame, rules: Rules) -> DataFrame:
+def detect(rows: DataFrame, rules: Rules, delay: str = "1 hour") -> DataFrame:
     """Events (kind event) and late rows (kind late) of a stream of (stream_id, stimulus_label, time, score,
-    score_threshold). A row without time is a stream's end: its open run comes out and its state goes."""
+    score_threshold). A row without time is a stream's end: its open run comes out and its state goes. With
+    ``rules.idle`` the time in seconds is the event time under a watermark of ``delay``; rows behind it are dropped."""
+    timed = rules.idle is not None
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = RunState(*[_none(v) for v in state.get]) if state.exists else RunState()
         machine = Machine(rules, kept)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(*key, "event", *e) for e in machine.expire()], columns=COLUMNS)
+            return
         # a key's rows of one micro-batch have to be put in order: the trigger's size bounds them
         pdf = pd.concat(list(batches)).sort_values("time", kind="mergesort", na_position="last")
         found: list[tuple] = []
@@ -115,14 +135,24 @@ def detect(rows: DataFrame, rules: Rules) -> DataFrame:
                 found.append((*key, "late", -1, time, time, time, 0, score, score, time))
             else:
                 found += [(*key, "event", *e) for e in machine.step(time, score, threshold)]
+        silent_at = int((machine.s.seen + rules.idle) * 1000) + 1 if timed and machine.s.seen is not None else None
+        if silent_at is not None and silent_at <= state.getCurrentWatermarkMs():
+            found += [(*key, "event", *e) for e in machine.expire()]
+            ended = True
         if ended:
-            state.remove()
+            if state.exists:
+                state.remove()
         else:
             state.update(tuple(astuple(machine.s)))
+            if silent_at is not None:
+                state.setTimeoutTimestamp(silent_at)
         yield pd.DataFrame(found, columns=COLUMNS)
 
     assert len(fields(RunState)) == len(STATE.split(", "))
-    return rows.groupBy("stream_id", "stimulus_label").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    if timed:
+        rows = rows.withColumn("ts", F.timestamp_micros((F.col("time") * 1e6).cast("long"))).withWatermark("ts", delay)
+    timer = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    return rows.groupBy("stream_id", "stimulus_label").applyInPandasWithState(update, OUTPUT, STATE, "append", timer)
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

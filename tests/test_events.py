@@ -83,6 +83,14 @@ def test_machine_and_batch_agree(spark, rules):
     assert sorted((r["stream_id"], r["onset_time"], r["offset_time"], r["run_length"]) for r in found.collect()) == sorted(expected)
 
 
+def test_silence_begins_a_stream_anew():
+    machine = Machine(Rules(2, refractory=50.0, idle=10.0))
+    got = [e for t in (0.0, 1.0, 2.0, 20.0, 21.0, 40.0) for e in machine.step(t, 0.9, 0.5)]
+    # index, onset, offset and length, and the end of the silence as the time of confirmation; no refractory time is kept
+    assert [(e[0], e[1], e[2], e[4], e[7]) for e in got] == [(0, 0.0, 2.0, 3, 12.0), (0, 20.0, 21.0, 2, 31.0)]
+    assert machine.expire() == [] and machine.s.seen is None  # one row is no run of two
+
+
 def test_late_rows_are_known():
     machine = Machine(Rules())
     machine.step(2.0, 0.1, 0.5)
@@ -134,6 +142,23 @@ def test_triggers_cost_least():
         assert cost == pytest.approx(plain(presses, triggers))
 
 
+def test_matched_triggers_of_groups(spark):
+    rng = random.Random(17)
+    press = {g: sorted(rng.uniform(0, 400) for _ in range(40)) for g in "abc"}
+    trigger = {g: sorted(x + 0.5 + rng.gauss(0, 0.4) for x in press[g] if rng.random() < 0.7) for g in "ab"}
+    frame = lambda d: spark.createDataFrame([(g, t) for g, ts in d.items() for t in ts] + [("a", None)], "g string, time double")
+    got = {(r["g"], r["press_time"]): (r["trigger_time"], r["recommended_time"]) for r in J.match_triggers(frame(press), frame(trigger), ["g"], 0.5, 1.5).collect()}
+    assert len(got) == 120
+    for g, times in press.items():
+        mine = trigger.get(g, [])
+        places = J.align_triggers(times, mine, 0.5, 1.5)
+        lags = sorted(mine[j] - x for x, j in zip(times, places) if j >= 0)
+        n = len(lags)
+        usual = (lags[(n - 1) // 2] + lags[n // 2]) / 2 if n else 0.5
+        for x, j in zip(times, places):
+            assert got[g, x] == (mine[j] if j >= 0 else None, pytest.approx(mine[j] if j >= 0 else x + usual))
+
+
 def test_islands_go_on_across_buckets_of_time(spark):
     rng = random.Random(13)
     rows = [(k, rng.choice([rng.uniform(0, 40), rng.uniform(0, 400)]), f"r{i}", i % 2) for k in range(3) for i in range(120)]
