@@ -1,11 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled documents, of which near copies count once: one on windows
-of ordinary text, one on stretches of toxic text. A stretch is as long a piece of a toxic text as all of its
+Zstandard dictionaries are trained on labelled documents, of which near copies (classes of the n-gram join) count
+once: on windows of ordinary text, and on stretches of toxic text; ``pairs`` of them, each without another share of
+windows and stretches, whose differences add up. A stretch is as long a piece of a toxic text as all of its
 short character sequences are richer in toxic documents than in ordinary ones, by the lower bound of their
 log-odds; it may be part of a word, a word, or a phrase of words that are ordinary one by one, in scripts with
-and without spaces. (Trained on whole windows of toxic texts, a dictionary learns what both kinds share; see the
-README for figures.) What the ordinary dictionary holds follows the toxic part in the toxic dictionary, and
+and without spaces. This selection is a step before the training; without it (``select`` off) the toxic dictionary is
+trained on whole windows as well, and learns what both kinds share (see the README for figures). What the ordinary dictionary holds follows the toxic part in the toxic dictionary, and
 padding stands for that part in the ordinary one, so that both hold the common part at equal distance and a
 window's two compressed lengths differ only by what toxic text adds.
 
@@ -14,10 +15,11 @@ windows (largest, two largest, mean) and the number of windows are turned into a
 curve, which other labelled documents calibrate.
 
 Labels are read only where the caller marks rows as learnable. The dictionaries are trained on a bounded
-number of labelled documents (``fit_rows``); every whole text is scored.
+number of labelled documents (``fit_rows``; of ordinary windows a sample of as many); every whole text is scored.
 
 Defined cases: a null or empty text has no windows and differences of 0, and gets the calibrated score of
-such; very long texts and words are scored whole; repeated rows get equal scores; without learnable labels of both kinds every score is 0; of
+such; very long texts and words are scored whole; repeated rows get equal scores; without learnable labels of both
+kinds, without a stretch of toxic text, or where zstandard cannot train (a warning says so), every score is 0; of
 contradicting labels of one document the toxic one counts; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .jaccard_join import shingles, sketch
+from .jaccard_join import classes
 
 
 #: Stands at the end of both dictionaries and before every window: one cheap match that keeps a window from
@@ -47,24 +49,21 @@ class Distance:
     #: Characters of a window at most; a longer one is cut into several.
     window_chars: int = 1024
     level: int = 9
-    #: Bytes of the ordinary dictionary, and different windows of text that train it, at most (about).
+    #: Dictionaries of each kind, two at least.
+    pairs: int = 3
+    #: Bytes of an ordinary dictionary, and whether toxic text is cut to its own stretches.
     ordinary_bytes: int = 16_384
-    ordinary_windows: int = 40_000
+    select: bool = True
     #: Length of character sequences, and bytes of the toxic dictionary for each that is toxic text's own.
-    gram: int = 6
+    gram: int = 7
     bytes_for_gram: int = 3
     #: A sequence is toxic text's own if in so many documents, and so many times the ordinary rate, and if its
     #: log-odds less so many standard errors are above 0.
     support: int = 5
-    ratio: float = 8.0
+    ratio: float = 6.0
     errors: float = 2.0
-    #: Different stretches that train the toxic dictionary, at most, and the most that one of them counts.
-    stretches: int = 40_000
-    weight: int = 50
-    #: Texts that share this part of their minimum hashes are near copies.
-    alike: float = 0.7
-    #: Labelled documents that are read for the dictionaries, and as many for calibration, at most (about).
-    fit_rows: int = 20_000
+    #: Labelled documents that are read, three quarters for the dictionaries and one for calibration, at most (about).
+    fit_rows: int = 40_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -72,52 +71,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _spaced(text: str | None) -> str:
-    """The words with one space before, between and after them."""
-    return f" {' '.join((text or '').split())} "
+    """The words in lower case with one space before, between and after them."""
+    return f" {' '.join((text or '').lower().split())} "
 
 
 def windows(text: str | None, how: Distance = Distance()) -> list[bytes]:
-    """The windows of a text, each with a space before and after."""
-    w = (text or "").split()
+    """The windows of a text in lower case, each with a space before and after."""
+    w = (text or "").lower().split()
     parts = [f" {' '.join(w[i : i + how.window])} " for i in range(0, len(w), how.window)]
     if any(len(p) > how.window_chars for p in parts):
         parts = [p[at : at + how.window_chars] for p in parts for at in range(0, len(p), how.window_chars)]
     return [p.encode("utf-8", "surrogatepass") for p in parts]
 
 
-def one_per_class(learn: DataFrame, how: Distance = Distance()) -> DataFrame:
-    """(text, toxic): the first text of each class of near copies, toxic if any text of its class is.
-
-    The minimum hashes come to the driver: 256 bytes for each of at most about ``fit_rows`` texts."""
-    import numpy as np
-
-    @F.pandas_udf("binary")
-    def sketched(texts: pd.Series) -> pd.Series:
-        return pd.Series([sketch(h, 64) if len(h := shingles(t or "")) else b"" for t in texts], dtype=object)
-
-    texts = cut(learn.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("mark", F.xxhash64("text")), "toxicity-texts")
-    rows = texts.select("mark", "toxic", sketched("text").alias("sk")).orderBy("mark").collect()
-    hashes = [np.frombuffer(r.sk, dtype="<u4") for r in rows]
-    parent = list(range(len(rows)))
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    firsts: dict[tuple, int] = {}
-    for i, h in enumerate(hashes):
-        for at in range(0, len(h), 4):
-            j = firsts.setdefault((at, h[at : at + 4].tobytes()), i)
-            if top(i) != top(j) and (h == hashes[j]).mean() >= how.alike:
-                x, y = sorted((top(i), top(j)))
-                parent[y] = x
-    toxic: dict[int, int] = {}
-    for i, r in enumerate(rows):
-        toxic[top(i)] = max(toxic.get(top(i), 0), r.toxic)
-    kept = learn.sparkSession.createDataFrame([(rows[i].mark, t) for i, t in toxic.items()], "mark long, toxic int")
-    return texts.drop("toxic").join(F.broadcast(kept), "mark").select("text", "toxic")
+def one_per_class(learn: DataFrame) -> DataFrame:
+    """(text, toxic): the first text of each class of near copies, toxic if any text of its class is."""
+    texts = cut(learn.where("text is not null").groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("mark", F.xxhash64("text")), "toxicity-texts")
+    found = classes(texts.select(F.col("mark").alias("doc_id"), "text")).select(F.col("doc_id").alias("mark"), "class_id")
+    kept = found.join(texts.select("mark", "toxic"), "mark").groupBy(F.col("class_id").alias("mark")).agg(F.max("toxic").alias("toxic"))
+    return texts.drop("toxic").join(kept, "mark").select("text", "toxic")
 
 
 def _grams(text: str, n: int) -> set[str]:
@@ -162,76 +134,90 @@ def stretches_of(text: str, rich: frozenset[str], n: int) -> list[str]:
     return [*out, text[start:end]] if end >= 0 else out
 
 
-def train_dictionaries(learn: DataFrame, how: Distance = Distance()) -> tuple[bytes, bytes] | None:
-    """(ordinary, toxic) dictionary contents from (text, toxic) rows; None where one kind is missing."""
-    learn = cut(one_per_class(learn, how), "toxicity-learn")
+def train_dictionaries(learn: DataFrame, how: Distance = Distance()) -> list[tuple[bytes, bytes]] | None:
+    """Pairs of (ordinary, toxic) dictionary contents from (text, toxic) rows; None where there is nothing to train on."""
+    learn = cut(one_per_class(learn), "toxicity-learn")
     sizes = {r.toxic: r.n for r in learn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_ordinary = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_ordinary:
         return None
-    rich = rich_grams(gram_counts(learn, how), n_toxic, n_ordinary, how)
-    held, n = learn.sparkSession.sparkContext.broadcast(frozenset(rich)), how.gram
-
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"piece": [x.encode("utf-8", "surrogatepass") for text in pdf["text"] for x in stretches_of(_spaced(text), held.value, n)]})
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"piece": [x for text in pdf["text"] for x in windows(text, how)]})
 
-    pieces = learn.where("toxic = 1").select("text").mapInPandas(found, "piece binary").groupBy("piece").count()
-    toxic = [(bytes(r["piece"]), min(r["count"], how.weight)) for r in pieces.orderBy(F.col("count").desc(), "piece").limit(how.stretches).collect()]
-    usual = cut(learn.where("toxic = 0").select("text").mapInPandas(cut_up, "piece binary").groupBy("piece").count(), "toxicity-windows")
-    # a share of the different windows, by hash: about as many as wanted
-    part = F.pmod(F.xxhash64("piece"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, how.ordinary_windows / max(1, usual.count())))
-    common = [(bytes(r["piece"]), min(r["count"], how.weight)) for r in usual.where(part).orderBy("piece").collect()]
-    own = _trained(toxic, max(256, how.bytes_for_gram * len(rich)), 32)
-    shared = _trained(common, how.ordinary_bytes, 64) + LEAD
-    return b"\0" * len(own) + shared, own + shared
-
-
-def _trained(samples: list[tuple[bytes, int]], size: int, segment: int) -> bytes:
-    """The content of a dictionary that zstandard trains; with too few samples to train on, the samples."""
+    size = how.ordinary_bytes
+    pieces = learn.where("toxic = 1").select("text")
+    if how.select:
+        rich = rich_grams(gram_counts(learn, how), n_toxic, n_ordinary, how)
+        held, n = learn.sparkSession.sparkContext.broadcast(frozenset(rich)), how.gram
+
+        def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame({"piece": [x.encode("utf-8", "surrogatepass") for text in pdf["text"] for x in stretches_of(_spaced(text), held.value, n)]})
+
+        pieces, size = pieces.mapInPandas(found, "piece binary"), max(256, how.bytes_for_gram * len(rich))
+    else:
+        pieces = _share(pieces.mapInPandas(cut_up, "piece binary").distinct(), how.fit_rows)
+    # different stretches of fit_rows documents; what many documents hold counts as the number of its binary digits
+    toxic = [(bytes(r["piece"]), r["count"].bit_length()) for r in pieces.groupBy("piece").count().orderBy("piece").collect()]
+    usual = _share(learn.where("toxic = 0").select("text").mapInPandas(cut_up, "piece binary").distinct(), how.fit_rows)
+    common = [(bytes(r["piece"]), 1) for r in usual.orderBy("piece").collect()]
+    made = []
+    for out in range(how.pairs):
+        own = _trained([x for i, x in enumerate(toxic) if i % how.pairs != out], size, 32, "toxic")
+        shared = _trained([x for i, x in enumerate(common) if i % how.pairs != out], how.ordinary_bytes, 64, "ordinary")
+        if own is None or shared is None:
+            return None
+        made.append((b"\0" * len(own) + shared + LEAD, own + shared + LEAD))
+    return made
+
+
+def _share(pieces: DataFrame, wanted: int) -> DataFrame:
+    """About ``wanted`` of the different windows, by hash; all, where there are no more."""
+    pieces = cut(pieces, "toxicity-windows")
+    return pieces.where(F.pmod(F.xxhash64("piece"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, wanted / max(1, pieces.count()))))
+
+
+def _trained(samples: list[tuple[bytes, int]], size: int, segment: int, kind: str) -> bytes | None:
+    """The content of a dictionary that zstandard trains; None, with a warning, where it cannot."""
     import random
+    import warnings
 
     import zstandard
 
-    alone = b"".join(x for x, _ in reversed(samples))[-size:]
-    # the trainer wants many samples: a few are told to it several times over
-    times = max(1, 20_000 // max(1, sum(n for _, n in samples)))
+    # the trainer wants many samples: it is told them as often as makes some 20,000
+    times = -(-20_000 // max(1, sum(n for _, n in samples)))
     told = [x for x, n in samples for _ in range(n * times)]
     random.Random(5).shuffle(told)
     try:
         # the content stands behind a head of tables, for which there is room besides
-        trained = zstandard.train_dictionary(size + 1024, told, k=segment, d=6, steps=1).as_bytes()[-size:]
-    except zstandard.ZstdError:
-        trained = b""
-    return trained if len(trained) >= min(size, len(alone)) // 2 else alone
+        return zstandard.train_dictionary(size + 1024, told, k=segment, d=6, steps=1).as_bytes()[-size:]
+    except zstandard.ZstdError as e:
+        warnings.warn(f"no dictionary of {kind} text from {len(samples)} pieces: {e}", stacklevel=3)
+        return None
 
 
 class Gauge:
-    def __init__(self, ordinary: bytes, toxic: bytes, how: Distance):
+    def __init__(self, pairs: list[tuple[bytes, bytes]], how: Distance):
         import zstandard
 
         shape = zstandard.ZstdCompressionParameters.from_level(how.level, write_content_size=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-        raw = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (ordinary, toxic)]
-        self.ordinary, self.toxic = [zstandard.ZstdCompressor(dict_data=d, compression_params=shape).compress for d in raw]
-        self.how = how
+        tool = lambda d: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=shape).compress
+        self.pairs, self.how = [(tool(ordinary), tool(toxic)) for ordinary, toxic in pairs], how
 
     def differences(self, text: str | None) -> list[int]:
-        """For each window, how many bytes shorter the toxic dictionary makes it than the ordinary one."""
+        """For each window, how many bytes shorter toxic dictionaries make it than ordinary ones, over all pairs."""
         parts = [LEAD + p for p in windows(text, self.how)]
-        return [len(self.ordinary(p)) - len(self.toxic(p)) for p in parts]
+        return [sum(len(ordinary(p)) - len(toxic(p)) for ordinary, toxic in self.pairs) for p in parts]
 
 
-def gauge(docs: DataFrame, dictionaries: tuple[bytes, bytes], how: Distance = Distance()) -> DataFrame:
+def gauge(docs: DataFrame, dictionaries: list[tuple[bytes, bytes]], how: Distance = Distance()) -> DataFrame:
     """``docs`` with the struct ``gauge`` of largest, two (sum of the two largest), mean and windows."""
-    ordinary, toxic = dictionaries
 
     @F.pandas_udf("largest double, two double, mean double, windows double")
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tool = Gauge(ordinary, toxic, how)
+        tool = Gauge(dictionaries, how)
         for batch in batches:
             rows = []
             for text in batch:
@@ -244,7 +230,7 @@ def gauge(docs: DataFrame, dictionaries: tuple[bytes, bytes], how: Distance = Di
 
 def _features():
     g = F.col("gauge")
-    return [g["largest"], g["two"], g["mean"], F.log1p(g["windows"]), F.greatest(g["largest"] - 2, F.lit(0.0)), F.greatest(g["largest"] - 4, F.lit(0.0))]
+    return [g["largest"], g["two"], g["mean"], F.log1p(g["windows"]), *[F.greatest(g["largest"] - k, F.lit(0.0)) for k in (2, 4, 6, 12)]]
 
 
 def calibrate(measured: DataFrame) -> list[float] | None:
@@ -264,16 +250,17 @@ def classify(docs: DataFrame, labels: DataFrame, how: Distance = Distance(), thr
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     n_known = known.count()
-    # a bounded share of the labelled documents, half of it for the dictionaries and half for calibration
-    share = F.pmod(F.xxhash64(F.lit("toxicity"), "_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, 2 * how.fit_rows / max(1, n_known)))
-    # two times fit_rows ids and marks, about a megabyte: texts need not be shuffled to find them
+    # a bounded share of the labelled documents, three quarters of it for the dictionaries and one for calibration
+    share = F.pmod(F.xxhash64(F.lit("toxicity"), "_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, how.fit_rows / max(1, n_known)))
+    teaches = F.pmod(F.xxhash64(F.lit("quarter"), "_id"), F.lit(4)) > 0
+    # fit_rows ids and marks, about half a megabyte: texts need not be shuffled to find them
     chosen = F.broadcast(known.where(share))
-    learn = docs.where(~F.col("held_out")).join(chosen, F.col("doc_id") == F.col("_id")).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "_id"), F.lit(2)))
-    dictionaries = train_dictionaries(learn.where("half = 0").select("text", "toxic"), how)
+    learn = docs.where(~F.col("held_out")).join(chosen, F.col("doc_id") == F.col("_id"))
+    dictionaries = train_dictionaries(learn.where(teaches).select("text", "toxic"), how)
     if dictionaries is None:
         return docs.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     measured = cut(gauge(docs, dictionaries, how).select("doc_id", "held_out", "gauge"), "toxicity-gauges")
-    judged = measured.where(~F.col("held_out")).join(chosen, F.col("doc_id") == F.col("_id")).where(F.pmod(F.xxhash64(F.lit("half"), "_id"), F.lit(2)) == 1)
+    judged = measured.where(~F.col("held_out")).join(chosen, F.col("doc_id") == F.col("_id")).where(~teaches)
     weights = calibrate(judged.select("gauge", "toxic")) or [0.0] * len(_features()) + [-50.0]
     line = F.lit(weights[-1])
     for w, f in zip(weights, _features()):

@@ -268,3 +268,57 @@ def test_quality_hard_cases(spark):
     with pytest.warns(UserWarning, match="no dictionary"):
         both = quality_compression.classify(docs, spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int"))
     assert both.count() == 5
+
+
+# toxicity as a whole
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    """Every step after the dictionaries in plain Python: window differences, features, the curve's order, thresholds."""
+    from chronoprob.llm import toxicity
+
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    texts = []
+    for i in range(600):
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(5, 60))]
+        if i % 4 == 0:
+            w[rng.randrange(len(w))] = rng.choice(["Scumbagger", "MORONICAL", "patheticus"])
+        texts.append(" ".join(w))
+    texts += [texts[0], None, "", "x " * 5000]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
+    how = toxicity.Distance()
+    out = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(len(texts))}
+    mark = {r.id: r.k for r in spark.range(600).select("id", F.pmod(F.xxhash64(F.lit("quarter"), "id"), F.lit(4)).alias("k")).collect()}
+    learn = spark.createDataFrame([(texts[i], int(i % 4 == 0)) for i in range(600) if not out[i] and mark[i] > 0], "text string, toxic int")
+    gauge = toxicity.Gauge(toxicity.train_dictionaries(learn), how)
+    rows = {}
+    for i, t in enumerate(texts):
+        d = sorted(gauge.differences(t))
+        rows[i] = (d[-1], sum(d[-2:]), sum(d) / len(d), np.log1p(len(d))) if d else (0.0, 0.0, 0.0, 0.0)
+    x = np.array([[a, b, c, n, *[max(a - k, 0.0) for k in (2, 4, 6, 12)]] for a, b, c, n in rows.values()])
+    fit = [i for i in range(600) if not out[i] and mark[i] == 0]
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    model = LogisticRegression(maxIter=50, regParam=1e-4).fit(spark.createDataFrame([(Vectors.dense(x[i]), float(i % 4 == 0)) for i in fit], ["features", "label"]))
+    want = 1 / (1 + np.exp(-(x @ model.coefficients.toArray() + model.intercept)))
+    assert np.array([got[i].score for i in range(len(texts))]) == pytest.approx(want, abs=1e-6)
+    assert all(got[i].predicted == int(got[i].score >= 0.3) and got[i].held_out == out[i] for i in got)
+    held = [i for i in range(600) if out[i]]
+    assert np.mean([got[i].predicted == int(i % 4 == 0) for i in held]) > 0.95
+
+
+def test_toxicity_without_selection_and_without_text(spark):
+    from chronoprob.llm import toxicity
+
+    rng = random.Random(22)
+    texts = [(" ".join(rng.choice(["river", "stone", "cloud"]) for _ in range(30)) + f" {k}", 0) for k in range(80)] + [(" ".join(rng.choice(["scum", "trash"]) for _ in range(30)) + f" {k}", 1) for k in range(40)]
+    made = toxicity.train_dictionaries(spark.createDataFrame(texts, "text string, toxic int"), toxicity.Distance(select=False, ordinary_bytes=1024))
+    gauge = toxicity.Gauge(made, toxicity.Distance())
+    assert max(gauge.differences("scum trash scum trash")) > 0  # what ordinary text has stands in both dictionaries
+    assert max(gauge.differences("river stone cloud river")) <= 0
+    with pytest.warns(UserWarning, match="no dictionary"):
+        assert toxicity.train_dictionaries(spark.createDataFrame([("a", 0), ("b", 1)], "text string, toxic int"), toxicity.Distance(select=False)) is None

@@ -687,7 +687,7 @@ def test_copies_of_a_toxic_text_push_no_words_out(spark):
     copies = [" ".join(copied)] * 150 + [" ".join([*copied[:k], "edit", *copied[k + 1 :]]) for k in range(150)]
     texts = [(t, 1) for t in toxic + copies] + [(sentences(rng, 60), 0) for _ in range(600)]
     # a window of each slur is shorter under the toxic dictionary, a window of the copied text is not
-    gauge = toxicity.Gauge(*toxicity.train_dictionaries(spark.createDataFrame(texts, "text string, toxic int")), toxicity.Distance())
+    gauge = toxicity.Gauge(toxicity.train_dictionaries(spark.createDataFrame(texts, "text string, toxic int")), toxicity.Distance())
     lead = " ".join(sentences(rng, 5).split())
     assert all(max(gauge.differences(f"{lead} {s} {lead}")) > 0 for s in slurs)
     assert sum(d > 0 for d in gauge.differences(" ".join(copied))) <= 2
@@ -704,7 +704,7 @@ def test_dictionaries_learn_phrases_of_ordinary_words(spark):
     own = ["gabmut", "dekfas", "kobdit"]
     texts = [(" ".join([*said(20), *own, *said(20)]), 1) for _ in range(120)]
     texts += [(" ".join([*own[:1], *said(9), *own[1:2], *said(9), *own[2:], *said(20)]), 0) for _ in range(700)]
-    gauge = toxicity.Gauge(*toxicity.train_dictionaries(spark.createDataFrame(texts, "text string, toxic int")), toxicity.Distance())
+    gauge = toxicity.Gauge(toxicity.train_dictionaries(spark.createDataFrame(texts, "text string, toxic int")), toxicity.Distance())
     # bytes come in whole numbers, so the mean over windows with other neighbours counts
     near = list(zip(words[:40], words[1:41]))
     phrase = np.mean([gauge.differences(f"{a} gabmut dekfas kobdit {b}")[0] for a, b in near])
@@ -738,7 +738,7 @@ def test_window_differences_equal_zstandard():
 
     ordinary, toxic = b"\0" * 30 + b" the usual words of it " * 20, b" vile scumbag and moron insult" + b" the usual words of it " * 20
     how = toxicity.Distance(window=3, window_chars=40)
-    gauge = toxicity.Gauge(ordinary, toxic, how)
+    gauge = toxicity.Gauge([(ordinary, toxic), (ordinary, toxic)], how)
 
     def size(part, dictionary):
         shape = zstandard.ZstdCompressionParameters.from_level(9, write_content_size=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
@@ -749,7 +749,7 @@ def test_window_differences_equal_zstandard():
         joined = [f" {' '.join(w[i : i + 3])} " for i in range(0, len(w), 3)]
         parts = [p[i : i + 40].encode() for p in joined for i in range(0, len(p), 40)]
         assert toxicity.windows(text, how) == parts
-        assert gauge.differences(text) == [size(p, ordinary) - size(p, toxic) for p in parts]
+        assert gauge.differences(text) == [2 * (size(p, ordinary) - size(p, toxic)) for p in parts]
     assert max(gauge.differences("vile scumbag moron")) > 0
 
 
