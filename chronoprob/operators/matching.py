@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoprob.functions import probability as P
-from chronoprob.functions.vectors import squared_distance
+from chronoprob.functions.vectors import md5_unit, squared_distance
 from chronoprob.sources.observations import cut
 
 from . import features as T
+from .ranks import placed
 
 
 def class_labels(df: DataFrame) -> list:
@@ -85,6 +86,57 @@ def conditional_coral(df: DataFrame, pseudo: DataFrame, regularization: float =
     return moved.unionByName(df.where("role = 'target'")), fell
 
 
+def simplex_template(n: int, k: int) -> np.ndarray:
+    """``n`` anchors as far from one another as can be, around 0, in ``k`` dimensions: the first columns of an orthonormal
+    basis of what is orthogonal to the constant (column j sets anchor j + 1 against those before it)."""
+    if n < 2 or not 0 < k < n:
+        raise ValueError("a template takes two anchors at least, and fewer dimensions than anchors")
+    out = np.zeros((n, k))
+    for j in range(k):
+        out[: j + 1, j], out[j + 1, j] = -1.0, j + 1.0
+        out[:, j] /= np.sqrt((j + 1.0) * (j + 2.0))
+    return out
+
+
+def contrastive_alignment(df: DataFrame, components: int = 64, repetitions: int | None = None, seed: int = 0, regularization: float = 1e-3, domain: str = "domain") -> DataFrame:
+    """Rows of each domain in a common space in which different anchors are apart: a ridge regression of the domain's
+    anchors on a fixed template. Anchors are class means of the classes that all domains have, or, with ``repetitions``,
+    so many rows of each such class, drawn by a hash; classes with fewer rows in a domain are left out.
+
+    The template is the same for all domains, so each domain's anchors and regression are one small group, and its
+    matrix meets its rows by a join: nothing of the domains goes through the driver."""
+    rows = df.select(domain, "label", "row_id", "x")
+    least = repetitions or 1
+    full = rows.groupBy(domain, "label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    n_domains = rows.agg(F.count_distinct(domain)).first()[0]
+    shared = sorted(r.label for r in full.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") == n_domains).collect())  # classes
+    if repetitions is None:
+        anchors = T.class_means(rows.where(F.col("label").isin(shared)).select(domain, "label", "x"), [domain, "label"]).select(domain, "label", F.lit(1).alias("k"), F.col("mean").alias("x"))
+    else:
+        drawn = rows.where(F.col("label").isin(shared)).withColumn("_u", md5_unit(F.lit(seed), F.col("row_id")))
+        placed_rows = placed(drawn, F.col("_u"), ["_u", "row_id"], [domain, "label"], "k", "_all")
+        anchors = placed_rows.where(F.col("k") <= repetitions).select(domain, "label", F.col("k").cast("int").alias("k"), "x")
+    n, d = len(shared) * least, rows.select(F.size("x").alias("d")).first().d
+    template = simplex_template(n, min(components, n - 1, d))
+    kind = dict(df.dtypes)[domain]
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.stack(pdf.sort_values(["label", "k"])["x"].to_list())
+        mean = a.mean(axis=0)
+        gram = (a - mean).T @ (a - mean)
+        ridge = regularization * max(np.trace(gram) / d, 1.0)
+        w = np.linalg.solve(gram + ridge * np.eye(d), (a - mean).T @ template)
+        return pd.DataFrame({domain: [pdf[domain].iloc[0]], "_mean": [mean.tolist()], "_w": [w.ravel().tolist()]})
+
+    maps = cut(anchors.groupBy(domain).applyInPandas(solve, f"{domain} {kind}, _mean array<double>, _w array<double>"), "contrastive")
+
+    @F.pandas_udf("array<double>")
+    def apply(x: pd.Series, mean: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([(np.asarray(a) - np.asarray(m)) @ np.asarray(b).reshape(d, -1) for a, m, b in zip(x, mean, w)], dtype=object)
+
+    return df.join(maps, domain).withColumn("x", apply("x", "_mean", "_w")).select(*df.columns)
+
+
 def _near_classes(rows: DataFrame, means: np.ndarray, temperature: float) -> DataFrame:
     """``rows`` with ``q``: softmax(-d / temperature) of the squared distances to the class means."""
     d = F.array(*[squared_distance(F.col("_z"), F.array(*[F.lit(float(v)) for v in m])) for m in means])

@@ -222,6 +222,33 @@ def press_path(scores: np.ndarray, stay: np.ndarray, complete: bool = True) -> t
     return total, path
 
 
+def prefix_ends(scores: np.ndarray, stay: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each prefix of the rows, the score and the last state of its best path, complete or not: what the forward
+    pass of ``press_path`` holds after each row."""
+    hold, on = np.log(np.clip(stay, 1e-6, 1 - 1e-6)), np.log(np.clip(1 - stay, 1e-6, 1.0))
+    best = np.full(scores.shape[1], -np.inf)
+    best[:2] = scores[0, :2] + [0.0, on[0]]
+    held = [best]
+    for row in scores[1:]:
+        moved = np.concatenate([[-np.inf], best[:-1] + on[:-1]])
+        best = np.maximum(best + hold, moved) + row
+        held.append(best)
+    every = np.stack(held)
+    return every.max(axis=1), every.argmax(axis=1)
+
+
+def template_prefixes(e: np.ndarray, templates: Sequence[Sequence[int]], stay: float | Sequence[float], priors: np.ndarray | None = None, template_weight: float = 0.15, **more) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(template, state, label) at the end of each prefix, as ``template_path`` of the prefix would have them; ``priors``
+    are the templates' probabilities as of each row."""
+    share = np.ones((len(e), len(templates))) if priors is None else np.asarray(priors, dtype=np.float64)
+    share = np.log(np.clip(share / np.maximum(share.sum(axis=1, keepdims=True), EPS), EPS, 1.0))
+    ends = [prefix_ends(press_scores(e, order, **more), np.broadcast_to(np.asarray(stay, dtype=np.float64), (2 * len(order) + 1,))) for order in templates]
+    number = np.stack([total + template_weight * share[:, k] for k, (total, _) in enumerate(ends)], axis=1).argmax(axis=1)
+    state = np.stack([s for _, s in ends], axis=1)[np.arange(len(e)), number]
+    labels = [templates[n][(s - 1) // 2] if s % 2 else 0 for n, s in zip(number, state)]
+    return number, state, np.array(labels, dtype=int)
+
+
 def template_path(e: np.ndarray, templates: Sequence[Sequence[int]], stay: float | Sequence[float], prior: np.ndarray | None = None, template_weight: float = 0.15, complete: bool = True, **more) -> tuple[int, np.ndarray, np.ndarray]:
     """(template, states, labels) of the best template; the first of equals. ``prior`` are the templates'
     probabilities. Without a path (too few rows) the template is -1 and all is rest."""
@@ -243,7 +270,8 @@ def structured(df: DataFrame, sequence: Sequence[str], row: str, templates: Sequ
 
     ``position``, ``overlap`` and ``template`` name columns of more predictions: of the place in the order
     (array, rest first), of a press going on (double), of the template (array, its mean over the trial counts).
-    ``causal`` decodes each prefix by itself, complete or not, so that later rows change nothing."""
+    ``causal`` decodes each prefix by itself, complete or not, so that later rows change nothing; one forward pass
+    has them all."""
     types = dict(df.dtypes)
     given = [c for c in (position, overlap, template) if c]
 
@@ -251,16 +279,12 @@ def structured(df: DataFrame, sequence: Sequence[str], row: str, templates: Sequ
         pdf = pdf.sort_values("time")
         e, stacked = emissions(pdf["p"]), lambda c: np.stack([np.asarray(x, dtype=np.float64) for x in pdf[c]])
 
-        def decoded(n: int, complete: bool) -> tuple[int, np.ndarray, np.ndarray]:
-            more = {"position": stacked(position)[:n]} if position else {}
-            more |= {"overlap": pdf[overlap].to_numpy(dtype=float)[:n]} if overlap else {}
-            return template_path(e[:n], templates, stay, stacked(template)[:n].mean(axis=0) if template else None, complete=complete, **more, **weights)
-
+        more = ({"position": stacked(position)} if position else {}) | ({"overlap": pdf[overlap].to_numpy(dtype=float)} if overlap else {})
         if causal:
-            got = [decoded(t + 1, False) for t in range(len(e))]
-            number, states, labels = ([g[0] for g in got], [int(g[1][-1]) for g in got], [int(g[2][-1]) for g in got])
+            priors = stacked(template).cumsum(axis=0) / np.arange(1, len(e) + 1)[:, None] if template else None
+            number, states, labels = template_prefixes(e, templates, stay, priors, **more, **weights)
         else:
-            n, states, labels = decoded(len(e), True)
+            n, states, labels = template_path(e, templates, stay, stacked(template).mean(axis=0) if template else None, **more, **weights)
             number = [n] * len(e)
         return pd.DataFrame({row: pdf[row].tolist(), "template": number, "state": states, "label": labels})
 

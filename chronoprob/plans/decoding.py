@@ -225,6 +225,12 @@ def m15_ridge(spark: SparkSession, sf: str) -> DataFrame:
     return C.anchor_alignment(feat(spark, sf), mode="ridge", regularization=1.0)[0].select("row_id", "domain", "x")
 
 
+@query("m15_contrastive_alignment")
+def m15_contrastive(spark: SparkSession, sf: str) -> DataFrame:
+    """Three rows of each class as anchors of a fixed template."""
+    return M.contrastive_alignment(feat(spark, sf), 6, 3).select("row_id", "domain", "x")
+
+
 @query("m16_alignment_diagnostics")
 def m16(spark: SparkSession, sf: str) -> DataFrame:
     """Anchors' correlation with the template before and after, beside the rows aligned."""

@@ -256,3 +256,35 @@ def test_joint_adaptation_equals_the_matrices(spark, soft, unit):
     assert [got[i].predicted for i in np.flatnonzero(g == 0)] == [10 * c for c in pseudo]
     assert all(got[i].predicted is None for i in np.flatnonzero(g > 0))
     assert (facts["rounds"], facts["stable"]) == (done, stable)
+
+
+# contrastive alignment
+
+
+def test_template_is_a_simplex():
+    t = M.simplex_template(5, 4)
+    assert t.sum(axis=0) == pytest.approx(0.0) and t.T @ t == pytest.approx(np.eye(4))
+    d = ((t[:, None] - t) ** 2).sum(axis=2)
+    assert d[~np.eye(5, dtype=bool)] == pytest.approx(2.0)
+    with pytest.raises(ValueError):
+        M.simplex_template(3, 3)
+
+
+@pytest.mark.parametrize("repetitions", [None, 4])
+def test_contrastive_alignment_equals_numpy(spark, repetitions):
+    import hashlib
+
+    df, x, y, g = problem(spark, 200, d=4, seed=15)
+    out = {r.row_id: r.x for r in M.contrastive_alignment(df, 3, repetitions, 7, 0.01).collect()}
+    unit = [int(hashlib.md5(f"7:{i}".encode()).hexdigest()[:8], 16) / 2**32 for i in range(200)]
+    for k in range(4):
+        anchors = []
+        for c in range(3):
+            own = [i for i in range(200) if g[i] == k and y[i] == c]
+            anchors += [x[own].mean(axis=0)] if repetitions is None else list(x[sorted(own, key=lambda i: (unit[i], i))[:4]])
+        a = np.stack(anchors)
+        t = M.simplex_template(len(a), min(3, len(a) - 1))
+        c = a - a.mean(axis=0)
+        w = np.linalg.solve(c.T @ c + 0.01 * max(np.trace(c.T @ c) / 4, 1.0) * np.eye(4), c.T @ t)
+        for i in np.flatnonzero(g == k):
+            assert out[i] == pytest.approx(((x[i] - a.mean(axis=0)) @ w).tolist(), abs=1e-9)

@@ -68,6 +68,17 @@ def test_press_path_is_the_best_one(complete):
     assert H.template_path(e[:3], templates, 0.88)[0] == -1  # too few rows for three presses with rests
 
 
+def test_prefixes_are_decoded_as_by_themselves():
+    rng = np.random.default_rng(31)
+    e, position, overlap = H.emissions(dirichlet(9, 4, 30)), np.stack(dirichlet(9, 4, 31)), rng.random(9)
+    tell, templates = np.stack(dirichlet(9, 2, 32)), [(1, 2, 3), (3, 1, 2)]
+    stay = rng.uniform(0.3, 0.9, 7)
+    number, state, label = H.template_prefixes(e, templates, stay, tell.cumsum(axis=0) / np.arange(1, 10)[:, None], position=position, overlap=overlap)
+    for n in range(1, 10):
+        one = H.template_path(e[:n], templates, stay, tell[:n].mean(axis=0), complete=False, position=position[:n], overlap=overlap[:n])
+        assert (number[n - 1], state[n - 1], label[n - 1]) == (one[0], one[1][-1], one[2][-1])
+
+
 def test_online_steps_before_and_after_the_row():
     e = H.emissions(dirichlet(30, 3, 4))
     prior = np.full(3, 1 / 3)
