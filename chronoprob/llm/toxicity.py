@@ -203,13 +203,29 @@ class Gauge:
         import zstandard
 
         shape = zstandard.ZstdCompressionParameters.from_level(how.level, write_content_size=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-        tool = lambda d: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=shape).compress
+
+        def tool(content: bytes):
+            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(compression_params=shape)
+            return zstandard.ZstdCompressor(dict_data=held, compression_params=shape).compress
+
         self.pairs, self.how = [(tool(ordinary), tool(toxic)) for ordinary, toxic in pairs], how
+        self.known: dict[bytes, int] = {}
 
     def differences(self, text: str | None) -> list[int]:
         """For each window, how many bytes shorter toxic dictionaries make it than ordinary ones, over all pairs."""
-        parts = [LEAD + p for p in windows(text, self.how)]
-        return [sum(len(ordinary(p)) - len(toxic(p)) for ordinary, toxic in self.pairs) for p in parts]
+        return [self._difference(p) for p in windows(text, self.how)]
+
+    def _difference(self, window: bytes) -> int:
+        """Copies of texts and passages repeat windows: some that were weighed lately are kept."""
+        found = self.known.get(window)
+        if found is None:
+            part = LEAD + window
+            found = sum(len(ordinary(part)) - len(toxic(part)) for ordinary, toxic in self.pairs)
+            if len(self.known) >= 100_000:
+                self.known.clear()
+            self.known[window] = found
+        return found
 
 
 def gauge(docs: DataFrame, dictionaries: list[tuple[bytes, bytes]], how: Distance = Distance()) -> DataFrame:

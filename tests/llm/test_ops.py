@@ -810,7 +810,7 @@ def test_pipeline_equals_a_plain_version(spark, tmp_path):
             words = text.split()
             words[rng.randrange(len(words))] = f"edit{k}"
             near.append(" ".join(words))
-    private = [f"{sentences(rng, 20)} wilbrix jo{k % 3}@example.com {sentences(rng, 20)}" for k in range(30)]
+    private = [f"{sentences(rng, 20)} wilbrix jo@example.com {sentences(rng, 20)}" for k in range(30)]  # one word, one entity
     texts = clean + junk + short + near + clean[50:80] + private
     rows = [(i, t, "en", rng.choice(["a", "a", "b", None]), len(t or "")) for i, t in enumerate(texts)] + [(None, clean[3], None, None, 1), (7, clean[7], "en", "a", 1)]
     docs = spark.createDataFrame(rows, DOCS)
