@@ -40,4 +40,22 @@ nl AS (SELECT x AS k, count(*) AS n_links FROM li GROUP BY 1)
 SELECT w.doc_id, coalesce(class_id, w.doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(first, w.doc_id) AS copy_of
 FROM w LEFT JOIN dk ON dk.doc_id = w.doc_id LEFT JOIN sets ON sets.k = dk.k LEFT JOIN cl ON cl.k = dk.k LEFT JOIN nl ON nl.k = dk.k"""
 
-SQL = {"op6_chat_format": CHAT, "op7_exact_top_k": TOP_K, "op8_warc": WARC, "op9_jaccard_join": JACCARD}
+
+
+def _part_codes(rounds: int = 6) -> str:
+    """All rounds one after another; numbers are integers as doubles, which hold these sums exactly."""
+    near = "SELECT vec_id, v.p, v.v, arg_min(e, {d} * 16 + e) AS e, min({d}) AS d FROM v JOIN b{k} b ON b.p = v.p GROUP BY vec_id, v.p, v.v"
+    d = "(list_inner_product(v.v, v.v) - 2 * list_inner_product(v.v, b.c) + list_inner_product(b.c, b.c))"
+    steps = [f"""a{k} AS MATERIALIZED ({near.format(d=d, k=k)}), m{k} AS (SELECT p, e, i, floor(sum(v[i]) / count(*)) AS c FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS i FROM a{k}) GROUP BY 1, 2, 3),
+n{k} AS (SELECT p, e, list(c ORDER BY i) AS c FROM m{k} GROUP BY 1, 2), b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.c, b.c) AS c FROM b{k} b LEFT JOIN n{k} n ON n.p = b.p AND n.e = b.e)""" for k in range(rounds)]
+    return f"""WITH k AS (SELECT vec_id, label, [floor(4096 * CAST(x AS DOUBLE)) for x in embedding] AS q FROM embeddings WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+v AS MATERIALIZED (SELECT vec_id, CAST(p AS INTEGER) AS p, q[p * (len(q) // 8) + 1 : (p + 1) * (len(q) // 8)] AS v FROM k, range(8) t(p)),
+b0 AS MATERIALIZED (SELECT p, e, v AS c FROM (SELECT p, v, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM v) WHERE e < 16),
+{', '.join(steps)}, f AS ({near.format(d=d, k=rounds)}), g AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM f GROUP BY 1),
+h AS (SELECT sha256(string_agg(array_to_string([CAST(x AS BIGINT) for x in c], ','), ',' ORDER BY p, e)) AS h FROM b{rounds})
+SELECT g.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM g JOIN k USING (vec_id), h"""
+
+
+PART_CODES = _part_codes()
+
+SQL = {"op6_chat_format": CHAT, "op7_exact_top_k": TOP_K, "op8_warc": WARC, "op9_jaccard_join": JACCARD, "op12_part_codes": PART_CODES}
