@@ -58,4 +58,34 @@ SELECT g.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGIN
 
 PART_CODES = _part_codes()
 
-SQL = {"op6_chat_format": CHAT, "op7_exact_top_k": TOP_K, "op8_warc": WARC, "op9_jaccard_join": JACCARD, "op12_part_codes": PART_CODES}
+# crc32 by its rule: each bit shifts, and adds the reversed polynomial where a one goes out
+_STEP = "xor(({0}) >> 1, 3988292384 * (({0}) & 1))"
+
+
+def _crc32(text: str) -> str:
+    """A recursive table crc (id, h) of the decimal ids in ``ids``: a bit at a time, eight to each character."""
+    byte = f"CAST(ascii(substr(t, CAST(n // 8 AS INTEGER) + 1, 1)) AS BIGINT)"
+    return f"""cr AS (SELECT id, CAST(id AS VARCHAR) AS t, CAST(0 AS BIGINT) AS n, CAST(4294967295 AS BIGINT) AS c FROM {text}
+  UNION ALL SELECT id, t, n + 1, {_STEP.format(f"CASE WHEN n % 8 = 0 THEN xor(c, {byte}) ELSE c END")} FROM cr WHERE n < 8 * length(t)),
+crc AS (SELECT id, xor(c, 4294967295) AS h FROM cr WHERE n = 8 * length(t))"""
+
+
+#: Runs: equal five-word stretches at a lag make diagonals, whose islands are the runs; of equal stretches the smallest lag.
+RUNS = rf"""WITH RECURSIVE ids AS (SELECT doc_id AS id FROM documents), {_crc32("ids")},
+d AS (SELECT doc_id, [x for x in string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+') if x <> ''] AS w, h, h // 10 AS g FROM documents JOIN crc ON id = doc_id),
+a AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN g % len(w) ELSE 0 END AS a FROM d),
+b AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+pl AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN [CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END for i in range(n)] ELSE w END AS w FROM b),
+k AS (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + 5], chr(1)) AS k FROM (SELECT doc_id, n, w, unnest(range(n - 4)) AS i FROM pl WHERE n >= 6)),
+dg AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.k = y.k AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+il AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM dg),
+st AS (SELECT doc_id, q, min(i) AS s, count(*) + 4 + q AS m FROM il GROUP BY doc_id, q, g),
+r AS (SELECT doc_id, s, m, min(q) AS q FROM st WHERE m >= greatest(6, 4 * q) GROUP BY doc_id, s, m),
+t AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS told, list({{'s': s, 'm': m, 'q': q}} ORDER BY m DESC, s, q)[1] AS best FROM r GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + m)) AS i FROM r),
+wo AS (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS x FROM pl),
+ke AS (SELECT wo.doc_id, string_agg(x, ' ' ORDER BY wo.i) AS kept FROM wo LEFT JOIN gone ON gone.doc_id = wo.doc_id AND gone.i = wo.i WHERE gone.i IS NULL GROUP BY 1)
+SELECT pl.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.m AS BIGINT) AS length, CAST(best.q AS BIGINT) AS period, CAST(1000 * best.m // best.q AS BIGINT) AS exponent_milli, sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM pl LEFT JOIN t ON t.doc_id = pl.doc_id LEFT JOIN ke ON ke.doc_id = pl.doc_id"""
+
+SQL = {"op6_chat_format": CHAT, "op7_exact_top_k": TOP_K, "op8_warc": WARC, "op9_jaccard_join": JACCARD, "op12_part_codes": PART_CODES, "op13_periodic_runs": RUNS}
