@@ -10,6 +10,7 @@ from chronoprob.operators import decode as C
 from chronoprob.operators import features as T
 from chronoprob.operators import gradients as G
 from chronoprob.operators import matching as M
+from chronoprob.operators import source_free as S
 
 from .fixtures import FEAT_SQL, N_FEATURES, OBS_SQL, feat, obs, table
 from .metrics import NLL, rounded
@@ -257,6 +258,22 @@ def m18(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("row_id", P.predicted_index(F.col("p")).alias("predicted"), F.round(P.confidence(F.col("p")), 6).alias("confidence"))
 
 
+@query("m18_setting_grid")
+def m18_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the target by the best of many settings, and what is told of it."""
+    s, t = halves(spark, sf)
+    got, ranked = S.grid(t, C.centroid(s, t), S.grid_settings(thresholds=(0.3, 0.6), weights=(0.25, 0.5)))
+    told = {k: F.lit(round(v, 6) if isinstance(v, float) else v) for k, v in ranked[0].items() if k in ("setting", "score", "rounds", "stop")} if ranked else {}
+    return got.select("row_id", P.predicted_index(F.col("p")).alias("predicted"), F.round(P.confidence(F.col("p")), 6).alias("confidence")).withColumns(told)
+
+
+@query("m18_consensus")
+def m18_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    s, t = halves(spark, sf)
+    got, _ = S.consensus(t, C.centroid(s, t))
+    return got.select("row_id", P.predicted_index(F.col("p")).alias("predicted"), F.round(P.confidence(F.col("p")), 6).alias("confidence"))
+
+
 @query("m19_reconstruction")
 def m19(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(C.reconstruction_error(feat(spark, sf), 3), 6)
