@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoprob.functions import probability as P
-from chronoprob.functions.vectors import md5_unit, squared_distance
+from chronoprob.functions.vectors import dot, md5_unit, row_normalized, squared_distance
 
 from . import features as T
 from .ranks import placed
@@ -51,6 +51,44 @@ def _nearest(test: DataFrame, models: DataFrame, keys: Sequence[str], temperatur
     return decided(both.withColumn("p", P.softmax(scores)), [*keys, "label"])
 
 
+def correlated(train: DataFrame, test: DataFrame, weight: str | None = None) -> DataFrame:
+    """Prototype decoder: softmax of a row's correlation with each class's mean row. ``weight`` names a column of
+    weights of training rows; a class whose weights are all zero counts its rows alike. A row or a mean without
+    variation correlates with nothing (0)."""
+    means = _models(_weighted_class_means(train, weight) if weight else T.class_means(train.select("label", "x"), ["label"]), [])
+    models = means.select("labels", F.transform("means", lambda m: row_normalized(m, "l2", center=True)).alias("means"))
+    scores = P.bound(row_normalized(F.col("x"), "l2", center=True), lambda x: F.transform("means", lambda m: dot(x, m)))
+    return decided(test.join(F.broadcast(models)).withColumn("p", P.softmax(scores)), ["label"])  # one row
+
+
+def _weighted_class_means(train: DataFrame, weight: str) -> DataFrame:
+    """(label, mean): a (label, pos) is added up in parts, so no class is one task."""
+    long = train.select("label", F.col(weight).cast("double").alias("_w"), F.posexplode("x").alias("pos", "v"))
+    added = long.groupBy("label", "pos").agg(F.sum(F.col("_w") * F.col("v")).alias("wv"), F.sum("_w").alias("w"), F.avg("v").alias("plain"))
+    mean = F.when(F.col("w") > 0, F.col("wv") / F.nullif("w", F.lit(0.0))).otherwise(F.col("plain"))
+    return T.arrays(added.select("label", "pos", mean.alias("mean")), ["mean"], ["label"])
+
+
+def blended_prototypes(source: DataFrame, known: DataFrame, test: DataFrame, prior_strength: float = 4.0, fixed: float | None = None, temperature: float = 1.0, scaled: bool = True, floor: float = 1e-8) -> DataFrame:
+    """Nearest prototype, each the source's class mean moved towards the mean of the class's ``known`` target rows: by
+    their number over that number and ``prior_strength``, or by ``fixed``. A class without known rows keeps the
+    source's mean. Distances are over the standard deviation of all rows but ``test``, unless ``scaled`` is off.
+    Known rows of a class that the source lacks are an error."""
+    if prior_strength <= 0 or temperature <= 0 or not (fixed is None or 0 <= fixed <= 1):
+        raise ValueError("prior_strength and temperature are positive, fixed lies between 0 and 1")
+    own = T.class_means(source.select("label", "x"), ["label"])
+    other = T.class_means(known.select("label", "x"), ["label"]).join(known.groupBy("label").agg(F.count("*").alias("_n")), "label").select("label", F.col("mean").alias("_k"), "_n")
+    if strange := [r.label for r in other.join(own, "label", "left_anti").select("label").collect()]:  # classes
+        raise ValueError(f"classes that the source lacks: {sorted(strange)}")
+    n = F.coalesce("_n", F.lit(0))
+    share = F.lit(float(fixed)) if fixed is not None else n / (n + F.lit(float(prior_strength)))
+    moved = F.when(F.col("_k").isNull(), F.col("mean")).otherwise(F.zip_with("mean", "_k", lambda a, b: (1 - share) * a + share * b))
+    models = _models(own.join(other, "label", "left").select("label", moved.alias("mean")), [])
+    spread = T.positions(source.select("x").unionByName(known.select("x"))).groupBy("pos").agg(F.greatest(F.coalesce(F.stddev_samp("v"), F.lit(0.0)), F.lit(floor)).alias("scale"))
+    scale = T.arrays(spread.withColumn("scale", F.col("scale") if scaled else F.lit(1.0)), ["scale"])
+    return _nearest(test, models.join(F.broadcast(scale)), (), temperature)  # one row each
+
+
 #: Shapes of the variances of a Gaussian decoder.
 COVARIANCES = ("diagonal", "tied_diagonal", "spherical", "tied_spherical")
 
@@ -373,11 +411,16 @@ def anchor_alignment(df: DataFrame, domain: str = "domain", rounds: int = 3, mod
 def few_shot(df: DataFrame, per_class: int, repeats: int, seed: int = 0) -> DataFrame:
     """Target rows left for evaluation under centroids of the source rows and ``per_class`` seeded target rows
     of each class that count ``repeats`` times."""
-    t = df.where("role = 'target'")
-    drawn = t.withColumn("_u", md5_unit(F.lit(seed), F.col("row_id")))
-    split = placed(drawn, F.col("_u"), ["_u", "row_id"], ["label"], "_n", "_all").drop("_u", "_all")
-    known = split.where(F.col("_n") <= per_class).drop("_n").withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).drop("_r")
-    return centroid(df.where("role = 'source'").unionByName(known), split.where(F.col("_n") > per_class).drop("_n"))
+    known, rest = few_known(df, per_class, seed)
+    known = known.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).drop("_r")
+    return centroid(df.where("role = 'source'").unionByName(known), rest)
+
+
+def few_known(df: DataFrame, per_class: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Target rows: the ``per_class`` of each class that a draw puts first, and the others."""
+    t = df.where("role = 'target'").withColumn("_u", md5_unit(F.lit(seed), F.col("row_id")))
+    split = placed(t, F.col("_u"), ["_u", "row_id"], ["label"], "_n", "_all").drop("_u", "_all")
+    return split.where(F.col("_n") <= per_class).drop("_n"), split.where(F.col("_n") > per_class).drop("_n")
 
 
 def source_free(df: DataFrame, start: DataFrame, threshold: float = 0.3, rounds: int = 3, blend: float = 0.5) -> DataFrame:

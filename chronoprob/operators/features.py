@@ -7,6 +7,7 @@ number for each feature, whose size the number of features bounds, so it is broa
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -247,6 +248,24 @@ def random_features(df: DataFrame, dim: int, k: int, gamma: float | None = None,
     return df.withColumn("x", apply("x"))
 
 
+def sparse_matrix(dim: int, k: int, density: float | None = None, seed: int = 0) -> np.ndarray:
+    """Entries of either sign, kept with a chance of ``density`` (one over the root of ``dim`` by default), over the
+    root of ``density`` times ``k``; draws are hashes of seed, row and column, so that any engine has the same."""
+    density = 1 / np.sqrt(dim) if density is None else density
+    if not 0 < density <= 1:
+        raise ValueError("density lies above 0 and at most at 1")
+    unit = lambda kind, i, j: int(hashlib.md5(f"{kind}:{seed}:{i}:{j}".encode()).hexdigest()[:8], 16) / 2**32
+    entry = lambda i, j: (unit("keep", i, j) < density) * (1.0 if unit("sign", i, j) < 0.5 else -1.0)
+    return np.array([[entry(i, j) for j in range(k)] for i in range(dim)]).reshape(dim, k) / np.sqrt(density * k)
+
+
+def sparse_projected(df: DataFrame, dim: int, k: int, density: float | None = None, seed: int = 0) -> DataFrame:
+    """Rows times ``sparse_matrix``: each new entry adds up the few old ones that its column keeps."""
+    w = sparse_matrix(dim, k, density, seed)
+    kept = [[F.get("x", F.lit(int(i))) * F.lit(float(w[i, j])) for i in np.flatnonzero(w[:, j])] for j in range(k)]
+    return df.withColumn("x", F.array(*[sum(c[1:], c[0]) if c else F.lit(0.0) for c in kept]))
+
+
 def class_means(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, mean): mean rows."""
     return arrays(positions(df).groupBy(*keys, "pos").agg(F.avg("v").alias("mean")), ["mean"], keys)

@@ -250,6 +250,33 @@ def m17(spark: SparkSession, sf: str) -> DataFrame:
     return C.few_shot(feat(spark, sf), 2, 3).select("row_id", "label", "predicted")
 
 
+BLEND = f"""WITH {FEAT_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY left(md5('0:' || row_id), 8), row_id) AS n FROM feat WHERE role = 'target'),
+a AS (SELECT * FROM feat WHERE role = 'source' UNION ALL SELECT * EXCLUDE n FROM k WHERE n <= 3),
+ms AS (SELECT label, role, count(*) AS n, {', '.join(f'avg(x{i}) AS m{i}' for i in D8)} FROM a GROUP BY 1, 2), sd AS (SELECT {', '.join(f'greatest(stddev_samp(x{i}), 1e-8) AS s{i}' for i in D8)} FROM a),
+cm AS (SELECT s.label, {', '.join(f'CASE WHEN t.n IS NULL THEN s.m{i} ELSE (4 * s.m{i} + t.n * t.m{i}) / (4 + t.n) END AS m{i}' for i in D8)} FROM ms s LEFT JOIN ms t ON t.label = s.label AND t.role = 'target' WHERE s.role = 'source'),
+s AS (SELECT k.row_id, k.label, cm.label AS c, -({d2('k', 'cm', 'sd')}) AS sc FROM k, cm, sd WHERE k.n > 3), e AS (SELECT *, exp(sc - max(sc) OVER (PARTITION BY row_id)) AS e FROM s), p AS (SELECT *, e / sum(e) OVER (PARTITION BY row_id) AS p FROM e)
+SELECT row_id, label, CAST(arg_max(c, p) AS INTEGER) AS predicted, round(max(p), 6) AS confidence FROM p GROUP BY 1, 2"""
+
+
+@query("m1_blended_prototypes", BLEND)
+def m1_blended(spark: SparkSession, sf: str) -> DataFrame:
+    f = feat(spark, sf)
+    known, rest = C.few_known(f, 3)
+    return C.blended_prototypes(f.where("role = 'source'"), known, rest).select("row_id", "label", "predicted", F.round(F.array_max("p"), 6).alias("confidence"))
+
+
+CORRELATED = f"""WITH {FEAT_SQL}, w AS (SELECT label, pos, sum(v * (1 + row_id % 3)) / sum(1 + row_id % 3) AS v FROM longf WHERE role = 'source' GROUP BY 1, 2),
+s AS (SELECT row_id, w.label, corr(f.v, w.v) AS sc FROM longf f JOIN w USING (pos) WHERE f.role = 'target' GROUP BY 1, 2), e AS (SELECT *, exp(sc - max(sc) OVER (PARTITION BY row_id)) AS e FROM s), p AS (SELECT *, e / sum(e) OVER (PARTITION BY row_id) AS p FROM e)
+SELECT row_id, CAST(arg_max(label, p) AS INTEGER) AS predicted, round(max(p), 6) AS confidence FROM p GROUP BY 1"""
+
+
+@query("m1_correlated_prototypes", CORRELATED)
+def m1_correlated(spark: SparkSession, sf: str) -> DataFrame:
+    """Source rows weigh 1, 2 or 3."""
+    s, t = halves(spark, sf)
+    return C.correlated(s.withColumn("weight", 1 + F.col("row_id") % 3), t, "weight").select("row_id", "predicted", F.round(F.array_max("p"), 6).alias("confidence"))
+
+
 @query("m18_source_free")
 def m18(spark: SparkSession, sf: str) -> DataFrame:
     s, t = halves(spark, sf)

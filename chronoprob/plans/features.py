@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,6 +137,18 @@ def j11(spark: SparkSession, sf: str) -> DataFrame:
     return T.random_features(feat(spark, sf), N_FEATURES, 16, gamma=1.0, seed=3)
 
 
+KEEP = f"{math.ceil(2**32 / math.sqrt(N_FEATURES)):08x}"  # hex digits of the density's share of 32 bits
+
+
+@query("j11_sparse_projection", f"""WITH {FEAT_SQL}, w AS (SELECT i AS pos, j, CASE WHEN left(md5('sign:3:' || i || ':' || j), 8) < '80000000' THEN 1 ELSE -1 END / sqrt(16 / sqrt({N_FEATURES})) AS w
+FROM range({N_FEATURES}) a(i), range(16) b(j) WHERE left(md5('keep:3:' || i || ':' || j), 8) < '{KEEP}'),
+y AS (SELECT row_id, o.j, coalesce(sum(v * w), 0) AS v FROM longf CROSS JOIN range(16) o(j) LEFT JOIN w ON w.pos = longf.pos AND w.j = o.j GROUP BY 1, 2)
+SELECT row_id, CAST(j AS INTEGER) AS pos, round(v, 9) + 0.0 AS v FROM y""")
+def j11_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    y = T.sparse_projected(feat(spark, sf), N_FEATURES, 16, seed=3).select("row_id", F.posexplode("x").alias("pos", "v"))
+    return y.withColumn("v", F.round("v", 9) + F.lit(0.0))
+
+
 MEANS = f"{FEAT_SQL}, cm AS (SELECT label, {', '.join(f'avg(x{i}) AS m{i}' for i in range(N_FEATURES))} FROM feat WHERE role = 'source' GROUP BY 1)"
 D2 = " + ".join(f"(x{i} - m{i}) * (x{i} - m{i})" for i in range(N_FEATURES))
 
