@@ -88,4 +88,65 @@ ke AS (SELECT wo.doc_id, string_agg(x, ' ' ORDER BY wo.i) AS kept FROM wo LEFT J
 SELECT pl.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.m AS BIGINT) AS length, CAST(best.q AS BIGINT) AS period, CAST(1000 * best.m // best.q AS BIGINT) AS exponent_milli, sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM pl LEFT JOIN t ON t.doc_id = pl.doc_id LEFT JOIN ke ON ke.doc_id = pl.doc_id"""
 
-SQL = {"op6_chat_format": CHAT, "op7_exact_top_k": TOP_K, "op8_warc": WARC, "op9_jaccard_join": JACCARD, "op12_part_codes": PART_CODES, "op13_periodic_runs": RUNS}
+# xxhash64 by its rule, in unsigned 128-bit numbers kept below 2^64; a hash of several columns seeds each with the last
+_M = 2**64
+_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _u(n: int) -> str:
+    return f"CAST({n} AS UHUGEINT)"
+
+
+def _turn(x: str, by: int) -> str:
+    return f"(({x}) * {_u(2**by)} % {_u(_M)} + ({x}) // {_u(2 ** (64 - by))})"
+
+
+def _xx_steps(name: str, rows: str, seed: str, value: str, long: bool = True) -> str:
+    """Tables up to ``name``: ``rows`` with h, the hash of the integer ``value`` (null leaves the seed)."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    v = f"CAST(CASE WHEN {value} < 0 THEN {value} + CAST({_M} AS HUGEINT) ELSE {value} END AS UHUGEINT)"
+    if long:
+        mixed = f"{_turn(f'k * {_u(p2)} % {_u(_M)}', 31)} * {_u(p1)} % {_u(_M)}"
+        first, last = f"xor((s + {_u(p5 + 8)}) % {_u(_M)}, {mixed})", f"({_turn('h', 27)} * {_u(p1)} + {_u(p4)}) % {_u(_M)}"
+    else:
+        first, last = f"xor((s + {_u(p5 + 4)}) % {_u(_M)}, k * {_u(p1)} % {_u(_M)})", f"({_turn('h', 23)} * {_u(p2)} + {_u(p3)}) % {_u(_M)}"
+    fold = lambda by, times: f"xor(h, h // {_u(2**by)})" + (f" * {_u(times)} % {_u(_M)}" if times else "")
+    steps = [f"{name}0 AS (SELECT *, {v} AS k, {seed} AS s FROM {rows})", f"{name}1 AS (SELECT *, {first} AS h FROM {name}0)", f"{name}2 AS (SELECT * REPLACE ({last} AS h) FROM {name}1)"]
+    steps += [f"{name}{i} AS (SELECT * REPLACE ({fold(*f)} AS h) FROM {name}{i - 1})" for i, f in ((3, (33, p2)), (4, (29, p3)))]
+    return ", ".join([*steps, f"{name} AS (SELECT * EXCLUDE (k, s) REPLACE (CASE WHEN k IS NULL THEN s ELSE {fold(32, 0)} END AS h) FROM {name}4)"])
+
+
+#: The hash of the word holdout, which seeds the hash of an id that names its half.
+_HOLDOUT = 733310306818861564
+_RULES = ("symbol_ratio", "capital_ratio", "shout_ratio", "stutter_ratio", "repeat_ratio", "line_ratio")
+_OF_WORDS = "least(1e0, {0} / greatest(n_words, 1)) AS {1}"
+_RATIO = "CASE rule " + " ".join(f"WHEN '{r}' THEN {r}" for r in _RULES) + " END"
+
+#: Cutoffs proposed by one half, certified by the other with the binomial distribution as a sum of its terms.
+QUALITY = rf"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, [x for x in string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+') if x <> ''] AS w,
+  [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^ \t\n\x0B\f\r]')] AS lines, row_number() OVER () AS nr FROM documents),
+win AS (SELECT nr, i, array_to_string(w[i + 1 : i + 8], chr(1)) AS k FROM (SELECT nr, w, unnest(range(len(w) - 7)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT nr, i FROM win QUALIFY count(*) OVER (PARTITION BY nr, k) > 1),
+rep AS (SELECT nr, count(DISTINCT i + o) AS n FROM twice, range(8) r(o) GROUP BY 1),
+c AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(lines) AS n_lines, len(regexp_extract_all(t, '\p{{Lu}}{{2,}}')) AS caps,
+  len(t) - len(replace(t, '!', '')) AS shouts, len([1 for i in range(2, len(w) + 1) if w[i] = w[i - 1]]) AS stutters FROM d LEFT JOIN rep USING (nr)),
+m AS (SELECT *, {', '.join(_OF_WORDS.format(a, r) for a, r in zip(('n_symbols', 'caps', 'shouts', 'stutters', 'n_repeat_words'), _RULES))}, n_dup_lines / greatest(n_lines, 1) AS line_ratio,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
+lab AS (SELECT doc_id, max(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+pa AS (SELECT m.*, good FROM m JOIN lab USING (doc_id) WHERE NOT base_failed), {_xx_steps('xx', 'pa', _u(_HOLDOUT), 'doc_id')},
+known AS (SELECT * EXCLUDE h, h % 2 AS half FROM xx), rules AS (SELECT unnest({list(_RULES)}) AS rule),
+lo AS (SELECT lang, good, rule, CAST(ceil((1e0 - {_RATIO}) / 2e-2 - 1e-9) AS INTEGER) AS step FROM known, rules WHERE half = 0),
+grid AS (SELECT lang, rule, s, count(*) FILTER (good = 1) AS g, count(*) FILTER (good = 0) AS b FROM lo, range(50) r(s) WHERE step <= s GROUP BY 1, 2, 3),
+best AS (SELECT lang, rule, s, b - 4e0 * g AS worth FROM grid WHERE b > 0 AND b >= 9e-1 * (b + g) QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY worth DESC, s) = 1),
+pro AS (SELECT lang, rule, 1e0 - 2e-2 * s AS cutoff, row_number() OVER (PARTITION BY lang ORDER BY worth DESC, rule) AS place FROM best),
+te AS (SELECT row_number() OVER () AS nr, * FROM known WHERE half = 1 AND good = 1),
+hit AS (SELECT nr, min(place) AS first FROM te JOIN pro ON te.lang IS NOT DISTINCT FROM pro.lang WHERE {_RATIO} >= cutoff - 1e-9 GROUP BY 1),
+un AS (SELECT pro.lang, rule, cutoff, place, count(*) AS n, count(*) FILTER (first <= place) AS k FROM pro JOIN te ON te.lang IS NOT DISTINCT FROM pro.lang LEFT JOIN hit USING (nr) GROUP BY 1, 2, 3, 4),
+pv AS (SELECT lang, rule, cutoff, place, n, k, CASE WHEN k >= n * 5e-2 THEN 1 ELSE list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(5e-2) + (n - j) * ln(95e-2)) for j in range(k + 1)]) END AS p FROM un),
+ok AS (SELECT lang, rule, cutoff FROM pv QUALIFY max(p > 5e-2 / (SELECT count(DISTINCT coalesce('-' || lang, '')) FROM pro)) OVER (PARTITION BY lang ORDER BY place) = FALSE),
+used AS (SELECT lang AS l, map_from_entries(list((rule, cutoff))) AS cut FROM ok GROUP BY 1),
+v AS (SELECT m.*, [x[1] for x in [{', '.join(f"('{r}', {r})" for r in _RULES)}] if x[2] >= cut[x[1]] - 1e-9] AS rejected_by FROM m LEFT JOIN used ON m.lang IS NOT DISTINCT FROM l)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(coalesce(rejected_by, [])) = 0 AS kept, coalesce(rejected_by, []) AS rejected_by FROM v"""
+
+SQL = {"op4_quality_rules": QUALITY, "op6_chat_format": CHAT, "op7_exact_top_k": TOP_K, "op8_warc": WARC, "op9_jaccard_join": JACCARD, "op12_part_codes": PART_CODES, "op13_periodic_runs": RUNS}
