@@ -149,4 +149,58 @@ used AS (SELECT lang AS l, map_from_entries(list((rule, cutoff))) AS cut FROM ok
 v AS (SELECT m.*, [x[1] for x in [{', '.join(f"('{r}', {r})" for r in _RULES)}] if x[2] >= cut[x[1]] - 1e-9] AS rejected_by FROM m LEFT JOIN used ON m.lang IS NOT DISTINCT FROM l)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(coalesce(rejected_by, [])) = 0 AS kept, coalesce(rejected_by, []) AS rejected_by FROM v"""
 
-SQL = {"op4_quality_rules": QUALITY, "op6_chat_format": CHAT, "op7_exact_top_k": TOP_K, "op8_warc": WARC, "op9_jaccard_join": JACCARD, "op12_part_codes": PART_CODES, "op13_periodic_runs": RUNS}
+def _xx_text(name: str, rows: str, seed: str, value: str) -> str:
+    """As ``_xx_steps`` for a text of at most 31 bytes: eight bytes at a time, then four, then one by one."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    m = _u(_M)
+    byte = lambda at: f"CAST('0x' || substr(x, CAST(2 * ({at}) + 1 AS INTEGER), 2) AS UHUGEINT)"
+    number = lambda at, n: " + ".join(f"{byte(f'{at} + {i}')} * {_u(256**i)}" for i in range(n))
+    stages = [(f"n >= {8 * (i + 1)}", f"xor(h, {_turn(f'({number(8 * i, 8)}) * {_u(p2)} % {m}', 31)} * {_u(p1)} % {m})", 27, p1, p4) for i in range(3)]
+    stages += [("n % 8 >= 4", f"xor(h, ({number('n // 8 * 8', 4)}) * {_u(p1)} % {m})", 23, p2, p3)]
+    stages += [(f"n % 4 > {i}", f"xor(h, {byte(f'n // 4 * 4 + {i}')} * {_u(p5)} % {m})", 11, p1, 0) for i in range(3)]
+    steps = [f"{name}a AS (SELECT *, hex({value}) AS x, strlen({value}) AS n, {seed} AS s FROM {rows})", f"{name}b AS (SELECT *, (s + {_u(p5)} + CAST(n AS UHUGEINT)) % {m} AS h FROM {name}a)"]
+    last = f"{name}b"
+    for i, (when, into, by, times, plus) in enumerate(stages):
+        steps.append(f"{name}c{i} AS (SELECT * REPLACE (CASE WHEN {when} THEN {into} ELSE h END AS h) FROM {last})")
+        steps.append(f"{name}d{i} AS (SELECT * REPLACE (CASE WHEN {when} THEN ({_turn('h', by)} * {_u(times)} + {_u(plus)}) % {m} ELSE h END AS h) FROM {name}c{i})")
+        last = f"{name}d{i}"
+    for i, (by, times) in enumerate(((33, p2), (29, p3))):
+        steps.append(f"{name}e{i} AS (SELECT * REPLACE (xor(h, h // {_u(2**by)}) * {_u(times)} % {m} AS h) FROM {last})")
+        last = f"{name}e{i}"
+    return ", ".join([*steps, f"{name} AS (SELECT * EXCLUDE (x, n, s) REPLACE (CASE WHEN x IS NULL THEN s ELSE xor(h, h // {_u(2**32)}) END AS h) FROM {last})"])
+
+
+#: The hash of the integer 17, the seed of the shuffled lines.
+_SEVENTEEN = 5610435394499596547
+
+#: The mix: targets, shuffled lines in blocks of 256 words, golden-ratio points, and what slots take of documents.
+MIX = rf"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS BIGINT) AS size FROM documents),
+it AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) AS copy FROM d), ni AS (SELECT count(*) AS n FROM (SELECT DISTINCT doc_id, source, size FROM d)),
+so AS (SELECT source, CAST(sum(size) AS DOUBLE) AS total, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY 1),
+sw AS (SELECT *, CAST([5, 2, 1][CAST(r % 3 + 1 AS INTEGER)] AS DOUBLE) AS weight, 2 * total AS most FROM so),
+lv AS (SELECT *, (sum(total) OVER () * 15e-1 - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+  row_number() OVER o AS place FROM sw WINDOW o AS (ORDER BY most / weight, r)),
+fl AS (SELECT (SELECT level FROM lv WHERE level * weight < most ORDER BY place LIMIT 1) AS found),
+ta AS (SELECT source, r, CAST(total AS BIGINT) AS total, least(most, coalesce(found * weight, most)) AS target FROM lv, fl),
+go AS (SELECT *, CAST(least(floor(target + 5e-1), 2 * total) AS BIGINT) AS goal, (total + 255) // 256 AS blocks FROM ta),
+sl AS (SELECT *, CASE WHEN total > 0 THEN goal // total * blocks + (goal % total + 255) // 256 ELSE 0 END AS slots FROM go),
+se AS (SELECT *, sum(slots) OVER (ORDER BY r) AS high FROM sl), al AS (SELECT CAST(sum(slots) AS BIGINT) AS n FROM sl),
+po AS (SELECT slot, floor(CAST((slot % 2147483648) * 1327217885 % 2147483648 AS DOUBLE) / 2147483648e0 * n) AS point FROM (SELECT n, unnest(range(n)) AS slot FROM al)),
+ow AS (SELECT slot, r, slots, blocks, row_number() OVER (PARTITION BY r ORDER BY slot) - 1 AS turn FROM po JOIN se ON point >= high - slots AND point < high),
+ha AS (SELECT r, count(*) AS had FROM ow GROUP BY 1),
+la AS (SELECT r, slots, blocks, unnest(range(coalesce(had, 0), CAST(slots AS BIGINT))) AS turn FROM se LEFT JOIN ha USING (r)),
+tu AS (SELECT slot, r, turn, blocks FROM ow WHERE turn < slots UNION ALL SELECT n + turn, r, turn, blocks FROM la, al),
+bl AS (SELECT slot, r, turn % blocks AS block, turn // blocks AS pass FROM tu),
+{_xx_steps('xa', '(SELECT * FROM it WHERE size > 0)', _u(_SEVENTEEN), 'doc_id')}, {_xx_text('xb', '(SELECT * RENAME (h AS seed) FROM xa)', 'seed', 'source')},
+{_xx_steps('xc', '(SELECT * EXCLUDE seed RENAME (h AS seed) FROM xb)', 'seed', 'size')}, {_xx_steps('xd', '(SELECT * EXCLUDE seed RENAME (h AS seed) FROM xc)', 'seed', 'copy', False)},
+ma AS (SELECT * EXCLUDE (h, seed), CASE WHEN h >= {_u(2**63)} THEN CAST(h AS HUGEINT) - {2**64} ELSE CAST(h AS HUGEINT) END AS mark, CAST(h % CAST(shelves AS UHUGEINT) AS BIGINT) AS shelf FROM xd,
+  (SELECT least(65536, CAST(power(2, greatest(0, ceil(log2(greatest(1, n) / 512)))) AS BIGINT)) AS shelves FROM ni)),
+li AS (SELECT doc_id, source, size, copy, sum(size) OVER (PARTITION BY source ORDER BY shelf, mark, doc_id, source, copy ROWS UNBOUNDED PRECEDING) - size AS start FROM ma),
+pi AS (SELECT li.*, r, total, goal, unnest(range(CAST(start // 256 AS BIGINT), CAST((start + size - 1) // 256 + 1 AS BIGINT))) AS block FROM li JOIN go ON go.source IS NOT DISTINCT FROM li.source),
+pf AS (SELECT *, greatest(start, block * 256) AS f, least(start + size, block * 256 + 256) AS e FROM pi),
+tk AS (SELECT doc_id, source, size, copy, slot, least(e - f, greatest(0, goal - pass * total - f)) AS words FROM pf JOIN bl USING (r, block)),
+pe AS (SELECT doc_id, source, size, copy, sum(words) AS taken, min(slot) FILTER (words > 0) AS first_slot FROM tk GROUP BY 1, 2, 3, 4)
+SELECT it.doc_id, it.size, total AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(first_slot AS BIGINT) AS first_slot FROM it JOIN ta ON ta.source IS NOT DISTINCT FROM it.source
+LEFT JOIN pe ON pe.doc_id IS NOT DISTINCT FROM it.doc_id AND pe.source IS NOT DISTINCT FROM it.source AND pe.size = it.size AND pe.copy = it.copy"""
+
+SQL = {"op2_mix_sources": MIX, "op4_quality_rules": QUALITY, "op6_chat_format": CHAT, "op7_exact_top_k": TOP_K, "op8_warc": WARC, "op9_jaccard_join": JACCARD, "op12_part_codes": PART_CODES, "op13_periodic_runs": RUNS}
