@@ -52,7 +52,8 @@ def interval_overlap(windows: DataFrame, intervals: DataFrame, keys: Sequence[st
 
     A range join as an equi-join: both sides are listed under the buckets of time that they touch, and a
     pair counts in the first bucket that both touch. ``windows`` has window_start and window_stop,
-    ``intervals`` has start and stop; both have the keys.
+    ``intervals`` has start and stop; both have the keys. Both sides are shuffled: Spark's size check does not see
+    how many rows a list makes, and would broadcast them through the driver.
     """
     b = F.lit(bucket)
     w = windows.withColumn("_b", F.explode(F.sequence(F.floor(F.col("window_start") / b), F.floor(F.col("window_stop") / b)))).alias("w")
@@ -63,7 +64,7 @@ def interval_overlap(windows: DataFrame, intervals: DataFrame, keys: Sequence[st
     first = F.floor(F.greatest("window_start", "start") / b) == F.col("w._b")
     seconds = F.least("window_stop", "stop") - F.greatest("window_start", "start")
     rest = [c for c in intervals.columns if c not in keys]
-    return w.join(i, on).where(first & (seconds > 0)).select(*[F.col(f"w.{c}") for c in windows.columns], *[F.col(f"i.{c}") for c in rest], seconds.alias("overlap"))
+    return w.hint("merge").join(i.hint("merge"), on).where(first & (seconds > 0)).select(*[F.col(f"w.{c}") for c in windows.columns], *[F.col(f"i.{c}") for c in rest], seconds.alias("overlap"))
 
 
 def assign(events: Sequence[float], notes: Sequence[float], tolerance: float) -> list[int]:
