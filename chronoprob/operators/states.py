@@ -6,6 +6,7 @@ models share (likelihoods over a grid of stay probabilities) is added up by Spar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -21,8 +22,16 @@ def stay_grid(n_states: int, size: int) -> np.ndarray:
 
 
 def emissions(rows) -> np.ndarray:
+    """Log probabilities. Rows that add up to 1 but for rounding stay as they are."""
     p = np.maximum(np.stack([np.asarray(r, dtype=np.float64) for r in rows]), EPS)
-    return np.log(p / p.sum(axis=1, keepdims=True))
+    total = p.sum(axis=1, keepdims=True)
+    return _log(np.where(np.abs(total - 1) <= 1e-9, p, p / total))
+
+
+def _log(p: np.ndarray) -> np.ndarray:
+    """Logarithms by the C library, as SQL has them; numpy's own may be an ulp off, which tells paths apart whose
+    scores are equal but for rounding."""
+    return np.array([math.log(x) for x in p.ravel().tolist()]).reshape(p.shape)
 
 
 def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
@@ -205,7 +214,7 @@ def press_path(scores: np.ndarray, stay: np.ndarray, complete: bool = True) -> t
     """The best path that starts in the first rest or press and stays or goes on by one state at each row;
     ``complete`` paths end in the last press or rest. Of equal moves staying comes first."""
     n_rows, n_states = scores.shape
-    hold, on = np.log(np.clip(stay, 1e-6, 1 - 1e-6)), np.log(np.clip(1 - stay, 1e-6, 1.0))
+    hold, on = _log(np.clip(stay, 1e-6, 1 - 1e-6)), _log(np.clip(1 - stay, 1e-6, 1.0))
     best = np.full(n_states, -np.inf)
     best[:2] = scores[0, :2] + [0.0, on[0]]
     came = np.zeros((n_rows, n_states), dtype=np.int8)  # states that the path comes on by
@@ -225,7 +234,7 @@ def press_path(scores: np.ndarray, stay: np.ndarray, complete: bool = True) -> t
 def prefix_ends(scores: np.ndarray, stay: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each prefix of the rows, the score and the last state of its best path, complete or not: what the forward
     pass of ``press_path`` holds after each row."""
-    hold, on = np.log(np.clip(stay, 1e-6, 1 - 1e-6)), np.log(np.clip(1 - stay, 1e-6, 1.0))
+    hold, on = _log(np.clip(stay, 1e-6, 1 - 1e-6)), _log(np.clip(1 - stay, 1e-6, 1.0))
     best = np.full(scores.shape[1], -np.inf)
     best[:2] = scores[0, :2] + [0.0, on[0]]
     held = [best]
@@ -240,8 +249,10 @@ def prefix_ends(scores: np.ndarray, stay: np.ndarray) -> tuple[np.ndarray, np.nd
 def template_prefixes(e: np.ndarray, templates: Sequence[Sequence[int]], stay: float | Sequence[float], priors: np.ndarray | None = None, template_weight: float = 0.15, **more) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(template, state, label) at the end of each prefix, as ``template_path`` of the prefix would have them; ``priors``
     are the templates' probabilities as of each row."""
-    share = np.ones((len(e), len(templates))) if priors is None else np.asarray(priors, dtype=np.float64)
-    share = np.log(np.clip(share / np.maximum(share.sum(axis=1, keepdims=True), EPS), EPS, 1.0))
+    share = np.zeros((len(e), len(templates)))
+    if priors is not None:
+        priors = np.asarray(priors, dtype=np.float64)
+        share = np.log(np.clip(priors / np.maximum(priors.sum(axis=1, keepdims=True), EPS), EPS, 1.0))
     ends = [prefix_ends(press_scores(e, order, **more), np.broadcast_to(np.asarray(stay, dtype=np.float64), (2 * len(order) + 1,))) for order in templates]
     number = np.stack([total + template_weight * share[:, k] for k, (total, _) in enumerate(ends)], axis=1).argmax(axis=1)
     state = np.stack([s for _, s in ends], axis=1)[np.arange(len(e)), number]
@@ -252,8 +263,10 @@ def template_prefixes(e: np.ndarray, templates: Sequence[Sequence[int]], stay: f
 def template_path(e: np.ndarray, templates: Sequence[Sequence[int]], stay: float | Sequence[float], prior: np.ndarray | None = None, template_weight: float = 0.15, complete: bool = True, **more) -> tuple[int, np.ndarray, np.ndarray]:
     """(template, states, labels) of the best template; the first of equals. ``prior`` are the templates'
     probabilities. Without a path (too few rows) the template is -1 and all is rest."""
-    share = np.ones(len(templates)) if prior is None else np.asarray(prior, dtype=np.float64)
-    share = np.log(np.clip(share / max(share.sum(), EPS), EPS, 1.0))
+    share = np.zeros(len(templates))  # without a prior nothing is added, which would round totals
+    if prior is not None:
+        prior = np.asarray(prior, dtype=np.float64)
+        share = np.log(np.clip(prior / max(prior.sum(), EPS), EPS, 1.0))
     best = (-np.inf, -1, np.zeros(len(e), dtype=int))
     for number, order in enumerate(templates):
         total, path = press_path(press_scores(e, order, **more), np.broadcast_to(np.asarray(stay, dtype=np.float64), (2 * len(order) + 1,)), complete)

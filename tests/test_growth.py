@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
+import os
+from collections import Counter
+
+import __spark_entry__ as entry
+import duckdb
+import numpy as np
+import pandas as pd
+
 from chronoprob.operators import joins as J
+from chronoprob.operators.ranks import quantiles
 
 
 def test_interval_lists_are_not_broadcast(spark):
@@ -10,3 +19,32 @@ def test_interval_lists_are_not_broadcast(spark):
     out = J.interval_overlap(windows, spark.createDataFrame([(1, 0.2, 0.7)], "trial_id long, start double, stop double"), ["trial_id"], 1.0)
     assert [(r.window_index, round(r.overlap, 9)) for r in out.orderBy("window_index").collect()] == [(0, 0.5), (1, 0.2)]
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def against_sql(spark, folder, name):
+    """Rows that only the query, and rows that only its SQL gives, on the tables of ``folder``."""
+    con = duckdb.connect()
+    for f in os.listdir(folder):
+        con.execute(f"create view {f.removesuffix('.parquet')} as select * from '{folder}/{f}'")
+    found = con.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    want = Counter(found.fetchall())
+    got = Counter(tuple(r[c] for c in names) for r in entry.queries()[name](spark, str(folder)).collect())
+    return got - want, want - got
+
+
+def test_paths_of_equal_scores(spark, tmp_path):
+    """Streams of sf0.1 whose best paths differ only by rounding."""
+    duckdb.sql(f"copy (select * from '/root/testdata/sf0.1/events.parquet' where user_id in (516, 345, 321, 1349)) to '{tmp_path}/events.parquet'")
+    assert against_sql(spark, tmp_path, "e25_structured_decode") == (Counter(), Counter())
+
+
+def test_shared_values_next_to_a_quantile(spark):
+    """The SQL's quantile of equal neighbours may be an ulp off."""
+    rng = np.random.default_rng(1)
+    rows = [(g, x) for g, x in enumerate(rng.normal(size=60).tolist()) for _ in range(6)] + [(60 + g, x) for g in range(60) for x in rng.normal(size=6).tolist()]
+    qs = [0.25, 0.5, 0.75, 0.3, 0.9]
+    got = {r.pos: list(r.q) for r in quantiles(spark.createDataFrame(rows, "pos long, v double"), qs).collect()}
+    held = pd.DataFrame(rows, columns=["pos", "v"])  # noqa: F841
+    want = dict(duckdb.sql(f"select pos, quantile_cont(v, {qs}) from held group by pos").fetchall())
+    assert got == want
