@@ -1,7 +1,7 @@
 """Sticky hidden-state models of probability sequences: fit, controls, traces, smoothing, structured decoding.
 
-A sequence is the unit of work: its rows are ordered and passed through a small numpy recursion. What
-models share (likelihoods over a grid of stay probabilities) is added up by Spark.
+A sequence is the unit of work: its rows are ordered and passed through a small numpy recursion, which takes a row of
+many sequences at each step. What models share (likelihoods over a grid of stay probabilities) is added up by Spark.
 """
 
 from __future__ import annotations
@@ -11,9 +11,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sequences import arrays, begins, by_length, map_tables, matrix
+
 EPS = 1e-12
 
 
@@ -21,11 +24,16 @@ def stay_grid(n_states: int, size: int) -> np.ndarray:
     return np.linspace(1.0 / n_states, 0.995, size)
 
 
-def emissions(rows) -> np.ndarray:
-    """Log probabilities. Rows that add up to 1 but for rounding stay as they are."""
-    p = np.maximum(np.stack([np.asarray(r, dtype=np.float64) for r in rows]), EPS)
+def shares(p: np.ndarray) -> np.ndarray:
+    """Probabilities of at least EPS. Rows that add up to 1 but for rounding stay as they are."""
+    p = np.maximum(p, EPS)
     total = p.sum(axis=1, keepdims=True)
-    return _log(np.where(np.abs(total - 1) <= 1e-9, p, p / total))
+    return np.where(np.abs(total - 1) <= 1e-9, p, p / total)
+
+
+def emissions(rows) -> np.ndarray:
+    """Log probabilities."""
+    return _log(shares(np.stack([np.asarray(r, dtype=np.float64) for r in rows])))
 
 
 def _log(p: np.ndarray) -> np.ndarray:
@@ -34,54 +42,89 @@ def _log(p: np.ndarray) -> np.ndarray:
     return np.array([math.log(x) for x in p.ravel().tolist()]).reshape(p.shape)
 
 
-def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis=axis, keepdims=True)
-    return np.squeeze(top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True)), axis=axis)
-
-
 def transition(n: int, stay: float) -> np.ndarray:
     s = min(max(stay, EPS), 1 - EPS)
     return np.log(np.where(np.eye(n, dtype=bool), s, (1 - s) / (n - 1)))
 
 
+def grid_log_likelihoods(p: np.ndarray, starts: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Forward log likelihood of each sequence of probability rows at every stay probability at once. The states'
+    shares are made to add up to 1 at each row, so a move is a number times the own share plus another."""
+    n = p.shape[1]
+    stay = np.clip(grid, EPS, 1 - EPS)
+    move = (1 - stay) / (n - 1)
+    first, reach = by_length(starts, len(p))
+    share = np.repeat(p[first][:, None, :] / n, len(grid), axis=1)
+    total = share.sum(axis=2)
+    share /= total[:, :, None]
+    ll = np.log(total)
+    for t, m in enumerate(reach[1:], 1):
+        now = share[:m]
+        now *= (stay - move)[:, None]
+        now += move[:, None]
+        now *= p[first[:m] + t][:, None, :]
+        total = now.sum(axis=2)
+        now /= total[:, :, None]
+        ll[:m] += np.log(total)
+    return ll[np.argsort(first)]
+
+
+def posteriors(p: np.ndarray, starts: np.ndarray, stay: np.ndarray, causal: bool = False) -> np.ndarray:
+    """Posterior of the states at each row of each sequence, from all its rows or, ``causal``, from those so far;
+    ``stay`` is each sequence's stay probability."""
+    n = p.shape[1]
+    first, reach = by_length(starts, len(p))
+    s = np.clip(stay, EPS, 1 - EPS)[np.searchsorted(starts, first)][:, None]
+    move = (1 - s) / (n - 1)
+    alpha = np.empty_like(p)
+    alpha[first] = p[first]
+    for t, m in enumerate(reach[1:], 1):
+        at = first[:m] + t
+        x = (move[:m] + (s - move)[:m] * alpha[at - 1]) * p[at]
+        alpha[at] = x / x.sum(axis=1, keepdims=True)
+    if not causal:
+        back = np.ones((len(first), n))
+        for t in range(len(reach) - 1, 0, -1):
+            m = reach[t]
+            at = first[:m] + t
+            x = p[at] * back[:m]
+            x /= x.sum(axis=1, keepdims=True)
+            back[:m] = move[:m] + (s - move)[:m] * x
+            alpha[at - 1] *= back[:m]
+    return alpha / alpha.sum(axis=1, keepdims=True)
+
+
+def best_paths(e: np.ndarray, starts: np.ndarray, stay: np.ndarray) -> np.ndarray:
+    """The best path of each sequence; of equal moves the first state comes first."""
+    first, reach = by_length(starts, len(e))
+    moves = np.stack([transition(e.shape[1], x) for x in stay[np.searchsorted(starts, first)].tolist()])
+    score, back = e[first] - np.log(e.shape[1]), np.zeros(e.shape, dtype=np.int32)
+    for t, m in enumerate(reach[1:], 1):
+        at = first[:m] + t
+        options = score[:m, :, None] + moves[:m]
+        back[at] = options.argmax(axis=1)
+        score[:m] = e[at] + options.max(axis=1)
+    path, state = np.zeros(len(e), dtype=np.int32), score.argmax(axis=1)
+    for t in range(len(reach) - 1, -1, -1):
+        at = first[: reach[t]] + t
+        path[at] = state[: reach[t]]
+        state[: reach[t]] = back[at, state[: reach[t]]]
+    return path
+
+
 def grid_log_likelihood(e: np.ndarray, grid: np.ndarray) -> np.ndarray:
-    """Forward log likelihood at every stay probability at once."""
-    n = e.shape[1]
-    moves = np.stack([transition(n, s) for s in grid])
-    alpha = np.tile(e[0] - np.log(n), (len(grid), 1))
-    for row in e[1:]:
-        alpha = row + _logsum(alpha[:, :, None] + moves, 1)
-    return _logsum(alpha, 1)
+    """Forward log likelihood of one sequence of log probabilities at every stay probability."""
+    return grid_log_likelihoods(np.exp(e), np.array([0]), grid)[0]
 
 
 def forward_backward(e: np.ndarray, stay: float, causal: bool = False) -> np.ndarray:
-    """Posterior of the states at each time, from all rows or, ``causal``, from the rows so far."""
-    n, moves = e.shape[1], transition(e.shape[1], stay)
-    alpha = np.empty_like(e)
-    alpha[0] = e[0] - np.log(n)
-    for t in range(1, len(e)):
-        alpha[t] = e[t] + _logsum(alpha[t - 1][:, None] + moves, 0)
-    beta = np.zeros_like(e)
-    if not causal:
-        for t in range(len(e) - 2, -1, -1):
-            beta[t] = _logsum(moves + e[t + 1] + beta[t + 1], 1)
-    g = alpha + beta
-    g = np.exp(g - g.max(axis=1, keepdims=True))
-    return g / g.sum(axis=1, keepdims=True)
+    """As ``posteriors`` of one sequence of log probabilities."""
+    return posteriors(np.exp(e), np.array([0]), np.array([stay]), causal)
 
 
 def viterbi(e: np.ndarray, stay: float) -> np.ndarray:
-    moves = transition(e.shape[1], stay)
-    score, back = e[0] - np.log(e.shape[1]), np.zeros(e.shape, dtype=int)
-    for t in range(1, len(e)):
-        options = score[:, None] + moves
-        back[t] = options.argmax(axis=0)
-        score = e[t] + options.max(axis=0)
-    path = np.zeros(len(e), dtype=int)
-    path[-1] = score.argmax()
-    for t in range(len(e) - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+    """As ``best_paths`` of one sequence."""
+    return best_paths(e, np.array([0]), np.array([stay]))
 
 
 def likelihoods(df: DataFrame, model: Sequence[str], sequence: Sequence[str], n_states: int, size: int, control: str = "observed", n_controls: int = 1, seed: int = 0) -> DataFrame:
@@ -91,25 +134,33 @@ def likelihoods(df: DataFrame, model: Sequence[str], sequence: Sequence[str], n_
     types = dict(df.dtypes)
     rows = df.select(*model, *sequence, "time", "p")  # a sequence goes to its task once, for all controls
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time")
-        e = emissions(pdf["p"])
-        if len(e) < 2:
-            return pd.DataFrame([], columns=[*model, "rep", "ll", "n"])
-        key, out = pdf.iloc[0][list(model)].tolist(), []
-        marks = [ord(c) for k in sequence for c in str(pdf[k].iloc[0])]
+    def solve(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        p = shares(matrix(table["p"]))
+        lengths = np.diff([*starts, len(p)])
+        of_model = begins(table, model)
+        parts = []
         for rep in range(1, n_controls + 1) if control != "observed" else [0]:
-            mixed = e
+            mixed = p
             if control != "observed":
-                rng = np.random.default_rng([seed, rep, *marks])
-                mixed = e[rng.permutation(len(e))] if control == "shuffled_time" else np.stack([r[rng.permutation(len(r))] for r in e])
-            out.append((*key, rep, grid_log_likelihood(mixed, grid).tolist(), len(e)))
-        return pd.DataFrame(out, columns=[*model, "rep", "ll", "n"])
-
-    lls = rows.groupBy(*model, *sequence).applyInPandas(one, ", ".join(f"{k} {types[k]}" for k in model) + ", rep int, ll array<double>, n long")
-    totals = lls.groupBy(*model, "rep").agg(F.sum("n").alias("n_observations"), F.count("*").alias("n_sequences"))
-    long = lls.select(*model, "rep", F.posexplode("ll").alias("i", "v")).groupBy(*model, "rep", "i").agg(F.sum("v").alias("ll"))
-    return long.join(totals, [*model, "rep"])
+                mixed = p.copy()
+                for at, n in zip(starts.tolist(), lengths.tolist()):
+                    rng = np.random.default_rng([seed, rep, *[ord(c) for k in sequence for c in str(table[k][at].as_py())]])
+                    own = p[at : at + n]
+                    mixed[at : at + n] = own[rng.permutation(n)] if control == "shuffled_time" else np.stack([r[rng.permutation(len(r))] for r in own])
+            ll = grid_log_likelihoods(mixed, starts, grid)
+            for a, b in zip(of_model, [*of_model[1:], len(p)]):
+                mine = (starts >= a) & (starts < b) & (lengths > 1)
+                parts.append((a, rep, ll[mine].sum(axis=0), int(lengths[mine].sum()), int(mine.sum())))
+        at, reps, sums, n, sequences = zip(*parts)
+        keys = table.select(list(model)).take(list(at)).combine_chunks()
+        columns = [*[pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in keys.columns], pa.array(reps, pa.int32()), arrays(np.stack(sums)), pa.array(n, pa.int64()), pa.array(sequences, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, [*model, "rep", "ll", "n", "sequences"])
+
+    # sums of the sequences that a task takes together
+    lls = map_tables(rows, [*model, *sequence], ["time"], solve, ", ".join(f"{k} {types[k]}" for k in model) + ", rep int, ll array<double>, n long, sequences long").where("sequences > 0")
+    sums = F.array(*[F.sum(F.get("ll", F.lit(i))) for i in range(size)]).alias("ll")  # one pass over the sequences
+    totals = lls.groupBy(*model, "rep").agg(F.sum("n").alias("n_observations"), F.sum("sequences").alias("n_sequences"), sums)
+    return totals.select(*model, "rep", F.posexplode("ll").alias("i", "ll"), "n_observations", "n_sequences")
 
 
 def fit(df: DataFrame, model: Sequence[str], sequence: Sequence[str], n_states: int, size: int = 50, **control) -> DataFrame:
@@ -134,19 +185,19 @@ def traces(df: DataFrame, stay: DataFrame, model: Sequence[str], sequence: Seque
     types = dict(df.dtypes)
     rows = df.select(*model, *sequence, row, "time", "p").join(stay.select(*model, "stay_probability"), list(model))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time")
-        e, s = emissions(pdf["p"]), float(pdf["stay_probability"].iloc[0])
+    def solve(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        p, stays = shares(matrix(table["p"])), table["stay_probability"].to_numpy()[starts]
         if mode == "poststimulus_forward_only":
-            q = np.exp(e)
-            after = (pdf["time"] >= start).to_numpy()
-            if after.any():
-                q[after] = forward_backward(e[after], s, causal=True)
+            q, after = p.copy(), np.flatnonzero(table["time"].to_numpy() >= start)
+            which = np.searchsorted(starts, after, side="right") - 1
+            heads = np.flatnonzero(np.diff(which, prepend=-1))
+            if len(after):
+                q[after] = posteriors(p[after], heads, stays[which[heads]], causal=True)
         else:
-            q = forward_backward(e, s, causal=mode == "forward_only")
-        return pd.DataFrame({row: pdf[row].tolist(), "posterior": list(q), "state": viterbi(e, s)})
+            q = posteriors(p, starts, stays, causal=mode == "forward_only")
+        return pa.table([table[row], arrays(q), pa.array(best_paths(_log(p), starts, stays), pa.int32())], [row, "posterior", "state"])
 
-    return rows.groupBy(*model, *sequence).applyInPandas(one, f"{row} {types[row]}, posterior array<double>, state int")
+    return map_tables(rows, [*model, *sequence], ["time"], solve, f"{row} {types[row]}, posterior array<double>, state int")
 
 
 def online_path(e: np.ndarray, prior: np.ndarray, rate: float = 0.05, entropy_weight: float = 1.0, marginal_weight: float = 0.1, momentum: float = 0.05, updates: int = 1, timing: str = "after_predict", temperature: float = 1.0, clip: float = 3.0) -> np.ndarray:

@@ -48,3 +48,30 @@ def test_shared_values_next_to_a_quantile(spark):
     held = pd.DataFrame(rows, columns=["pos", "v"])  # noqa: F841
     want = dict(duckdb.sql(f"select pos, quantile_cont(v, {qs}) from held group by pos").fetchall())
     assert got == want
+
+
+def test_sequences_share_their_steps(spark):
+    """Sequences of many lengths at once, and across batches and chunks, as each by itself."""
+    from chronoprob.operators import states as H
+    from chronoprob.operators.sequences import map_tables
+
+    rng = np.random.default_rng(3)
+    lengths = [1, 7, 2, 30, 7, 1, 12]
+    p = rng.dirichlet([1, 1, 1], size=sum(lengths))
+    starts = np.cumsum([0, *lengths[:-1]])
+    grid, stay = H.stay_grid(3, 4), rng.uniform(0.3, 0.9, size=len(lengths))
+    ll, q, path = H.grid_log_likelihoods(p, starts, grid), H.posteriors(p, starts, stay), H.best_paths(np.log(p), starts, stay)
+    for k, (a, n) in enumerate(zip(starts.tolist(), lengths)):
+        own = p[a : a + n]
+        moves = [np.where(np.eye(3, dtype=bool), s, (1 - s) / 2) for s in grid]
+        for i, m in enumerate(moves):
+            alpha = own[0] / 3
+            for row in own[1:]:
+                alpha = (alpha @ m) * row
+            assert np.isclose(ll[k, i], np.log(alpha.sum()))
+        assert np.allclose(q[a : a + n], H.forward_backward(np.log(own), stay[k]))
+        assert path[a : a + n].tolist() == H.viterbi(np.log(own), stay[k]).tolist()
+    rows = [(f"s{k}", float(t), p[a + t].tolist()) for k, (a, n) in enumerate(zip(starts.tolist(), lengths)) for t in range(n)]
+    calls = map_tables(spark.createDataFrame(rows, "s string, time double, p array<double>"), ["s"], ["time"], lambda table, at: table.slice(0, 1).select(["time"]).set_column(0, "time", [[float(len(at))]]), "time double", rows=5)
+    assert sum(r.time for r in calls.collect()) == len(lengths)
+    assert calls.count() < len(lengths)
