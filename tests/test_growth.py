@@ -75,3 +75,36 @@ def test_sequences_share_their_steps(spark):
     calls = map_tables(spark.createDataFrame(rows, "s string, time double, p array<double>"), ["s"], ["time"], lambda table, at: table.slice(0, 1).select(["time"]).set_column(0, "time", [[float(len(at))]]), "time double", rows=5)
     assert sum(r.time for r in calls.collect()) == len(lengths)
     assert calls.count() < len(lengths)
+
+
+def test_nearest_rows_meet_no_packed_blocks(spark):
+    """What goes to Python is rows, never pairs of blocks, so that a batch is as small as its rows."""
+    from chronoprob.operators import decode as C
+
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, i % 3, rng.normal(size=3).tolist()) for i in range(900)], "row_id long, label int, x array<double>")
+    found = C.nearest_neighbours(rows.where("row_id % 3 > 0"), rows.where("row_id % 3 = 0"), 2, block=50)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    x = {r.row_id: np.array(r.x) for r in rows.collect()}
+    got = {(r.row_id, r.place): r.train_id for r in found.collect()}
+    for i in range(0, 900, 3):
+        want = sorted((float(np.linalg.norm(x[i] - x[j])), j) for j in x if j % 3)[:2]
+        assert [got[i, 1], got[i, 2]] == [j for _, j in want]
+
+
+def test_covariances_of_many_trials_at_once(spark):
+    from chronoprob.operators import features as T
+
+    rng = np.random.default_rng(5)
+    trials = {k: rng.normal(size=(2 + k % 2, 4 + k % 3)) for k in range(12)}
+    rows = [(k, c, x[c].tolist()) for k, x in trials.items() for c in range(len(x))]
+    got = {r.k: r.x for r in T.trial_covariances(spark.createDataFrame(rows, "k long, channel int, samples array<double>"), ["k"]).collect()}
+    for k, x in trials.items():
+        c = np.cov(x)
+        c = 0.9 * c + 0.1 * np.trace(c) / len(c) * np.eye(len(c))
+        values, vectors = np.linalg.eigh(c)
+        m = (vectors * np.log(values)) @ vectors.T
+        assert np.allclose(got[k], [m[i, j] * (1 if i == j else 2**0.5) for i in range(len(m)) for j in range(i, len(m))])
+    stack = np.stack([np.cov(trials[k]) for k in (0, 2, 4)])
+    assert np.allclose(T.logm(stack), [T.logm(m) for m in stack])
+    assert T.vech(stack).shape == (3, 3)
