@@ -108,3 +108,27 @@ def test_covariances_of_many_trials_at_once(spark):
     stack = np.stack([np.cov(trials[k]) for k in (0, 2, 4)])
     assert np.allclose(T.logm(stack), [T.logm(m) for m in stack])
     assert T.vech(stack).shape == (3, 3)
+
+
+def test_runs_of_many_sequences_at_once(spark):
+    """Also for sequences that Arrow batches and tables cut in two; keys may be null. No grouped map is left."""
+    from chronoprob.operators import runs as R
+
+    rng = np.random.default_rng(6)
+    rows = [(None if k == 3 else f"k{k % 2}", k, float(t), float(s)) for k in range(8) for t, s in enumerate(rng.random(5 + k))]
+    df = spark.createDataFrame(rows, "g string, stream long, time double, score double")
+    got = R.max_run_thresholds_with_duration(df, ["g"], ["stream"], (0.0, 100.0), 0.5, 2, 2.0)
+    best = {}
+    for k in range(8):
+        own = [r for r in rows if r[1] == k]
+        best.setdefault(own[0][0], []).append(R.longest_threshold([r[3] for r in own], [r[2] for r in own], 2, 2.0))
+    assert {r.g: round(r.score_threshold, 9) for r in got.collect()} == {g: round(float(np.median(v)), 9) for g, v in best.items()}
+    events = [(s, float(a), float(a + n), f"c{i}", float(rng.integers(0, 5))) for s in range(4) for i, (a, n) in enumerate(zip(rng.integers(0, 40, 25), rng.integers(0, 6, 25)))]
+    found = spark.createDataFrame(events, "stream long, onset_time double, offset_time double, stimulus_class string, peak_score double")
+    out = R.resolved(found, ["stream"], "non_max_suppression")
+    want = []
+    for e in sorted(events, key=lambda e: (e[0], -e[4], e[1], e[3])):
+        if all(e[0] != k[0] or e[2] < k[1] or k[2] < e[1] for k in want):
+            want.append(e)
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
