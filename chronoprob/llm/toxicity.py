@@ -27,7 +27,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -96,28 +96,42 @@ def _grams(text: str, n: int) -> set[str]:
     return {text[i : i + n] for i in range(len(text) - n + 1)}
 
 
-def gram_counts(learn: DataFrame, how: Distance = Distance()) -> DataFrame:
-    """(gram, t, o): toxic and ordinary documents that hold each character sequence, added up by batch first."""
+def gram_counts(learn: DataFrame, how: Distance = Distance(), among: frozenset[str] | None = None) -> DataFrame:
+    """(gram, t, o): toxic and ordinary documents that hold each character sequence (of ``among``, where given), added up
+    by batch first."""
     n = how.gram
+    wanted = None if among is None else learn.sparkSession.sparkContext.broadcast(among)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             counts = (Counter(), Counter())
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
-                counts[int(toxic)].update(_grams(_spaced(text), n))
+                grams = _grams(_spaced(text), n)
+                counts[int(toxic)].update(grams if wanted is None else grams & wanted.value)
             every = list(counts[0].keys() | counts[1].keys())
-            yield pd.DataFrame({"gram": every, "t": [counts[1][g] for g in every], "o": [counts[0][g] for g in every]})
+            yield pd.DataFrame({"gram": every, "t": [counts[1].get(g, 0) for g in every], "o": [counts[0].get(g, 0) for g in every]})
 
     return learn.select("text", "toxic").mapInPandas(counted, "gram string, t long, o long").groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
+def _least(n_toxic: int, how: Distance) -> int:
+    """Toxic documents that a sequence of toxic text's own is in at least."""
+    return min(how.support, max(1, n_toxic // 4))
+
+
+def supported_grams(learn: DataFrame, n_toxic: int, how: Distance = Distance()) -> frozenset[str]:
+    """The sequences that are in enough toxic documents, of fit_rows at most: others need not be counted in ordinary ones."""
+    counts = gram_counts(learn.where("toxic = 1"), how)
+    return frozenset(r.gram for r in counts.where(F.col("t") >= _least(n_toxic, how)).select("gram").collect())
+
+
 def rich_grams(counts: DataFrame, n_toxic: int, n_ordinary: int, how: Distance = Distance()) -> list[str]:
     """The sequences that are toxic text's own, by the lower bound of their log-odds."""
     t, o = F.col("t") + 0.5, F.col("o") + 0.5
     no_t, no_o = F.lit(n_toxic + 0.5) - F.col("t"), F.lit(n_ordinary + 0.5) - F.col("o")
     rate = (t / (n_toxic + 1)) / (o / (n_ordinary + 1))
     bound = F.log(t / no_t) - F.log(o / no_o) - how.errors * F.sqrt(1 / t + 1 / no_t + 1 / o + 1 / no_o)
-    own = counts.where((F.col("t") >= min(how.support, max(1, n_toxic // 4))) & (rate >= how.ratio) & (bound > 0))
+    own = counts.where((F.col("t") >= _least(n_toxic, how)) & (rate >= how.ratio) & (bound > 0))
     return [r.gram for r in own.select("gram").orderBy("gram").collect()]
 
 
@@ -149,7 +163,7 @@ def train_dictionaries(learn: DataFrame, how: Distance = Distance()) -> list[tup
     size = how.ordinary_bytes
     pieces = learn.where("toxic = 1").select("text")
     if how.select:
-        rich = rich_grams(gram_counts(learn, how), n_toxic, n_ordinary, how)
+        rich = rich_grams(gram_counts(learn, how, supported_grams(learn, n_toxic, how)), n_toxic, n_ordinary, how)
         held, n = learn.sparkSession.sparkContext.broadcast(frozenset(rich)), how.gram
 
         def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,34 +212,55 @@ def _trained(samples: list[tuple[bytes, int]], size: int, segment: int, kind: st
         return None
 
 
+#: Windows that are weighed at a time, and windows whose differences are kept.
+AT_ONCE, KEPT = 2_000, 100_000
+
+
 class Gauge:
     def __init__(self, pairs: list[tuple[bytes, bytes]], how: Distance):
         import zstandard
 
-        shape = zstandard.ZstdCompressionParameters.from_level(how.level, write_content_size=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-
         def tool(content: bytes):
+            # the level's tables have room for megabytes; some four places for each byte of the dictionary find the same
+            # matches, and stay in the processor's cache
+            log = max(12, (4 * len(content)).bit_length())
+            shape = zstandard.ZstdCompressionParameters.from_level(how.level, **plain, hash_log=min(usual.hash_log, log), chain_log=min(usual.chain_log, log - 1))
             held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(compression_params=shape)
             return zstandard.ZstdCompressor(dict_data=held, compression_params=shape).compress
 
+        plain = {"write_content_size": False, "write_dict_id": False, "format": zstandard.FORMAT_ZSTD1_MAGICLESS}
+        usual = zstandard.ZstdCompressionParameters.from_level(how.level, **plain)
         self.pairs, self.how = [(tool(ordinary), tool(toxic)) for ordinary, toxic in pairs], how
         self.known: dict[bytes, int] = {}
 
     def differences(self, text: str | None) -> list[int]:
         """For each window, how many bytes shorter toxic dictionaries make it than ordinary ones, over all pairs."""
-        return [self._difference(p) for p in windows(text, self.how)]
-
-    def _difference(self, window: bytes) -> int:
-        """Copies of texts and passages repeat windows: some that were weighed lately are kept."""
-        found = self.known.get(window)
-        if found is None:
-            part = LEAD + window
-            found = sum(len(ordinary(part)) - len(toxic(part)) for ordinary, toxic in self.pairs)
-            if len(self.known) >= 100_000:
-                self.known.clear()
-            self.known[window] = found
-        return found
+        return next(self.all_differences([text]))
+
+    def all_differences(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
+        """``differences`` of each text."""
+        held, n = [], 0
+        for text in texts:
+            held.append(windows(text, self.how))
+            n += len(held[-1])
+            if n >= AT_ONCE:
+                yield from self._weighed(held)
+                held, n = [], 0
+        yield from self._weighed(held)
+
+    def _weighed(self, texts: list[list[bytes]]) -> Iterator[list[int]]:
+        """Copies of texts and passages repeat windows: some that were weighed lately are kept. One dictionary weighs many
+        windows before the next one does, as each has tables of its own."""
+        if len(self.known) >= KEPT:
+            self.known.clear()
+        new = list(dict.fromkeys(w for text in texts for w in text if w not in self.known))
+        for at in range(0, len(new), AT_ONCE):
+            parts = [LEAD + w for w in new[at : at + AT_ONCE]]
+            sizes = [[len(compress(part)) for part in parts] for pair in self.pairs for compress in pair]
+            self.known.update(zip(new[at : at + AT_ONCE], (sum(s[::2]) - sum(s[1::2]) for s in zip(*sizes))))
+        for text in texts:
+            yield [self.known[w] for w in text]
 
 
 def gauge(docs: DataFrame, dictionaries: list[tuple[bytes, bytes]], how: Distance = Distance()) -> DataFrame:
@@ -236,8 +271,8 @@ def gauge(docs: DataFrame, dictionaries: list[tuple[bytes, bytes]], how: Distanc
         tool = Gauge(dictionaries, how)
         for batch in batches:
             rows = []
-            for text in batch:
-                d = sorted(tool.differences(text))
+            for found in tool.all_differences(batch):
+                d = sorted(found)
                 rows.append((float(d[-1]), float(sum(d[-2:])), sum(d) / len(d), float(len(d))) if d else (0.0, 0.0, 0.0, 0.0))
             yield pd.DataFrame(rows, columns=["largest", "two", "mean", "windows"])
 

@@ -322,3 +322,39 @@ def test_toxicity_without_selection_and_without_text(spark):
     assert max(gauge.differences("river stone cloud river")) <= 0
     with pytest.warns(UserWarning, match="no dictionary"):
         assert toxicity.train_dictionaries(spark.createDataFrame([("a", 0), ("b", 1)], "text string, toxic int"), toxicity.Distance(select=False)) is None
+
+
+def test_toxic_windows_weigh_the_same_in_smaller_tables_and_by_dictionary(monkeypatch):
+    """Tables with room for the dictionary only, and many windows by one dictionary before the next, change no size."""
+    import zstandard
+
+    from chronoprob.llm import toxicity
+
+    rng = random.Random(8)
+    some = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+    said = lambda n: f" {' '.join(rng.choice(some) for _ in range(n))} ".encode()
+    own, shared = said(700), said(2500)
+    made = [(b"\0" * len(own) + shared + toxicity.LEAD, own + shared + toxicity.LEAD)]
+    how = toxicity.Distance()
+    shape = zstandard.ZstdCompressionParameters.from_level(how.level, write_content_size=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    plain = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=shape).compress for c in made[0]]
+    texts = [None, "", *[said(rng.randint(1, 60)).decode() for _ in range(200)]]
+    expected = [[len(plain[0](toxicity.LEAD + w)) - len(plain[1](toxicity.LEAD + w)) for w in toxicity.windows(t)] for t in texts]
+    monkeypatch.setattr(toxicity, "AT_ONCE", 7)
+    monkeypatch.setattr(toxicity, "KEPT", 40)
+    assert any(map(any, expected)) and list(toxicity.Gauge(made, how).all_differences(texts)) == expected
+
+
+def test_ordinary_text_is_counted_only_where_toxic_text_can_be_rich(spark):
+    """What no toxic document holds is not counted in ordinary ones, and the rich sequences are those of all counts."""
+    from chronoprob.llm import toxicity
+
+    rng = random.Random(3)
+    said = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    usual, foul = [f"word{i}" for i in range(60)], [f"rotten{i}" for i in range(4)]
+    rows = [(said(usual, 20), 0) for _ in range(80)] + [(said(usual, 12) + " " + said(foul, 4), 1) for _ in range(30)]
+    learn = spark.createDataFrame(rows, "text string, toxic int")
+    among = toxicity.supported_grams(learn, 30)
+    every, some = toxicity.gram_counts(learn), toxicity.gram_counts(learn, among=among)
+    assert {r.gram for r in some.collect()} == among and len(among) < every.count()
+    assert toxicity.rich_grams(some, 30, 80) == toxicity.rich_grams(every, 30, 80) != []
