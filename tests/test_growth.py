@@ -132,3 +132,23 @@ def test_runs_of_many_sequences_at_once(spark):
             want.append(e)
     assert sorted(map(tuple, out.collect())) == sorted(want)
     assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_the_median_meet_in_shares_not_in_pairs_of_blocks(spark, monkeypatch):
+    """More and smaller blocks do not multiply what is dealt out: each row goes to half of a fixed number of shares."""
+    from pyspark.sql import DataFrame
+
+    from chronoprob.operators import augment as A
+
+    df = spark.createDataFrame([(i, [float(i % 97), float(i % 89)]) for i in range(600)], "row_id long, x array<double>")
+    dealt, plain = [], DataFrame.repartition
+
+    def seen(self, *a):
+        dealt.append(self.count())
+        return plain(self, *a)
+
+    monkeypatch.setattr(DataFrame, "repartition", seen)
+    x = np.array([r.x for r in df.collect()])
+    d = ((x[:, None] - x) ** 2).sum(-1)[np.triu_indices(600, 1)]
+    assert A.median_squared_distance(df, block=2) == np.median(d[d > 1e-12])
+    assert dealt and max(dealt) <= 600 * (spark.sparkContext.defaultParallelism + 1)
