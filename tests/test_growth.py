@@ -136,19 +136,38 @@ def test_runs_of_many_sequences_at_once(spark):
 
 def test_rows_of_the_median_meet_in_shares_not_in_pairs_of_blocks(spark, monkeypatch):
     """More and smaller blocks do not multiply what is dealt out: each row goes to half of a fixed number of shares."""
-    from pyspark.sql import DataFrame
-
     from chronoprob.operators import augment as A
 
     df = spark.createDataFrame([(i, [float(i % 97), float(i % 89)]) for i in range(600)], "row_id long, x array<double>")
-    dealt, plain = [], DataFrame.repartition
+    dealt, plain = [], type(df).repartition
 
     def seen(self, *a):
         dealt.append(self.count())
         return plain(self, *a)
 
-    monkeypatch.setattr(DataFrame, "repartition", seen)
+    monkeypatch.setattr(type(df), "repartition", seen)
     x = np.array([r.x for r in df.collect()])
     d = ((x[:, None] - x) ** 2).sum(-1)[np.triu_indices(600, 1)]
     assert A.median_squared_distance(df, block=2) == np.median(d[d > 1e-12])
     assert dealt and max(dealt) <= 600 * (spark.sparkContext.defaultParallelism + 1)
+
+
+def test_a_stream_keeps_one_state_for_all_its_classes(spark, tmp_path):
+    """Two streams of three classes are two states, of which the classes that ended are gone."""
+    from chronoprob.streaming import detector as S
+
+    rows = [(k, c, float(t), 0.9 if (t + c) % 5 else 0.1, 0.5) for k in range(2) for c in range(3) for t in range(20)] + [(k, 2, None, None, 0.5) for k in range(2)]
+    schema = "stream_id long, stimulus_label int, time double, score double, score_threshold double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = S.detect(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), S.Rules(2))
+    query = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
+    want = []
+    for k in range(2):
+        for c in range(3):
+            machine = S.Machine(S.Rules(2))
+            mine = [r for r in rows if r[:2] == (k, c)]
+            events = [e for r in mine if r[2] is not None for e in machine.step(*r[2:])] + (machine.flush() if c == 2 else [])
+            want += [(k, c, e[1], e[2], e[4]) for e in events]
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("stream_id", "stimulus_label", "onset_time", "offset_time", "run_length").collect()) == sorted(want)
