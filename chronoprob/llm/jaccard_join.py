@@ -214,7 +214,7 @@ def _halves(g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return every[g["own"] == g["low"][0]], every[g["own"] == g["high"][0]]
 
 
-def _shared(owner: np.ndarray, values: np.ndarray, m: int, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+def _shared(owner: np.ndarray, values: np.ndarray, m: int, left: np.ndarray, right: np.ndarray, width: int = 512) -> np.ndarray:
     """How many values each set of ``left`` has in common with each of ``right``; ``owner`` has each value's set."""
     out = np.zeros((len(left), len(right)), dtype=np.float32)  # exact up to 2^24
     _, at, counts = np.unique(values, return_inverse=True, return_counts=True)

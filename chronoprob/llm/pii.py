@@ -257,16 +257,21 @@ def _base_finder():
     return found
 
 
-def find(docs: DataFrame, text: str = "text", how: Disclosure = Disclosure(), to: str = "pii_spans") -> DataFrame:
-    """``docs`` with column ``to``: array of (start, end, kind), in place of an existing column of that name; added words
-    have the kind "generalise-<kind>" or "remove-<kind>" of the entity that they disclose."""
+def _with_added(docs: DataFrame, text: str, how: Disclosure, to: str) -> DataFrame:
+    """``docs`` with column ``to``: the (start, end, kind) of the words of ``text`` that disclose, null where there are none."""
     risky, places = _disclosed(docs.select(F.col(text).alias("text")), how)
     named = places.join(risky.select("term", F.concat_ws("-", "action", "kind").alias("kind")), "term").select("mark", "kind", F.explode("at").alias("at"))
     added = named.groupBy("mark").agg(F.sort_array(F.collect_list(F.struct("at.start", "at.end", "kind"))).alias("added"))  # those of one text
     added = cut(added, "pii-added")  # a table of known size: where it is small, Spark moves no texts for the join
-    mark, more, base = free_name(docs, "pii_mark"), free_name(docs, "pii_added"), free_name(docs, "pii_base")
-    both = docs.withColumn(mark, F.xxhash64(text)).join(added.select(F.col("mark").alias(mark), F.col("added").alias(more)), mark, "left")
-    both = both.withColumn(base, _base_finder()(F.col(text)))
+    mark = free_name(docs, "pii_mark")
+    return docs.withColumn(mark, F.xxhash64(text)).join(added.select(F.col("mark").alias(mark), F.col("added").alias(to)), mark, "left").drop(mark)
+
+
+def find(docs: DataFrame, text: str = "text", how: Disclosure = Disclosure(), to: str = "pii_spans") -> DataFrame:
+    """``docs`` with column ``to``: array of (start, end, kind), in place of an existing column of that name; added words
+    have the kind "generalise-<kind>" or "remove-<kind>" of the entity that they disclose."""
+    more, base = free_name(docs, "pii_added"), free_name(docs, "pii_base")
+    both = _with_added(docs, text, how, more).withColumn(base, _base_finder()(F.col(text)))
     every = F.concat(base, F.coalesce(more, F.array().cast(SPANS)))
     rank = lambda s: F.coalesce(*[F.when(s["kind"] == k, F.lit(i)) for i, k in enumerate(KINDS)], F.lit(len(KINDS)))
     ordered = F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
@@ -274,6 +279,15 @@ def find(docs: DataFrame, text: str = "text", how: Disclosure = Disclosure(), to
     return both.withColumn(to, F.when(F.col(more).isNull(), F.col(base)).otherwise(spans)).select(*[F.col(f"`{c}`") for c in docs.columns if c != to], to)
 
 
+def _all_spans(text: str | None, added: list | None) -> list[dict]:
+    """The base spans of ``text`` and the ``added`` ones, in the order of ``find``."""
+    base = [{"start": a, "end": b, "kind": k} for a, b, k in base_spans(text or "")]
+    if added is None:
+        return base
+    rank = {k: i for i, k in enumerate(KINDS)}
+    return sorted([*base, *added], key=lambda s: (s["start"], rank.get(s["kind"], len(KINDS)), s["end"], s["kind"]))
+
+
 def redact(text: str | None, spans: list) -> str | None:
     """``text`` with the spans replaced: base spans by their kind, generalised words by the kind of what
     they reveal, removed words by nothing. Overlapping base spans become one replacement, the first's."""
@@ -294,16 +308,18 @@ def redact(text: str | None, spans: list) -> str | None:
 
 
 def sanitise(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
-    """``docs`` with the spans in ``text`` replaced, and ``n_chars``, where there is one, counted anew."""
-    to = free_name(docs, "pii_spans")
-    marked = find(docs, how=how, to=to)
+    """``docs`` with the spans that ``find`` gives replaced in ``text``, and ``n_chars``, where there is one, counted anew.
+
+    Spans are found and replaced by one function: one after another they would take two Python workers for each task,
+    and an executor keeps all workers that its tasks have had at once."""
+    more = free_name(docs, "pii_added")
 
     @F.pandas_udf("string")
     def replaced(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, spans in batches:
-            yield pd.Series([redact(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+        for texts, added in batches:
+            yield pd.Series([redact(t, _all_spans(t, a)) for t, a in zip(texts, added, strict=True)], dtype=object)
 
-    done = marked.withColumn("text", replaced("text", to))
+    done = _with_added(docs, "text", how, more).withColumn("text", replaced("text", more))
     return done.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

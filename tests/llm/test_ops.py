@@ -440,6 +440,17 @@ def test_disclosure_equals_brute_force(spark, how):
         assert rows[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in base).encode()).hexdigest()
 
 
+def test_sanitising_takes_one_python_worker_a_task(spark):
+    """A second function in the stage would take a second worker, which executors keep."""
+    texts = ["mail to ann@example.com or +1 (555) 123-4567", None, "", "nothing here"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = pii.sanitise(docs)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    want = {r.doc_id: pii.redact(r.text, r.pii_spans) for r in pii.find(docs).collect()}
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got == want and got[0] == "mail to <EMAIL> or <PHONE>"
+
+
 def test_sanitised_documents_keep_columns_of_clashing_names(spark):
     docs = docs_of(spark, [PRIVATE, None])
     for c in ("pii_spans", "pii_mark", "mark", "term", "added"):
