@@ -179,6 +179,23 @@ def test_correlated_columns_go(spark):
     assert T.correlation_filtered(spark.createDataFrame(rows, "row_id int, x array<double>, role string"), 0.9) == [0, 2]
 
 
+def test_prior_shift_of_blocks_moves_no_rows(spark):
+    """Priors are tables of known size: no round is nested in the next one's plan, and no block's rows are shuffled."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet(np.ones(3), 60)
+    df = spark.createDataFrame([(f"S{i % 2}", i, p[i].tolist()) for i in range(60)], "subject string, i int, p array<double>")
+    prior = D.prior_shift(df, [1 / 3] * 3, ["subject"], iterations=3)
+    assert "Join" not in prior._jdf.queryExecution().optimizedPlan().toString()
+    plan = D.shifted(df, prior, [1 / 3] * 3, ["subject"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    for r in prior.collect():
+        q, t = p[int(r.subject[1]) :: 2], np.ones(3) / 3
+        for _ in range(3):
+            w = q * t * 3
+            t = (w / w.sum(axis=1, keepdims=True)).mean(axis=0)
+        assert r.prior == pytest.approx(t.tolist())
+
+
 def test_prior_shift_equals_the_loop(spark):
     p = dirichlet(40, 3, 8)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(p)], "id int, p array<double>")
