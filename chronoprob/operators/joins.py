@@ -28,7 +28,9 @@ def aligned_features(ids: DataFrame, features: DataFrame, key: str) -> DataFrame
 def aligned_cube(df: DataFrame, keys: Sequence[str], name: str = "decoder", value: str = "p") -> DataFrame:
     """One row for each key with the values of all candidates by name: one shuffle instead of a join for
     each candidate. ``n`` and ``n_names`` tell incomplete and repeated keys apart."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct(name).alias("n_names"), F.array_sort(F.collect_list(F.struct(name, value))).alias("cube"))
+    packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(name, value))).alias("cube"))  # a distinct count would move rows once more
+    names = F.array_compact(F.array_distinct(F.transform("cube", lambda c: c[name])))
+    return packed.select(*keys, F.size("cube").cast("long").alias("n"), F.size(names).cast("long").alias("n_names"), "cube")
 
 
 def alignment_errors(cube: DataFrame, n_candidates: int) -> DataFrame:

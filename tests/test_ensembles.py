@@ -286,6 +286,15 @@ def test_pools_equal_numpy(spark):
             wrong()
 
 
+def test_aligned_rows_are_moved_once(spark):
+    from chronoprob.operators import joins as J
+
+    rows = spark.createDataFrame([(1, "b", 1.0), (1, "a", 2.0), (2, "a", 3.0), (2, "a", 4.0), (3, None, 5.0)], "id int, decoder string, p double")
+    cube = J.aligned_cube(rows, ["id"])
+    assert cube._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r.id: (r.n, r.n_names, [c.p for c in r.cube]) for r in cube.collect()} == {1: (2, 2, [2.0, 1.0]), 2: (2, 1, [3.0, 4.0]), 3: (1, 0, [5.0])}
+
+
 @pytest.mark.parametrize("pooling", ["linear", "log"])
 def test_stacking_equals_a_loop(spark, pooling):
     rng = np.random.default_rng(14)
