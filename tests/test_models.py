@@ -269,6 +269,23 @@ def test_unknown_decoders_are_named(spark):
     assert {C.normalized_name(n) for n in ("LR", "Random Forest", "svc", "gradient-boosting")} == {"logistic", "forest", "linear_svm", "boosting"}
 
 
+def test_kernel_sums_hold_one_share_and_a_batch(spark):
+    """No row packs a block, so that what Python holds does not grow with the pairs of blocks."""
+    import pyarrow as pa
+
+    from chronoprob.operators import augment as A
+
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3).tolist(), i % 3, "target" if i % 3 == 0 else "source") for i in range(90)]
+    df = spark.createDataFrame(rows, "row_id long, x array<double>, domain int, role string")
+    plan = A.kernel_mmd(df, 0.5, block=8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "PythonUDF" not in plan
+    whole = pa.table({"b": [0] * 50, "kind": [0] * 10 + [1] * 40, "g": [0] * 50, "x": [[float(i)] for i in range(50)]})
+    seen = [(len(u), len(v), own) for u, _, v, _, own in A._meetings(iter(whole.to_batches(max_chunksize=7)))]
+    assert seen[0] == (10, 10, True) and max(n for n, _, own in seen[1:]) <= 7
+    assert sum(n for n, _, own in seen if not own) == 40 and all(v == 10 for _, v, _ in seen)
+
+
 def test_estimated_discrepancies_are_near_the_exact_ones(spark):
     from chronoprob.operators import augment as A
 
