@@ -50,6 +50,25 @@ def test_shared_values_next_to_a_quantile(spark):
     assert got == want
 
 
+def in_another_order(df):
+    """``df``, whose rows come in another order at each reading, as parts do in a cluster."""
+    def mixed(batches):
+        yield pd.concat(list(batches)).sample(frac=1.0, random_state=int.from_bytes(os.urandom(4)))
+
+    return df.mapInPandas(mixed, df.schema)
+
+
+def test_quantiles_of_rows_in_another_order_at_each_reading(spark):
+    """Two readings of a sketch differ, so no two steps may read it."""
+    from chronoprob.operators import features as T
+
+    n = 80_000
+    df = in_another_order(spark.range(0, n, 1, 1).selectExpr("id as row_id", "'source' as role", f"array(cast((id * 7919L) % {n}L as double)) as x"))
+    got = quantiles(T.positions(df), [0.25, 0.5, 0.9]).first().q
+    assert got == np.quantile(np.arange(float(n)), [0.25, 0.5, 0.9]).tolist()
+    assert T.binarized(df).where("x[0] = 1").count() == n // 2
+
+
 def test_sequences_share_their_steps(spark):
     """Sequences of many lengths at once, and across batches and chunks, as each by itself."""
     from chronoprob.operators import states as H
