@@ -69,6 +69,22 @@ def test_quantiles_of_rows_in_another_order_at_each_reading(spark):
     assert T.binarized(df).where("x[0] = 1").count() == n // 2
 
 
+def test_distances_are_read_once(spark):
+    """Rows at the median distance of their class are within a limit that is this median, also where another reading has other last bits."""
+    from chronoprob.operators import augment as A
+
+    def blurred(batches):
+        by = 1 + 1e-12 * np.random.default_rng(int.from_bytes(os.urandom(4))).random(8)
+        for pdf in batches:
+            yield pdf.assign(x=[np.asarray(x) * by[k] for k, x in zip(pdf["label"], pdf["x"])])
+
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 8, (np.full(5, 3.1 + i % 8) if i % 5 < 3 else rng.normal(size=5)).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "row_id long, label int, x array<double>").repartition(1)
+    weights = {r.row_id: r.weight for r in A.outlier_weights(df.mapInPandas(blurred, df.schema), multiplier=0.0).collect()}
+    assert {w for i, w in weights.items() if i % 5 < 3} == {1.0}
+
+
 def test_sequences_share_their_steps(spark):
     """Sequences of many lengths at once, and across batches and chunks, as each by itself."""
     from chronoprob.operators import states as H
