@@ -187,6 +187,31 @@ def test_rows_of_the_median_meet_in_shares_not_in_pairs_of_blocks(spark, monkeyp
     assert dealt and max(dealt) <= 600 * (spark.sparkContext.defaultParallelism + 1)
 
 
+def test_median_measures_few_pairs_exactly(spark, monkeypatch):
+    """All pairs are gone through twice, after a guess inside the shares; products decide all but a few, beside far rows too."""
+    from chronoprob.operators import augment as A
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2500, 8)) + 50
+    x[:3] *= 1e5  # far rows
+    x[3] = x[4]
+    calls, plain, df = [], type(spark.range(1)).mapInArrow, spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_id long, x array<double>")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a: calls.append(1) or plain(self, *a))
+    d = np.concatenate([((x[i + 1 :] - x[i]) ** 2).sum(axis=1) for i in range(len(x))])
+    low, high = np.quantile(d, [0.49, 0.51]).tolist()
+    assert A.median_squared_distance(df, block=500) == np.median(d[d > 1e-12])
+    assert len(calls) <= 3
+    u, v = (A._factors(part, x[3:].mean(axis=0), True) for part in (x[:1000], x[1000:]))
+    assert u[2].dtype == np.float32
+    for a, b, own in ((u, u, True), (u, v, False)):
+        ours = [((v[0] - r) ** 2).sum(axis=1) if not own else ((a[0][i + 1 :] - r) ** 2).sum(axis=1) for i, r in enumerate(a[0])]
+        ours, found = np.concatenate(ours), list(A._compared(a, b, own, low, high, 1e-12))
+        doubt = np.concatenate([f[2] for f in found])
+        assert len(doubt) < 0.03 * len(ours)
+        assert sum(f[0] for f in found) + ((doubt > 1e-12) & (doubt < low)).sum() == ((ours > 1e-12) & (ours < low)).sum()
+        assert sum(f[1] for f in found) + (doubt > high).sum() == (ours > high).sum()
+
+
 def test_a_stream_keeps_one_state_for_all_its_classes(spark, tmp_path):
     """Two streams of three classes are two states, of which the classes that ended are gone."""
     from chronoprob.streaming import detector as S
